@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from .common import ascii_lower, documents, shuffle_width, staged
 
@@ -117,17 +117,9 @@ def _bitmap(n_lines: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(StringType())
-def _apply(text: pd.Series, bitmap: pd.Series) -> pd.Series:
-    out = []
-    for t, b in zip(text, bitmap):
-        if b is None:
-            out.append(t)
-            continue
-        lines = t.split("\n")
-        keep = np.unpackbits(np.frombuffer(zlib.decompress(b), dtype="uint8"), count=len(lines))
-        out.append("\n".join(itertools.compress(lines, keep)))
-    return pd.Series(out, dtype=object)
+@F.pandas_udf(ArrayType(IntegerType()))
+def _dropped(bitmap: pd.Series, n_lines: pd.Series) -> pd.Series:
+    return pd.Series([np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(b), dtype="uint8"), count=int(n)) == 0).astype("int32") for b, n in zip(bitmap, n_lines)], dtype=object)
 
 
 def line_keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -139,11 +131,12 @@ def line_keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its text column reduced to the lines kept."""
-    b = bitmaps.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("n_dropped").alias("__n"), F.col("keep_bitmap").alias("__keep"))
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = df.withColumn("__own", th).join(b, df[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__n").isNull(), F.col(text_col)).otherwise(_apply(F.coalesce(F.col(text_col), F.lit("")), "__keep"))).drop("__id", "__th", "__keep", "__own")
+    """df with its text column reduced to the lines kept, and __n, the number dropped (null: none)."""
+    b = bitmaps.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("n_dropped").alias("__n"), _dropped("keep_bitmap", "n_lines").alias("__gone"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = df.withColumn("__own", F.xxhash64(text)).join(b, df[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col("__n").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__th", "__gone", "__own")
 
 
 def dedup_lines(df: DataFrame, **kw) -> DataFrame:
