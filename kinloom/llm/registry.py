@@ -1,13 +1,15 @@
 """The corpus queries and their SQL, as __spark_entry__.py registers them."""
 
-from . import exact_dedup, line_dedup, ngram_join, packing, sharding
+from . import decontaminate, exact_dedup, line_dedup, ngram_join, packing, quality, sharding
 
 QUERIES = {
     "op1_min_slack_packing": packing.query,
     "op2_ngram_jaccard": ngram_join.query,
+    "op4_quality_trees": quality.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_sharding": sharding.query,
+    "op9_decontamination": decontaminate.query,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
