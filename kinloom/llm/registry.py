@@ -1,6 +1,6 @@
 """The corpus queries and their SQL, as __spark_entry__.py registers them."""
 
-from . import decontaminate, exact_dedup, line_dedup, ngram_join, packing, quality, sharding
+from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, sharding
 
 QUERIES = {
     "op1_min_slack_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.query,
     "op8_sharding": sharding.query,
     "op9_decontamination": decontaminate.query,
+    "op10_html_template": html_extract.query,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
