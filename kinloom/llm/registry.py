@@ -1,10 +1,11 @@
 """The corpus queries and their SQL, as __spark_entry__.py registers them."""
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, sharding
+from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_min_slack_packing": packing.query,
     "op2_ngram_jaccard": ngram_join.query,
+    "op3_semi_markov_pii": pii.query,
     "op4_quality_trees": quality.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_line_dedup": line_dedup.query,
