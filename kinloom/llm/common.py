@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Size of the bitmaps that tasks filter with: 16 MB, whatever they are made of.
+BITS = 1 << 27
 #: For str.translate: lower-cases A-Z and nothing else.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
@@ -42,3 +46,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bitmap(spark, values: DataFrame):
+    """A broadcast bitmap of BITS bits, whatever the size of values (x long): no false negatives."""
+    width = BITS // 256
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, dtype=bool)
+        bits[pdf["bit"].to_numpy() % width] = True
+        return pd.DataFrame({"block": [int(pdf["bit"].iloc[0]) // width], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    bit = values.select(F.pmod("x", F.lit(BITS)).cast("int").alias("bit")).distinct()
+    out = np.zeros(BITS // 8, dtype="uint8")
+    for b, bits in bit.groupBy(F.expr(f"bit div {width}")).applyInPandas(block, "block int, bits binary").collect():  # 256 rows
+        out[b * width // 8 : (b + 1) * width // 8] = np.frombuffer(bits, dtype="uint8")
+    return spark.sparkContext.broadcast(out)
+
+
+def in_bitmap(bitmap, x: np.ndarray) -> np.ndarray:
+    at = np.mod(x, BITS)
+    return (bitmap.value[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1

@@ -1,6 +1,6 @@
 """The corpus queries and their SQL, as __spark_entry__.py registers them."""
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, pii, quality, sharding
+from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, pii, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_min_slack_packing": packing.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_semi_markov_pii": pii.query,
     "op4_quality_trees": quality.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_sharding": sharding.query,
     "op9_decontamination": decontaminate.query,
