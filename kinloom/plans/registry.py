@@ -1,4 +1,435 @@
-"""Queries of the genotype engine and their SQL."""
+"""Queries of the genotype engine: name -> (spark, sf_dir) -> DataFrame, each over all events."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinloom.functions.genotype import normalise
+from kinloom.operators import compare, confidence, graph, inference, likelihood, matching, pairs, panel, replicates
+from kinloom.plans import fixtures
+from kinloom.plans.oracles import CUTS, SQL  # noqa: F401
+from kinloom.sources.staging import staged
+
+MIN_LOCI = 15
 QUERIES: dict = {}
-SQL: dict = {}
+
+
+def _query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _r(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
+    """Doubles rounded (and -0 as 0), counts as long, the helper columns of pairs left out."""
+    out = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if f.name in ("ord", "ord1", "ord2"):
+            continue
+        c = F.col(f.name)
+        if kind == "double":
+            c = F.round(c, own.get(f.name, digits)) + F.lit(0.0)
+        elif kind in ("integer", "decimal"):
+            c = c.cast("long")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def _panel(spark, sf):
+    return fixtures.panel(spark, sf)
+
+
+def _stats(spark, sf):
+    return pairs.pair_stats(_panel(spark, sf))
+
+
+def _exact(spark, sf):
+    return staged(matching.exact(_stats(spark, sf), MIN_LOCI), "exact")
+
+
+def _thresh(spark, sf):
+    return staged(matching.threshold(_stats(spark, sf), 1, 0, MIN_LOCI), "threshold")
+
+
+def _assign(spark, sf, matched):
+    return staged(graph.single_linkage(graph.samples_of(_panel(spark, sf)), matched), "assignment")
+
+
+def _lr(spark, sf):
+    scored, matched = matching.likelihood_ratio(_panel(spark, sf), min_loci=MIN_LOCI)
+    return staged(scored, "posterior"), staged(matched, "lr-matched")
+
+
+def _three(spark, sf):
+    stats = staged(_stats(spark, sf), "stats")
+    return {
+        "exact": _assign(spark, sf, matching.exact(stats, MIN_LOCI)),
+        "threshold": _assign(spark, sf, matching.threshold(stats, 1, 0, MIN_LOCI)),
+        "likelihood_ratio": _assign(spark, sf, _lr(spark, sf)[1]),
+    }
+
+
+@_query
+def norm_genotype(spark, sf):
+    return fixtures.raw_cells(spark, sf).select("sample", "locus", normalise(F.col("raw")).alias("gt"))
+
+
+@_query
+def quality_flags(spark, sf):
+    return panel.quality_flags(fixtures.raw_cells(spark, sf))
+
+
+@_query
+def locus_stats(spark, sf):
+    return _r(panel.locus_stats(_panel(spark, sf)))
+
+
+@_query
+def sample_stats(spark, sf):
+    return _r(panel.sample_stats(_panel(spark, sf)))
+
+
+@_query
+def allele_freq(spark, sf):
+    return _r(panel.allele_freq(_panel(spark, sf)))
+
+
+@_query
+def allele_freq_weighted(spark, sf):
+    weights = compare.recapture_weights(_assign(spark, sf, _exact(spark, sf)))
+    return _r(panel.allele_freq(_panel(spark, sf), weights=weights))
+
+
+def _filtered(spark, sf):
+    return panel.filter_panel(_panel(spark, sf), min_locus_call=0.925, min_sample_call=0.9, min_maf=0.05)
+
+
+@_query
+def filter_panel(spark, sf):
+    return _filtered(spark, sf).groupBy("locus").agg(F.count("*").alias("n_rows"), F.count("gt").alias("n_typed"))
+
+
+@_query
+def dropped_loci(spark, sf):
+    return panel.dropped(_panel(spark, sf), _filtered(spark, sf), "locus")
+
+
+@_query
+def dropped_samples(spark, sf):
+    return panel.dropped(_panel(spark, sf), _filtered(spark, sf), "sample")
+
+
+@_query
+def ld_r2(spark, sf):
+    return _r(panel.linkage_r2(_panel(spark, sf)))
+
+
+def _power(spark, sf):
+    return panel.identity_power(panel.allele_freq(_panel(spark, sf), ()))
+
+
+@_query
+def pid_locus(spark, sf):
+    return _r(_power(spark, sf))
+
+
+@_query
+def pid_cumulative(spark, sf):
+    return _r(panel.cumulative_power(_power(spark, sf)).drop("pid", "pid_sib"))
+
+
+@_query
+def loci_needed(spark, sf):
+    return panel.loci_needed(panel.cumulative_power(_power(spark, sf))).select("band", F.col("n_loci").cast("long").alias("n_loci"))
+
+
+@_query
+def sample_power(spark, sf):
+    return _r(panel.sample_power(_panel(spark, sf), _power(spark, sf)))
+
+
+@_query
+def encode_dict(spark, sf):
+    return _r(panel.dictionary(_panel(spark, sf)))
+
+
+@_query
+def pairwise(spark, sf):
+    return _r(_stats(spark, sf).groupBy("grp", "n_compared", "n_mismatch", "n_mismatch_2allele").agg(F.count("*").alias("n_pairs")))
+
+
+@_query
+def mismatch_histogram(spark, sf):
+    return _r(matching.mismatch_histogram(_stats(spark, sf), MIN_LOCI))
+
+
+@_query
+def match_exact(spark, sf):
+    return _r(matching.exact(_stats(spark, sf), MIN_LOCI).select("grp", "id1", "id2", "n_compared"))
+
+
+@_query
+def match_threshold(spark, sf):
+    return _r(matching.threshold(_stats(spark, sf), 1, 0, MIN_LOCI).select("grp", "id1", "id2", "n_compared", "n_mismatch"))
+
+
+@_query
+def near_matches(spark, sf):
+    return _r(matching.near(_stats(spark, sf), 2, MIN_LOCI).select("grp", "id1", "id2", "n_compared", "n_mismatch"))
+
+
+@_query
+def matched_pid(spark, sf):
+    own = _panel(spark, sf)
+    return _r(matching.matched_power(_exact(spark, sf), own, panel.identity_power(panel.allele_freq(own), ("grp",))))
+
+
+@_query
+def threshold_sweep(spark, sf):
+    return _r(matching.sweep(graph.samples_of(_panel(spark, sf)), staged(_stats(spark, sf), "stats"), 6, MIN_LOCI))
+
+
+@_query
+def fallback_mismatches(spark, sf):
+    return _r(matching.fallback_mismatches(_stats(spark, sf), MIN_LOCI))
+
+
+@_query
+def assignment_exact(spark, sf):
+    return _r(_assign(spark, sf, _exact(spark, sf)))
+
+
+@_query
+def assignment_threshold(spark, sf):
+    return _r(_assign(spark, sf, _thresh(spark, sf)))
+
+
+@_query
+def assignment_summary(spark, sf):
+    return _r(graph.assignment_summary(_assign(spark, sf, _exact(spark, sf))))
+
+
+@_query
+def cluster_sizes(spark, sf):
+    return graph.cluster_sizes(_assign(spark, sf, _thresh(spark, sf)))
+
+
+@_query
+def conflicts(spark, sf):
+    m = _thresh(spark, sf)
+    return _r(graph.conflicts(_assign(spark, sf, m), m))
+
+
+@_query
+def complete_linkage(spark, sf):
+    return _r(graph.complete_linkage(graph.samples_of(_panel(spark, sf)), _thresh(spark, sf)))
+
+
+def _tables_of(spark, sf):
+    own = _panel(spark, sf)
+    return panel.dictionary(own), panel.allele_freq(own)
+
+
+@_query
+def hwe_prob(spark, sf):
+    return _r(likelihood.genotype_prob(*_tables_of(spark, sf)).drop("code"))
+
+
+@_query
+def obs_matrix(spark, sf):
+    return _r(likelihood.observation_model(*_tables_of(spark, sf), 0.02, 0.005))
+
+
+@_query
+def pair_prob(spark, sf):
+    return _r(likelihood.pair_prob(*_tables_of(spark, sf), likelihood.KINSHIP["full_sib"]))
+
+
+@_query
+def lr_table(spark, sf):
+    return _r(likelihood.lr_table(*_tables_of(spark, sf)))
+
+
+def _lr_profile(df):
+    return _r(df.groupBy("grp", "n_compared").agg(F.count("*").alias("n_pairs"), F.sum("lr").alias("lr_sum"), F.max("lr").alias("lr_max")), lr_sum=4)
+
+
+@_query
+def lr_pairs(spark, sf):
+    return _lr_profile(matching.lr_pairs(_panel(spark, sf)))
+
+
+@_query
+def lr_prior(spark, sf):
+    own = _panel(spark, sf)
+    scored = staged(matching.lr_pairs(own), "lr-pairs")
+    return _r(matching.priors(scored, own.groupBy("grp").agg(F.count_distinct("sample").alias("n")), 0.999, MIN_LOCI), 9)
+
+
+@_query
+def lr_matched(spark, sf):
+    return _r(_lr(spark, sf)[1].select("grp", "id1", "id2", "n_compared", "lr"))
+
+
+@_query
+def lr_assignment(spark, sf):
+    return _r(_assign(spark, sf, _lr(spark, sf)[1]))
+
+
+@_query
+def best_alternative_counts(spark, sf):
+    return _r(matching.best_alternative_pairs(_panel(spark, sf)).groupBy("best_alternative").agg(F.count("*").alias("n_pairs"), F.max("log10_lambda").alias("top")))
+
+
+@_query
+def best_alternative_assignment(spark, sf):
+    return _r(_assign(spark, sf, staged(matching.best_alternative(matching.best_alternative_pairs(_panel(spark, sf)), 1.0, MIN_LOCI).select("ord1", "ord2"), "best")))
+
+
+@_query
+def calibration(spark, sf):
+    table = confidence.calibration(graph.samples_of(_panel(spark, sf)), _lr(spark, sf)[0], CUTS, MIN_LOCI)
+    return _r(table.select("cutoff", "n_accepted", "false_merges", "missed", "n_individuals"), 4)
+
+
+@_query
+def calibration_verdict(spark, sf):
+    table = staged(confidence.calibration(graph.samples_of(_panel(spark, sf)), _lr(spark, sf)[0], CUTS, MIN_LOCI), "calibration")
+    return confidence.verdict(table).join(confidence.recommended_cutoff(table))  # one row each
+
+
+def _confidence(spark, sf):
+    scored, matched = _lr(spark, sf)
+    power = panel.sample_power(_panel(spark, sf), _power(spark, sf))
+    return confidence.sample_confidence(_assign(spark, sf, matched), scored.withColumn("score", F.col("posterior")), matched, power, MIN_LOCI)
+
+
+@_query
+def sample_confidence(spark, sf):
+    return _r(_confidence(spark, sf).drop("log10_pid_sib", "status_rank"))
+
+
+@_query
+def roster(spark, sf):
+    return _r(confidence.roster(_confidence(spark, sf)))
+
+
+@_query
+def ari_matrix(spark, sf):
+    return _r(compare.rand_matrix(_three(spark, sf)))
+
+
+@_query
+def method_summary(spark, sf):
+    return _r(compare.method_summary(_three(spark, sf)))
+
+
+@_query
+def disputed(spark, sf):
+    stats = staged(_stats(spark, sf), "stats")
+    both = {"exact": _assign(spark, sf, matching.exact(stats, MIN_LOCI)), "threshold": _assign(spark, sf, matching.threshold(stats, 1, 0, MIN_LOCI))}
+    return _r(compare.disputed(both).drop("grp"))
+
+
+@_query
+def individual_consensus(spark, sf):
+    return _r(compare.individual_consensus(_panel(spark, sf), _assign(spark, sf, _exact(spark, sf))))
+
+
+@_query
+def discordance(spark, sf):
+    return _r(compare.discordance(_panel(spark, sf), _assign(spark, sf, _thresh(spark, sf))))
+
+
+@_query
+def attribute_conflicts(spark, sf):
+    return compare.attribute_conflicts(_assign(spark, sf, _thresh(spark, sf)), fixtures.truth(spark, sf))
+
+
+@_query
+def positive_controls(spark, sf):
+    return compare.positive_controls(_assign(spark, sf, _thresh(spark, sf)), fixtures.truth(spark, sf).withColumnRenamed("value", "control"))
+
+
+@_query
+def rep_consensus(spark, sf):
+    return replicates.consensus(fixtures.replicates(spark, sf)).select("sample", "locus", "gt")
+
+
+@_query
+def genotype_likelihood(spark, sf):
+    lik = replicates.genotype_likelihood(_panel(spark, sf), fixtures.replicates(spark, sf))
+    return _r(lik.select("sample", "locus", "t", F.log10("lik").alias("log10_lik"), "n_obs"))
+
+
+@_query
+def lr_replicates(spark, sf):
+    return _lr_profile(replicates.lr_pairs(_panel(spark, sf), fixtures.replicates(spark, sf)))
+
+
+@_query
+def best_alternative_replicates(spark, sf):
+    scored = replicates.best_alternative_pairs(_panel(spark, sf), fixtures.replicates(spark, sf))
+    ok = (F.col("n_compared") >= MIN_LOCI) & (F.col("log10_lambda") > 0)
+    return scored.groupBy("best_alternative").agg(F.count("*").alias("n_pairs"), F.count_if(ok).alias("n_matched"))
+
+
+def _errors(spark, sf):
+    reps = fixtures.replicates(spark, sf)
+    return replicates.error_counts(reps, replicates.consensus(reps))
+
+
+@_query
+def replicate_errors(spark, sf):
+    return _errors(spark, sf)
+
+
+@_query
+def pooled_errors(spark, sf):
+    return _r(replicates.pooled_rates(_errors(spark, sf)))
+
+
+@_query
+def heterozygote_deficit(spark, sf):
+    return _r(replicates.heterozygote_deficit(_panel(spark, sf)))
+
+
+@_query
+def ml_patterns(spark, sf):
+    return replicates.ml_patterns(fixtures.replicates(spark, sf))
+
+
+@_query
+def ml_error_rates(spark, sf):
+    freq = panel.allele_freq(_panel(spark, sf), ())
+    got = replicates.ml_error_rates(fixtures.replicates(spark, sf), freq)
+    row = (round(got["dropout"], 5), round(got["false_allele"], 5), *got["dropout_ci"], *got["false_ci"])
+    return spark.createDataFrame([row], "dropout double, false_allele double, dropout_lo double, dropout_hi double, false_lo double, false_hi double")
+
+
+@_query
+def residual_error(spark, sf):
+    return _r(replicates.residual_error(spark, 0.05, 0.01, 0.13))
+
+
+@_query
+def separator_shares(spark, sf):
+    return inference.separator_shares(fixtures.raw_cells(spark, sf), ["raw"])
+
+
+@_query
+def locus_tests(spark, sf):
+    raw = fixtures.raw_table(spark, sf)
+    return inference.locus_tests(raw, raw.columns)
+
+
+@_query
+def id_scores(spark, sf):
+    raw = fixtures.raw_table(spark, sf)
+    return _r(inference.id_scores(raw, raw.columns))
+
+
+@_query
+def sensitivity_grid(spark, sf):
+    return _r(matching.sensitivity(_panel(spark, sf), min_loci=MIN_LOCI))
