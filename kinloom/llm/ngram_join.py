@@ -2,12 +2,14 @@
 
 Plan
 1. each text becomes the sorted set of its shingles' 64-bit hashes; rows with the same set are one class, so copies
-   cost no pairs.  Of a set of n hashes only the window, its m = p + e smallest, is shuffled, where
+   cost no pairs.  Of a set of n hashes only the window, its m = p + e smallest, is kept, where
    p = n - ceil(t n) + 1 and e = min(n - p, n // 20 + 1);
 2. two sets that link share at least e + 1 hashes inside their windows (e taken at the smallest linkable size).  A
-   class with fewer window hashes that any other class has in its window links with nothing and is done;
-3. hashes held by more than ``hot`` windows are ignored, unless a class has too many of them to spare; classes that
-   share a remaining hash form families (connected components), each linked pair lying in one family;
+   class with fewer window hashes that another class has in its window too links with nothing and is done;
+3. hashes in at most ``hot`` windows tell which classes share enough of them, the rest being counted as shared: these
+   are candidate pairs.  Hashes in more windows are never paired; a class that has more of them than it can spare is
+   tied to the hash's least class instead.  The connected components of both are families, and each linked pair lies
+   within one family;
 4. only classes in families are tokenised in full.  A family (or a pair of its chunks, where its sets pass
    ``chunk_tokens``) is joined in one task: the sets, most frequent hash first, go into a compressed prefix tree, and
    each set walks down it level by level, sharing the overlaps of common prefixes and leaving a subtree as soon as
@@ -32,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import documents, staged
+from .common import bitmap, documents, in_bitmap, staged
 from .graph import components
 
 HOT = 64
-CHUNK_TOKENS = 250_000
-BITS = 1 << 23
+CHUNK_TOKENS = 500_000
 
 
 class _WordHash(dict):
@@ -96,7 +97,7 @@ def _windows(size: int, percent: int):
                 offsets.append(offsets[-1] + len(w))
             flat = np.concatenate(win) if win else np.empty(0, dtype="int64")
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["id", "th", "n", "d1", "d2", "win"])
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["id", "th", "n", "node", "d2", "win"])
 
     return run
 
@@ -268,26 +269,22 @@ def ngram_components(
     """(id, n_shingles, component_id, n_links), one row for each row of df."""
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = staged(texts.mapInArrow(_windows(size, percent), "id long, th long, n long, d1 long, d2 long, win array<long>"), "windows")
+    rows = staged(texts.mapInArrow(_windows(size, percent), "id long, th long, n long, node long, d2 long, win array<long>"), "windows")
     classes = staged(
-        rows.filter("n > 0")
-        .groupBy("d1", "d2")
-        .agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("pick"), F.first("n").alias("n"), F.first("win").alias("win"))
-        .withColumn("node", F.coalesce("least", "d1")),
-        "classes",
+        rows.filter("n > 0").groupBy("node", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("pick"), F.first("n").alias("n")), "classes"
     )
-    families = staged(_families(classes, percent, hot, chunk_tokens), "families")
+    families = staged(_families(spark, rows, classes, percent, hot, chunk_tokens), "families")
     blocks = staged(_blocks(spark, texts, families, size).applyInPandas(_block(percent), "node long, root long, links long"), "blocks")
     links = blocks.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(blocks.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    slim = classes.select("d1", "d2", "node", "least", "copies")
+    slim = classes.select("node", "d2", "least", "copies")
     named = linked.join(slim, "node").groupBy("component").agg(F.min("least").alias("name"))
     of_class = (
         slim.join(linked.join(named, "component").select("node", "name"), "node", "left")
         .join(links, "node", "left")
-        .select("d1", "d2", F.coalesce("name", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", "d2", F.coalesce("name", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    out = rows.select("id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+    out = rows.select("id", "n", "node", "d2").join(of_class, ["node", "d2"], "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -296,44 +293,71 @@ def ngram_components(
     )
 
 
+def _window_hashes(picked, shared=None):
+    """(node, n, token) of the window hashes of the rows in `picked`, and of the hashes in `shared` only."""
+
+    def run(batches):
+        for b in batches:
+            keep = in_bitmap(picked, b.column("pick").to_numpy())
+            lists = b.column("win")
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy()
+            row = np.repeat(np.arange(len(keep)), np.diff(ends))
+            flat = flat[ends[0] : ends[-1]]
+            take = keep[row]
+            if shared is not None:
+                take &= in_bitmap(shared, flat)
+            row, flat = row[take], flat[take]
+            yield pa.record_batch([pa.array(b.column("node").to_numpy()[row]), pa.array(b.column("n").to_numpy()[row]), pa.array(flat)], names=["node", "n", "token"])
+
+    return run
+
+
 def _spare(n, percent: int):
     """Window hashes beyond the first p, at the smallest size that can link with a set of n (columns)."""
     small = F.floor((n * percent + 99) / 100)
     return F.least(F.floor((small * percent + 99) / 100) - 1, F.floor(small / 20) + 1)
 
 
-def _families(classes: DataFrame, percent: int, hot: int, chunk_tokens: int) -> DataFrame:
+def _families(spark, rows: DataFrame, classes: DataFrame, percent: int, hot: int, chunk_tokens: int) -> DataFrame:
     """(node, copies, pick, family, chunks) of the classes that may link with another."""
-    held = classes.select("node", "n", F.explode("win").alias("token"))
-    shared = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    per = held.join(shared, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "df")).alias("hits"))
-    spare = _spare(F.col("n"), percent)
-    busy = F.size(F.filter("hits", lambda h: h["df"] > hot)) > spare
-    keys = staged(
-        per.filter(F.size("hits") > spare).withColumn("busy", busy).select("node", "busy", F.explode("hits").alias("h")).filter(F.col("busy") | (F.col("h.df") <= hot)).select("node", "h.token"),
-        "keys",
-    )
-    least = keys.groupBy("token").agg(F.min("node").alias("v"), F.count("*").alias("c")).filter("c > 1").select("token", "v")
-    family = components(keys.join(least, "token").select(F.col("node").alias("u"), "v").distinct())
-    member = family.select("node", F.col("component").alias("family")).join(classes.select("node", "n", "copies", "pick"), "node")
+    pick = F.xxhash64("id", "th")
+    picked = bitmap(spark, classes.select(F.xxhash64("pick.id", "pick.th").alias("x")))
+    source = rows.filter("n > 0").select("node", "n", pick.alias("pick"), "win")
+    schema = "node long, n long, token long"
+    shared = staged(source.mapInArrow(_window_hashes(picked), schema).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    repeated = bitmap(spark, shared.select(F.col("token").alias("x")))
+    held = source.mapInArrow(_window_hashes(picked, repeated), schema).join(shared, "token").groupBy("node", "n").agg(F.collect_set(F.struct("token", "df")).alias("hits"))
+    held = held.withColumn("spare", _spare(F.col("n"), percent)).filter(F.size("hits") > F.col("spare"))
+    held = held.withColumn("large", F.size(F.filter("hits", lambda h: h["df"] > hot)))
+    keys = staged(held.select("node", "n", "spare", "large", F.explode("hits").alias("h")).select("node", "n", "spare", "large", "h.token", "h.df"), "keys")
+
+    # hashes in few windows: count what two classes share, in groups of `hot` at most
+    few = keys.filter(F.col("df") <= hot)
+    a, b = few.alias("a"), few.alias("b")
+    fits = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+    need = F.greatest("a.spare", "b.spare") + 1 - F.least("a.large", "b.large")
+    counted = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), need.cast("int").alias("need"))
+    pairs = counted.groupBy("u", "v").agg(F.max("need").alias("need"), F.count("*").alias("c")).filter("c >= need").select("u", "v")
+
+    # classes with more large hashes than they can spare: a star for each such hash
+    busy = keys.filter((F.col("df") > hot) & (F.col("large") > F.col("spare"))).select("token", "node")
+    least = busy.groupBy("token").agg(F.min("node").alias("v"))
+    stars = busy.join(least, "token").select(F.col("node").alias("u"), "v").filter("u != v").distinct()
+
+    family = components(pairs.unionByName(stars)).withColumnRenamed("component", "family")
+    member = family.join(classes.select("node", "n", "copies", "pick"), "node")
     mass = member.groupBy("family").agg(F.ceil(F.sum(F.col("n") + 16) / chunk_tokens).cast("int").alias("chunks"))
     return member.join(mass, "family").select("node", "copies", "pick", "family", "chunks")
 
 
 def _blocks(spark, texts: DataFrame, families: DataFrame, size: int):
     """The full sets of all members, grouped into blocks (family, i, j) of one or two chunks."""
-    # a bitmap of fixed size keeps most other texts out of the shuffle; the join then is exact
-    bits = families.select(F.pmod(F.col("pick.th"), F.lit(BITS)).cast("int").alias("bit"))
-    words = bits.groupBy(F.expr("bit div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, bit % 32))").alias("b"))
-    table = np.zeros(BITS // 32, dtype="int64")
-    for w, b in words.collect():  # BITS / 32 rows at most
-        table[w] = b
-    table = spark.sparkContext.broadcast(table)
+    wanted = bitmap(spark, families.select(F.col("pick.th").alias("x")))
 
     @F.pandas_udf(BooleanType())
     def may(th: pd.Series) -> pd.Series:
-        at = np.mod(th.to_numpy(), BITS)
-        return pd.Series((table.value[at // 32] >> (at % 32)) & 1 == 1)
+        return pd.Series(in_bitmap(wanted, th.to_numpy()))
 
     near = texts.filter(may("th"))
     same = near["id"].eqNullSafe(families["pick.id"]) & (near["th"] == families["pick.th"])
