@@ -20,6 +20,8 @@ an empty benchmark leaves all clean; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +32,7 @@ from .common import documents
 
 WIDTH, HOP = 64, 32
 KEEP = 8
-RARE = 0.002
+RARE = 0.0005
 BLOCK_ITEMS = 256
 EXTRA = 32
 
@@ -65,30 +67,56 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def _hits(text: bytes, vocabulary: dict):
-    """Words, and the (passage, term) pairs in them with their counts, ordered by passage and term."""
-    words = words_of(text)
-    ids = np.fromiter((vocabulary.get(w, -1) for w in words), dtype="int64", count=len(words))
-    at = np.flatnonzero(ids >= 0)
-    if not len(at):
-        return words, None
-    first = at // HOP
-    size = len(vocabulary)
-    key = np.concatenate([first * size + ids[at], (first[first > 0] - 1) * size + ids[at[first > 0]]])
-    key, count = np.unique(key, return_counts=True)
-    return words, (key // size, key % size, count)
+def _hits(texts: list[bytes], vocabulary: dict, overlap: bool):
+    """Yields (first text, (passage, term, count), text of each passage, passages) for stretches of texts.
+
+    The pairs are ordered by passage and term; with `overlap` a word counts in the passage before its own too.
+    """
+    size, step = max(1, len(vocabulary)), HOP
+    lo = 0
+    while lo < len(texts):
+        hi, total = lo, 0
+        while hi < len(texts) and (hi == lo or total + len(texts[hi]) < 1_000_000):
+            total += len(texts[hi])
+            hi += 1
+        lens, ids = [], []
+        for t in texts[lo:hi]:
+            words = words_of(t)
+            lens.append(len(words))
+            ids.append(np.fromiter(map(vocabulary.get, words, repeat(-1)), dtype="int64", count=len(words)))
+        lens, ids = np.array(lens), np.concatenate(ids)
+        parts = np.maximum(1, -(-lens // step))
+        base = np.cumsum(parts) - parts
+        at = np.flatnonzero(ids >= 0)
+        doc = np.searchsorted(np.cumsum(lens), at, side="right")
+        own = (at - (np.cumsum(lens) - lens)[doc]) // step
+        key = (base[doc] + own) * size + ids[at]
+        if overlap:
+            earlier = own > 0
+            key = np.concatenate([key, key[earlier] - size])
+        key, count = np.unique(key, return_counts=True)
+        yield lo, (key // size, key % size, count), np.repeat(np.arange(len(lens)), parts), base, int(parts.sum())
+        lo = hi
 
 
 def _weighted(passage, term, count, idf):
-    """Rows of unit length: (row starts, passage of each row, terms, weights)."""
+    """Rows of unit length: (row starts, passage of each row, weights)."""
     w = (1 + np.log(count)) * idf[term]
-    starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-    norm = np.sqrt(np.add.reduceat(w * w, starts))
+    starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.empty(0, dtype="int64")
+    norm = np.sqrt(np.add.reduceat(w * w, starts)) if len(starts) else np.empty(0)
     norm[norm == 0] = 1
     w = w / np.repeat(norm, np.diff(np.r_[starts, len(w)]))
     return starts, passage[starts], w
 
 
+def _telling(passage, term, count):
+    """Pairs of passages with two terms or more: one term says nothing of how terms go together."""
+    new = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.empty(0, dtype="int64")
+    lens = np.diff(np.r_[new, len(passage)])
+    keep = np.repeat(lens > 1, lens)
+    return passage[keep], term[keep], count[keep]
+
+
 def _texts(batch):
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
@@ -97,47 +125,55 @@ def _count_terms(vocabulary):
     def run(batches):
         df, passages = np.zeros(len(vocabulary), dtype="int64"), 0
         for b in batches:
-            for t in _texts(b):
-                words, found = _hits(t, vocabulary)
-                passages += max(1, -(-len(words) // HOP))
-                if found:
-                    df += np.bincount(found[1], minlength=len(df))
+            for _, found, _, _, n in _hits(_texts(b), vocabulary, False):
+                passages += n
+                df += np.bincount(found[1], minlength=len(df))
         seen = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.r_[-1, seen]), pa.array(np.r_[passages, df[seen]])], names=["term", "n"])
 
     return run
 
 
+#: Terms of the sketch that travel together.
+ROWS = 256
+
+
 def _sketch(vocabulary, idf, omega):
     def run(batches):
         c = np.zeros_like(omega)
         for b in batches:
-            for t in _texts(b):
-                _, found = _hits(t, vocabulary)
-                if found:
-                    _add(c, *found, idf, omega)
-        rows = np.flatnonzero(c.any(axis=1))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * c.shape[1], pa.int32()), pa.array(c[rows].ravel()))
-        yield pa.record_batch([pa.array(rows), flat], names=["term", "c"])
+            for _, found, _, _, _ in _hits(_texts(b), vocabulary, True):
+                _add(c, *_telling(*found), idf, omega)
+        part = _task() % 64
+        for lo in range(0, len(c), ROWS):
+            if c[lo : lo + ROWS].any():
+                yield pa.record_batch([pa.array([lo]), pa.array([part], pa.int32()), pa.array([c[lo : lo + ROWS].astype("float32").tobytes()])], names=["rows", "part", "c"])
 
     return run
 
 
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
 def _add(c, passage, term, count, idf, omega):
-    """c += A'(A omega) for the rows given; passages with one term say nothing of how terms go together."""
-    starts, _, w = _weighted(passage, term, count, idf)
-    lens = np.diff(np.r_[starts, len(w)])
-    keep = np.repeat(lens > 1, lens)
-    if not keep.any():
+    """c += A'(A omega) for the rows given."""
+    if not len(passage):
         return
-    term, w, lens = term[keep], w[keep], lens[lens > 1]
-    starts = np.cumsum(lens) - lens
+    starts, _, w = _weighted(passage, term, count, idf)
     y = np.add.reduceat(omega[term] * w[:, None], starts, axis=0)
-    np.add.at(c, term, np.repeat(y, lens, axis=0) * w[:, None])
+    back = np.repeat(y, np.diff(np.r_[starts, len(w)]), axis=0) * w[:, None]
+    order = np.argsort(term, kind="stable")
+    sorted_terms = term[order]
+    head = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
+    c[sorted_terms[head]] += np.add.reduceat(back[order], head, axis=0)
 
 
 def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"term": [pdf["term"].iloc[0]], "c": [np.sum(np.stack(pdf["c"].to_numpy()), axis=0)]})
+    total = np.sum([np.frombuffer(x, dtype="float32").astype("float64") for x in pdf["c"]], axis=0)
+    return pd.DataFrame({"rows": [pdf["rows"].iloc[0]], "c": [total.astype("float32").tobytes()]})
 
 
 def latent_basis(c: np.ndarray, omega: np.ndarray, k: int) -> np.ndarray:
@@ -156,31 +192,28 @@ def latent_basis(c: np.ndarray, omega: np.ndarray, k: int) -> np.ndarray:
 def _search(block, cosine, lcs_sure, lcs_answer):
     vocabulary, idf, basis, latent, items = block
 
-    def matches(text: bytes):
-        words, found = _hits(text, vocabulary)
-        if not found:
-            return {}
-        passage, term, count = found
-        starts, at, w = _weighted(passage, term, count, idf)
-        lens = np.diff(np.r_[starts, len(w)])
-        keep = lens > 1
-        if not keep.any():
-            return {}
-        take = np.repeat(keep, lens)
-        term, w, lens, at = term[take], w[take], lens[keep], at[keep]
-        z = np.add.reduceat(basis[term] * w[:, None], np.cumsum(lens) - lens, axis=0)
-        norm = np.linalg.norm(z, axis=1, keepdims=True)
-        norm[norm == 0] = 1
-        near = (z / norm) @ latent.T
-        out: dict = {}
-        for r, i in zip(*np.nonzero(near >= cosine)):
-            item_id, item, answer = items[i]
-            spare = len(item)
-            around = words[max(0, at[r] * HOP - spare) : at[r] * HOP + WIDTH + spare]
-            share = lcs(item, around) / len(item)
-            if share >= lcs_sure or (share >= lcs_answer and answer and 2 * lcs(answer, around) >= len(answer)):
-                best = out.get(item_id, (0.0, 0.0))
-                out[item_id] = max(best, (share, float(near[r, i])))
+    def matches(texts: list[bytes]) -> list[dict]:
+        out: list[dict] = [{} for _ in texts]
+        for lo, found, owner, base, _ in _hits(texts, vocabulary, True):
+            passage, term, count = _telling(*found)
+            if not len(passage):
+                continue
+            starts, at, w = _weighted(passage, term, count, idf)
+            z = np.add.reduceat(basis[term] * w[:, None].astype("float32"), starts, axis=0)
+            norm = np.linalg.norm(z, axis=1, keepdims=True)
+            norm[norm == 0] = 1
+            words, of = [], -1
+            for r, i in zip(*np.nonzero((z / norm) @ latent.T >= cosine)):
+                item_id, item, answer = items[i]
+                k = int(owner[at[r]])
+                if k != of:
+                    words, of = words_of(texts[lo + k]), k
+                first, spare = int(at[r] - base[k]) * HOP, len(item)
+                around = words[max(0, first - spare) : first + WIDTH + spare]
+                share = lcs(item, around) / len(item)
+                if share >= lcs_sure or (share >= lcs_answer and answer and 2 * lcs(answer, around) >= len(answer)):
+                    own = out[lo + k]
+                    own[item_id] = max(own.get(item_id, 0.0), share)
         return out
 
     return matches
@@ -190,9 +223,9 @@ def _scan(block, cosine, lcs_sure, lcs_answer):
     def run(batches):
         search = _search(block.value, cosine, lcs_sure, lcs_answer)
         for b in batches:
-            found = [search(t) for t in _texts(b)]
+            found = search(_texts(b))
             items = pa.array([sorted(f) for f in found], pa.list_(pa.int64()))
-            share = pa.array([max((v[0] for v in f.values()), default=0.0) for f in found], pa.float64())
+            share = pa.array([max(f.values(), default=0.0) for f in found], pa.float64())
             yield pa.record_batch([b.column("id"), b.column("th"), items, share], names=["id", "th", "item_ids", "lcs_share"])
 
     return run
@@ -211,11 +244,10 @@ def _fit(texts: DataFrame, own: list):
     vocabulary = {w: i for i, w in enumerate(sorted(rare))}
     idf = np.log((1 + passages) / (1 + np.array([df_of[w] for w in sorted(rare)], dtype="float64"))) + 0.1
     omega = np.random.default_rng(17).standard_normal((len(vocabulary), len(own) + 2 * EXTRA))
-    tree = texts.mapInArrow(_sketch(vocabulary, idf, omega), "term long, c array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-    tree = tree.groupBy("term", "part").applyInPandas(_sum_rows, "term long, c array<double>").groupBy("term").applyInPandas(_sum_rows, "term long, c array<double>")
+    tree = texts.mapInArrow(_sketch(vocabulary, idf, omega), "rows long, part int, c binary").groupBy("rows", "part").applyInPandas(_sum_rows, "rows long, c binary")
     c = np.zeros_like(omega)
-    for r in tree.collect():
-        c[r["term"]] = r["c"]
+    for lo, rows in tree.groupBy("rows").applyInPandas(_sum_rows, "rows long, c binary").collect():  # terms x sketch
+        c[lo : lo + ROWS] = np.frombuffer(rows, dtype="float32").reshape(-1, omega.shape[1])
     rows = []
     for k, (_, words, _) in enumerate(own):
         term, count = np.unique([vocabulary[w] for w in words if w in vocabulary], return_counts=True)
