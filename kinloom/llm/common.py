@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH_BYTES = 8 << 20
 #: Size of the bitmaps that tasks filter with: 16 MB, whatever they are made of.
 BITS = 1 << 27
 #: For str.translate: lower-cases A-Z and nothing else.
@@ -32,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; texts then go to Python in batches of at most BATCH_BYTES, however long or many they are."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -40,6 +50,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

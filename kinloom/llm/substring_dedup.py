@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import bitmap, documents, in_bitmap, shuffle_width, staged
+from .common import bitmap, bounded_batches, documents, in_bitmap, shuffle_width, staged
 
 SPAN, GRAM = 100, 32
 REACH = SPAN - GRAM  # an anchor starts at most this far into its window
@@ -38,7 +38,7 @@ CONTEXT = REACH + SPAN
 BLOCK = 17
 HOT = 2000
 SALT = 256
-PIECE = 2_000_000
+PIECE = 500_000
 NULL_ID = -(1 << 63)
 
 _U = np.uint64
@@ -50,7 +50,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int):
-    size = 1 << max(16, (n - 1).bit_length())
+    size = 1 << max(19, (n - 1).bit_length())
     if size not in _powers:
         _powers.clear()
         up, down = np.full(size, _BASE, dtype="uint64"), np.full(size, _INVERSE, dtype="uint64")
@@ -145,8 +145,8 @@ def _contexts(repeated, hot):
                 if not found:
                     continue
                 take = np.flatnonzero(in_bitmap(repeated, found[4]))
-                for lo in range(0, len(take), 50_000):
-                    owner, a, first, last, rank = (x[take[lo : lo + 50_000]] for x in found)
+                for lo in range(0, len(take), 10_000):
+                    owner, a, first, last, rank = (x[take[lo : lo + 10_000]] for x in found)
                     around = data[np.clip(a[:, None] + np.arange(-REACH, SPAN), 0, len(data) - 1)]
                     offs = pa.py_buffer((np.arange(len(a) + 1) * CONTEXT).astype("int32"))
                     context = pa.Array.from_buffers(pa.binary(), len(a), [None, offs, pa.py_buffer(np.ascontiguousarray(around))])
@@ -246,7 +246,7 @@ def _marks(second: bool):
             columns.append(np.frombuffer(raw.buffers()[2], dtype="uint8")[first : first + b.num_rows * CONTEXT].reshape(-1, CONTEXT))
             held.append(columns)
             size += b.num_rows
-            if size >= 20_000:
+            if size >= 8_000:
                 # a rank stays together; salted parts may be cut anywhere in the first round
                 rank, salt = columns[0], columns[1]
                 cut = len(rank)
@@ -281,7 +281,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _texts(df, id_col, text_col):
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    return bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
