@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 WIDTH, HOP = 64, 32
 KEEP = 8
@@ -283,7 +283,7 @@ def contamination(
 ) -> DataFrame:
     """(id, contaminated, item_ids, lcs_share), one row for each row of df; benchmark: (item_id, text)."""
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     scans = []
     for own in _item_blocks(benchmark, block_items):
         block = spark.sparkContext.broadcast(_fit(texts, own))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .common import ascii_lower, documents, shuffle_width, staged
+from .common import ascii_lower, documents, fresh, shuffle_width, staged
 
 SPACE = " \t\n\x0b\x0c\r"
 DROP, OPEN, EDGE = 0, 1, 2
@@ -130,24 +130,28 @@ def line_keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sizes.join(gone, same).select(sizes["id"], sizes["th"], "n_lines", F.size("gone").cast("long").alias("n_dropped"), _bitmap("n_lines", "gone").alias("keep_bitmap"))
 
 
-def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its text column reduced to the lines kept, and __n, the number dropped (null: none)."""
-    b = bitmaps.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("n_dropped").alias("__n"), _dropped("keep_bitmap", "n_lines").alias("__gone"))
+def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """df with its text column reduced to the lines kept; count_col: a new column with the number of lines dropped."""
+    bid, bth, dropped, gone, own = (fresh(df, c) for c in ("line_id", "line_th", "line_dropped", "line_gone", "line_own"))
+    b = bitmaps.select(F.col("id").alias(bid), F.col("th").alias(bth), F.col("n_dropped").alias(dropped), _dropped("keep_bitmap", "n_lines").alias(gone))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = df.withColumn("__own", F.xxhash64(text)).join(b, df[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__n").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__th", "__gone", "__own")
+    joined = df.withColumn(own, F.xxhash64(text)).join(b, F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(bth)), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    out = joined.withColumn(text_col, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(kept))
+    return out.select(*df.columns, *([F.coalesce(dropped, F.lit(0)).cast("long").alias(count_col)] if count_col else []))
 
 
 def dedup_lines(df: DataFrame, **kw) -> DataFrame:
     """df with repeated lines taken out; its columns are those of df."""
-    return apply_bitmaps(df, line_keep_bitmaps(df, **kw)).drop("__n")
+    return apply_bitmaps(df, line_keep_bitmaps(df, **kw))
 
 
 def query(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    kept = apply_bitmaps(docs.withColumn("n_lines", (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")), line_keep_bitmaps(docs))
-    return kept.select("doc_id", "n_lines", F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    text = F.coalesce("text", F.lit(""))
+    counted = docs.withColumn("n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
+    kept = apply_bitmaps(counted, line_keep_bitmaps(docs), count_col="n_dropped")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
 SQL = """

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import bitmap, documents, in_bitmap, staged
+from .common import bitmap, bounded_batches, documents, in_bitmap, staged
 from .graph import components
 
 HOT = 64
@@ -43,7 +43,7 @@ CHUNK_TOKENS = 500_000
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -268,7 +268,7 @@ def ngram_components(
 ) -> DataFrame:
     """(id, n_shingles, component_id, n_links), one row for each row of df."""
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = staged(texts.mapInArrow(_windows(size, percent), "id long, th long, n long, node long, d2 long, win array<long>"), "windows")
     classes = staged(
         rows.filter("n > 0").groupBy("node", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("pick"), F.first("n").alias("n")), "classes"

@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 CAPACITY = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 BLOCK_PIECES = 40_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
@@ -165,7 +165,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                 yield flush(False)
         yield flush(True)
 
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
+    return bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
 
 
 def query(spark, sf_dir):

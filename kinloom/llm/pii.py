@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 KINDS = ("email", "ip", "card", "phone")
 TYPES = (*KINDS, "secret")
@@ -297,7 +297,7 @@ def _detect(weights):
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_regions: int = TRAIN_REGIONS) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of df."""
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.select("text").filter(F.col("text").rlike("[0-9@]")).mapInPandas(_regions, "h long, region string").distinct()
     sample = [r[0] for r in found.orderBy("h", "region").limit(train_regions).select("region").collect()]
     weights = train(sample)
