@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.genotype import allele, floor_log10
+from kinloom.sources.staging import staged
 
 # Chance that two relatives share 0, 1 or 2 alleles by descent.
 KINSHIP = {"unrelated": (1.0, 0.0, 0.0), "half_sib": (0.5, 0.5, 0.0), "full_sib": (0.25, 0.5, 0.25), "parent_offspring": (0.0, 1.0, 0.0)}
@@ -68,7 +69,8 @@ def pair_prob(dic: DataFrame, freq: DataFrame, k: tuple[float, float, float]) ->
 
 def log_likelihoods(dic: DataFrame, freq: DataFrame, dropout: float, false_allele: float, alternatives: dict[str, tuple]) -> DataFrame:
     """(grp, locus, g1, g2, same, name...): log10 likelihood of two observations under each hypothesis."""
-    e = observation_model(dic, freq, dropout, false_allele)
+    dic, freq = staged(dic, "dictionary"), staged(freq, "freq")  # a few rows a locus, read by every step below
+    e = staged(observation_model(dic, freq, dropout, false_allele), "observation")
     gp = genotype_prob(dic, freq).select(*KEY, F.col("code").alias("t"), "gp")
     left = e.select(*KEY, F.col("g").alias("g1"), "t", F.col("e").alias("e1"))
     right = e.select(*KEY, F.col("g").alias("g2"), "t", F.col("e").alias("e2"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from kinloom.functions.genotype import allele
+from kinloom.sources.staging import staged
 
 
 def locus_index(panel: DataFrame) -> list:
@@ -98,7 +99,7 @@ def _field(name: str):
 def lookup_sums(panel_encoded: DataFrame, tables: DataFrame, names: list[str]) -> DataFrame:
     """(grp, ord1, ord2, id1, id2, n_compared, name...): sums of table values over the loci typed in both samples."""
     loci = locus_index(panel_encoded)
-    arrays, width = lookup_arrays(tables, loci, names)
+    arrays, width = lookup_arrays(staged(tables, "tables"), loci, names)
     pairs = joined(code_arrays(panel_encoded, loci)).join(arrays.withColumnRenamed("grp", "tg"), F.col("x.grp") == F.col("tg"))
     typed = " + ".join(f"int(x.codes[{k}] > 0 and y.codes[{k}] > 0)" for k in range(len(loci)))
     sums = [F.expr(" + ".join(f"{n}[({k * width} + x.codes[{k}]) * {width} + y.codes[{k}]]" for k in range(len(loci)))).alias(n) for n in names]

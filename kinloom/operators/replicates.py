@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType
 from kinloom.functions.genotype import allele, is_het
 from kinloom.operators import likelihood, matching, pairs
 from kinloom.operators.panel import allele_freq, dictionary, locus_stats
+from kinloom.sources.staging import staged
 
 KEY = ["grp", "sample", "ord", "locus"]
 
@@ -58,8 +59,8 @@ def pair_sums(panel: DataFrame, reps: DataFrame, dropout: float = 0.02, false_al
     pair table.  A pair's evidence at a locus is then a short dot product.
     """
     loci = pairs.locus_index(panel)
-    dic, freq = dictionary(panel), allele_freq(panel)
-    lik = genotype_likelihood(panel, reps, dropout, false_allele)
+    dic, freq = staged(dictionary(panel), "dictionary"), staged(allele_freq(panel), "freq")
+    lik = staged(genotype_likelihood(panel, reps, dropout, false_allele), "genotype-likelihood")
     gp = likelihood.genotype_prob(dic, freq).select("grp", "locus", F.col("code").alias("t"), "gp")
     tables = {"same": gp.select("grp", "locus", "t", F.col("t").alias("u"), F.col("gp").alias("pp"))}
     tables |= {a: likelihood.pair_prob(dic, freq, likelihood.KINSHIP[a]) for a in alternatives}

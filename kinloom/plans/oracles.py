@@ -142,7 +142,7 @@ best AS MATERIALIZED (SELECT *, same - greatest(unrelated, full_sib, parent_offs
 CONF = f"""{POWER},
 {LR},
 spow AS (SELECT s.grp, s.sample, count(locus) AS n_loci, coalesce(sum(log10(pid_sib)), 0) AS l FROM samples s LEFT JOIN (SELECT sample, locus FROM panel WHERE gt IS NOT NULL) t USING (sample) LEFT JOIN power USING (locus) GROUP BY ALL),
-told AS (SELECT s1, s2, posterior AS score, x.individual = y.individual AS mates FROM post JOIN lrm x ON s1 = x.sample JOIN lrm y ON s2 = y.sample WHERE n_compared >= 15),
+told AS (SELECT s1, s2, round(posterior, 9) AS score, x.individual = y.individual AS mates FROM post JOIN lrm x ON s1 = x.sample JOIN lrm y ON s2 = y.sample WHERE n_compared >= 15),
 both_ways AS (SELECT * FROM told UNION ALL SELECT s2, s1, score, mates FROM told),
 per AS (SELECT s1 AS sample, min(score) FILTER (mates) AS low, max(score) FILTER (NOT mates) AS rival, min(s2) FILTER (NOT mates AND score = top) AS rival_sample FROM (
   SELECT *, max(score) FILTER (NOT mates) OVER (PARTITION BY s1) AS top FROM both_ways) GROUP BY s1),
@@ -216,7 +216,10 @@ ARI = """SELECT '{m1}' AS method1, '{m2}' AS method2, round(CASE WHEN abs((a + b
 
 
 def query(body: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([SQL_PANEL, *ctes]) + "\n" + body
+    """Expressions that several of ctes define are kept where they come first."""
+    head, *rest = (SQL_PANEL + ",\n" + ",\n".join(ctes) if ctes else SQL_PANEL).split(ALLELES)
+    rest = [r if k == 0 else r.lstrip().removeprefix(",") for k, r in enumerate(rest)]
+    return "WITH " + head + (ALLELES if rest else "") + "".join(rest) + "\n" + body
 
 
 def _sweep(top: int = 6) -> str:

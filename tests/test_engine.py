@@ -57,7 +57,7 @@ def test_pair_stats_many_alleles(spark):
 
 @pytest.fixture(scope="module")
 def simulated(spark):
-    rows = simulate(spark, individuals=14, loci=24, most_captures=4, groups=2, seed=5)
+    rows = simulate(spark, individuals=14, loci=70, most_captures=4, groups=2, seed=5)
     rows.write.mode("overwrite").parquet(f"{spark.conf.get('spark.checkpoint.dir')}/sim")
     return spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/sim")
 
