@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
@@ -41,7 +42,7 @@ def _stream(min_docs: int):
     """A partition's rows, in order, to (kind, h1, h2, id, th, pos, n)."""
 
     def run(batches):
-        rows = itertools.chain.from_iterable(zip(*(b[c].tolist() for c in ("h1", "h2", "id", "th", "pos"))) for b in batches)
+        rows = itertools.chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "id", "th", "pos"))) for b in batches)
         out: list[tuple] = []
         first, ended = True, None
         for (h1, h2), lines in itertools.groupby(rows, lambda r: (r[0], r[1])):
@@ -51,7 +52,6 @@ def _stream(min_docs: int):
                 ended = None
             docs, last, waiting, top = 0, object(), [], None
             for _, _, doc, th, pos in lines:
-                doc = None if doc is None or doc != doc else int(doc)
                 if doc != last:
                     docs, last = docs + 1, doc
                     if docs == 1:
@@ -80,9 +80,10 @@ def _stream(min_docs: int):
 SCHEMA = "kind int, h1 long, h2 long, id long, th long, pos int, n long"
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["kind", "h1", "h2", "id", "th", "pos", "n"])
-    return f.astype({"id": "Int64"})
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [(name, pa.int32() if kind == "int" else pa.int64()) for name, kind in map(str.split, SCHEMA.split(", "))]
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[name for name, _ in kinds])
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -99,7 +100,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = staged(keys, "lines")
     newest = F.col("id").desc_nulls_last()
     dealt = lines.repartitionByRange(shuffle_width(df.sparkSession), "h1", "h2", newest).sortWithinPartitions("h1", "h2", newest, "pos")
-    settled = staged(dealt.mapInPandas(_stream(min_docs), SCHEMA), "line-runs")
+    settled = staged(dealt.mapInArrow(_stream(min_docs), SCHEMA), "line-runs")
     edges = settled.filter(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("id").alias("top"))
     edges = edges.filter(F.col("docs") >= min_docs).select("h1", "h2", "top")  # at most two rows a partition
     late = settled.filter(F.col("kind") == OPEN).join(F.broadcast(edges), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("top")))
@@ -118,8 +119,8 @@ def _bitmap(n_lines: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def _dropped(bitmap: pd.Series, n_lines: pd.Series) -> pd.Series:
-    return pd.Series([np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(b), dtype="uint8"), count=int(n)) == 0).astype("int32") for b, n in zip(bitmap, n_lines)], dtype=object)
+def _kept(bitmap: pd.Series, n_lines: pd.Series) -> pd.Series:
+    return pd.Series([np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(b), dtype="uint8"), count=int(n))).astype("int32") for b, n in zip(bitmap, n_lines)], dtype=object)
 
 
 def line_keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -132,11 +133,12 @@ def line_keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """df with its text column reduced to the lines kept; count_col: a new column with the number of lines dropped."""
-    bid, bth, dropped, gone, own = (fresh(df, c) for c in ("line_id", "line_th", "line_dropped", "line_gone", "line_own"))
-    b = bitmaps.select(F.col("id").alias(bid), F.col("th").alias(bth), F.col("n_dropped").alias(dropped), _dropped("keep_bitmap", "n_lines").alias(gone))
+    bid, bth, dropped, stay, own = (fresh(df, c) for c in ("line_id", "line_th", "line_dropped", "line_stay", "line_own"))
+    b = bitmaps.select(F.col("id").alias(bid), F.col("th").alias(bth), F.col("n_dropped").alias(dropped), _kept("keep_bitmap", "n_lines").alias(stay))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = df.withColumn(own, F.xxhash64(text)).join(b, F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(bth)), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    # the outer transform holds the lines of a text, so that each is looked up and the text is cut once
+    kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.col(stay), lambda i: F.get(lines, i)), "\n"))[0]
     out = joined.withColumn(text_col, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(kept))
     return out.select(*df.columns, *([F.coalesce(dropped, F.lit(0)).cast("long").alias(count_col)] if count_col else []))
 
