@@ -21,7 +21,7 @@ import struct
 import zlib
 from collections import Counter, deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,13 +151,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                     rows.append((doc, start, length, crc, tokens, sequence, at, capacity - total))
                     at += length
                 made += 1
-            return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(columns), names=columns)
 
         for b in batches:
-            for doc, text in zip(b["id"].tolist(), b["text"].tolist()):
+            for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 ids = memoryview(encode(text) + end)
                 n = len(ids) // 4
-                doc = None if doc is None or doc != doc else int(doc)
                 for start in range(0, n, capacity):
                     own = ids[4 * start : 4 * (start + capacity)]
                     pieces.append((doc, start, len(own) // 4, zlib.crc32(own), n))
@@ -165,7 +164,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                 yield flush(False)
         yield flush(True)
 
-    return bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
+    return bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def query(spark, sf_dir):

@@ -23,6 +23,7 @@ import math
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -282,27 +283,27 @@ def _detect(weights):
     def run(batches):
         for b in batches:
             rows = []
-            for text in b["text"]:
+            for text in b.column("text").to_pylist():
                 base = base_spans(text)
                 more = added_spans(text, base, weights) if weights and _DIGIT.search(text) else []
                 spans = sorted(base + more, key=lambda s: (TYPES.index(s[0]), s[1]))
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans)))
-            f = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            f.insert(0, "id", b["id"].to_numpy())
-            yield f
+            kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 2
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)]
+            yield pa.record_batch([b.column("id"), *columns], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     return run
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_regions: int = TRAIN_REGIONS) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of df."""
-    texts = bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.select("text").filter(F.col("text").rlike("[0-9@]")).mapInPandas(_regions, "h long, region string").distinct()
     sample = [r[0] for r in found.orderBy("h", "region").limit(train_regions).select("region").collect()]
     weights = train(sample)
     schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return texts.mapInPandas(_detect(weights), schema).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(_detect(weights), schema).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir):

@@ -6,9 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from kinloom.llm import decontaminate, gbdt, html_extract, packing, pii, quality, sharding
+from kinloom.llm import decontaminate, gbdt, html_extract, line_dedup, packing, pii, quality, sharding
 
 
 def test_packing(docs, rows):
@@ -230,6 +231,23 @@ def test_more_empty(empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_ids_beside_null_ids(spark):
+    """An id beyond 2**53 stays as it is in a batch that holds a null id."""
+    line = "one line that is the same in all of these documents"
+    ids = [None, *(2**60 + k for k in range(1, 7))]
+    df = spark.createDataFrame([(i, f"{line}\nown {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    pages = df.select(df.doc_id.alias("page_id"), df.text.alias("url"), df.text.alias("html"))
+    for out in (packing.pack(df), pii.find_personal_data(df), quality.classify(df, spark.createDataFrame([], "doc_id long, quality int")), html_extract.extract_main_text(pages)):
+        assert {r[0] for r in out.collect()} == set(ids)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: f"own {k}" for k, i in enumerate(ids[:-1])} | {ids[-1]: f"{line}\nown {len(ids) - 1}"}
+
+
+def test_statistics_depend_on_the_text_only():
+    x = quality.statistics(pa.array(["b a a c " * 300, "", " ", "one"]))
+    assert x[:, quality.NAMES.index("top")].tolist() == [0.5, 0, 0, 1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from test_dedup import lines_brute
