@@ -1,20 +1,22 @@
 """Main-text extraction from web pages by equivalence-class template deduction.
 
-1. each page is cut into tokens: tags, and the text of each block; a block's signature is its text together with the
-   path of tags around it;
-2. for each host, a signature's occurrence vector (how often it occurs in each of the host's pages) is summed into a
-   128-bit fingerprint with partial sums before the shuffle, so a host with a third of all pages is no hot group;
-   signatures of a host with equal vectors form an equivalence class;
-3. a class is valid when its vector covers at least ``support`` pages (and ``share`` of the host's pages); valid
-   classes nest by the sets of pages they cover: page furniture covers most pages, section furniture fewer.  What
-   they hold is template; everything else sits in slots;
+1. each page is cut into tokens in their order: elements, signed by the path of tags and names that leads to them, and
+   the text of each block, signed by its text and the path of tags around it;
+2. for each host, a token's occurrence vector (how often it occurs in each of the host's pages) is summed into a
+   fingerprint with partial sums before the shuffle, so a host with a third of all pages is no hot group; tokens of a
+   host with equal vectors form an equivalence class;
+3. a class is valid by its own vector: it covers at least ``support`` pages, holds an element, and in each of its pages
+   its tokens come in one order (as often as the vector says) and it nests: between two tokens of another class that
+   class is met in one slot only, the same in all pages.  Its texts are template, of page or section alike;
+   everything else sits in slots.  A text on ``share`` of the host's pages is template without that (broken pages);
 4. a page's text is what fills the slots outside the elements that never hold main text: head, nav, header, footer,
-   aside, form, script, style, adverts, notices, comments.  A page that marks its main element (article, else main)
-   has one slot, that element, whose text is kept whole: a sentence that many articles of a host share is not
-   furniture.
+   aside, form, script, style, adverts, notices, comments.  Where a page marks its main element (article, else main),
+   the mark says which slots are main, and breaks ties: a template text in there goes if its element is of the same
+   class, and stays if its element also holds other text (a sentence that many articles share); a marked element of
+   which nothing would be left is kept whole.
 
-Only pages without such an element need their host's template; it is joined to them by (host, salt), so that a large
-host's pages spread over many tasks and only its few template rows are copied.
+The template of a host is joined to its pages: as a broadcast while all templates are small, else by (host, salt), so
+that a large host's pages spread over many tasks and only its few template rows are copied.
 
 Defined results: null or empty html gives an empty text; a page whose host has too few pages has no deduced template
 and relies on step 4; unclosed elements end with the page; pages repeated word for word count once for the vectors;
@@ -23,11 +25,11 @@ an empty table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ from .common import bounded_batches, staged
 SUPPORT = 3
 SHARE = 0.6
 SALT = 16
+#: Template rows that are broadcast at most.
+SMALL = 500_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -72,10 +76,18 @@ def _is_furniture(tag: str, attrs: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, str]]:
-    """(path, zone, furniture, text) of each text block; zone: 2 in article, 1 in main, 0 elsewhere."""
+def _names(attrs: str) -> str:
+    return "." + " ".join(m.group(1) or m.group(2) or m.group(3) or "" for m in _MARK.finditer(attrs)) if attrs else ""
+
+
+def blocks(page: str, tokens: list | None = None) -> list[tuple[str, int, bool, str]]:
+    """(path, zone, furniture, text) of each text block; zone: 2 in article, 1 in main, 0 elsewhere.
+
+    tokens gets (element trail, None) for each element, and (trail of its block element, its index in the result) for each block.
+    """
     out: list[tuple[str, int, bool, str]] = []
     stack: list[tuple[str, bool]] = []
+    trails: list[str] = []
     buffer: list[str] = []
 
     def flush():
@@ -86,6 +98,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, str]]:
                 tags = [t for t, _ in stack]
                 zone = 2 if "article" in tags else 1 if "main" in tags else 0
                 path = "/".join(t for t in tags if t in BLOCK or t in FURNITURE)
+                if tokens is not None:
+                    own = next((trails[k] for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][0] in FURNITURE), "")
+                    tokens.append((own, len(out)))
                 out.append((path, zone, any(f for _, f in stack), text))
 
     at, n = 0, len(page)
@@ -112,7 +127,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, str]]:
                 if stack[k][0] == tag:
                     if any(t in BLOCK or t in FURNITURE for t, _ in stack[k:]):
                         flush()
-                    del stack[k:]
+                    del stack[k:], trails[k:]
                     break
             continue
         if tag == "br" or tag == "wbr" or tag == "img":
@@ -127,7 +142,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, str]]:
         if tag in _P_CLOSERS:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    del stack[k:], trails[k:]
                     break
                 if stack[k][0] in BLOCK:
                     break
@@ -136,6 +151,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, str]]:
             at = end.end() if end else n
             continue
         stack.append((tag, furniture))
+        if tokens is None:
+            trails.append("")
+        else:
+            trails.append((trails[-1] if trails else "") + "/" + tag + _names(attrs))
+            tokens.append((trails[-1], None))
     flush()
     return out
 
@@ -144,44 +164,121 @@ def _signature(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _occurrences(batches):
+@functools.lru_cache(20_000)
+def _element(trail: str) -> int:
+    return _signature(trail, "<")
+
+
+def _tokens(batches):
+    """The tokens of each page in their order; own: the element of a text's block, null for elements."""
     for b in batches:
-        rows = []
-        for host, page, text in zip(b["host"], b["ph"], b["html"]):
-            seen: dict[int, int] = {}
-            for path, _, _, t in blocks(text):
-                s = _signature(path, t)
-                seen[s] = seen.get(s, 0) + 1
-            rows += [(host, s, page, c) for s, c in seen.items()]
-        yield pd.DataFrame(rows, columns=["host", "signature", "page", "times"]).astype("int64")
+        seqs, owns = [], []
+        for text in b.column("html").to_pylist():
+            tokens: list = []
+            found = blocks(text, tokens)
+            seqs.append([_element(t) if k is None else _signature(found[k][0], found[k][3]) for t, k in tokens])
+            owns.append([None if k is None else _element(t) for t, k in tokens])
+        arrays = [pa.array(x, pa.list_(pa.int64())) for x in (seqs, owns)]
+        yield pa.record_batch([b.column("host"), b.column("ph"), *arrays], names=["host", "page", "seq", "own"])
+
+
+def nesting(seq: list[int], class_of: dict[int, int]) -> dict[int, tuple[bool, str]]:
+    """class -> (ordered and nested in this page, its order and slots as text)."""
+    runs: dict[int, list[int]] = {}
+    for t in seq:
+        if (c := class_of.get(t)) is not None:
+            runs.setdefault(c, []).append(t)
+    base, bad = {}, set()
+    for c, run in runs.items():
+        base[c] = list(dict.fromkeys(run))
+        if run != base[c] * (len(run) // len(base[c])):
+            bad.add(c)
+    slots: dict[int, set] = {c: set() for c in runs}
+    stack: list[list[int]] = []  # [class, tokens of it met]
+    for t in seq:
+        c = class_of.get(t)
+        if c is None or c in bad:
+            continue
+        if any(o == c for o, _ in stack):
+            while stack[-1][0] != c:  # it began after c and goes on past c's next token
+                bad.add(stack.pop()[0])
+        else:
+            slots[c].add(tuple(stack[-1]) if stack else ())
+            stack.append([c, 0])
+        stack[-1][1] += 1
+        if stack[-1][1] == len(base[c]):
+            stack.pop()
+    return {c: (c not in bad, f"{base[c]}{sorted(slots[c])}") for c in runs}
+
+
+def _nestings(batches):
+    for b in batches:
+        found: dict = {}
+        for host, seq, classes in zip(b.column("host").to_pylist(), b.column("seq").to_pylist(), b.column("classes").to_pylist()):
+            for c, (good, form) in nesting(seq, {x["signature"]: x["class"] for x in classes}).items():
+                found[host, c, good, _signature(form, "")] = None
+        columns = zip(*found) if found else [[]] * 4
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        yield pa.record_batch([pa.array(list(x), t) for x, t in zip(columns, types)], names=["host", "class", "good", "form"])
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _beside(pages: DataFrame, by_host: DataFrame, rows: int, how: str) -> DataFrame:
+    """pages (host, ph, ...) with the one row of their host in by_host, which holds so many rows in its lists."""
+    if rows <= SMALL:
+        return pages.join(F.broadcast(by_host), "host", how)
+    salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return pages.withColumn("salt", F.pmod("ph", F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], how).drop("salt")
+
+
 def templates(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(host, signature, depth) of template blocks; pages: (host, ph, html).  depth: rank of the block's class in the nesting."""
-    seen = pages.select("host", "ph", "html").mapInPandas(_occurrences, "host long, signature long, page long, times long")
-    seen = seen.dropDuplicates(["host", "signature", "page"])
+    """(host, signature, sure) of template blocks; pages: (host, ph, html).  sure: its element is of its class."""
+    cut = pages.select("host", "ph", "html").mapInArrow(_tokens, "host long, page long, seq array<long>, own array<long>")
+    cut = staged(cut.dropDuplicates(["host", "page"]), "tokens")
+    each = cut.select("host", "page", F.explode(F.arrays_zip("seq", "own")).alias("t")).select("host", "page", F.col("t.seq").alias("signature"), F.col("t.own").alias("own"))
+    # a page's rows come together, so its repeated tokens are summed before the shuffle
+    seen = each.groupBy("host", "signature", "page").agg(F.count("*").alias("times"), F.min("own").alias("own"))
     mix = [F.shiftright(F.xxhash64(F.lit(k), "page", "times"), 20).alias(f"v{k}") for k in (1, 2)]  # 44 bits: sums stay in a long
-    vectors = seen.select("host", "signature", *mix).groupBy("host", "signature").agg(F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.count("*").alias("n")).filter(F.col("n") >= support)
-    sizes = pages.select("host", "ph").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    classes = vectors.groupBy("host", "v1", "v2", "n").agg(F.collect_list("signature").alias("signatures"))  # blocks of a page at most
-    valid = classes.join(sizes, "host").filter(F.col("n") >= F.col("pages") * share)
-    return valid.select("host", F.explode("signatures").alias("signature"), (F.col("pages") - F.col("n")).alias("depth"))
+    vectors = seen.select("host", "signature", "own", *mix).groupBy("host", "signature").agg(F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.count("*").alias("n"), F.min("own").alias("own")).filter(F.col("n") >= support)
+    sizes = cut.groupBy("host").agg(F.count("*").alias("pages"))
+    classes = vectors.groupBy("host", "v1", "v2", "n").agg(F.collect_list(F.struct("signature", "own")).alias("tokens"))  # tokens of a page at most
+    often = F.col("n") >= F.col("pages") * share
+    framed = F.exists("tokens", lambda t: t["own"].isNull())
+    classes = classes.join(sizes, "host").select("host", F.xxhash64("v1", "v2", "n").alias("class"), "tokens", often.alias("often"), framed.alias("framed"))
+    classes = staged(classes.filter("often or framed"), "classes")
+    rows = classes.select("host", "class", F.explode("tokens.signature").alias("signature"))
+    by_host = rows.groupBy("host").agg(F.collect_list(F.struct("signature", "class")).alias("classes"))
+    found = _beside(cut.withColumnRenamed("page", "ph"), by_host, rows.count(), "inner").select("host", "seq", "classes")
+    found = found.mapInArrow(_nestings, "host long, class long, good boolean, form long").groupBy("host", "class")
+    valid = found.agg((F.min("good") & (F.min("form") == F.max("form"))).alias("valid"))
+    judged = classes.join(valid, ["host", "class"]).withColumn("valid", F.col("valid") & F.col("framed")).filter("valid or often")
+    texts = judged.select("host", "valid", "tokens", F.explode("tokens").alias("t")).filter("t.own is not null")
+    return texts.select("host", "t.signature", (F.col("valid") & F.array_contains("tokens.signature", F.col("t.own"))).alias("sure"))
 
 
 def main_text(page: str, template) -> str:
-    """The blocks in the slots of the page's main element, joined by an empty line."""
+    """The blocks in the slots of the page's main element, joined by an empty line; template: signature -> sure."""
     found = blocks(page)
     zone = max((z for _, z, furniture, _ in found if not furniture), default=0)
-    return "\n\n".join(text for path, z, furniture, text in found if z == zone and not furniture and (not template or _signature(path, text) not in template))
+    main = [(path, text) for path, z, furniture, text in found if z == zone and not furniture]
+    if not template:
+        return "\n\n".join(text for _, text in main)
+    slots = []
+    for path, text in main:
+        sure = template.get(_signature(path, text))
+        if sure is None or zone and not sure:
+            slots.append(text)
+    if zone and not slots:
+        slots = [text for _, text in main]
+    return "\n\n".join(slots)
 
 
 def _extract(batches):
     for b in batches:
-        text = [main_text(page, None if t is None else set(t)) for page, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
+        text = [main_text(page, None if t is None else {x["signature"]: x["sure"] for x in t}) for page, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
         columns = [pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())]
         yield pa.record_batch([b.column("page_id"), b.column("url"), *columns], names=["page_id", "url", "text", "n_chars"])
 
@@ -191,16 +288,9 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     page = F.coalesce(F.col(html_col), F.lit(""))
     pages = bounded_batches(df).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), page.alias("html"), F.xxhash64(host_of(F.col(url_col))).alias("host"), F.xxhash64(page).alias("ph"))
     deduced = staged(templates(pages, support, share), "templates")
-    by_host = deduced.groupBy("host").agg(F.collect_set("signature").alias("template"))
-    by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    lower = F.lower("html")
-    marked = lower.contains("<article") | lower.contains("<main")
-    no_template = F.lit(None).cast("array<bigint>").alias("template")
-    whole = pages.filter(marked).select("page_id", "url", "html", no_template)
-    salted = pages.filter(~marked).withColumn("salt", F.pmod("ph", F.lit(SALT)).cast("int"))
-    slots = salted.join(by_host, ["host", "salt"], "left").select("page_id", "url", "html", "template")
-    schema = "page_id long, url string, text string, n_chars long"
-    return whole.mapInArrow(_extract, schema).unionByName(slots.mapInArrow(_extract, schema))
+    by_host = deduced.groupBy("host").agg(F.collect_list(F.struct("signature", "sure")).alias("template"))
+    slots = _beside(pages, by_host, deduced.count(), "left").select("page_id", "url", "html", "template")
+    return slots.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir):

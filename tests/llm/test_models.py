@@ -225,6 +225,27 @@ def test_pages(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_classes(spark):
+    """Section furniture goes by its own vector, marked pages have a template too, shared sentences stay."""
+    page = "<html><body><div>Home</div>{s}<p>Words {n} of it.</p><p>{q}</p><p>More {n} here.</p></body></html>"
+    section = '<div class="sec"><p>Politics desk</p></div>'
+    plain = [(k, "http://c.example.com/", page.format(n=k, s=section if k < 4 else "", q="As they said." if k % 3 == 0 else f"They said {k}.")) for k in range(10)]
+    marked = '<html><body><article><h1>Head {n}</h1><div id="rate">Rate this page</div><p>Words {n}</p><p>Same in all</p></article></body></html>'
+    pages = plain + [(20 + k, "http://d.example.com/", marked.format(n=k)) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(10):
+        assert got[k] == f"Words {k} of it.\n\n" + ("As they said." if k % 3 == 0 else f"They said {k}.") + f"\n\nMore {k} here."
+    assert [got[20 + k] for k in range(5)] == [f"Head {k}\n\nWords {k}\n\nSame in all" for k in range(5)]
+
+
+def test_nesting():
+    inner = {1: 0, 2: 0, 3: 1, 4: 1}
+    assert all(good for good, _ in html_extract.nesting([1, 3, 4, 3, 4, 2], inner).values())
+    assert not html_extract.nesting([1, 3, 2, 4], inner)[1][0]  # straddles a token of the other class
+    assert not html_extract.nesting([1, 3, 4, 4, 3, 2], inner)[1][0]  # not in one order
+    assert html_extract.nesting([1, 2], inner)[0] != html_extract.nesting([2, 1], inner)[0]
+
+
 def test_more_empty(empty):
     assert packing.pack(empty).count() == 0
     assert sharding.shard_by_bytes(empty).count() == 0
