@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval, with a common-subsequence and an answer check.
 
-A document is cut into overlapping passages of ``WIDTH`` words.  The terms are the words of the benchmark that are
-rare in the corpus (for each item at least its ``KEEP`` rarest), weighted by TF-IDF.
+A document is cut into overlapping passages of ``WIDTH`` words, and a longer item into pieces of that length; a piece
+is searched as an item is, and leads to its whole item.  The terms are the words of the benchmark that are rare in the
+corpus (for each piece at least its ``KEEP`` rarest), weighted by TF-IDF.
 
 1. one scan counts, over all passages of all documents, in how many each benchmark word occurs;
 2. one scan accumulates the sketch A'A.W of the passage matrix A (rows: all passages and the items; W: a Gaussian
@@ -9,10 +10,14 @@ rare in the corpus (for each item at least its ``KEEP`` rarest), weighted by TF-
    right singular vectors from it (single-pass randomised SVD by the Nystroem formula);
 3. one scan folds every passage into the latent space, takes the items within ``cosine`` of it as candidates, and
    checks each against the words around the passage: the longest common subsequence must cover ``lcs_sure`` of the
-   item, or ``lcs_answer`` with the item's answer (its last line or sentence) present too.
+   item, or ``lcs_answer`` with the item's answer (its last line or sentence) present too;
+4. a passage that holds much besides a short item is far from it in the latent space, so in the same scan every piece
+   of which two neighbouring passages hold ``lcs_sure`` of the distinct terms is a candidate too, whatever else they
+   hold.  Such an item must be covered to ``lcs_sure`` by a stretch of words hardly longer than itself.  Every whole
+   copy is found this way, since two neighbours hold all terms of a piece.
 
-Nothing but the sketch is shuffled.  The benchmark is taken in blocks of ``BLOCK_ITEMS`` items, which bounds what is
-broadcast whatever its size; all documents are tested against every block.
+Nothing but the sketch is shuffled.  The benchmark is taken in blocks of ``BLOCK_ITEMS`` pieces, which bounds the
+sketch and what is broadcast of it whatever its size; all documents are tested against every block.
 
 Defined results: null and empty texts are clean; null or empty items match nothing; repeated rows are tested each;
 an empty benchmark leaves all clean; an empty table gives an empty result; other columns play no part.
@@ -189,31 +194,75 @@ def latent_basis(c: np.ndarray, omega: np.ndarray, k: int) -> np.ndarray:
     return u[:, s > 1e-6 * max(s.max(initial=0), 1e-30)][:, :k]
 
 
+def _covered(passage, term, first, size: int, postings, share: float):
+    """(passage, piece) where the passage and the next hold `share` of the piece's distinct terms at least.
+
+    first: the first passage of each passage's text; postings: (starts by term, pieces, terms of each piece).
+    """
+    starts, pieces, total = postings
+    later = passage > first[passage]
+    key = np.unique(np.concatenate([passage * size + term, (passage * size + term)[later] - size]))
+    window, term = key // size, key % size
+    times = starts[term + 1] - starts[term]
+    ends = np.cumsum(times)
+    piece = pieces[np.arange(int(times.sum())) - np.repeat(ends - times, times) + np.repeat(starts[term], times)]
+    pair, held = np.unique(np.repeat(window, times) * len(total) + piece, return_counts=True)
+    good = pair[held >= np.ceil(share * total[pair % len(total)] - 1e-9)]
+    return good // len(total), good % len(total)
+
+
+def _tight(item: list, words: list) -> float:
+    """The largest share of a short item in a stretch of words hardly longer than it."""
+    step = max(1, len(item) // 4)
+    wide, best = len(item) + step, 0
+    for k in range(0, max(1, len(words) - len(item) + 1), step):
+        best = max(best, lcs(item, words[k : k + wide]))
+        if best == len(item):
+            break
+    return best / len(item)
+
+
 def _search(block, cosine, lcs_sure, lcs_answer):
-    vocabulary, idf, basis, latent, items = block
+    vocabulary, idf, basis, latent, postings, pieces = block
 
     def matches(texts: list[bytes]) -> list[dict]:
         out: list[dict] = [{} for _ in texts]
         for lo, found, owner, base, _ in _hits(texts, vocabulary, True):
+            near = set()
             passage, term, count = _telling(*found)
-            if not len(passage):
+            if len(passage):
+                starts, at, w = _weighted(passage, term, count, idf)
+                z = np.add.reduceat(basis[term] * w[:, None].astype("float32"), starts, axis=0)
+                norm = np.linalg.norm(z, axis=1, keepdims=True)
+                norm[norm == 0] = 1
+                r, i = np.nonzero((z / norm) @ latent.T >= cosine)
+                near = set(zip(at[r].tolist(), i.tolist()))
+            if not len(found[0]):
                 continue
-            starts, at, w = _weighted(passage, term, count, idf)
-            z = np.add.reduceat(basis[term] * w[:, None].astype("float32"), starts, axis=0)
-            norm = np.linalg.norm(z, axis=1, keepdims=True)
-            norm[norm == 0] = 1
-            words, of = [], -1
-            for r, i in zip(*np.nonzero((z / norm) @ latent.T >= cosine)):
-                item_id, item, answer = items[i]
-                k = int(owner[at[r]])
+            covered = zip(*(x.tolist() for x in _covered(found[0], found[1], base[owner], max(1, len(vocabulary)), postings, lcs_sure)))
+            words, of, done = [], -1, set()
+            for at_passage, i in sorted(near.union(covered)):
+                item_id, _, answer, item = pieces[i]
+                k = int(owner[at_passage])
                 if k != of:
                     words, of = words_of(texts[lo + k]), k
-                first, spare = int(at[r] - base[k]) * HOP, len(item)
-                around = words[max(0, first - spare) : first + WIDTH + spare]
-                share = lcs(item, around) / len(item)
-                if share >= lcs_sure or (share >= lcs_answer and answer and 2 * lcs(answer, around) >= len(answer)):
-                    own = out[lo + k]
-                    own[item_id] = max(own.get(item_id, 0.0), share)
+                first, spare = int(at_passage - base[k]) * HOP, len(item)
+                own = out[lo + k]
+                wide = (at_passage, i) in near or len(item) > WIDTH
+                step = (at_passage, id(item), wide)  # pieces of one item lead to the same words
+                if own.get(item_id) == 1 or step in done:
+                    continue
+                done.add(step)
+                if wide:
+                    around = words[max(0, first - spare) : first + WIDTH + spare]
+                    share = lcs(item, around) / len(item)
+                    if share < lcs_sure and not (share >= lcs_answer and answer and 2 * lcs(answer, around) >= len(answer)):
+                        continue
+                else:
+                    share = _tight(item, words[first : first + WIDTH + HOP])
+                    if share < lcs_sure:
+                        continue
+                own[item_id] = max(own.get(item_id, 0.0), share)
         return out
 
     return matches
@@ -232,14 +281,14 @@ def _scan(block, cosine, lcs_sure, lcs_answer):
 
 
 def _fit(texts: DataFrame, own: list):
-    """What _search needs for a block of items: two scans of all texts, and terms x sketch numbers on the driver."""
-    terms = sorted({w for _, words, _ in own for w in words})
+    """What _search needs for a block of pieces: two scans of all texts, and terms x sketch numbers on the driver."""
+    terms = sorted({w for _, words, *_ in own for w in words})
     counted = texts.mapInArrow(_count_terms({w: i for i, w in enumerate(terms)}), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     n = {r[0]: r[1] for r in counted.collect()}  # terms of a block
     passages = max(1, n.get(-1, 0))
     df_of = {w: n.get(i, 0) for i, w in enumerate(terms)}
     rare = {w for w in terms if df_of[w] <= RARE * passages}
-    for _, words, _ in own:
+    for _, words, *_ in own:
         rare.update(sorted(set(words), key=lambda w: (df_of[w], w))[:KEEP])
     vocabulary = {w: i for i, w in enumerate(sorted(rare))}
     idf = np.log((1 + passages) / (1 + np.array([df_of[w] for w in sorted(rare)], dtype="float64"))) + 0.1
@@ -249,10 +298,12 @@ def _fit(texts: DataFrame, own: list):
     for lo, rows in tree.groupBy("rows").applyInPandas(_sum_rows, "rows long, c binary").collect():  # terms x sketch
         c[lo : lo + ROWS] = np.frombuffer(rows, dtype="float32").reshape(-1, omega.shape[1])
     rows = []
-    for k, (_, words, _) in enumerate(own):
+    for k, (_, words, *_) in enumerate(own):
         term, count = np.unique([vocabulary[w] for w in words if w in vocabulary], return_counts=True)
         rows.append((np.full(len(term), k), term, count))
     passage, term, count = (np.concatenate(x) for x in zip(*rows))
+    by_term = np.argsort(term, kind="stable")
+    postings = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1)), passage[by_term], np.bincount(passage, minlength=len(own))
     starts, _, w = _weighted(passage, term, count, idf)
     lens = np.diff(np.r_[starts, len(w)])
     # the items are passages too; together they weigh as much as what the corpus holds of their terms
@@ -262,18 +313,23 @@ def _fit(texts: DataFrame, own: list):
     basis = latent_basis(c, omega, len(own) + EXTRA)
     latent = np.add.reduceat(basis[term] * w[:, None], starts, axis=0)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return vocabulary, idf, basis.astype("float32"), latent.astype("float32"), own
+    return vocabulary, idf, basis.astype("float32"), latent.astype("float32"), postings, own
 
 
 def _item_blocks(benchmark: DataFrame, size: int):
+    """Blocks of (item_id, words of the piece, answer, words of the item)."""
     own = []
     rows = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
-        if words := words_of(text.encode()):
-            own.append((item_id, words, answer_of(text)))
-        if len(own) == size:
-            yield own
-            own = []
+        words, answer = words_of(text.encode()), answer_of(text)
+        if not words:
+            continue
+        last = max(0, len(words) - WIDTH)
+        for lo in sorted({last, *range(0, last, WIDTH)}):
+            own.append((item_id, words[lo : lo + WIDTH], answer, words))
+            if len(own) == size:
+                yield own
+                own = []
     if own:
         yield own
 

@@ -210,6 +210,27 @@ def test_contamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_contamination_at_all_lengths(spark):
+    """Whole copies are found whatever the length of the item, whatever stands beside them, in one block and in many."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    some = lambda n: [rng.choice(pool) for _ in range(n)]
+    lengths = [1, 2, 3, 8, 8, 20, 64, 65, 100, 500, 500, 800, 2000]
+    items = [(k, ["solitary"] if n == 1 else some(n)) for k, n in enumerate(lengths)]
+    items += [(100 + k, some(8)) for k in range(60)]
+    texts = {k: some(37 + k) + words + some(150) for k, words in items[: len(lengths)]}
+    want = {k: [k] for k in texts}
+    texts[200], want[200] = [w for k, words in items[len(lengths) :] for w in words], [k for k, _ in items[len(lengths) :]]  # a list of items
+    for k in range(300, 320):
+        texts[k], want[k] = some(400), []
+    half = items[9][1]
+    texts[400], want[400] = some(50) + half[: len(half) // 3] + some(50), []  # a third of an item is no copy
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    for size in (256, 60):
+        assert {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(df, bench, block_items=size).collect()} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy</div><article><h1>Head {n}</h1><p><b>One &amp; two{n}<br>three<p>Four   five</p><div class="comments"><p>Reader</p></div><aside>Side</aside></article><footer>&copy; Foot</footer></body></html>"""
 
