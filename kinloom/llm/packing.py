@@ -7,7 +7,7 @@ pattern is used again while its lengths last.  Pieces are packed in blocks of bo
 are not nearly full give their pieces to the next block, so at most a window or two a partition end up padded.
 Nothing is shuffled and no state outlives a task, so a lost executor costs its own partitions only.
 
-Token ids are those of the tokenizer file; words are looked up in a bounded cache of packed ids (pre-tokens of this
+Token ids are those of the tokenizer file, whose added tokens (<|endoftext|>) are cut from the text first; words are looked up in a bounded cache of packed ids (pre-tokens of this
 byte-level vocabulary never span a space before a non-space character, so each such chunk stands alone).
 
 Defined results: a null or empty text is the end token alone; each row is packed, repeated ones too; null ids are
@@ -17,6 +17,8 @@ carried; an empty table gives an empty result; columns other than id and text ma
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import struct
 import zlib
 from collections import Counter, deque
@@ -130,6 +132,25 @@ def byte_bpe_encoder(ranks_path: str | None = None):
     return packed
 
 
+def file_encoder(ranks_path: str | None = None):
+    """text -> packed ids as the tokenizers library gives them for the .json file: added tokens are one id each."""
+    import public_tokenizers as P
+
+    ordinary = byte_bpe_encoder(ranks_path)
+    with open((ranks_path or P.path("byte_bpe_50k.tiktoken")).removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = {t["content"]: struct.pack("<I", t["id"]) for t in json.load(f)["added_tokens"]}
+    if not added:
+        return ordinary
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def packed(text: str) -> bytes:
+        if not cut.search(text):
+            return ordinary(text)
+        return b"".join(added[x] if k % 2 else ordinary(x) for k, x in enumerate(cut.split(text)))
+
+    return packed
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks_path: str | None = None) -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded)."""
     end = struct.pack("<I", end_id)
@@ -138,7 +159,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, made, pieces = byte_bpe_encoder(ranks_path), TaskContext.get().partitionId(), 0, []
+        encode, part, made, pieces = file_encoder(ranks_path), TaskContext.get().partitionId(), 0, []
 
         def flush(last: bool):
             nonlocal pieces, made

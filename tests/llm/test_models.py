@@ -56,6 +56,25 @@ def test_spaces_keep_token_ids():
         assert np.frombuffer(encode(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_those_of_the_file(spark):
+    """The library as it is loaded, with no switch set."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"end of one {end} start of next", end, f"{end}{end} a", f"a  {end}  b", f"x{end}y", "<|endoftext", f" {end}\n\n{end} ", "no token  here", "", f"word {end}" * 700]
+    encode = packing.file_encoder()
+    for t in texts:
+        assert np.frombuffer(encode(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = set()
+    for k, t in enumerate(texts):
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], dtype="<u4")
+        want |= {(k, s, zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048)}
+    assert {(r["doc_id"], r["start"], r["ids_crc32"], r["doc_tokens"]) for r in got} == want and len(got) == len(want)
+
+
 def test_sharding(docs, rows):
     for ranges in (None, 40):
         got = sharding.shard_by_bytes(docs, ranges=ranges).toPandas()
