@@ -212,8 +212,8 @@ class PrefixTree:
         return found
 
 
-def join_sets(tokens: list[np.ndarray], weights: list[int], side: list[int], percent: int):
-    """(root index, links) for each set; side: 0 or 1, pairs being taken across sides, or all 0 for pairs within."""
+def join_sets(tokens: list[np.ndarray], weights: list[int], side: list[int], percent: int, across: bool):
+    """(root index, links) for each set; side: 0 or 1; across: pairs are taken across sides, else within (side is all 0)."""
     sizes = np.array([len(t) for t in tokens], dtype="int64")
     values, inverse, df = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), dtype="int64")
@@ -222,9 +222,8 @@ def join_sets(tokens: list[np.ndarray], weights: list[int], side: list[int], per
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     ranks = rank[inverse]
     seqs = [np.sort(r[r >= 0]) for r in (ranks[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
-    across = any(side)
     inside = [i for i in range(len(tokens)) if side[i] == int(across)]
-    if across and len(inside) == len(tokens):
+    if across and len(inside) in (0, len(tokens)):  # a chunk without sets
         return list(range(len(tokens))), [0] * len(tokens)
     tree = PrefixTree([seqs[i] for i in inside], sizes[inside])
     root, links = list(range(len(tokens))), [0] * len(tokens)
@@ -254,9 +253,10 @@ def join_sets(tokens: list[np.ndarray], weights: list[int], side: list[int], per
 
 
 def _block(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
         pdf = pdf.drop_duplicates("node").sort_values(["side", "node"], kind="stable")
-        roots, links = join_sets([np.asarray(t, dtype="int64") for t in pdf["tokens"]], pdf["copies"].tolist(), pdf["side"].tolist(), percent)
+        roots, links = join_sets([np.asarray(t, dtype="int64") for t in pdf["tokens"]], pdf["copies"].tolist(), pdf["side"].tolist(), percent, i != j)
         nodes = pdf["node"].to_numpy()
         return pd.DataFrame({"node": nodes, "root": nodes[roots], "links": links})
 

@@ -95,6 +95,14 @@ def test_near(docs, rows):
         assert sorted(tuple(low(x) for x in r) for r in got) == near_brute(rows, size, percent)
 
 
+def test_links_beside_empty_chunks(spark):
+    """Pairs of near copies, each a family of two chunks of which one may be empty: one link each."""
+    words = [" ".join(f"w{p}x{k}" for k in range(400)) for p in range(12)]
+    texts = [(2 * p, w) for p, w in enumerate(words)] + [(2 * p + 1, w + " end") for p, w in enumerate(words)]
+    got = ngram_join.ngram_components(spark.createDataFrame(texts, "doc_id long, text string"), chunk_tokens=500).collect()
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got} == {(k, k - k % 2, 1) for k in range(24)}
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(60)]
