@@ -10,19 +10,19 @@ from pyspark.sql import Window as W
 from kinloom.sources.staging import staged
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): component is the smallest node reachable.  nodes: (node long); edges: (u long, v long).
+def linked(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(node, component) for each node of edges (u, v): component is the smallest node reachable.
 
-    Edges are contracted towards the smallest neighbour; each round groups by a node with partial sums and halves the
-    distances, and is written to the shared folder, so lineage does not grow.
+    Edges are contracted towards the smallest neighbour, large stars and small stars in turn; each step groups by a
+    node with partial sums, so a node with very many neighbours is no hot group.  Every round is written to the shared
+    folder, so lineage does not grow; rounds grow with the logarithm of the longest path.
     """
 
-    def count(e):
+    def mark(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = staged(e, "edges")
-    seen = count(e)
+    e = staged(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    seen = mark(e)
     for _ in range(max_rounds):
         if not seen[0]:
             break
@@ -32,13 +32,20 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v"))
         e = staged(small.filter("u != v").distinct(), "edges")
-        now = count(e)
+        now = mark(e)
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.unionByName(found.select("component").distinct().select(F.col("component").alias("node"), "component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) for each node of nodes (node); ends of edges (u, v) that are no node do not count."""
+    known = edges.join(nodes.select(F.col("node").alias("u")), "u", "left_semi").join(nodes.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v")
+    return nodes.join(linked(known), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def samples_of(panel: DataFrame) -> DataFrame:

@@ -9,16 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is named."""
-    held = spark.sparkContext.getCheckpointDir()
+    """The folder named in spark.checkpoint.dir; one of its own only where none is named and all runs on one machine."""
+    context = spark.sparkContext
+    held = context.getCheckpointDir()
     if not held:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinloom-"))
-        held = spark.sparkContext.getCheckpointDir()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinloom-"))
+        held = context.getCheckpointDir()
     return held
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Writes df as Parquet to the shared folder and reads it again: lineage is cut, and lost executors lose nothing."""
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all tables staged by this application; results that still read them must have been written before."""
+    jvm, path = spark._jvm, _folder(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
