@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from kinloom.sources.staging import staged  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 8 << 20
@@ -23,16 +23,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinloom-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df; texts then go to Python in batches of at most BATCH_BYTES, however long or many they are."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -42,14 +32,6 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -85,3 +67,19 @@ def bitmap(spark, values: DataFrame):
 def in_bitmap(bitmap, x: np.ndarray) -> np.ndarray:
     at = np.mod(x, BITS)
     return (bitmap.value[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
+
+
+def parted(df: DataFrame, key: Column, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two parts by a bitmap of values (x long): rows whose key may be among them, and rows whose key is not.
+
+    Only the first part has to be shuffled to where the values are; both have the columns of df.
+    """
+    held = bitmap(df.sparkSession, values)
+
+    @F.pandas_udf(BooleanType())
+    def may(x: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(held, x.to_numpy()))
+
+    name = fresh(df, "may")
+    marked = df.withColumn(name, may(key))
+    return marked.filter(F.col(name)).select(*df.columns), marked.filter(~F.col(name)).select(*df.columns)

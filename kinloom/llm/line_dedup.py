@@ -8,7 +8,8 @@ Plan
 3. each partition is streamed once: the first id of a run holds the line, at most ``min_docs`` - 1 further documents
    wait in memory, all later lines are dropped as they pass.  Only a partition's first and last run can reach into
    another partition; two summary rows a partition settle them;
-4. dropped positions, grouped by document, become zlib-compressed bitmaps, one bit a line.
+4. dropped positions, grouped by document, become zlib-compressed bitmaps, one bit a line;
+5. texts without a dropped line are told by a bitmap of text hashes and are never shuffled; the others are, once.
 
 Defined results: null and empty texts are one empty line; a null id counts as one document, smaller than any other;
 rows that repeat an id are one document for the counts, and each keeps or loses its own lines; an empty table gives
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .common import ascii_lower, documents, fresh, shuffle_width, staged
+from .common import ascii_lower, documents, fresh, parted, shuffle_width, staged
 
 SPACE = " \t\n\x0b\x0c\r"
 DROP, OPEN, EDGE = 0, 1, 2
@@ -125,22 +126,26 @@ def _kept(bitmap: pd.Series, n_lines: pd.Series) -> pd.Series:
 
 def line_keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(id, th, n_lines, n_dropped, keep_bitmap) of the documents that lose a line; th is the text's hash."""
-    gone = dropped_lines(df, id_col, text_col, min_chars, min_docs).groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
-    sizes = _base(df, id_col, text_col).select("id", "th", (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).distinct()
+    gone = staged(dropped_lines(df, id_col, text_col, min_chars, min_docs).groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    near, _ = parted(_base(df, id_col, text_col), F.col("th"), gone.select(F.col("th").alias("x")))
+    sizes = near.select("id", "th", (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).distinct()
     same = sizes["id"].eqNullSafe(gone["id"]) & (sizes["th"] == gone["th"])
     return sizes.join(gone, same).select(sizes["id"], sizes["th"], "n_lines", F.size("gone").cast("long").alias("n_dropped"), _bitmap("n_lines", "gone").alias("keep_bitmap"))
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """df with its text column reduced to the lines kept; count_col: a new column with the number of lines dropped."""
+    bitmaps = staged(bitmaps, "bitmaps")
     bid, bth, dropped, stay, own = (fresh(df, c) for c in ("line_id", "line_th", "line_dropped", "line_stay", "line_own"))
     b = bitmaps.select(F.col("id").alias(bid), F.col("th").alias(bth), F.col("n_dropped").alias(dropped), _kept("keep_bitmap", "n_lines").alias(stay))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = df.withColumn(own, F.xxhash64(text)).join(b, F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(bth)), "left")
+    near, rest = parted(df.withColumn(own, F.xxhash64(text)), F.col(own), bitmaps.select(F.col("th").alias("x")))
+    joined = near.join(b, F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(bth)), "left")
     # the outer transform holds the lines of a text, so that each is looked up and the text is cut once
     kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.col(stay), lambda i: F.get(lines, i)), "\n"))[0]
-    out = joined.withColumn(text_col, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(kept))
-    return out.select(*df.columns, *([F.coalesce(dropped, F.lit(0)).cast("long").alias(count_col)] if count_col else []))
+    cut = joined.withColumn(text_col, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(kept))
+    number = lambda c: [F.coalesce(c, F.lit(0)).cast("long").alias(count_col)] if count_col else []
+    return cut.select(*df.columns, *number(F.col(dropped))).unionByName(rest.select(*df.columns, *number(F.lit(0))))
 
 
 def dedup_lines(df: DataFrame, **kw) -> DataFrame:

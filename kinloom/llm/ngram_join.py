@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .common import bitmap, bounded_batches, documents, in_bitmap, staged
-from .graph import components
+from kinloom.operators.graph import linked as components
 
 HOT = 64
 CHUNK_TOKENS = 500_000
