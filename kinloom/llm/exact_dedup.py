@@ -6,7 +6,8 @@ Plan
    digests that may be frequent; any digest above about n/slots rows is among them;
 3. the named digests are counted again, exactly, with map-side partial sums: the verified winners, at most
    ``slots`` rows, are broadcast, so copies of hot texts are settled where they are read and never shuffled;
-4. all other digests go through an ordinary shuffle, where no group can be larger than about n/slots.
+4. all other digests go through an ordinary shuffle: their counts and largest ids are summed before it and joined back,
+   so that no task holds a group, and none can be larger than about n/slots.
 
 Defined results: a null text counts as empty; of rows with equal text the largest id stays, nulls being smaller
 than any id; if several rows share text and that largest id, each of them is marked as kept.  Columns other than
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import ascii_lower, documents, staged
 
@@ -40,8 +40,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     winners = staged(winners, "winners")  # at most `slots` rows
     hot = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    same = W.partitionBy("digest")
-    cold = rest.withColumns({"keep_id": F.max("id").over(same), "group_size": F.count("*").over(same)})
+    groups = rest.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    cold = rest.join(groups, "digest")
     return hot.unionByName(cold).select(
         F.col("id").alias(id_col),
         "keep_id",
