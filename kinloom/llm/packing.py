@@ -3,15 +3,18 @@
 Each partition of documents is tokenised, cut into pieces of at most ``capacity`` tokens and packed on its own: only
 the counts of piece lengths matter, so a bitset subset-sum programme over the remaining lengths finds the multiset
 that fills the next window closest to capacity; the backtracked counts say which lengths it holds, and the same
-pattern is used again while its lengths last.  Pieces are packed in blocks of bounded size; windows of a block that
-are not nearly full give their pieces to the next block, so at most a window or two a partition end up padded.
+pattern is used again while its lengths last.  Pieces are packed in blocks of ``BLOCK_TOKENS``; the pieces of windows
+that even the best multiset leaves with over ``capacity`` / 256 tokens of slack are cut once more and fill windows to
+the brim, and what is less than a window goes on to the next block, so one window a partition ends up padded.
 Nothing is shuffled and no state outlives a task, so a lost executor costs its own partitions only.
 
-Token ids are those of the tokenizer file, whose added tokens (<|endoftext|>) are cut from the text first; words are looked up in a bounded cache of packed ids (pre-tokens of this
-byte-level vocabulary never span a space before a non-space character, so each such chunk stands alone).
+Token ids are those of the tokenizer file, whose added tokens (<|endoftext|>) are cut from the text first; words are
+looked up in a bounded cache of packed ids (pre-tokens of this byte-level vocabulary never span a space before a
+non-space character, so each such chunk stands alone).
 
 Defined results: a null or empty text is the end token alone; each row is packed, repeated ones too; null ids are
-carried; an empty table gives an empty result; columns other than id and text may have any name.
+carried; a sequence whose length is a power of two has no padding; an empty table gives an empty result; columns other
+than id and text may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from .common import bounded_batches, documents
 CAPACITY = 2048
 END_ID = 1
 CACHE_WORDS = 200_000
-BLOCK_PIECES = 40_000
+#: Tokens that a task holds at a time, four bytes each.
+BLOCK_TOKENS = 8_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
@@ -83,17 +87,27 @@ def pack_lengths(counts: dict[int, int], capacity: int):
 
 
 def _place(pieces: list[tuple], capacity: int, last: bool):
-    """Windows of piece rows; without `last`, the pieces of windows with much slack come back as the second value."""
+    """(windows of pieces, what is left over); a piece is (doc, start, its ids as bytes, tokens of the document)."""
     by: dict[int, deque] = {}
     for p in pieces:
-        by.setdefault(p[2], deque()).append(p)
-    windows, rest = [], []
+        by.setdefault(len(p[2]) // 4, deque()).append(p)
+    windows, loose = [], []
     for used, times in pack_lengths({k: len(v) for k, v in by.items()}, capacity):
         slack = capacity - sum(k * n for k, n in used.items())
         for _ in range(times):
             window = [by[k].popleft() for k, n in sorted(used.items(), reverse=True) for _ in range(n)]
-            (windows.append if last or slack <= capacity // 256 else rest.extend)(window)
-    return windows, rest
+            (windows.append if slack <= capacity // 256 else loose.extend)(window)
+    window, room = [], capacity
+    for doc, start, ids, tokens in loose:
+        while len(ids) // 4 >= room:
+            windows.append([*window, (doc, start, ids[: 4 * room], tokens)])
+            start, ids, window, room = start + room, ids[4 * room :], [], capacity
+        if len(ids):
+            window.append((doc, start, ids, tokens))
+            room -= len(ids) // 4
+    if last and window:
+        windows.append(window)
+    return windows, [] if last else window
 
 
 class _Words(dict):
@@ -159,18 +173,20 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, made, pieces = file_encoder(ranks_path), TaskContext.get().partitionId(), 0, []
+        encode, part, made, pieces, held = file_encoder(ranks_path), TaskContext.get().partitionId(), 0, [], 0
 
         def flush(last: bool):
-            nonlocal pieces, made
+            nonlocal pieces, made, held
             windows, pieces = _place(pieces, capacity, last)
+            held = sum(len(p[2]) // 4 for p in pieces)
             rows = []
             for window in windows:
                 at, sequence = 0, (part << 40) + made
-                total = sum(p[2] for p in window)
-                for doc, start, length, crc, tokens in window:
-                    rows.append((doc, start, length, crc, tokens, sequence, at, capacity - total))
-                    at += length
+                total = sum(len(p[2]) // 4 for p in window)
+                padded = capacity - total if total & (total - 1) else 0
+                for doc, start, ids, tokens in window:
+                    rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), tokens, sequence, at, padded))
+                    at += len(ids) // 4
                 made += 1
             return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(columns), names=columns)
 
@@ -179,10 +195,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                 ids = memoryview(encode(text) + end)
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
-                    own = ids[4 * start : 4 * (start + capacity)]
-                    pieces.append((doc, start, len(own) // 4, zlib.crc32(own), n))
-            if len(pieces) >= BLOCK_PIECES:
-                yield flush(False)
+                    pieces.append((doc, start, ids[4 * start : 4 * (start + capacity)], n))
+                held += n
+                if held >= BLOCK_TOKENS:
+                    yield flush(False)
         yield flush(True)
 
     return bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
