@@ -26,22 +26,24 @@ class Forest:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, l2: float = 1.0, least: float = 2.0) -> Forest:
-    """Logistic loss, second-order gains; features are cut into at most `bins` quantile bins."""
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, l2: float = 1.0, least: float = 2.0) -> Forest:
+    """Logistic loss, second-order gains; features are cut into at most `bins` quantile bins; w: how often a row counts."""
     n, width = x.shape
+    w = np.ones(n) if w is None else w
     inner = 2**depth - 1
     if n == 0 or y.min() == y.max():
-        p = (y.sum() + 0.5) / (n + 1.0) if n else 0.5
+        p = ((y * w).sum() + 0.5) / (w.sum() + 1.0) if n else 0.5
         return Forest(np.empty((0, inner), dtype="int64"), np.empty((0, inner)), np.empty((0, inner + 1)), float(np.log(p / (1 - p))))
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
-    base = float(np.log(y.mean() / (1 - y.mean())))
+    mean = (y * w).sum() / w.sum()
+    base = float(np.log(mean / (1 - mean)))
     margin = np.full(n, base)
     features, thresholds, leaves = [], [], []
     column = np.arange(width) * bins
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        grad, hess = p - y, p * (1 - p)
+        grad, hess = w * (p - y), w * p * (1 - p)
         feature, cut = np.zeros(inner, dtype="int64"), np.full(inner, np.inf)
         at = np.zeros(n, dtype="int64")  # node within its level
         for level in range(depth):
