@@ -1,27 +1,32 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field reads regions around digits and @ signs.  Tokens are runs of ASCII letters and digits, single marks, or runs
+The field reads stretches around digits and @ signs.  Tokens are runs of ASCII letters and digits, single marks, or runs
 of other characters; a segment of up to ``MAX_TOKENS`` tokens may carry one of the entity types, every other token is
-outside.  Features describe a whole candidate segment (shape, counts of digits and letters, marks, checksum, octets)
-and what stands on both sides of it.  The sum over all segmentations, the marginals for training and the best
-segmentation all come from one dynamic programme over token positions with bounded segment length.
+outside.  Features describe a whole candidate segment (shape, counts and changes of digits and letters, marks, checksum,
+octets) and what stands on both sides of it.  The sum over all segmentations, the marginals and the best segmentation
+all come from one dynamic programme over token positions with bounded segment length.  A stretch is segmented whole,
+however long: the programme keeps a few numbers a token, and scores of segments are made again on the way back.
 
-Training: at most ``TRAIN_REGIONS`` regions of the corpus, those with the smallest hash, labelled by the base patterns
-and, for secrets, by ``SECRET``; stochastic gradient steps on the log-likelihood.  The weights (a few thousand
-numbers) go to the tasks; documents are read once more and never shuffled.
+Training: at most ``TRAIN_REGIONS`` stretches of the corpus, those with the smallest hash, labelled by the base patterns
+and by ``SECRET``, and ``INVENTED`` times as many into which ``invented`` writes entities in the forms that no pattern here finds
+(unquoted and bearer keys, local telephone numbers, social security numbers) and things that only look like them
+(dates, versions, prices, identifiers).  Stochastic gradient steps on the log-likelihood.  The weights (some ten
+thousand numbers) go to the tasks; documents are read once more and never shuffled.
 
 Base spans always stay; an added span must not overlap a base span, and the field must be sure of it.
 
 Defined results: null and empty texts have no spans; offsets are code points; spans of one kind never overlap;
-repeated rows are read each; an empty table gives an empty result; other columns play no part.
+repeated rows and ids are read each; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +35,15 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, documents
 
 KINDS = ("email", "ip", "card", "phone")
-TYPES = (*KINDS, "secret")
+TYPES = (*KINDS, "secret", "ssn")
 TRAIN_REGIONS = 600
 MAX_TOKENS = 14
 SURE = 0.9
-MARGIN, WINDOW, OVERLAP = 24, 2000, 400
+MARGIN = 32
+#: Texts with inventions for each text of the sample.
+INVENTED = 4
+#: Segments whose scores a task remembers.
+CACHE = 100_000
 
 # Fixed patterns of the base kinds, written so that no text costs more than time in proportion to its length: an
 # e-mail's local part is read backwards from its @, and an address can only begin where a run of digits does.
@@ -76,10 +85,7 @@ def _emails(text: str):
 
 
 def regions(text: str):
-    """(start, end, accepted): stretches around digits and @ signs, at most WINDOW long.
-
-    A longer stretch is read in windows that overlap by OVERLAP; spans count where they begin in the first part.
-    """
+    """(start, end) of the stretches around digits and @ signs."""
     last = None
     for m in _DIGIT.finditer(text):
         p = m.start()
@@ -87,22 +93,19 @@ def regions(text: str):
             last[1] = p
             continue
         if last:
-            yield from _windows(text, *last)
+            yield _widened(text, *last)
         last = [p, p]
     if last:
-        yield from _windows(text, *last)
+        yield _widened(text, *last)
 
 
-def _windows(text: str, first: int, final: int):
+def _widened(text: str, first: int, final: int) -> tuple[int, int]:
     start, end = max(0, first - MARGIN), min(len(text), final + 1 + MARGIN)
     while start > max(0, first - 2 * MARGIN) and text[start - 1].isalnum():
         start -= 1
     while end < min(len(text), final + 1 + 2 * MARGIN) and text[end].isalnum():
         end += 1
-    while end - start > WINDOW:
-        yield start, start + WINDOW, start + WINDOW - OVERLAP
-        start += WINDOW - OVERLAP
-    yield start, end, end
+    return start, end
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -127,14 +130,13 @@ def _bucket(n: int) -> int:
     return next((k for k, top in enumerate((0, 1, 3, 6, 8, 12, 15, 16, 19, 31)) if n <= top), 10)
 
 
-def segment_features(text: str, start: int, end: int, before: str, after: str) -> list[str]:
-    """Features of the whole span text[start:end]; before, after: the tokens around it."""
-    s = text[start:end]
+def segment_features(s: str, before: str, after: str, cue: str) -> list[str]:
+    """Features of the whole segment s; before, after: the tokens around it; cue: the last word before it."""
     digits = _digits(s)
     letters = sum(c.isalpha() for c in s)
     shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", s)))
+    groups = ".".join(str(min(len(g), 9)) for g in re.findall(r"[0-9]+", s)) if not letters else ""
     marks = "".join(sorted({c for c in s if not c.isalnum()}))
-    mixed = bool(digits) and letters > 0 and s.isalnum()
     out = [
         "bias",
         f"d{_bucket(len(digits))}",
@@ -146,132 +148,237 @@ def segment_features(text: str, start: int, end: int, before: str, after: str) -
         f"at{s.count('@')}.{min(4, s.count('.'))}",
         f"first{s[0] if not s[0].isalnum() else shape[0]}",
         f"last{s[-1] if not s[-1].isalnum() else shape[-1]}",
-        f"b{before.lower()[-8:] if not before.isdigit() else '9'}",
-        f"a{after.lower()[:8] if not after.isdigit() else '9'}",
+        f"b{before}",
+        f"a{after}",
     ]
+    if groups:
+        out.append(f"g{groups}{marks}")
     if 13 <= len(digits) <= 19 and letters == 0:
         out.append(f"luhn{luhn(digits)}")
     parts = s.split(".")
     if len(parts) == 4 and all(p.isdigit() for p in parts):
         out.append(f"octets{all(len(p) < 4 and int(p) <= 255 for p in parts)}")
-    if mixed and len(s) >= 16:
-        out.append(f"key{bool(re.fullmatch('[0-9a-fA-F]+', s))}.{before}{after}")
+    if digits and letters and len(s) >= 12 and not set(marks) - set("_-+/="):
+        changes = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:]))
+        letter = {c for c in s if c.isalpha()}
+        kind = "hex" if letter <= set("abcdef") or letter <= set("ABCDEF") else "up" if s.upper() == s else "low" if s.lower() == s else "mix"
+        size = _bucket(len(s))
+        out += [f"key{kind}{size}", f"x{min(9, 10 * changes // len(s))}.{size}", f"key.{before}{after}", f"cue{cue}{size > 6}"]
+    elif not letters:
+        out.append(f"cue{cue}.{_bucket(len(digits))}")
     return out
 
 
-class Lattice:
-    """Tokens of a region and its candidate segments: a segment holds a digit or @ and starts or ends at no space."""
+class Stretch:
+    """Tokens of a text and its candidate segments: a segment holds a digit or @ and starts and ends at no space."""
 
     def __init__(self, text: str):
         self.text = text
-        self.tokens = [m.span() for m in _TOKEN.finditer(text)]
-        word = [text[a:b] for a, b in self.tokens]
-        n = len(word)
-        flagged = [bool(_DIGIT.search(w)) for w in word]
-        self.segments: list[tuple[int, int, list[str]]] = []  # first token, token after the last, features
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.words = [text[a:b] for a, b in self.spans]
+        self.flagged = [bool(_DIGIT.search(w)) for w in self.words]
+
+    def ends(self, i: int):
+        """The ends of the segments that begin with token i."""
+        word, spans, n = self.words, self.spans, len(self.words)
+        if not (word[i].isascii() and (word[i].isalnum() or word[i] in "+(")):
+            return
+        seen = False
+        for j in range(i, min(n, i + MAX_TOKENS)):
+            seen = seen or self.flagged[j]
+            if j > i and spans[j][0] - spans[j - 1][1] > 1:
+                return
+            if seen and word[j].isalnum():
+                yield j + 1
+
+    def key(self, i: int, j: int) -> tuple[str, str, str, str]:
+        """What the features of the segment of tokens i to j - 1 are made of."""
+        word = self.words
+        before, after = word[i - 1].lower()[-8:] if i else "", word[j].lower()[:8] if j < len(word) else ""
+        cue = next((w.lower()[:10] for w in reversed(word[max(0, i - 4) : i]) if w.isalpha()), "")
+        return self.text[self.spans[i][0] : self.spans[j - 1][1]], "9" if before.isdigit() else before, "9" if after.isdigit() else after, cue
+
+    def decode(self, field: Field) -> list[tuple[int, int, int, float]]:
+        """(first token, token after the last, type, chance) of each entity of the best segmentation."""
+        n = len(self.words)
+        ahead, top = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+        ahead[0] = top[0] = 0.0
+        back: list = [None] * (n + 1)
         for i in range(n):
-            if not (word[i].isascii() and (word[i].isalnum() or word[i] in "+(")):
-                continue
-            seen = False
-            for j in range(i, min(n, i + MAX_TOKENS)):
-                seen = seen or flagged[j]
-                if j > i and self.tokens[j][0] - self.tokens[j - 1][1] > 1:
-                    break
-                if seen and word[j].isalnum():
-                    f = segment_features(text, self.tokens[i][0], self.tokens[j][1], word[i - 1] if i else "", word[j + 1] if j + 1 < n else "")
-                    self.segments.append((i, j + 1, f))
-        self.by_end: dict[int, list[int]] = {}
-        self.by_start: dict[int, list[int]] = {}
-        for k, (i, j, _) in enumerate(self.segments):
-            self.by_end.setdefault(j, []).append(k)
-            self.by_start.setdefault(i, []).append(k)
-
-    def scores(self, weights: dict) -> list[list[float]]:
-        return [[sum(weights.get((t, f), 0.0) for f in fs) for t in range(len(TYPES))] for _, _, fs in self.segments]
-
-    def marginals(self, scores) -> list[list[float]]:
-        n = len(self.tokens)
-        ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            terms = [ahead[j - 1]] + [ahead[self.segments[k][0]] + s for k in self.by_end.get(j, ()) for s in scores[k]]
-            ahead[j] = _logsum(terms)
-        for i in range(n - 1, -1, -1):
-            terms = [behind[i + 1]] + [behind[self.segments[k][1]] + s for k in self.by_start.get(i, ()) for s in scores[k]]
-            behind[i] = _logsum(terms)
-        z = ahead[n]
-        return [[math.exp(min(0.0, ahead[i] + s + behind[j] - z)) for s in own] for (i, j, _), own in zip(self.segments, scores)]
-
-    def best(self, scores) -> list[tuple[int, int]]:
-        """(segment, type) of the best segmentation."""
-        n = len(self.tokens)
-        top, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            top[j] = top[j - 1]
-            for k in self.by_end.get(j, ()):
-                for t, s in enumerate(scores[k]):
-                    if (v := top[self.segments[k][0]] + s) > top[j]:
-                        top[j], back[j] = v, (k, t)
-        out, j = [], n
+            ahead[i + 1] = _add(ahead[i + 1], ahead[i])
+            if top[i] > top[i + 1]:
+                top[i + 1], back[i + 1] = top[i], None
+            for j in self.ends(i):
+                every, best, kind = field(self.key(i, j))
+                ahead[j] = _add(ahead[j], ahead[i] + every)
+                if top[i] + best > top[j]:
+                    top[j], back[j] = top[i] + best, (i, kind, best)
+        chosen, j = [], n
         while j:
             if back[j]:
-                out.append(back[j])
-                j = self.segments[back[j][0]][0]
+                chosen.append((back[j][0], j, *back[j][1:]))
+                j = back[j][0]
             else:
                 j -= 1
-        return out[::-1]
-
-
-def _logsum(terms: list[float]) -> float:
-    m = max(terms)
-    return m + math.log(sum(math.exp(t - m) for t in terms))
+        if not chosen:
+            return []
+        behind = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            behind[i] = behind[i + 1]
+            for j in self.ends(i):
+                behind[i] = _add(behind[i], field(self.key(i, j))[0] + behind[j])
+        return [(i, j, t, math.exp(min(0.0, ahead[i] + s + behind[j] - ahead[n]))) for i, j, t, s in reversed(chosen)]
+
+
+def _add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > a - 40 else a
+
+
+def marginals(n: int, where: list, s: np.ndarray) -> np.ndarray:
+    """Chance of each segment and type, from all segmentations of n tokens; where: (first, end), ascending."""
+    ahead, behind = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    ahead[0] = behind[n] = 0.0
+    every, k = np.logaddexp.reduce(s, axis=1).tolist(), 0
+    for i in range(n):
+        ahead[i + 1] = _add(ahead[i + 1], ahead[i])
+        while k < len(where) and where[k][0] == i:
+            j = where[k][1]
+            ahead[j] = _add(ahead[j], ahead[i] + every[k])
+            k += 1
+    k = len(where) - 1
+    for i in range(n - 1, -1, -1):
+        behind[i] = behind[i + 1]
+        while k >= 0 and where[k][0] == i:
+            behind[i] = _add(behind[i], every[k] + behind[where[k][1]])
+            k -= 1
+    around = np.array([ahead[i] + behind[j] - ahead[n] for i, j in where])
+    return np.exp(np.minimum(0.0, s + around[:, None]))
+
+
+class Field:
+    """Weights of the features by type; features that training did not meet weigh nothing."""
+
+    def __init__(self, names: dict[str, int], weights: np.ndarray):
+        self.names, self.weights, self.held = names, weights, {}  # the last row of weights is zero
+
+    def __call__(self, key: tuple) -> tuple[float, float, int]:
+        """(log of the summed types, score of the best type, the best type) of a segment."""
+        got = self.held.get(key)
+        if got is None:
+            if len(self.held) >= CACHE:
+                self.held.clear()
+            none = len(self.weights) - 1
+            s = self.weights[[self.names.get(f, none) for f in segment_features(*key)]].sum(axis=0)
+            got = self.held[key] = float(np.logaddexp.reduce(s)), float(s.max()), int(s.argmax())
+        return got
+
+
+def invented(rng: random.Random) -> tuple[str, str | None, str]:
+    """(context before, kind or None, what stands there): an entity in a form the patterns do not find, or its double."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    key = rng.choice([
+        lambda: some("0123456789abcdef", rng.choice((24, 32, 40, 64))),
+        lambda: some(upper + lower + "0123456789" * 2, rng.randrange(20, 44)),
+        lambda: some(lower + "0123456789" * 2, rng.randrange(20, 36)),
+        lambda: "AKIA" + some(upper + "0123456789" * 2, 16),
+        lambda: rng.choice(("ghp_", "sk-", "xoxb-", "pk_")) + some(upper + lower + "0123456789", rng.randrange(20, 37)),
+    ])
+    name = rng.choice(("token", "secret", "api_key", "apikey", "password", "passwd", "pwd", "pw", "key", "auth", "access_key", "credential", "Token", "PASSWORD", "API_KEY"))
+    quote = rng.choice(("", "", '"', "'", "`"))
+    form = rng.randrange(12)
+    if form < 3:
+        return name + rng.choice((" = ", "=", ": ", ":", " is ", " ")) + quote, "secret", key() + quote
+    if form < 4:
+        return rng.choice(("Authorization: Bearer ", "Bearer ", "bearer ", "Basic ", "x-api-key: ")), "secret", key()
+    if form < 6:
+        a, b, c = str(rng.randrange(2, 10)) + digits(2), digits(3), digits(4)
+        a = rng.choice((a, "0" + a[1:]))
+        return rng.choice(("", "", "tel ", "Tel. ", "call ", "phone: ", "ring ", "fax ")), "phone", rng.choice((f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}"))
+    if form < 7:
+        return rng.choice(("", "", "SSN ", "ssn: ", "social security number ", "no. ")), "ssn", f"{digits(3)}-{digits(2)}-{digits(4)}"
+    double = rng.choice([
+        lambda: f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}",
+        lambda: f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.{rng.randrange(1900, 2100)}",
+        lambda: f"{rng.randrange(1, 29)}/{rng.randrange(1, 13)}/{rng.randrange(1900, 2100)}",
+        lambda: f"{rng.randrange(24):02d}:{digits(2)}:{digits(2)}",
+        lambda: f"v{rng.randrange(20)}.{rng.randrange(20)}.{rng.randrange(20)}",
+        lambda: f"{rng.randrange(1, 999)},{digits(3)}.{digits(2)}",
+        lambda: digits(rng.randrange(1, 20)),
+        lambda: f"{some(upper, 3)}-{digits(rng.randrange(3, 7))}",
+        lambda: some(lower, rng.randrange(4, 12)) + digits(rng.randrange(1, 4)),
+        lambda: "#" + some("0123456789abcdef", 6),
+        lambda: f"{digits(3)}-{digits(4)}",
+        lambda: f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+        lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+        lambda: f"{digits(4)} {digits(4)} {digits(4)}",
+    ])
+    return rng.choice(("", "", "on ", "of ", "no. ", "version ", "id ", "page ", "key ", "in ")), None, double()
+
+
+def with_invented(texts: list[str], seed: int) -> list[tuple[str, dict]]:
+    """Each text with an invention written between two of its words: (text, its spans (start, end) -> kind)."""
+    rng, out = random.Random(seed), []
+    for text in texts:
+        gaps = [m.end() for m in re.finditer(r"\s", text)] or [0]
+        at = rng.choice(gaps)
+        lead, kind, body = invented(rng)
+        left, right = text[:at] + ("" if not at or text[at - 1].isspace() else " "), rng.choice((" ", ". ", ", ", "\n")) + text[at:]
+        start = len(left) + len(lead)
+        own = {(start, start + len(body.rstrip("\"'`"))): kind} if kind else {}
+        out.append((left + lead + body + right, own))
+    return out
 
 
-def train(regions: list[str], epochs: int = 6, rate: float = 0.3, decay: float = 1e-3) -> dict:
-    weights: dict[tuple[int, str], float] = {}
-    lattices = []
-    for text in regions:
-        lattice = Lattice(text)
-        spans = {(a, b): TYPES.index(kind) for kind, a, b in base_spans(text)}
-        spans |= {m.span(1): TYPES.index("secret") for m in SECRET.finditer(text)}
-        gold = {k: spans[at] for k, (i, j, _) in enumerate(lattice.segments) if (at := (lattice.tokens[i][0], lattice.tokens[j - 1][1])) in spans}
-        lattices.append((lattice, gold))
+def train(texts: list[str], epochs: int = 6, rate: float = 0.3, decay: float = 1e-3, seed: int = 3) -> Field:
+    """The field of stretches of text labelled by the patterns, and of INVENTED times as many with inventions."""
+    names: dict[str, int] = {}
+    rows = []
+    for text, own in [*((t, {}) for t in texts), *with_invented(texts * INVENTED, seed)]:
+        stretch = Stretch(text)
+        where = [(i, j) for i in range(len(stretch.words)) for j in stretch.ends(i)]
+        if not where:
+            continue
+        spans = {m.span(1): "secret" for m in SECRET.finditer(text)} | own | {(a, b): kind for kind, a, b in base_spans(text)}
+        gold = np.zeros((len(where), len(TYPES)))
+        for k, (i, j) in enumerate(where):
+            if (kind := spans.get((stretch.spans[i][0], stretch.spans[j - 1][1]))) is not None:
+                gold[k, TYPES.index(kind)] = 1
+        features = [[names.setdefault(f, len(names)) for f in segment_features(*stretch.key(i, j))] for i, j in where]
+        at, size = np.concatenate(features), np.array(list(map(len, features)))
+        order = np.argsort(at, kind="stable")
+        head = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        rows.append((len(stretch.words), where, at, np.cumsum(size) - size, np.repeat(np.arange(len(where)), size)[order], at[order][head], head, gold))
+    weights = np.zeros((len(names) + 1, len(TYPES)))
+    shuffled = random.Random(seed)
     for epoch in range(epochs):
         step = rate / (1 + epoch)
-        for lattice, gold in lattices:
-            marginal = lattice.marginals(lattice.scores(weights))
-            for k, (_, _, features) in enumerate(lattice.segments):
-                for t in range(len(TYPES)):
-                    g = (gold.get(k) == t) - marginal[k][t]
-                    if abs(g) > 1e-4:
-                        for f in features:
-                            w = weights.get((t, f), 0.0)
-                            weights[t, f] = w + step * (g - decay * w)
-    return weights
-
-
-def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict) -> list[tuple[str, int, int]]:
+        shuffled.shuffle(rows)
+        for n, where, at, starts, segment, own, head, gold in rows:
+            gradient = gold - marginals(n, where, np.add.reduceat(weights[at], starts, axis=0))
+            weights[own] += step * (np.add.reduceat(gradient[segment], head, axis=0) - decay * weights[own])
+    return Field(names, weights)
+
+
+def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     out = []
-    for start, end, accepted in regions(text):
-        lattice = Lattice(text[start:end])
-        if not lattice.segments:
-            continue
-        scores = lattice.scores(weights)
-        chosen = lattice.best(scores)
-        if not chosen:
-            continue
-        marginal = lattice.marginals(scores)
-        for k, t in chosen:
-            i, j, _ = lattice.segments[k]
-            a, b = start + lattice.tokens[i][0], start + lattice.tokens[j - 1][1]
-            if a < accepted and a >= (out[-1][2] if out else 0) and marginal[k][t] >= SURE and not any(a < y and x < b for _, x, y in base):
+    for start, end in regions(text):
+        stretch = Stretch(text[start:end])
+        for i, j, t, chance in stretch.decode(field):
+            a, b = start + stretch.spans[i][0], start + stretch.spans[j - 1][1]
+            if chance >= SURE and not any(a < y and x < b for _, x, y in base):
                 out.append((TYPES[t], a, b))
     return out
 
 
 def _regions(batches):
     for b in batches:
-        found = sorted({text[a:z] for text in b["text"] if _DIGIT.search(text) for a, z, _ in regions(text) if z - a <= 300})
-        keys = [int.from_bytes(hashlib.blake2b(r.encode(), digest_size=7).digest(), "little") for r in found]
+        found = sorted({text[a:z] for text in b["text"] if _DIGIT.search(text) for a, z in regions(text) if z - a <= 300})
+        keys = [int.from_bytes(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little") for r in found]
         yield pd.DataFrame({"h": keys, "region": found}).astype({"h": "int64"})
 
 
@@ -279,31 +386,31 @@ def _join(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _detect(weights):
+def _detect(field):
     def run(batches):
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
                 base = base_spans(text)
-                more = added_spans(text, base, weights) if weights and _DIGIT.search(text) else []
+                more = added_spans(text, base, field) if _DIGIT.search(text) else []
                 spans = sorted(base + more, key=lambda s: (TYPES.index(s[0]), s[1]))
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans)))
-            kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 2
+                rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), len(spans)))
+            kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 2 + [pa.int64()]
             columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)]
-            yield pa.record_batch([b.column("id"), *columns], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            yield pa.record_batch([b.column("id"), *columns], names=["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_regions: int = TRAIN_REGIONS) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of df."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), one row for each row of df."""
     texts = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = texts.select("text").filter(F.col("text").rlike("[0-9@]")).mapInPandas(_regions, "h long, region string").distinct()
     sample = [r[0] for r in found.orderBy("h", "region").limit(train_regions).select("region").collect()]
-    weights = train(sample)
-    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return texts.mapInArrow(_detect(weights), schema).withColumnRenamed("id", id_col)
+    field = train(sample)
+    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
+    return texts.mapInArrow(_detect(field), schema).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir):
