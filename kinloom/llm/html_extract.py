@@ -10,16 +10,20 @@
    class is met in one slot only, the same in all pages.  Its texts are template, of page or section alike;
    everything else sits in slots.  A text on ``share`` of the host's pages is template without that (broken pages);
 4. a page's text is what fills the slots outside the elements that never hold main text: head, nav, header, footer,
-   aside, form, script, style, adverts, notices, comments.  Where a page marks its main element (article, else main),
-   the mark says which slots are main, and breaks ties: a template text in there goes if its element is of the same
-   class, and stays if its element also holds other text (a sentence that many articles share); a marked element of
-   which nothing would be left is kept whole.
+   aside, form, script, style (a heading in the header of a marked element is its title and stays);
+5. names of elements are hints.  An element whose whole name says advert, notice, comments or the like is furniture; a
+   name that only holds such a word (``social-history``) counts where the deduction found the element itself to be part
+   of the template (on a host without a template: where it is no paragraph or heading), and never around a marked element.  If names leave nothing of a
+   page, they are dropped: first those around the marked element, then all;
+6. where a page marks its main element (main, else article), the mark says which slots are main, and breaks ties: a
+   template text in there goes if its element is of the same class, and stays if its element also holds other text (a
+   sentence that many articles share); a marked element of which nothing would be left is kept whole.
 
 The template of a host is joined to its pages: as a broadcast while all templates are small, else by (host, salt), so
 that a large host's pages spread over many tasks and only its few template rows are copied.
 
 Defined results: null or empty html gives an empty text; a page whose host has too few pages has no deduced template
-and relies on step 4; unclosed elements end with the page; pages repeated word for word count once for the vectors;
+and relies on steps 4 to 6; unclosed elements end with the page; pages repeated word for word count once for the vectors;
 an empty table gives an empty result; other columns play no part.
 """
 
@@ -29,6 +33,7 @@ import functools
 import hashlib
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,32 +66,44 @@ FURNITURE_NAMES = frozenset(
     login search alert complementary contentinfo""".split()
 )
 _P_CLOSERS = BLOCK - {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+MARKED = frozenset(("article", "main"))
 
 
-def _is_furniture(tag: str, attrs: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+def _hint(tag: str, attrs: str) -> int:
+    """2: a whole name of the element is one of FURNITURE_NAMES, 1: a part of one is, 0: none."""
+    if not attrs or tag in ("html", "body") or tag in MARKED:
+        return 0
+    found = 0
     for m in _MARK.finditer(attrs):
-        value = (m.group(1) or m.group(2) or m.group(3) or "").lower()
-        for name in value.split():
-            if name in FURNITURE_NAMES or any(x in FURNITURE_NAMES for x in re.split(r"[-_]+", name)):
-                return True
-    return False
+        for name in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
+            if name in FURNITURE_NAMES:
+                return 2
+            if any(x in FURNITURE_NAMES for x in re.split(r"[-_]+", name)):
+                found = 1
+    return found
 
 
 def _names(attrs: str) -> str:
     return "." + " ".join(m.group(1) or m.group(2) or m.group(3) or "" for m in _MARK.finditer(attrs)) if attrs else ""
 
 
-def blocks(page: str, tokens: list | None = None) -> list[tuple[str, int, bool, str]]:
-    """(path, zone, furniture, text) of each text block; zone: 2 in article, 1 in main, 0 elsewhere.
+class Block(NamedTuple):
+    path: str  # tags around the text that break lines or are furniture
+    zone: int  # 2 in main, 1 in article, 0 elsewhere
+    barred: bool  # in an element that never holds main text
+    inner: tuple  # hints (strength, tag, trail) inside the innermost marked element, or all where there is none
+    outer: tuple  # hints around it
+    text: str
+
+
+def blocks(page: str, tokens: list | None = None) -> list[Block]:
+    """The text blocks of a page in their order.
 
     tokens gets (element trail, None) for each element, and (trail of its block element, its index in the result) for each block.
     """
-    out: list[tuple[str, int, bool, str]] = []
-    stack: list[tuple[str, bool]] = []
+    out: list[Block] = []
+    stack: list[tuple[str, int]] = []
     trails: list[str] = []
     buffer: list[str] = []
 
@@ -96,12 +113,16 @@ def blocks(page: str, tokens: list | None = None) -> list[tuple[str, int, bool,
             buffer.clear()
             if text:
                 tags = [t for t, _ in stack]
-                zone = 2 if "article" in tags else 1 if "main" in tags else 0
-                path = "/".join(t for t in tags if t in BLOCK or t in FURNITURE)
+                marks = [k for k, t in enumerate(tags) if t in MARKED]
+                zone = 2 if "main" in tags else 1 if "article" in tags else 0
+                title = marks and any(t in HEADINGS for t in tags[marks[0] :])
+                barred = any(t in FURNITURE and not (title and t == "header" and k > marks[0]) for k, t in enumerate(tags))
+                hints = [(k, (h, t, trails[k])) for k, (t, h) in enumerate(stack) if h]
                 if tokens is not None:
-                    own = next((trails[k] for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][0] in FURNITURE), "")
+                    own = next((trails[k] for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][0] in FURNITURE or stack[k][1]), "")
                     tokens.append((own, len(out)))
-                out.append((path, zone, any(f for _, f in stack), text))
+                path = "/".join(t for t in tags if t in BLOCK or t in FURNITURE)
+                out.append(Block(path, zone, barred, tuple(h for k, h in hints if not marks or k > marks[-1]), tuple(h for k, h in hints if marks and k < marks[-1]), text))
 
     at, n = 0, len(page)
     while at < n:
@@ -125,7 +146,7 @@ def blocks(page: str, tokens: list | None = None) -> list[tuple[str, int, bool,
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(t in BLOCK or t in FURNITURE for t, _ in stack[k:]):
+                    if any(t in BLOCK or t in FURNITURE or h for t, h in stack[k:]):
                         flush()
                     del stack[k:], trails[k:]
                     break
@@ -134,8 +155,9 @@ def blocks(page: str, tokens: list | None = None) -> list[tuple[str, int, bool,
             if tag != "wbr":
                 buffer.append(" ")
             continue
-        furniture = _is_furniture(tag, attrs)
-        if tag in BLOCK or furniture:
+        hint = _hint(tag, attrs)
+        apart = tag in BLOCK or tag in FURNITURE or hint
+        if apart:
             flush()
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
@@ -150,11 +172,9 @@ def blocks(page: str, tokens: list | None = None) -> list[tuple[str, int, bool,
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((tag, furniture))
-        if tokens is None:
-            trails.append("")
-        else:
-            trails.append((trails[-1] if trails else "") + "/" + tag + _names(attrs))
+        stack.append((tag, hint))
+        trails.append((trails[-1] if trails else "") + "/" + tag + _names(attrs))
+        if tokens is not None:
             tokens.append((trails[-1], None))
     flush()
     return out
@@ -176,7 +196,7 @@ def _tokens(batches):
         for text in b.column("html").to_pylist():
             tokens: list = []
             found = blocks(text, tokens)
-            seqs.append([_element(t) if k is None else _signature(found[k][0], found[k][3]) for t, k in tokens])
+            seqs.append([_element(t) if k is None else _signature(found[k].path, found[k].text) for t, k in tokens])
             owns.append([None if k is None else _element(t) for t, k in tokens])
         arrays = [pa.array(x, pa.list_(pa.int64())) for x in (seqs, owns)]
         yield pa.record_batch([b.column("host"), b.column("ph"), *arrays], names=["host", "page", "seq", "own"])
@@ -235,7 +255,10 @@ def _beside(pages: DataFrame, by_host: DataFrame, rows: int, how: str) -> DataFr
 
 
 def templates(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """(host, signature, sure) of template blocks; pages: (host, ph, html).  sure: its element is of its class."""
+    """(host, signature, sure) of the template; pages: (host, ph, html).
+
+    sure: a text's element is of its class; for an element: it is itself of a valid class.
+    """
     cut = pages.select("host", "ph", "html").mapInArrow(_tokens, "host long, page long, seq array<long>, own array<long>")
     cut = staged(cut.dropDuplicates(["host", "page"]), "tokens")
     each = cut.select("host", "page", F.explode(F.arrays_zip("seq", "own")).alias("t")).select("host", "page", F.col("t.seq").alias("signature"), F.col("t.own").alias("own"))
@@ -255,24 +278,36 @@ def templates(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     found = found.mapInArrow(_nestings, "host long, class long, good boolean, form long").groupBy("host", "class")
     valid = found.agg((F.min("good") & (F.min("form") == F.max("form"))).alias("valid"))
     judged = classes.join(valid, ["host", "class"]).withColumn("valid", F.col("valid") & F.col("framed")).filter("valid or often")
-    texts = judged.select("host", "valid", "tokens", F.explode("tokens").alias("t")).filter("t.own is not null")
-    return texts.select("host", "t.signature", (F.col("valid") & F.array_contains("tokens.signature", F.col("t.own"))).alias("sure"))
+    rows = judged.select("host", "valid", "tokens", F.explode("tokens").alias("t")).filter("valid or t.own is not null")
+    return rows.select("host", "t.signature", (F.col("valid") & (F.col("t.own").isNull() | F.array_contains("tokens.signature", F.col("t.own")))).alias("sure"))
 
 
 def main_text(page: str, template) -> str:
     """The blocks in the slots of the page's main element, joined by an empty line; template: signature -> sure."""
-    found = blocks(page)
-    zone = max((z for _, z, furniture, _ in found if not furniture), default=0)
-    main = [(path, text) for path, z, furniture, text in found if z == zone and not furniture]
+    found = [b for b in blocks(page) if not b.barred]
+
+    def counts(hint) -> bool:
+        strength, tag, trail = hint
+        if strength == 2:
+            return True
+        return _element(trail) in template if template else tag != "p" and tag not in HEADINGS
+
+    marked, main = any(b.zone for b in found), []
+    for names in (2, 1, 0):  # all names count, those inside the marked element, none
+        main = [b for b in found if (b.zone or not marked) and not (names and any(map(counts, b.inner))) and not (names > 1 and any(h[0] == 2 for h in b.outer))]
+        if main:
+            break
+    zone = max((b.zone for b in main), default=0)
+    main = [b for b in main if b.zone == zone]
     if not template:
-        return "\n\n".join(text for _, text in main)
+        return "\n\n".join(b.text for b in main)
     slots = []
-    for path, text in main:
-        sure = template.get(_signature(path, text))
+    for b in main:
+        sure = template.get(_signature(b.path, b.text))
         if sure is None or zone and not sure:
-            slots.append(text)
+            slots.append(b.text)
     if zone and not slots:
-        slots = [text for _, text in main]
+        slots = [b.text for b in main]
     return "\n\n".join(slots)
 
 

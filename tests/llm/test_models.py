@@ -384,6 +384,105 @@ def test_template_classes(spark):
     assert [got[20 + k] for k in range(5)] == [f"Head {k}\n\nWords {k}\n\nSame in all" for k in range(5)]
 
 
+def extracted(spark, pages):
+    return {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+HINTED = {
+    "wrapper": ('<body><div class="has-sidebar"><article><h1>Head {n}</h1><p>Words {n}</p></article></div><div class="sidebar">Side</div></body>', "Head {n}\n\nWords {n}"),
+    "strong wrapper": ('<body><div class="widget"><article><h1>Head {n}</h1><p>Words {n}</p></article></div></body>', "Head {n}\n\nWords {n}"),
+    "inner wrapper": ('<body><main><h1>Head {n}</h1><div class="page has-sidebar"><article><p>Words {n}</p></article></div></main></body>', "Head {n}\n\nWords {n}"),
+    "main intro": ("<body><main><h1>Head {n}</h1><p>Intro {n}</p><article><p>Words {n}</p></article></main></body>", "Head {n}\n\nIntro {n}\n\nWords {n}"),
+    "title": ("<body><header><h1>Site</h1></header><article><header><h1>Head {n}</h1><p>By {n}</p></header><p>Words {n}</p></article></body>", "Head {n}\n\nWords {n}"),
+    "class name": ('<body><article><p>Words {n}</p><p class="social-history">History {n}</p></article></body>', "Words {n}\n\nHistory {n}"),
+    "teasers": ('<body><main><h1>Head {n}</h1><p>Words {n}</p><div class="related"><article>Other {n}</article></div></main></body>', "Head {n}\n\nWords {n}"),
+    "names only": ('<body><div class="widget"><p>Words {n}</p></div></body>', "Words {n}"),
+}
+
+
+@pytest.mark.parametrize("case", HINTED)
+def test_names_are_hints(spark, case):
+    """On a host of one page, and on one whose template is deduced."""
+    page, want = HINTED[case]
+    pages = [(1, "http://one.example.com/", page.format(n=1)), *((10 + k, "http://many.example.com/", page.format(n=k)) for k in range(6))]
+    got = extracted(spark, pages)
+    assert got[1] == want.format(n=1)
+    if case != "class name":  # there the element is on each page, so it is the template that speaks
+        assert [got[10 + k] for k in range(6)] == [want.format(n=k) for k in range(6)]
+
+
+def test_template_decides_on_names(spark):
+    """The same name is furniture where it is an element of the template, and none where one page has it."""
+    page = '<body><article><p>Words {n}</p>{x}</article><div class="bar">Bar</div></body>'
+    bar = '<div class="share-links">Send {n}</div>'
+    pages = [(k, "http://a.example.com/", page.format(n=k, x=bar.format(n=k))) for k in range(6)]
+    pages += [(10 + k, "http://b.example.com/", page.format(n=k, x=bar.format(n=k) if k == 2 else "")) for k in range(6)]
+    got = extracted(spark, pages)
+    assert [got[k] for k in range(6)] == [f"Words {k}" for k in range(6)]
+    assert got[12] == "Words 2\n\nSend 2" and got[13] == "Words 3"
+
+
+def template_brute(pages, support, share):
+    """Template texts and valid elements of one host's pages, from occurrence vectors as they are."""
+    sequences, owner = [], {}
+    for page in dict.fromkeys(pages):
+        tokens: list = []
+        found = html_extract.blocks(page, tokens)
+        row = []
+        for trail, k in tokens:
+            t = html_extract._element(trail) if k is None else html_extract._signature(found[k].path, found[k].text)
+            row.append(t)
+            own = None if k is None else html_extract._element(trail)
+            owner[t] = own if t not in owner or own is None or owner[t] is None else min(owner[t], own)
+        sequences.append(row)
+    vectors = {}
+    for t in owner:
+        vectors.setdefault(tuple(row.count(t) for row in sequences), []).append(t)
+    classes = {v: ts for v, ts in vectors.items() if sum(map(bool, v)) >= support}
+    often = {v for v in classes if sum(map(bool, v)) >= share * len(sequences)}
+    framed = {v for v, ts in classes.items() if any(owner[t] is None for t in ts)}
+    classes = {v: ts for v, ts in classes.items() if v in often or v in framed}
+    class_of = {t: v for v, ts in classes.items() for t in ts}
+    forms = {v: set() for v in classes}
+    for row in sequences:
+        for v, (good, form) in html_extract.nesting(row, class_of).items():
+            forms[v].add((good, form))
+    out = set()
+    for v, ts in classes.items():
+        valid = v in framed and len({f for _, f in forms[v]}) == 1 and all(g for g, _ in forms[v])
+        for t in ts:
+            if (valid or v in often) and (valid or owner[t] is not None):
+                out.add((t, valid and (owner[t] is None or owner[t] in ts)))
+    return out
+
+
+def test_template_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["<div class=\"top\">Home</div>", "<ul><li>One</li><li>Two</li></ul>", "<div><p>Desk</p></div>", "<p>Common line</p>", "<section><h2>More</h2><p>Common line</p></section>"]
+    pages = []
+    for k in range(24):
+        body = [p for p in parts if rng.random() < (0.95, 0.8, 0.4, 0.5, 0.3)[parts.index(p)]]
+        body.insert(rng.randrange(len(body) + 1), f"<article><h1>H{k}</h1><p>Text {k}</p>{'<p>Same words</p>' if k % 2 else ''}</article>")
+        if rng.random() < 0.2:
+            rng.shuffle(body)
+        pages.append(f"<html><body>{''.join(body)}</body></html>")
+    pages.append(pages[0])
+    df = spark.createDataFrame([(7, k % 24, p) for k, p in enumerate(pages)], "host long, ph long, html string")
+    for support, share in ((3, 0.6), (2, 0.9), (5, 0.3)):
+        got = {(r["signature"], r["sure"]) for r in html_extract.templates(df, support, share).collect()}
+        assert got == template_brute(pages, support, share)
+
+
+def test_odd_pages(spark):
+    """Very long and repeated pages, and columns of clashing names."""
+    long = "<article>" + "".join(f"<p>Part {k}</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, "http://a.b/", long), (2, "http://a.b/", long), (2, "http://a.b/", long), (None, "http://a.b/", "<p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS ph", "'t' AS text", "3 AS n_chars", "4 AS template", "5 AS salt")
+    got = sorted((r["page_id"] or 0, r["n_chars"], r["text"][:12]) for r in html_extract.extract_main_text(df).collect())
+    want = len("\n\n".join(f"Part {k}" for k in range(20_000)))
+    assert got == [(0, 1, "x"), (1, want, "Part 0\n\nPart"), (2, want, "Part 0\n\nPart"), (2, want, "Part 0\n\nPart")]
+
+
 def test_nesting():
     inner = {1: 0, 2: 0, 3: 1, 4: 1}
     assert all(good for good, _ in html_extract.nesting([1, 3, 4, 3, 4, 2], inner).values())
