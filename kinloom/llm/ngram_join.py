@@ -10,8 +10,9 @@ Plan
    are candidate pairs.  Hashes in more windows are never paired; a class that has more of them than it can spare is
    tied to the hash's least class instead.  The connected components of both are families, and each linked pair lies
    within one family;
-4. only classes in families are tokenised in full.  A family (or a pair of its chunks, where its sets pass
-   ``chunk_tokens``) is joined in one task: the sets, most frequent hash first, go into a compressed prefix tree, and
+4. only classes in families are tokenised in full.  A family is joined in one task; one whose sets pass
+   ``chunk_tokens`` is cut by size first, so that only sets of the same or of neighbouring size classes meet, as no
+   others can link, and then into chunks, of which each pair is a task: the sets, most frequent hash first, go into a compressed prefix tree, and
    each set walks down it level by level, sharing the overlaps of common prefixes and leaving a subtree as soon as
    what remains on either side cannot reach the threshold;
 5. a task returns one row for each set - its local root and its number of links - never its pairs.
@@ -20,12 +21,14 @@ Everything is exact: windows and families only leave out pairs that cannot link.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are components of their
 own; with fewer than ``size`` words the whole sequence is the one shingle; a component is named by its smallest id,
-nulls ignored; repeated rows are members of one class; an empty table gives an empty result.
+nulls ignored; repeated rows are members of one class; an empty table gives an empty result.  Classes are told by the
+128-bit digests of their sets, families by those of a member, shingles by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -84,32 +87,30 @@ def _arrow_texts(batch) -> list:
 def _windows(size: int, percent: int):
     def run(batches):
         for b in batches:
-            n, d1, d2, win, offsets = [], [], [], [], [0]
+            n, node, win, offsets = [], [], [], [0]
             for t in _arrow_texts(b):
                 s = shingle_set(t, size)
                 k = len(s)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(k)
-                d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                d2.append(int.from_bytes(digest[8:], "little", signed=True))
+                node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 w = s[: _p(k, percent) + _e(k, percent)] if k else s
                 win.append(w)
                 offsets.append(offsets[-1] + len(w))
             flat = np.concatenate(win) if win else np.empty(0, dtype="int64")
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["id", "th", "n", "node", "d2", "win"])
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), lists], names=["id", "th", "n", "node", "win"])
 
     return run
 
 
-def _full(size: int):
+def _full(size: int, kept: list[str]):
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, size) for t in _arrow_texts(b)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = np.concatenate(sets) if sets else np.empty(0, dtype="int64")
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.record_batch([b.column("node"), b.column("copies"), b.column("family"), b.column("chunks"), lists], names=["node", "copies", "family", "chunks", "tokens"])
+            yield pa.record_batch([*(b.column(c) for c in kept), lists], names=[*kept, "tokens"])
 
     return run
 
@@ -254,9 +255,9 @@ def join_sets(tokens: list[np.ndarray], weights: list[int], side: list[int], per
 
 def _block(percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        _, lo, hi, i, j = key
         pdf = pdf.drop_duplicates("node").sort_values(["side", "node"], kind="stable")
-        roots, links = join_sets([np.asarray(t, dtype="int64") for t in pdf["tokens"]], pdf["copies"].tolist(), pdf["side"].tolist(), percent, i != j)
+        roots, links = join_sets([np.asarray(t, dtype="int64") for t in pdf["tokens"]], pdf["copies"].tolist(), pdf["side"].tolist(), percent, lo != hi or i != j)
         nodes = pdf["node"].to_numpy()
         return pd.DataFrame({"node": nodes, "root": nodes[roots], "links": links})
 
@@ -269,22 +270,22 @@ def ngram_components(
     """(id, n_shingles, component_id, n_links), one row for each row of df."""
     spark = df.sparkSession
     texts = bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = staged(texts.mapInArrow(_windows(size, percent), "id long, th long, n long, node long, d2 long, win array<long>"), "windows")
+    rows = staged(texts.mapInArrow(_windows(size, percent), "id long, th long, n long, node binary, win array<long>"), "windows")
     classes = staged(
-        rows.filter("n > 0").groupBy("node", "d2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("pick"), F.first("n").alias("n")), "classes"
+        rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("id", "th")).alias("pick"), F.first("n").alias("n")), "classes"
     )
     families = staged(_families(spark, rows, classes, percent, hot, chunk_tokens), "families")
-    blocks = staged(_blocks(spark, texts, families, size).applyInPandas(_block(percent), "node long, root long, links long"), "blocks")
+    blocks = staged(_blocks(spark, texts, families, size).applyInPandas(_block(percent), "node binary, root binary, links long"), "blocks")
     links = blocks.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(blocks.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    slim = classes.select("node", "d2", "least", "copies")
+    slim = classes.select("node", "least", "copies")
     named = linked.join(slim, "node").groupBy("component").agg(F.min("least").alias("name"))
     of_class = (
         slim.join(linked.join(named, "component").select("node", "name"), "node", "left")
         .join(links, "node", "left")
-        .select("node", "d2", F.coalesce("name", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", F.coalesce("name", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    out = rows.select("id", "n", "node", "d2").join(of_class, ["node", "d2"], "left")
+    out = rows.select("id", "n", "node").join(of_class, "node", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -308,7 +309,8 @@ def _window_hashes(picked, shared=None):
             if shared is not None:
                 take &= in_bitmap(shared, flat)
             row, flat = row[take], flat[take]
-            yield pa.record_batch([pa.array(b.column("node").to_numpy()[row]), pa.array(b.column("n").to_numpy()[row]), pa.array(flat)], names=["node", "n", "token"])
+            at = pa.array(row)
+            yield pa.record_batch([b.column("node").take(at), b.column("n").take(at), pa.array(flat)], names=["node", "n", "token"])
 
     return run
 
@@ -320,11 +322,12 @@ def _spare(n, percent: int):
 
 
 def _families(spark, rows: DataFrame, classes: DataFrame, percent: int, hot: int, chunk_tokens: int) -> DataFrame:
-    """(node, copies, pick, family, chunks) of the classes that may link with another."""
+    """(node, copies, pick, family, bucket, meets) of the classes that may link with another; meets: the size classes
+    (bucket, chunks) of the family that a class has to meet, its own among them."""
     pick = F.xxhash64("id", "th")
     picked = bitmap(spark, classes.select(F.xxhash64("pick.id", "pick.th").alias("x")))
     source = rows.filter("n > 0").select("node", "n", pick.alias("pick"), "win")
-    schema = "node long, n long, token long"
+    schema = "node binary, n long, token long"
     shared = staged(source.mapInArrow(_window_hashes(picked), schema).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     repeated = bitmap(spark, shared.select(F.col("token").alias("x")))
     held = source.mapInArrow(_window_hashes(picked, repeated), schema).join(shared, "token").groupBy("node", "n").agg(F.collect_set(F.struct("token", "df")).alias("hits"))
@@ -346,13 +349,20 @@ def _families(spark, rows: DataFrame, classes: DataFrame, percent: int, hot: int
     stars = busy.join(least, "token").select(F.col("node").alias("u"), "v").filter("u != v").distinct()
 
     family = components(pairs.unionByName(stars)).withColumnRenamed("component", "family")
-    member = family.join(classes.select("node", "n", "copies", "pick"), "node")
-    mass = member.groupBy("family").agg(F.ceil(F.sum(F.col("n") + 16) / chunk_tokens).cast("int").alias("chunks"))
-    return member.join(mass, "family").select("node", "copies", "pick", "family", "chunks")
+    member = staged(family.join(classes.select("node", "n", "copies", "pick"), "node"), "members")
+    weight = F.sum(F.col("n") + 16)
+    large = member.groupBy("family").agg(weight.alias("w")).filter(F.col("w") > chunk_tokens).select("family", F.lit(True).alias("large"))
+    # the widths of size classes are such that sets that can link are one class apart at most
+    bucket = F.when(F.col("large"), F.floor(F.log("n") / (1.0001 * math.log(100 / percent)))).otherwise(0).cast("int")
+    member = member.join(large, "family", "left").withColumn("bucket", bucket)
+    parts = member.groupBy("family", "bucket").agg(F.ceil(weight / chunk_tokens).cast("int").alias("chunks"))
+    near = F.when(F.col("large"), F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).otherwise(F.array("bucket"))
+    meets = member.select("node", "family", F.explode(near).alias("bucket")).join(parts, ["family", "bucket"]).groupBy("node").agg(F.collect_list(F.struct("bucket", "chunks")).alias("meets"))
+    return member.select("node", "copies", "pick", "family", "bucket").join(meets, "node")
 
 
 def _blocks(spark, texts: DataFrame, families: DataFrame, size: int):
-    """The full sets of all members, grouped into blocks (family, i, j) of one or two chunks."""
+    """The full sets of all members, grouped into blocks (family, lo, hi, i, j): chunk i of size class lo and j of hi."""
     wanted = bitmap(spark, families.select(F.col("pick.th").alias("x")))
 
     @F.pandas_udf(BooleanType())
@@ -361,12 +371,15 @@ def _blocks(spark, texts: DataFrame, families: DataFrame, size: int):
 
     near = texts.filter(may("th"))
     same = near["id"].eqNullSafe(families["pick.id"]) & (near["th"] == families["pick.th"])
-    sets = near.join(families, same).select("node", "copies", "family", "chunks", "text")
-    sets = sets.mapInArrow(_full(size), "node long, copies long, family long, chunks int, tokens array<long>")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    spread = sets.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = spread.select("node", "copies", "family", "tokens", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
-    return placed.groupBy("family", "i", "j")
+    own = F.expr("filter(meets, m -> m.bucket = bucket)[0].chunks")
+    kept = ["node", "copies", "family", "bucket", "chunk", "meets"]
+    sets = near.join(families, same).withColumn("chunk", F.pmod(F.xxhash64("node"), own).cast("int")).select(*kept, "text")
+    sets = sets.mapInArrow(_full(size, kept), "node binary, copies long, family binary, bucket int, chunk int, meets array<struct<bucket:int,chunks:int>>, tokens array<long>")
+    spread = sets.withColumn("m", F.explode("meets")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m.chunks") - 1)))
+    mine, theirs = F.struct(F.col("bucket").alias("b"), F.col("chunk").alias("c")), F.struct(F.col("m.bucket").alias("b"), F.col("other").alias("c"))
+    placed = spread.withColumns({"first": F.least(mine, theirs), "second": F.greatest(mine, theirs), "side": (mine > theirs).cast("int")})
+    placed = placed.select("node", "copies", "family", "tokens", "side", F.col("first.b").alias("lo"), F.col("second.b").alias("hi"), F.col("first.c").alias("i"), F.col("second.c").alias("j"))
+    return placed.groupBy("family", "lo", "hi", "i", "j")
 
 
 def query(spark, sf_dir):

@@ -103,6 +103,16 @@ def test_links_beside_empty_chunks(spark):
     assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got} == {(k, k - k % 2, 1) for k in range(24)}
 
 
+def test_size_classes_of_a_family(spark):
+    """A chain of sets that grow word by word is one family over many size classes: every link is counted."""
+    words = [f"w{k}" for k in range(130)]
+    rows = [(k, " ".join(words[: 20 + 2 * k])) for k in range(55)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, chunk in ((64, 500), (2, 500), (64, 200), (64, 500_000)):
+        got = ngram_join.ngram_components(df, hot=hot, chunk_tokens=chunk).collect()
+        assert sorted(tuple(r) for r in got) == near_brute(rows, 4, 85)
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(60)]
