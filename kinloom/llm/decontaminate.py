@@ -16,8 +16,9 @@ corpus (for each piece at least its ``KEEP`` rarest), weighted by TF-IDF.
    hold.  Such an item must be covered to ``lcs_sure`` by a stretch of words hardly longer than itself.  Every whole
    copy is found this way, since two neighbours hold all terms of a piece.
 
-Nothing but the sketch is shuffled.  The benchmark is taken in blocks of ``BLOCK_ITEMS`` pieces, which bounds the
-sketch and what is broadcast of it whatever its size; all documents are tested against every block.
+Nothing but the sketch is shuffled.  The benchmark, a table of the driver's size, is taken in blocks of ``BLOCK_ITEMS``
+pieces, which bounds a sketch; all documents are tested against every block.  The words of all blocks are counted in one
+scan, and blocks share the other two as long as their sketches stay under ``SCAN_BYTES``.
 
 Defined results: null and empty texts are clean; null or empty items match nothing; repeated rows are tested each;
 an empty benchmark leaves all clean; an empty table gives an empty result; other columns play no part.
@@ -40,6 +41,8 @@ KEEP = 8
 RARE = 0.0005
 BLOCK_ITEMS = 256
 EXTRA = 32
+#: Bytes of sketches that a task holds at a time.
+SCAN_BYTES = 64 << 20
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
 
@@ -50,11 +53,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def answer_of(text: str) -> list[bytes]:
-    """The item's answer: its last line, or its last sentence if it has one line; 12 words at most."""
+    """The item's answer: its last line, or its last sentence if it has one line."""
     parts = [x for x in text.split("\n") if words_of(x.encode())] or [""]
     if len(parts) == 1:
         parts = [x for x in text.split(". ") if words_of(x.encode())] or [""]
-    return words_of(parts[-1].encode())[-12:] if len(parts) > 1 else []
+    return words_of(parts[-1].encode()) if len(parts) > 1 else []
 
 
 def lcs(a: list, b: list) -> int:
@@ -72,12 +75,8 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def _hits(texts: list[bytes], vocabulary: dict, overlap: bool):
-    """Yields (first text, (passage, term, count), text of each passage, passages) for stretches of texts.
-
-    The pairs are ordered by passage and term; with `overlap` a word counts in the passage before its own too.
-    """
-    size, step = max(1, len(vocabulary)), HOP
+def _stretches(texts: list[bytes], vocabulary: dict):
+    """Yields (first text, words of each text, number of each word or -1) for stretches of texts."""
     lo = 0
     while lo < len(texts):
         hi, total = lo, 0
@@ -89,21 +88,30 @@ def _hits(texts: list[bytes], vocabulary: dict, overlap: bool):
             words = words_of(t)
             lens.append(len(words))
             ids.append(np.fromiter(map(vocabulary.get, words, repeat(-1)), dtype="int64", count=len(words)))
-        lens, ids = np.array(lens), np.concatenate(ids)
-        parts = np.maximum(1, -(-lens // step))
-        base = np.cumsum(parts) - parts
-        at = np.flatnonzero(ids >= 0)
-        doc = np.searchsorted(np.cumsum(lens), at, side="right")
-        own = (at - (np.cumsum(lens) - lens)[doc]) // step
-        key = (base[doc] + own) * size + ids[at]
-        if overlap:
-            earlier = own > 0
-            key = np.concatenate([key, key[earlier] - size])
-        key, count = np.unique(key, return_counts=True)
-        yield lo, (key // size, key % size, count), np.repeat(np.arange(len(lens)), parts), base, int(parts.sum())
+        yield lo, np.array(lens), np.concatenate(ids)
         lo = hi
 
 
+def _passages(lens: np.ndarray):
+    """(text of each passage, first passage of each text)"""
+    parts = np.maximum(1, -(-lens // HOP))
+    return np.repeat(np.arange(len(lens)), parts), np.cumsum(parts) - parts
+
+
+def _hits(lens: np.ndarray, ids: np.ndarray, size: int, overlap: bool):
+    """(passage, term, count), ordered; with `overlap` a word counts in the passage before its own too; size: terms."""
+    size, (_, base) = max(1, size), _passages(lens)
+    at = np.flatnonzero(ids >= 0)
+    doc = np.searchsorted(np.cumsum(lens), at, side="right")
+    own = (at - (np.cumsum(lens) - lens)[doc]) // HOP
+    key = (base[doc] + own) * size + ids[at]
+    if overlap:
+        earlier = own > 0
+        key = np.concatenate([key, key[earlier] - size])
+    key, count = np.unique(key, return_counts=True)
+    return key // size, key % size, count
+
+
 def _weighted(passage, term, count, idf):
     """Rows of unit length: (row starts, passage of each row, weights)."""
     w = (1 + np.log(count)) * idf[term]
@@ -130,9 +138,9 @@ def _count_terms(vocabulary):
     def run(batches):
         df, passages = np.zeros(len(vocabulary), dtype="int64"), 0
         for b in batches:
-            for _, found, _, _, n in _hits(_texts(b), vocabulary, False):
-                passages += n
-                df += np.bincount(found[1], minlength=len(df))
+            for _, lens, ids in _stretches(_texts(b), vocabulary):
+                passages += len(_passages(lens)[0])
+                df += np.bincount(_hits(lens, ids, len(vocabulary), False)[1], minlength=len(df))
         seen = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.r_[-1, seen]), pa.array(np.r_[passages, df[seen]])], names=["term", "n"])
 
@@ -143,16 +151,20 @@ def _count_terms(vocabulary):
 ROWS = 256
 
 
-def _sketch(vocabulary, idf, omega):
+def _sketch(vocabulary, blocks):
+    """blocks: (number of each word of the vocabulary in the block, idf, omega) of each."""
+
     def run(batches):
-        c = np.zeros_like(omega)
+        sums = [np.zeros_like(omega) for _, _, omega in blocks]
         for b in batches:
-            for _, found, _, _, _ in _hits(_texts(b), vocabulary, True):
-                _add(c, *_telling(*found), idf, omega)
+            for _, lens, ids in _stretches(_texts(b), vocabulary):
+                for c, (own, idf, omega) in zip(sums, blocks):
+                    _add(c, *_telling(*_hits(lens, own[ids], len(idf), True)), idf, omega)
         part = _task() % 64
-        for lo in range(0, len(c), ROWS):
-            if c[lo : lo + ROWS].any():
-                yield pa.record_batch([pa.array([lo]), pa.array([part], pa.int32()), pa.array([c[lo : lo + ROWS].astype("float32").tobytes()])], names=["rows", "part", "c"])
+        for k, c in enumerate(sums):
+            for lo in range(0, len(c), ROWS):
+                if c[lo : lo + ROWS].any():
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([lo]), pa.array([part], pa.int32()), pa.array([c[lo : lo + ROWS].astype("float32").tobytes()])], names=["block", "rows", "part", "c"])
 
     return run
 
@@ -178,7 +190,7 @@ def _add(c, passage, term, count, idf, omega):
 
 def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(x, dtype="float32").astype("float64") for x in pdf["c"]], axis=0)
-    return pd.DataFrame({"rows": [pdf["rows"].iloc[0]], "c": [total.astype("float32").tobytes()]})
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "rows": [pdf["rows"].iloc[0]], "c": [total.astype("float32").tobytes()]})
 
 
 def latent_basis(c: np.ndarray, omega: np.ndarray, k: int) -> np.ndarray:
@@ -222,48 +234,55 @@ def _tight(item: list, words: list) -> float:
     return best / len(item)
 
 
-def _search(block, cosine, lcs_sure, lcs_answer):
-    vocabulary, idf, basis, latent, postings, pieces = block
+def _search(found_blocks, cosine, lcs_sure, lcs_answer):
+    vocabulary, blocks = found_blocks
 
     def matches(texts: list[bytes]) -> list[dict]:
         out: list[dict] = [{} for _ in texts]
-        for lo, found, owner, base, _ in _hits(texts, vocabulary, True):
-            near = set()
-            passage, term, count = _telling(*found)
-            if len(passage):
-                starts, at, w = _weighted(passage, term, count, idf)
-                z = np.add.reduceat(basis[term] * w[:, None].astype("float32"), starts, axis=0)
-                norm = np.linalg.norm(z, axis=1, keepdims=True)
-                norm[norm == 0] = 1
-                r, i = np.nonzero((z / norm) @ latent.T >= cosine)
-                near = set(zip(at[r].tolist(), i.tolist()))
-            if not len(found[0]):
+        for lo, lens, ids in _stretches(texts, vocabulary):
+            owner, base = _passages(lens)
+            for block in blocks:
+                match(block, texts, lo, lens, ids, owner, base, out)
+        return out
+
+    def match(block, texts, lo, lens, ids, owner, base, out):
+        own_ids, idf, basis, latent, postings, pieces = block
+        found = _hits(lens, own_ids[ids], len(idf), True)
+        near = set()
+        passage, term, count = _telling(*found)
+        if len(passage):
+            starts, at, w = _weighted(passage, term, count, idf)
+            z = np.add.reduceat(basis[term] * w[:, None].astype("float32"), starts, axis=0)
+            norm = np.linalg.norm(z, axis=1, keepdims=True)
+            norm[norm == 0] = 1
+            r, i = np.nonzero((z / norm) @ latent.T >= cosine)
+            near = set(zip(at[r].tolist(), i.tolist()))
+        if not len(found[0]):
+            return
+        covered = zip(*(x.tolist() for x in _covered(found[0], found[1], base[owner], max(1, len(idf)), postings, lcs_sure)))
+        words, of, done = [], -1, set()
+        for at_passage, i in sorted(near.union(covered)):
+            item_id, _, answer, item = pieces[i]
+            k = int(owner[at_passage])
+            if k != of:
+                words, of = words_of(texts[lo + k]), k
+            first, spare = int(at_passage - base[k]) * HOP, len(item)
+            own = out[lo + k]
+            wide = (at_passage, i) in near or len(item) > WIDTH
+            step = (at_passage, id(item), wide)  # pieces of one item lead to the same words
+            if own.get(item_id) == 1 or step in done:
                 continue
-            covered = zip(*(x.tolist() for x in _covered(found[0], found[1], base[owner], max(1, len(vocabulary)), postings, lcs_sure)))
-            words, of, done = [], -1, set()
-            for at_passage, i in sorted(near.union(covered)):
-                item_id, _, answer, item = pieces[i]
-                k = int(owner[at_passage])
-                if k != of:
-                    words, of = words_of(texts[lo + k]), k
-                first, spare = int(at_passage - base[k]) * HOP, len(item)
-                own = out[lo + k]
-                wide = (at_passage, i) in near or len(item) > WIDTH
-                step = (at_passage, id(item), wide)  # pieces of one item lead to the same words
-                if own.get(item_id) == 1 or step in done:
+            done.add(step)
+            if wide:
+                around = words[max(0, first - spare) : first + WIDTH + spare]
+                share = lcs(item, around) / len(item)
+                if share < lcs_sure and not (share >= lcs_answer and answer and 2 * lcs(answer, around) >= len(answer)):
                     continue
-                done.add(step)
-                if wide:
-                    around = words[max(0, first - spare) : first + WIDTH + spare]
-                    share = lcs(item, around) / len(item)
-                    if share < lcs_sure and not (share >= lcs_answer and answer and 2 * lcs(answer, around) >= len(answer)):
-                        continue
-                else:
-                    share = _tight(item, words[first : first + WIDTH + HOP])
-                    if share < lcs_sure:
-                        continue
-                own[item_id] = max(own.get(item_id, 0.0), share)
-        return out
+            else:
+                share = _tight(item, words[first : first + WIDTH + HOP])
+                if share < lcs_sure:
+                    continue
+            own[item_id] = max(own.get(item_id, 0.0), share)
 
     return matches
 
@@ -280,30 +299,62 @@ def _scan(block, cosine, lcs_sure, lcs_answer):
     return run
 
 
-def _fit(texts: DataFrame, own: list):
-    """What _search needs for a block of pieces: two scans of all texts, and terms x sketch numbers on the driver."""
-    terms = sorted({w for _, words, *_ in own for w in words})
+def _counts(texts: DataFrame, blocks: list) -> tuple[dict, int]:
+    """(passages that hold each word of the benchmark, passages): one scan of all texts."""
+    terms = sorted({w for own in blocks for _, words, *_ in own for w in words})
     counted = texts.mapInArrow(_count_terms({w: i for i, w in enumerate(terms)}), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    n = {r[0]: r[1] for r in counted.collect()}  # terms of a block
-    passages = max(1, n.get(-1, 0))
-    df_of = {w: n.get(i, 0) for i, w in enumerate(terms)}
-    rare = {w for w in terms if df_of[w] <= RARE * passages}
+    n = {r[0]: r[1] for r in counted.collect()}  # terms of the benchmark
+    return {w: n.get(i, 0) for i, w in enumerate(terms)}, max(1, n.get(-1, 0))
+
+
+def _plan(own: list, df_of: dict, passages: int):
+    """(terms, idf, omega) of a block of pieces."""
+    rare = {w for _, words, *_ in own for w in words if df_of[w] <= RARE * passages}
     for _, words, *_ in own:
         rare.update(sorted(set(words), key=lambda w: (df_of[w], w))[:KEEP])
-    vocabulary = {w: i for i, w in enumerate(sorted(rare))}
-    idf = np.log((1 + passages) / (1 + np.array([df_of[w] for w in sorted(rare)], dtype="float64"))) + 0.1
-    omega = np.random.default_rng(17).standard_normal((len(vocabulary), len(own) + 2 * EXTRA))
-    tree = texts.mapInArrow(_sketch(vocabulary, idf, omega), "rows long, part int, c binary").groupBy("rows", "part").applyInPandas(_sum_rows, "rows long, c binary")
-    c = np.zeros_like(omega)
-    for lo, rows in tree.groupBy("rows").applyInPandas(_sum_rows, "rows long, c binary").collect():  # terms x sketch
-        c[lo : lo + ROWS] = np.frombuffer(rows, dtype="float32").reshape(-1, omega.shape[1])
+    terms = sorted(rare)
+    idf = np.log((1 + passages) / (1 + np.array([df_of[w] for w in terms], dtype="float64"))) + 0.1
+    return terms, idf, np.random.default_rng(17).standard_normal((len(terms), len(own) + 2 * EXTRA))
+
+
+def _groups(blocks: list, plans: list):
+    """Blocks, with their plans, that share a scan."""
+    group, size = [], 0
+    for own, plan in zip(blocks, plans):
+        if group and size + plan[2].nbytes > SCAN_BYTES:
+            yield group
+            group, size = [], 0
+        group.append((own, plan))
+        size += plan[2].nbytes
+    if group:
+        yield group
+
+
+def _fit(texts: DataFrame, group: list):
+    """What _search needs for the blocks of a group: one scan of all texts, and terms x sketch numbers on the driver."""
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, (terms, _, _) in group for w in terms}))}
+    blocks = []
+    for _, (terms, idf, omega) in group:
+        numbers = np.full(len(vocabulary) + 1, -1, dtype="int64")  # the last is for words of no block
+        numbers[[vocabulary[w] for w in terms]] = np.arange(len(terms))
+        blocks.append((numbers, idf, omega))
+    schema = "block int, rows long, c binary"
+    tree = texts.mapInArrow(_sketch(vocabulary, blocks), "block int, rows long, part int, c binary").groupBy("block", "rows", "part").applyInPandas(_sum_rows, schema)
+    sums = [np.zeros_like(omega) for _, _, omega in blocks]
+    for k, lo, rows in tree.groupBy("block", "rows").applyInPandas(_sum_rows, schema).collect():  # terms x sketch
+        sums[k][lo : lo + ROWS] = np.frombuffer(rows, dtype="float32").reshape(-1, sums[k].shape[1])
+    return vocabulary, [_fit_block(own, terms, numbers, idf, omega, c) for (own, (terms, _, _)), (numbers, idf, omega), c in zip(group, blocks, sums)]
+
+
+def _fit_block(own, terms, numbers, idf, omega, c):
+    of = {w: i for i, w in enumerate(terms)}
     rows = []
     for k, (_, words, *_) in enumerate(own):
-        term, count = np.unique([vocabulary[w] for w in words if w in vocabulary], return_counts=True)
+        term, count = np.unique([of[w] for w in words if w in of], return_counts=True)
         rows.append((np.full(len(term), k), term, count))
     passage, term, count = (np.concatenate(x) for x in zip(*rows))
     by_term = np.argsort(term, kind="stable")
-    postings = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1)), passage[by_term], np.bincount(passage, minlength=len(own))
+    postings = np.searchsorted(term[by_term], np.arange(len(terms) + 1)), passage[by_term], np.bincount(passage, minlength=len(own))
     starts, _, w = _weighted(passage, term, count, idf)
     lens = np.diff(np.r_[starts, len(w)])
     # the items are passages too; together they weigh as much as what the corpus holds of their terms
@@ -313,7 +364,7 @@ def _fit(texts: DataFrame, own: list):
     basis = latent_basis(c, omega, len(own) + EXTRA)
     latent = np.add.reduceat(basis[term] * w[:, None], starts, axis=0)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return vocabulary, idf, basis.astype("float32"), latent.astype("float32"), postings, own
+    return numbers, idf, basis.astype("float32"), latent.astype("float32"), postings, own
 
 
 def _item_blocks(benchmark: DataFrame, size: int):
@@ -341,8 +392,10 @@ def contamination(
     spark = df.sparkSession
     texts = bounded_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     scans = []
-    for own in _item_blocks(benchmark, block_items):
-        block = spark.sparkContext.broadcast(_fit(texts, own))
+    blocks = list(_item_blocks(benchmark, block_items))
+    df_of, passages = _counts(texts, blocks) if blocks else ({}, 1)
+    for group in _groups(blocks, [_plan(own, df_of, passages) for own in blocks]):
+        block = spark.sparkContext.broadcast(_fit(texts, group))
         scans.append(texts.mapInArrow(_scan(block, cosine, lcs_sure, lcs_answer), "id long, th long, item_ids array<long>, lcs_share double"))
     if len(scans) == 1:
         out = scans[0]

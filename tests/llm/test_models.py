@@ -356,6 +356,45 @@ def test_contamination_at_all_lengths(spark):
         assert {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(df, bench, block_items=size).collect()} == want
 
 
+def lcs_brute(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b, 1):
+            last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def leak_brute(item, words):
+    """The largest share of the item in a stretch of words a quarter longer than it, over all stretches."""
+    wide = len(item) + len(item) // 4
+    return max((lcs_brute(item, words[k : k + wide]) for k in range(max(1, len(words) - len(item) + 1))), default=0) / len(item)
+
+
+def test_contamination_brute_force(spark, monkeypatch):
+    """Every item against every text, word by word: what holds 0.85 of an item is found, what holds under 0.55 is not."""
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(2)) for _ in range(900)]
+    some = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = {k: some(n) for k, n in enumerate((3, 5, 9, 14, 20, 33, 50, 64, 70, 110))}
+    texts = {}
+    for k in range(40):
+        words = some(rng.randrange(0, 160))
+        for item in rng.sample(sorted(items), k % 3):
+            own = [w if rng.random() > (0, 0.06)[k % 2] else rng.choice(pool) for w in items[item]]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own
+        texts[k] = words
+    texts[40] = items[4][:6] + some(20) + items[5][:9]  # parts of items
+    df = spark.createDataFrame([(k, " ".join(w).upper() if k % 5 == 0 else ", ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    share = {(d, i): leak_brute(item, words) for d, words in texts.items() for i, item in items.items()}
+    for size, scan in ((256, 64 << 20), (4, 64 << 20), (4, 1)):  # one block; blocks in one scan; a scan for each
+        monkeypatch.setattr(decontaminate, "SCAN_BYTES", scan)
+        got = {(r["doc_id"], i) for r in decontaminate.contamination(df, bench, block_items=size).collect() for i in r["item_ids"]}
+        assert {p for p, x in share.items() if x >= 0.85} <= got <= {p for p, x in share.items() if x >= 0.55}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy</div><article><h1>Head {n}</h1><p><b>One &amp; two{n}<br>three<p>Four   five</p><div class="comments"><p>Reader</p></div><aside>Side</aside></article><footer>&copy; Foot</footer></body></html>"""
 
@@ -514,32 +553,78 @@ def test_statistics_depend_on_the_text_only():
     assert x[:, quality.NAMES.index("top")].tolist() == [0.5, 0, 0, 1]
 
 
-def test_pipeline(spark, tmp_path):
+def test_pipeline(spark):
+    """Every stage against brute force on its own input, and run() against the stages one after another."""
     import corpus_pipeline
-    from test_dedup import lines_brute
+    from kinloom.llm.common import staged
+    from test_dedup import lines_brute, near_brute
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    items = {r["item_id"]: decontaminate.words_of(r["text"].encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert len(corpus_pipeline.STAGES) == 5
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, sf)
         assert after.columns == docs.columns
-        after.write.parquet(str(tmp_path / name))
-        after = spark.read.parquet(str(tmp_path / name))
+        after = staged(after, name)
         rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
+        kept = sorted(r[0] for r in after.select("doc_id").collect())
+        if name == "quality_classifier":
+            forest = quality.train(before, labels)
+            scores = forest.score(quality.statistics(pa.array([t or "" for _, t in rows])))
+            assert kept == sorted(i for (i, _), s in zip(rows, scores) if s >= 0.5)
         if name == "line_dedup":
             got = sorted((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in after.collect())
             assert got == [(a, d) for a, _, _, d in lines_brute(rows)]
+            assert all(r["n_chars"] == len(r["text"] or "") for r in after.collect())
         if name == "ngram_jaccard_join":
-            from test_dedup import near_brute
-
-            assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted({c for _, _, c, _ in near_brute(rows, 5, 80)})
-        assert 0 < after.count() <= before.count()
+            assert kept == sorted({c for _, _, c, _ in near_brute(rows, 5, 80)})
+        if name == "decontamination":
+            for i, t in rows:
+                words = decontaminate.words_of((t or "").encode())
+                if len(words) > 2000:
+                    continue
+                held = set(words)
+                share = max((leak_brute(item, words) for item in items.values() if len(held & set(item)) >= 0.5 * len(set(item))), default=0)
+                assert (i in kept) or share >= 0.5, i
+                assert (i not in kept) or share < 0.85, i
+        assert 0 < len(kept) <= len(rows)
         before = after
-    pieces = corpus_pipeline.STAGES[-1][1](spark, before, sf)
-    assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in before.select("doc_id").collect()}
+    key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())
+    ids = {r[0] for r in before.select("doc_id").collect()}
+    pieces = key(corpus_pipeline.STAGES[-1][1](spark, before, sf))
+    assert {p[0] for p in pieces} == ids
+    assert {(p[0], p[4]) for p in key(corpus_pipeline.run(spark, sf))} == {(p[0], p[4]) for p in pieces}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, ties, repeated ids, clashing names and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    line = "the same long line in each of these documents, word for word"
+    good = [" ".join(f"w{k}x{j} of the" for j in range(30)) + f".\n{line}" for k in range(8)]
+    rows = [(k, t) for k, t in enumerate(good)] + [(20, good[2] + " end"), (20, "some other text under a repeated id, that no other document has"), (None, None), (None, good[4]), (31, ""), (32, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS score", "1 AS kept_id", "2 AS leak_id", "3 AS gone_id", "4 AS may", "5 AS line_th", "6 AS id", "7 AS th", "8 AS n", "cast(length(text) AS long) AS n_chars")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, " ".join(f"w5x{j} of the" for j in range(12)))], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    out = {name: stages[name](spark, df, str(tmp_path)) for name in list(stages)[:-1]}
+    assert all(o.columns == df.columns for o in out.values())
+    ids = {name: sorted((-1 if r[0] is None else r[0]) for r in o.select("doc_id").collect()) for name, o in out.items()}
+    every = sorted(-1 if i is None else i for i, _ in rows)
+    assert ids["quality_classifier"] == every  # no labels: nothing is rejected
+    assert ids["line_dedup"] == every
+    texts = [(r["doc_id"], r["text"], r["n_chars"]) for r in out["line_dedup"].collect()]
+    assert {i for i, t, _ in texts if t and line in t} == {7, 20} and all(n == (None if t is None else len(t)) for _, t, n in texts)
+    assert ids["ngram_jaccard_join"] == sorted([-1, -1, *range(8), 20, 20, 31, 32])  # both ids are also ids of other texts
+    assert ids["decontamination"] == sorted(x for x in every if x != 5)
+    none = df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
 
 
 if __name__ == "__main__":
