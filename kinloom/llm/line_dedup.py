@@ -140,7 +140,8 @@ def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
     b = bitmaps.select(F.col("id").alias(bid), F.col("th").alias(bth), F.col("n_dropped").alias(dropped), _kept("keep_bitmap", "n_lines").alias(stay))
     text = F.coalesce(F.col(text_col), F.lit(""))
     near, rest = parted(df.withColumn(own, F.xxhash64(text)), F.col(own), bitmaps.select(F.col("th").alias("x")))
-    joined = near.join(b, F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(bth)), "left")
+    # bitmaps grow with the table, so this join is the same at every size
+    joined = near.join(b.hint("merge"), F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(bth)), "left")
     # the outer transform holds the lines of a text, so that each is looked up and the text is cut once
     kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.col(stay), lambda i: F.get(lines, i)), "\n"))[0]
     cut = joined.withColumn(text_col, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(kept))
