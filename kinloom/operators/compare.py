@@ -95,3 +95,75 @@ def recapture_weights(assignment: DataFrame) -> DataFrame:
 def het_share(panel: DataFrame) -> DataFrame:
     het = allele(F.col("gt"), 1) != allele(F.col("gt"), 2)
     return panel.groupBy("grp", "sample", "ord").agg(F.avg(het.cast("double")).alias("het_share"))
+
+
+def controls_named(assignments: dict[str, DataFrame], text: str) -> DataFrame:
+    """(method, n_rows, same_individual) over the samples whose name holds text: runs of one control sample."""
+    own = stacked(assignments).filter(F.contains(F.col("sample").cast("string"), F.lit(text)))
+    return own.groupBy("method").agg(F.count("*").alias("n_rows"), (F.count_distinct("individual") == 1).alias("same_individual"))
+
+
+def linkage_stability(single: DataFrame, complete: DataFrame) -> DataFrame:
+    """(n_single, n_complete, ari): does it matter that members of an individual all match each other?"""
+    n = lambda a, name: a.agg(F.count_distinct("individual").alias(name))
+    return n(single, "n_single").join(n(complete, "n_complete")).join(adjusted_rand(single, complete))  # one row each
+
+
+def evidence(scored: DataFrame | None, stats: DataFrame, min_loci: int = 15) -> tuple[DataFrame, str, bool]:
+    """(pairs with a column `value`, what it is, borrowed): the evidence a method gave for its pairs; a method that has
+    no pairs borrows the counts of differing loci, which are a property of the data."""
+    ok = F.col("n_compared") >= min_loci
+    if scored is None or not scored.head(1):
+        return stats.filter(ok).withColumn("value", F.col("n_mismatch").cast("double")), "n_mismatch", True
+    name = next(c for c in ("lr", "log10_lambda", "n_mismatch") if c in scored.columns)
+    return scored.filter(ok).withColumn("value", F.col(name).cast("double")), name, False
+
+
+def separation(scored: DataFrame, truth: DataFrame, min_loci: int = 1, share: float = 0.999) -> DataFrame:
+    """(mean_same, high_different, margin): the weakest evidence for a true pair less the strongest for a false one."""
+    a, b = truth.select(F.col("ord").alias("ord1"), F.col("individual").alias("t1")), truth.select(F.col("ord").alias("ord2"), F.col("individual").alias("t2"))
+    told = scored.filter(F.col("n_compared") >= min_loci).join(a, "ord1").join(b, "ord2")
+    same = F.when(F.col("t1") == F.col("t2"), F.col("lr"))
+    other = F.percentile(F.when(F.col("t1") != F.col("t2"), F.col("lr")), share)
+    return told.agg(F.avg(same).alias("mean_same"), other.alias("high_different"), (F.min(same) - other).alias("margin"))
+
+
+def mean_by(runs: DataFrame, by: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
+    """Means of the values of repeated runs, by setting; missing values do not count."""
+    return runs.groupBy(*by).agg(F.count("*").alias("n_runs"), *[F.avg(v).alias(v) for v in values])
+
+
+def paired_t(runs: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, mean_gain, t, df) of the paired differences a - b."""
+    d = F.col(a) - F.col(b)
+    one = runs.select(d.alias("d")).filter("d is not null").agg(F.count("*").alias("n"), F.avg("d").alias("mean_gain"), F.stddev_samp("d").alias("s"))
+    return one.select("n", "mean_gain", F.when(F.col("s") > 0, F.col("mean_gain") / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).alias("df"))
+
+
+def t_chance(t: float, df: float) -> float:
+    """Two-sided chance of a t as large, by the continued fraction of the incomplete beta function."""
+    import math
+
+    x = df / (df + t * t)
+    a, b = df / 2, 0.5
+    if x >= 1:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    return _beta_share(a, b, x) if not math.isnan(x) else math.nan
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    import math
+
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b)) / a if x > 0 else 0.0
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    out = d
+    for m in range(1, 500):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + k * d)
+            c = 1 + k / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out

@@ -66,7 +66,11 @@ def single_linkage(samples: DataFrame, matched: DataFrame) -> DataFrame:
     return named(samples.join(found.withColumnsRenamed({"node": "ord", "component": "cluster"}), "ord"))
 
 
-def maximal_cliques(order: list, neighbours: dict) -> list[list]:
+#: Cliques of one component that are listed at most; a graph with more is no match graph, and the job says so.
+MOST_CLIQUES = 1_000_000
+
+
+def maximal_cliques(order: list, neighbours: dict, most: int = MOST_CLIQUES) -> list[list]:
     """All maximal cliques; each step branches on the vertices outside the neighbourhood of a pivot with most of them."""
     found, place = [], {v: k for k, v in enumerate(order)}
     stack = [([], list(order), [])]
@@ -75,6 +79,8 @@ def maximal_cliques(order: list, neighbours: dict) -> list[list]:
         if not open_:
             if not done:
                 found.append(sorted(chosen, key=place.get))
+                if len(found) > most:
+                    raise ValueError(f"a component of {len(order)} samples has over {most} maximal cliques: use single linkage or a stricter rule")
             continue
         pivot = max(open_ + done, key=lambda v: len(neighbours[v].intersection(open_)))
         branches, left, closed = [], list(open_), list(done)
@@ -88,10 +94,21 @@ def maximal_cliques(order: list, neighbours: dict) -> list[list]:
 
 
 def complete_linkage(samples: DataFrame, matched: DataFrame) -> DataFrame:
-    """As single_linkage, but members of an individual all match each other: cliques by size, each claims what is free."""
-    single = components(samples.select(F.col("ord").alias("node")), matched.select(F.col("ord1").alias("u"), F.col("ord2").alias("v")))
-    edges = matched.select(F.col("ord1").alias("node"), F.col("ord2").alias("other"))
-    rows = single.join(edges, "node", "left").select("component", "node", "other")
+    """As single_linkage, but members of an individual all match each other: cliques by size, each claims what is free.
+
+    Pairs of a sample with itself or with one that is not in samples do not count.  A component that is a clique is
+    one individual by the number of its edges; only the others, chains of recaptures, are listed in a task each.
+    """
+    nodes = samples.select(F.col("ord").alias("node"))
+    edges = matched.select(F.least("ord1", "ord2").alias("node"), F.greatest("ord1", "ord2").alias("other")).filter("node != other").distinct()
+    edges = edges.join(nodes, "node", "left_semi").join(nodes.toDF("other"), "other", "left_semi").select("node", "other")
+    edges = staged(edges, "linkage-edges")
+    single = staged(components(nodes, edges.toDF("u", "v")), "linkage")
+    inside = edges.join(single, "node").groupBy("component").agg(F.count("*").alias("n_edges"))
+    size = single.groupBy("component").agg(F.count("*").alias("n")).join(inside, "component", "left")
+    full = size.filter(F.coalesce("n_edges", F.lit(0)) * 2 == F.col("n") * (F.col("n") - 1)).select("component")
+    whole = single.join(full, "component", "left_semi").select(F.col("node").alias("ord"), F.col("component").alias("cluster"))
+    rows = single.join(full, "component", "left_anti").join(edges, "node", "left").select("component", "node", "other")
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
         order = sorted(pdf["node"].unique().tolist())
@@ -106,7 +123,8 @@ def complete_linkage(samples: DataFrame, matched: DataFrame) -> DataFrame:
                 cluster[v] = free[0]
         return pd.DataFrame({"ord": order, "cluster": [cluster[v] for v in order]})
 
-    return named(samples.join(rows.groupBy("component").applyInPandas(claim, "ord long, cluster long"), "ord"))
+    split = rows.groupBy("component").applyInPandas(claim, "ord long, cluster long")
+    return named(samples.join(whole.unionByName(split), "ord"))
 
 
 def conflicts(assignment: DataFrame, matched: DataFrame) -> DataFrame:
@@ -134,3 +152,33 @@ def assignment_summary(assignment: DataFrame) -> DataFrame:
 
 def cluster_sizes(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("individual").agg(F.count("*").alias("cluster_size")).groupBy("cluster_size").agg(F.count("*").alias("n_individuals"))
+
+
+def linkage_counts(samples: DataFrame, matched: DataFrame, keys: list) -> DataFrame:
+    """(key, n_matched_pairs, n_individuals, max_cluster, n_conflicting) of single linkage for several settings at once.
+
+    matched: (key, ord1, ord2), each pair once; keys: the settings, which may have no pair.  All settings share the
+    rounds of one search for components.
+    """
+    total = samples.agg(F.count("*").alias("total"))
+    e = matched.select(F.struct("key", F.col("ord1").alias("ord")).alias("u"), F.struct("key", F.col("ord2").alias("ord")).alias("v"))
+    e = staged(e, "setting-edges")
+    found = staged(linked(e), "setting-components")
+    inside = e.join(found, F.col("u") == F.col("node")).groupBy("component").agg(F.count("*").alias("m"))
+    size = found.groupBy("component").agg(F.count("*").alias("n")).join(inside, "component")
+    broken = (F.col("n") >= 3) & (F.col("m") < F.col("n") * (F.col("n") - 1) / 2)
+    per = size.groupBy("component.key").agg(F.sum("m").alias("m"), F.sum(F.col("n") - 1).alias("merged"), F.max("n").alias("top"), F.count_if(broken).alias("broken"))
+    every = samples.sparkSession.createDataFrame([(k,) for k in keys], matched.select("key").schema)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return every.join(per, "key", "left").join(total).select(  # total is one row
+        "key", zero("m").alias("n_matched_pairs"), (F.col("total") - zero("merged")).alias("n_individuals"), F.when(F.col("total") > 0, F.coalesce("top", F.lit(1))).alias("max_cluster"), zero("broken").alias("n_conflicting")
+    )
+
+
+def final_table(assignment: DataFrame, panel: DataFrame, power: DataFrame) -> DataFrame:
+    """One row a sample with its call rate, power and cluster size; large clusters first, then the best-typed sample."""
+    from kinloom.operators.panel import sample_stats
+
+    size = assignment.groupBy("individual").agg(F.count("*").alias("n_samples_for_individual"))
+    rows = assignment.join(size, "individual").join(sample_stats(panel).select("ord", "call_rate"), "ord", "left").join(power.select("ord", "log10_pid_sib"), "ord", "left")
+    return rows.select("grp", "sample", "ord", "individual", "call_rate", "log10_pid_sib", "n_samples_for_individual").orderBy(F.desc("n_samples_for_individual"), "individual", F.desc("call_rate"), "ord")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.genotype import SEPARATORS, allele, normalise
 
+# Names of id and replicate columns, labels of summary rows, letters of DNA.
 ID_NAME = re.compile(r"sample|specimen|individual|indiv|barcode|(^|[^a-z])id$|^id", re.I)
 REPLICATE_NAME = re.compile(r"^(rep|replicate|pcr|run)", re.I)
 SUMMARY_LABEL = r"(?i)consensus|final|combined|summary"
+DNA = "^[ACGTN]$"
 
 
 def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,10 +22,20 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("c")).select("c.*")
 
 
+def _number(x):
+    """The number that a text spells, else null; a trailing d or f spells none."""
+    return F.when(~x.rlike(r"[0-9.][dDfF]\s*$"), x.try_cast("double"))
+
+
 def separator_shares(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(sep, share) of non-empty cells that each separator cuts in two."""
-    cells = _cells(df, columns).filter(F.length(F.trim("raw")) > 0)
-    shares = [F.avg((F.size(F.split(F.trim("raw"), re.escape(s), -1)) == 2).cast("double")).alias(str(k)) for k, s in enumerate(SEPARATORS)]
+    """(sep, share) of non-empty cells that each separator cuts in two; an empty piece at the very end is none."""
+    cells = _cells(df, columns).filter(F.length("raw") > 0)
+
+    def pieces(s):
+        parts = F.split("raw", re.escape(s), -1)
+        return F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+
+    shares = [F.avg((pieces(s) == 2).cast("double")).alias(str(k)) for k, s in enumerate(SEPARATORS)]
     return cells.agg(*shares).select(F.explode(F.array(*[F.struct(F.lit(s).alias("sep"), F.col(str(k)).alias("share")) for k, s in enumerate(SEPARATORS)])).alias("s")).select("s.*")
 
 
@@ -35,12 +47,12 @@ def guess_separator(df: DataFrame, columns: list[str]) -> str | None:
 def locus_tests(df: DataFrame, columns: list[str], sep: str | None = None) -> DataFrame:
     """(column, figures..., is_locus): what each column's values look like, and whether it passes every test."""
     cells = _cells(df, columns).withColumn("x", F.upper(F.trim(F.coalesce("raw", F.lit(""))))).withColumn("gt", normalise(F.col("raw"), sep))
-    number = F.expr("try_cast(x as double)")
+    number = _number(F.col("x"))
     filled = F.col("x") != ""
     base = cells.groupBy("column").agg(
         F.count_if(filled).alias("n_filled"),
         F.count_if(filled & number.isNull()).alias("n_text"),
-        F.count_distinct(F.when(filled, F.col("x"))).alias("n_values"),
+        F.count_distinct(F.when(filled, number)).alias("n_values"),
         F.count("*").alias("n_rows"),
         F.count("gt").alias("n_typed"),
         F.count_distinct("gt").alias("n_genotypes"),
@@ -50,7 +62,7 @@ def locus_tests(df: DataFrame, columns: list[str], sep: str | None = None) -> Da
         F.count_distinct("a").alias("n_alleles"),
         F.min(F.length("a")).alias("narrow"),
         F.max(F.length("a")).alias("wide"),
-        F.min(F.col("a").rlike("^[ACGTN]+$").cast("int")).alias("dna"),
+        F.min(F.col("a").rlike(DNA).cast("int")).alias("dna"),
         F.min(F.col("a").rlike("^[0-9]+$").cast("int")).alias("digits"),
     )
     rows = base.join(own, "column", "left")
@@ -75,12 +87,15 @@ def detect_loci(df: DataFrame, sep: str | None = None, exclude: tuple[str, ...]
 
 
 def id_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, score): share of distinct values, less 1 when all are numbers, plus 2 when the name tells."""
+    """(column, score): share of distinct values (null is one), less 1 when all are numbers, plus 2 when the name tells."""
     hints = {c: 2.0 if ID_NAME.search(c) else 0.0 for c in columns}
     bonus = df.sparkSession.createDataFrame([(c, v) for c, v in hints.items()], "column string, bonus double")
-    cells = _cells(df, columns)
-    own = cells.groupBy("column").agg((F.count_distinct("raw") / F.count("*")).alias("share"), F.count_if(F.col("raw").isNotNull() & F.expr("try_cast(raw as double)").isNull()).alias("n_text"))
-    return own.join(F.broadcast(bonus), "column").select("column", (F.col("share") - F.when(F.col("n_text") == 0, 1.0).otherwise(0.0) + F.col("bonus")).alias("score"))
+    raw = F.col("raw")
+    own = _cells(df, columns).groupBy("column").agg(
+        ((F.count_distinct("raw") + F.max(raw.isNull().cast("int"))) / F.count("*")).alias("share"), F.count("raw").alias("n"), F.count_if(raw.isNotNull() & _number(raw).isNull()).alias("n_text")
+    )
+    numbers = (F.col("n") > 0) & (F.col("n_text") == 0)
+    return own.join(F.broadcast(bonus), "column").select("column", (F.col("share") - F.when(numbers, 1.0).otherwise(0.0) + F.col("bonus")).alias("score"))
 
 
 def guess_id(df: DataFrame, columns: list[str] | None = None) -> str:
@@ -94,9 +109,21 @@ def has_replicates(df: DataFrame, id_col: str) -> bool:
 
 
 def guess_replicate_column(columns: list[str], loci: list[str]) -> str | None:
-    return next((c for c in columns if c not in loci and REPLICATE_NAME.search(c)), None)
+    """The first column that is no locus and has a replicate's name, else the first that is no locus."""
+    rest = [c for c in columns if c not in loci]
+    return next((c for c in rest if REPLICATE_NAME.search(c)), rest[0] if rest else None)
 
 
 def summary_labels(df: DataFrame, column: str) -> DataFrame:
     """Replicate labels that mark summary rows, which are not replicates."""
     return df.select(column).distinct().filter(F.col(column).rlike(SUMMARY_LABEL))
+
+
+def replicate_plan(df: DataFrame, id_col: str, loci: list[str]) -> tuple[str | None, tuple[str, ...]]:
+    """(replicate column, labels that are no replicates) where ids occur more than once, else (None, ())."""
+    if not has_replicates(df, id_col):
+        return None, ()
+    column = guess_replicate_column([c for c in df.columns if c != id_col], loci)
+    if column is None:
+        return None, ()
+    return column, tuple(sorted(r[0] for r in summary_labels(df, column).collect()))  # a few labels

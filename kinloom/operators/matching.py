@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from kinloom.functions.genotype import posterior
 from kinloom.operators import likelihood, pairs
@@ -24,9 +23,19 @@ def threshold(stats: DataFrame, k: int = 1, hard: int = 0, min_loci: int = 20) -
 
 
 def near(stats: DataFrame, near_loci: int = 2, min_loci: int = 1) -> DataFrame:
+    """Pairs that differ at up to near_loci loci, the most similar first."""
     return stats.filter((F.col("n_compared") >= min_loci) & F.col("n_mismatch").between(1, near_loci))
 
 
+def in_near_order(found: DataFrame) -> DataFrame:
+    return found.orderBy("n_mismatch", F.desc("n_compared"), "ord1", "ord2")
+
+
+def top_pairs(scored: DataFrame, n: int = 200, digits: int = 6) -> DataFrame:
+    """The n pairs with most evidence; evidence that agrees to so many digits is a tie, decided by row order."""
+    return scored.orderBy(F.desc(F.round("lr", digits)), "ord1", "ord2").limit(n)
+
+
 def mismatch_histogram(stats: DataFrame, min_loci: int = 1) -> DataFrame:
     return stats.filter(F.col("n_compared") >= min_loci).groupBy("n_mismatch").agg(F.count("*").alias("n_pairs"))
 
@@ -42,39 +51,38 @@ def fallback_mismatches(stats: DataFrame, min_loci: int = 20, max_m: int = 6) ->
 
 def lr_pairs(panel: DataFrame, dropout: float = 0.02, false_allele: float = 0.005, kinship: str | tuple = "full_sib") -> DataFrame:
     """(grp, ord1, ord2, id1, id2, n_compared, lr) from consensus genotypes."""
+    panel = staged(panel, "panel")
     table = likelihood.lr_table(dictionary(panel), allele_freq(panel), dropout, false_allele, kinship)
     return pairs.lookup_sums(encode(panel), table, ["lr"])
 
 
-def priors(scored: DataFrame, sizes: DataFrame, cut: float = 0.999, min_loci: int = 15, rounds: int = 25) -> DataFrame:
-    """(grp, prior): share of matching pairs, found by repeated estimation for all blocks at once.
+def priors(scored: DataFrame, sizes: DataFrame, cut: float | str = 0.999, min_loci: int = 15, rounds: int = 25, by: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """(by..., prior): share of matching pairs, found by repeated estimation for all blocks (and settings) at once.
 
-    scored: (grp, lr, n_compared), written once; sizes: (grp, n).  A block stops at the value it had when the next one
-    is equal to it; each round is one aggregation with partial counts, and a row a block comes to the driver.
+    scored: (by..., lr, n_compared); sizes: (by..., n, the cut if it is a column).  A block stops at the value it had
+    when the next one is equal to it.  No prior is over a half, so only pairs that would match then are kept; each
+    round is one aggregation with partial counts, and its table of a row a block is written to the shared folder.
     """
-    total = {r["grp"]: int(r["n"]) for r in sizes.collect()}
-    value = {g: 1 / max(n, 2) for g, n in total.items()}
-    n_pairs = {g: n * (n - 1) / 2 for g, n in total.items()}
-    open_ = {g for g in total if n_pairs[g] > 0}
-    spark = scored.sparkSession
-    usable = scored.filter(F.col("n_compared") >= min_loci)
+    n, total = F.col("n"), F.col("n") * (F.col("n") - 1) / 2
+    least = 1 / F.greatest(n, F.lit(2))
+    at = F.col(cut) if isinstance(cut, str) else F.lit(float(cut))
+    state = staged(sizes.select(*by, "n", at.alias("at"), least.alias("prior"), (total == 0).alias("done")), "priors")
+    lowest = at * (1 - 1e-9)
+    usable = scored.filter((F.col("n_compared") >= min_loci) & (posterior(F.col("lr"), F.lit(0.5)) >= lowest)).select(*by, "lr")
+    usable = staged(usable, "may-match")
     for _ in range(rounds):
-        if not open_:
+        open_ = state.filter("not done")
+        if not open_.head(1):
             break
-        now = spark.createDataFrame([(g, value[g]) for g in sorted(open_)], scored.select("grp").schema.add("prior", DoubleType()))
-        hits = usable.join(F.broadcast(now), "grp").filter(posterior(F.col("lr"), F.col("prior")) >= cut).groupBy("grp").agg(F.count("*").alias("m"))
-        matched = {r["grp"]: r["m"] for r in hits.collect()}
-        for g in list(open_):
-            new = min(0.5, max(1 / max(total[g], 2), (matched.get(g, 0) + 1) / n_pairs[g]))
-            if abs(new - value[g]) < 1e-10:
-                open_.discard(g)
-            else:
-                value[g] = new
-    return spark.createDataFrame(sorted(value.items()), scored.select("grp").schema.add("prior", DoubleType()))
+        hits = usable.join(open_.select(*by, "prior", "at"), list(by)).filter(posterior(F.col("lr"), F.col("prior")) >= F.col("at")).groupBy(*by).agg(F.count("*").alias("m"))
+        new = F.least(F.lit(0.5), F.greatest(least, (F.coalesce("m", F.lit(0)) + 1) / F.nullif(total, F.lit(0))))
+        stays = F.col("done") | (F.abs(new - F.col("prior")) < 1e-10)
+        state = staged(state.join(hits, list(by), "left").select(*by, "n", "at", F.when(stays, F.col("prior")).otherwise(new).alias("prior"), stays.alias("done")), "priors")
+    return state.select(*by, "prior")
 
 
 def with_posterior(scored: DataFrame, prior: DataFrame) -> DataFrame:
-    return scored.join(F.broadcast(prior), "grp").withColumn("posterior", posterior(F.col("lr"), F.col("prior")))
+    return scored.join(prior, "grp").withColumn("posterior", posterior(F.col("lr"), F.col("prior")))
 
 
 def likelihood_ratio(panel: DataFrame, dropout: float = 0.02, false_allele: float = 0.005, kinship: str | tuple = "full_sib", cut: float = 0.999, min_loci: int = 15, prior: float | None = None, scored: DataFrame | None = None):
@@ -88,6 +96,7 @@ def likelihood_ratio(panel: DataFrame, dropout: float = 0.02, false_allele: floa
 
 def best_alternative_pairs(panel: DataFrame, dropout: float = 0.02, false_allele: float = 0.005, alternatives: tuple[str, ...] = ALTERNATIVES) -> DataFrame:
     """(..., n_compared, same, alternatives..., best_alternative, log10_lambda)."""
+    panel = staged(panel, "panel")
     table = likelihood.log_likelihoods(dictionary(panel), allele_freq(panel), dropout, false_allele, {a: likelihood.KINSHIP[a] for a in alternatives})
     return decided(pairs.lookup_sums(encode(panel), table, ["same", *alternatives]), alternatives)
 
@@ -108,7 +117,7 @@ def best_alternative(scored: DataFrame, lambda_cut: float = 1.0, min_loci: int =
 
 def matched_power(matched: DataFrame, panel: DataFrame, power: DataFrame) -> DataFrame:
     """(id1, id2, log10_pid, log10_pid_sib) over the loci that both samples of a matched pair have; power: by block."""
-    typed = panel.filter(F.col("gt").isNotNull()).join(F.broadcast(power), ["grp", "locus"]).select("ord", "locus", "pid", "pid_sib")
+    typed = panel.filter(F.col("gt").isNotNull()).join(power, ["grp", "locus"]).select("ord", "locus", "pid", "pid_sib")
     first = matched.select("ord1", "ord2", "id1", "id2").join(typed.withColumnRenamed("ord", "ord1"), "ord1")
     both = first.join(typed.select(F.col("ord").alias("ord2"), "locus"), ["ord2", "locus"])
     return both.groupBy("id1", "id2").agg(F.sum(F.log10("pid")).alias("log10_pid"), F.sum(F.log10("pid_sib")).alias("log10_pid_sib"))
@@ -116,17 +125,24 @@ def matched_power(matched: DataFrame, panel: DataFrame, power: DataFrame) -> Dat
 
 def sweep(samples: DataFrame, stats: DataFrame, max_k: int = 6, min_loci: int = 20) -> DataFrame:
     """(k, n_matched_pairs, n_individuals, max_cluster, n_conflicting) for 0..max_k mismatches, whatever their kind."""
-    from kinloom.operators.graph import conflicts, single_linkage
+    from kinloom.operators.graph import linkage_counts
+
+    pairs_ = stats.filter((F.col("n_compared") >= min_loci) & (F.col("n_mismatch") <= max_k))
+    matched = pairs_.select(F.explode(F.sequence(F.col("n_mismatch").cast("long"), F.lit(max_k).cast("long"))).alias("key"), "ord1", "ord2")
+    return linkage_counts(samples, matched, list(range(max_k + 1))).withColumnRenamed("key", "k")
+
 
-    out = None
-    for k in range(max_k + 1):
-        matched = stats.filter((F.col("n_compared") >= min_loci) & (F.col("n_mismatch") <= k))
-        found = staged(single_linkage(samples, matched), "sweep")
-        size = found.groupBy("individual").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_individuals"), F.max("n").alias("max_cluster"))
-        row = matched.agg(F.count("*").alias("n_matched_pairs")).join(size).join(conflicts(found, matched).agg(F.count("*").alias("n_conflicting")))  # one row each
-        row = row.select(F.lit(k).cast("long").alias("k"), "n_matched_pairs", "n_individuals", "max_cluster", "n_conflicting")
-        out = row if out is None else out.unionByName(row)
-    return out
+def power_ceiling(panel: DataFrame, scored: DataFrame, table: DataFrame, cut: float = 0.999, min_loci: int = 15) -> DataFrame:
+    """(grp, max_lr_theoretical, max_lr, max_posterior, reachable): what a block's loci can say at most, and what its
+    most similar pair says; a cutoff over that leaves every sample alone.
+
+    scored: pairs with posterior; table: lr_table of the panel.
+    """
+    most = table.groupBy("grp", "locus").agg(F.max("lr").alias("m")).groupBy("grp").agg(F.sum("m").alias("max_lr_theoretical"))
+    seen = scored.filter(F.col("n_compared") >= min_loci).groupBy("grp").agg(F.max("lr").alias("max_lr"), F.max("posterior").alias("max_posterior"))
+    rows = panel.select("grp").distinct().join(most, "grp", "left").join(seen, "grp", "left")
+    top = F.coalesce("max_posterior", F.lit(0.0))
+    return rows.select("grp", F.coalesce("max_lr_theoretical", F.lit(0.0)).alias("max_lr_theoretical"), "max_lr", top.alias("max_posterior"), (top >= cut).alias("reachable"))
 
 
 def plateau(table: DataFrame) -> DataFrame:
@@ -137,18 +153,38 @@ def plateau(table: DataFrame) -> DataFrame:
     return flat.agg(F.coalesce(F.max("k"), F.lit(1)).alias("k"))
 
 
-def sensitivity(panel: DataFrame, dropouts: tuple[float, ...] = (0.01, 0.05), kinships: tuple[str, ...] = ("unrelated", "full_sib"), cuts: tuple[float, ...] = (0.99, 0.999), false_allele: float = 0.005, min_loci: int = 15) -> DataFrame:
-    """(kinship, dropout, cutoff, n_individuals): evidence once for each dropout and kinship, reused by all cutoffs."""
-    from kinloom.operators.graph import components, samples_of
+#: The grid of settings.
+GRID = {"dropouts": (0.001, 0.01, 0.05), "kinships": ("unrelated", "full_sib"), "cuts": (0.95, 0.99, 0.999, 0.9999)}
 
-    nodes = staged(samples_of(panel), "samples").select(F.col("ord").alias("node"))
-    sizes = panel.groupBy("grp").agg(F.count_distinct("sample").alias("n"))
-    rows = []
-    for d in dropouts:
-        for kin in kinships:
-            scored = staged(lr_pairs(panel, d, false_allele, kin), "grid")
-            for cut in cuts:
-                found = with_posterior(scored, priors(scored, sizes, cut, min_loci)).filter((F.col("n_compared") >= min_loci) & (F.col("posterior") >= cut))
-                n = components(nodes, found.select(F.col("ord1").alias("u"), F.col("ord2").alias("v"))).agg(F.count_distinct("component")).first()[0]
-                rows.append((kin, d, cut, n))
-    return panel.sparkSession.createDataFrame(rows, "kinship string, dropout double, cutoff double, n_individuals long")
+
+def sensitivity(panel: DataFrame, dropout: float = 0.02, kinship: str = "full_sib", cut: float = 0.999, false_allele: float = 0.005, min_loci: int = 15, grid: dict = GRID) -> DataFrame:
+    """(kinship, dropout, cutoff, n_individuals, n_conflicting, current) over the grid with the current settings in it.
+
+    The evidence for all dropouts and kinships is one pass over the pairs; priors and components of all settings share
+    their rounds.
+    """
+    from kinloom.operators.graph import linkage_counts, samples_of
+
+    panel = staged(panel, "panel")
+    dropouts, cuts, kinships = sorted({*grid["dropouts"], dropout}), sorted({*grid["cuts"], cut}), grid["kinships"]
+    dic, freq = dictionary(panel), allele_freq(panel)
+    table = None
+    for k, d in enumerate(dropouts):
+        own = likelihood.log_likelihoods(dic, freq, d, false_allele, {x: likelihood.KINSHIP[x] for x in kinships})
+        own = own.select("grp", "locus", "g1", "g2", *[(F.col("same") - F.col(x)).alias(f"lr{k}_{j}") for j, x in enumerate(kinships)])
+        table = own if table is None else table.join(own, ["grp", "locus", "g1", "g2"])
+    names = [f"lr{k}_{j}" for k in range(len(dropouts)) for j in range(len(kinships))]
+    scored = pairs.lookup_sums(encode(panel), table, names)
+    lrs = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(n).alias("lr")) for s, n in enumerate(names)])).alias("x")
+    steps = F.explode(F.array(*map(F.lit, cuts))).alias("cut")
+    long = scored.filter(F.col("n_compared") >= min_loci).select("grp", "ord1", "ord2", "n_compared", lrs).select("grp", "ord1", "ord2", "n_compared", "x.*")
+    long = staged(long.filter(posterior(F.col("lr"), F.lit(0.5)) >= min(cuts) * (1 - 1e-9)).select("*", steps), "grid")
+    samples = staged(samples_of(panel), "samples")
+    settings = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(c).alias("cut")) for s in range(len(names)) for c in cuts])).alias("y")
+    sizes = samples.groupBy("grp").agg(F.count("*").alias("n")).select("grp", "n", settings).select("grp", "n", "y.*")
+    prior = priors(long, sizes, "cut", min_loci, by=("grp", "s", "cut"))
+    key = F.concat_ws("|", F.element_at(F.array(*[F.lit(f"{d}|{x}") for d in dropouts for x in kinships]), F.col("s") + 1), F.col("cut").cast("string")).alias("key")
+    matched = long.join(prior, ["grp", "s", "cut"]).filter(posterior(F.col("lr"), F.col("prior")) >= F.col("cut")).select(key, "ord1", "ord2")
+    rows = [(f"{d}|{x}|{c}", x, d, c, (d, x, c) == (dropout, kinship, cut)) for d in dropouts for x in kinships for c in cuts]
+    named = panel.sparkSession.createDataFrame(rows, "key string, kinship string, dropout double, cutoff double, current boolean")
+    return named.join(linkage_counts(samples, matched, [r[0] for r in rows]), "key").select("kinship", "dropout", "cutoff", "n_individuals", "n_conflicting", "current")

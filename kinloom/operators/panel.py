@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kinloom.functions.genotype import allele, normalise
+from kinloom.sources.staging import staged
 
 
 def to_panel(df: DataFrame, id_col: str, loci: list[str], order_col: str, group_col: str | None = None, sep: str | None = None) -> DataFrame:
@@ -20,28 +21,37 @@ def to_panel(df: DataFrame, id_col: str, loci: list[str], order_col: str, group_
     return ids.unpivot(["grp", "sample", "ord"], loci, "locus", "raw").select("grp", "sample", "ord", "locus", normalise(F.col("raw"), sep).alias("gt"))
 
 
-def alleles(panel: DataFrame, *keep: str) -> DataFrame:
-    """One row for each allele copy."""
-    typed = panel.filter(F.col("gt").isNotNull())
-    return typed.select(*keep, "locus", F.explode(F.array(allele(F.col("gt"), 1), allele(F.col("gt"), 2))).alias("allele"))
+def genotype_counts(panel: DataFrame, *by: str) -> DataFrame:
+    """(by..., locus, gt, c): the few genotypes of a locus, summed before the shuffle; null counts as one."""
+    return panel.groupBy(*by, "locus", "gt").agg(F.count("*").alias("c"))
+
+
+def _shares(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by..., locus, allele, p) from (by..., locus, gt, w)."""
+    copies = counts.filter("gt is not null").select(*by, "locus", "w", F.explode(F.array(allele(F.col("gt"), 1), allele(F.col("gt"), 2))).alias("allele"))
+    total = copies.groupBy(*by, "locus", "allele").agg(F.sum("w").alias("w"))
+    return total.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy(*by, "locus"))).drop("w")
 
 
 def allele_freq(panel: DataFrame, by: tuple[str, ...] = ("grp",), weights: DataFrame | None = None) -> DataFrame:
     """(by..., locus, allele, p); weights: (sample, weight), counted once for each allele copy."""
     if weights is None:
-        counts = alleles(panel, *by).groupBy(*by, "locus", "allele").agg(F.count("*").cast("double").alias("w"))
+        counts = genotype_counts(panel, *by).select(*by, "locus", "gt", F.col("c").cast("double").alias("w"))
     else:
-        counts = alleles(panel, *by, "sample").join(weights, "sample").groupBy(*by, "locus", "allele").agg(F.sum("weight").alias("w"))
-    return counts.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy(*by, "locus"))).drop("w")
+        counts = panel.join(weights, "sample").groupBy(*by, "locus", "gt").agg(F.sum("weight").alias("w"))
+    return _shares(counts, by)
 
 
 def locus_stats(panel: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., locus, n, call_rate, n_alleles, maf, ho, he, fis)."""
+    """(by..., locus, n, call_rate, n_alleles, maf, ho, he, fis), all from one count of genotypes."""
     key = (*by, "locus")
-    het = F.avg((allele(F.col("gt"), 1) != allele(F.col("gt"), 2)).cast("double"))
-    typed = panel.groupBy(*key).agg(F.count("gt").alias("n"), (F.count("gt") / F.count("*")).alias("call_rate"), het.alias("ho"))
-    freq = allele_freq(panel, by).groupBy(*key).agg(F.count("*").alias("n_alleles"), F.min("p").alias("maf"), (1 - F.sum(F.col("p") * F.col("p"))).alias("he"))
-    return typed.join(freq, list(key), "left").select(
+    counts = staged(genotype_counts(panel, *by), "genotypes")  # a row a genotype of a locus
+    typed, het = F.col("gt").isNotNull(), allele(F.col("gt"), 1) != allele(F.col("gt"), 2)
+    n = F.coalesce(F.sum(F.when(typed, F.col("c"))), F.lit(0))
+    rates = counts.groupBy(*key).agg(n.alias("n"), (n / F.sum("c")).alias("call_rate"), (F.sum(F.when(het, F.col("c")).when(typed, 0)) / F.nullif(n, F.lit(0))).alias("ho"))
+    freq = _shares(counts.select(*key, "gt", F.col("c").cast("double").alias("w")), by)
+    freq = freq.groupBy(*key).agg(F.count("*").alias("n_alleles"), F.min("p").alias("maf"), (1 - F.sum(F.col("p") * F.col("p"))).alias("he"))
+    return rates.join(freq, list(key), "left").select(
         *key, "n", "call_rate", F.coalesce("n_alleles", F.lit(0)).alias("n_alleles"), "maf", "ho", "he", F.when(F.col("he") > 1e-12, 1 - F.col("ho") / F.col("he")).alias("fis")
     )
 
@@ -108,7 +118,7 @@ def loci_needed(cumulative: DataFrame, bands: tuple[float, ...] = (0.01, 0.001))
 
 def sample_power(panel: DataFrame, power: DataFrame) -> DataFrame:
     """Per sample: products over the loci it has."""
-    typed = panel.filter(F.col("gt").isNotNull()).select("grp", "sample", "ord", "locus").join(F.broadcast(power), [c for c in ("grp", "locus") if c in power.columns])
+    typed = panel.filter(F.col("gt").isNotNull()).select("grp", "sample", "ord", "locus").join(power, [c for c in ("grp", "locus") if c in power.columns])
     sums = typed.groupBy("sample").agg(F.count("*").alias("n_loci"), F.sum(F.log10("pid")).alias("log10_pid"), F.sum(F.log10("pid_sib")).alias("log10_pid_sib"))
     every = panel.select("grp", "sample", "ord").distinct()
     zero = F.lit(0.0)
@@ -145,3 +155,31 @@ def quality_flags(raw: DataFrame, sep: str | None = None) -> DataFrame:
         F.count_if(gt.isNotNull() & (plain != ordered) & (F.length(plain) > 1)).alias("n_reordered"),
         F.count_if(F.col("raw").rlike(r"[*?!#]")).alias("n_flagged"),
     )
+
+
+def linked_loci(ld: DataFrame, over: float = 0.3) -> DataFrame:
+    return ld.filter(F.col("r2") > over)
+
+
+def top_linked(ld: DataFrame, n: int = 25, digits: int = 6) -> DataFrame:
+    """The n pairs of loci that go together most; r2 that agree to so many digits are ties, decided by the names."""
+    return ld.orderBy(F.desc(F.round("r2", digits)), "locus1", "locus2").limit(n)
+
+
+def odd_fis(stats: DataFrame, over: float = 0.3) -> DataFrame:
+    """(locus, fis) of loci far from Hardy-Weinberg shares, either way."""
+    return stats.filter(F.abs("fis") > over).select("locus", "fis")
+
+
+def amplicon(locus, suffix: str = "SNP2"):
+    """The marker that a locus is read with: its name without the suffix of a second site."""
+    return F.regexp_replace(locus, suffix + "$", "")
+
+
+def same_amplicon(ld: DataFrame, suffix: str = "SNP2") -> DataFrame:
+    return ld.filter(amplicon(F.col("locus1"), suffix) == amplicon(F.col("locus2"), suffix))
+
+
+def pruned(power: DataFrame, suffix: str = "SNP2") -> DataFrame:
+    """power (locus, pid, pid_sib) with one site an amplicon, so that linked sites are not multiplied as independent."""
+    return power.filter(~F.col("locus").endswith(suffix))

@@ -6,6 +6,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -19,17 +20,19 @@ KEY = ["grp", "sample", "ord", "locus"]
 
 
 def consensus(reps: DataFrame, het_n: int = 2, hom_n: int = 3) -> DataFrame:
-    """Panel: the most frequent heterozygote seen het_n times; else the two alleles, if exactly two are in two
-    replicates or more; else the most frequent homozygote seen hom_n times; else missing."""
-    typed = reps.filter(F.col("gt").isNotNull())
-    counts = typed.groupBy(*KEY, "gt").agg(F.count("*").alias("c"))
-    het = is_het(F.col("gt"))
-    best = lambda ok: F.min(F.when(ok, F.struct((-F.col("c")).alias("k"), "gt")))["gt"]
-    calls = counts.groupBy(*KEY).agg(best(het & (F.col("c") >= het_n)).alias("het"), best(~het & (F.col("c") >= hom_n)).alias("hom"))
-    held = counts.select(*KEY, "c", F.explode(F.array_distinct(F.array(allele(F.col("gt"), 1), allele(F.col("gt"), 2)))).alias("a"))
-    held = held.groupBy(*KEY, "a").agg(F.sum("c").alias("c")).filter("c >= 2").groupBy(*KEY).agg(F.count("*").alias("n"), F.concat_ws("/", F.min("a"), F.max("a")).alias("two"))
-    every = reps.select(*KEY).distinct()
-    return every.join(calls, KEY, "left").join(held, KEY, "left").select(*KEY, F.coalesce("het", F.when(F.col("n") == 2, F.col("two")), "hom").alias("gt"))
+    """Panel: the most frequent heterozygote seen het_n times; else the two alleles, if exactly two are in het_n
+    replicates or more; else the most frequent homozygote seen hom_n times; else missing.
+
+    One grouping: the few replicates of a cell are decided inside its row.
+    """
+    cells = reps.groupBy(*KEY).agg(F.collect_list("gt").alias("gts"))
+    times = lambda x: F.size(F.filter("gts", lambda g: g == x))
+    counted = F.transform(F.array_distinct("gts"), lambda g: F.struct((-times(g)).alias("k"), g.alias("gt")))
+    holds = lambda a: F.size(F.filter("gts", lambda g: (allele(g, 1) == a) | (allele(g, 2) == a)))
+    names = F.array_distinct(F.flatten(F.transform("gts", lambda g: F.array(allele(g, 1), allele(g, 2)))))
+    cells = cells.select(*KEY, counted.alias("c"), F.array_sort(F.filter(names, lambda a: holds(a) >= het_n)).alias("held"))
+    best = lambda het, n: F.array_min(F.filter("c", lambda x: (is_het(x["gt"]) if het else ~is_het(x["gt"])) & (-x["k"] >= n)))["gt"]
+    return cells.select(*KEY, F.coalesce(best(True, het_n), F.when(F.size("held") == 2, F.array_join("held", "/")), best(False, hom_n)).alias("gt"))
 
 
 def with_orphans(panel: DataFrame, reps: DataFrame) -> DataFrame:
@@ -55,36 +58,57 @@ def genotype_likelihood(panel: DataFrame, reps: DataFrame, dropout: float = 0.02
 def pair_sums(panel: DataFrame, reps: DataFrame, dropout: float = 0.02, false_allele: float = 0.005, alternatives: tuple[str, ...] = matching.ALTERNATIVES) -> DataFrame:
     """(grp, ord1, ord2, id1, id2, n_compared, same, alternatives...) from replicates.
 
-    A sample travels once, as arrays over loci: its likelihood vector, and for each hypothesis the vector times the
-    pair table.  A pair's evidence at a locus is then a short dot product.
+    A sample travels as one list over loci and genotypes: its likelihood, and for each hypothesis the likelihood times
+    the pair table.  The evidence of two tiles of samples at a locus is then one matrix product.
     """
     loci = pairs.locus_index(panel)
+    n = len(loci)
     dic, freq = staged(dictionary(panel), "dictionary"), staged(allele_freq(panel), "freq")
     lik = staged(genotype_likelihood(panel, reps, dropout, false_allele), "genotype-likelihood")
     gp = likelihood.genotype_prob(dic, freq).select("grp", "locus", F.col("code").alias("t"), "gp")
     tables = {"same": gp.select("grp", "locus", "t", F.col("t").alias("u"), F.col("gp").alias("pp"))}
     tables |= {a: likelihood.pair_prob(dic, freq, likelihood.KINSHIP[a]) for a in alternatives}
     width = int(dic.agg(F.max("code")).first()[0] or 1)
-    rows = lik.withColumnRenamed("lik", "m")
-    for name, table in tables.items():
-        moved = lik.join(table, ["grp", "locus", "t"]).groupBy(*KEY, F.col("u").alias("t")).agg(F.sum(F.col("lik") * F.col("pp")).alias(f"v_{name}"))
-        rows = rows.join(moved, [*KEY, "t"])
+    every = None
+    for name, table in tables.items():  # the hypotheses side by side, so that one join and one sum make all vectors
+        own = table.select("grp", "locus", "t", "u", *[(F.col("pp") if x == name else F.lit(0.0)).alias(f"p_{x}") for x in tables])
+        every = own if every is None else every.unionByName(own)
+    every = every.groupBy("grp", "locus", "t", "u").agg(*[F.sum(f"p_{x}").alias(f"p_{x}") for x in tables])
+    moved = lik.join(every, ["grp", "locus", "t"]).groupBy(*KEY, F.col("u").alias("t")).agg(*[F.sum(F.col("lik") * F.col(f"p_{x}")).alias(f"v_{x}") for x in tables])
+    rows = lik.join(moved, [*KEY, "t"])
     index = panel.sparkSession.createDataFrame([(x, k) for k, x in enumerate(loci)], panel.select("locus").schema.add("lidx", IntegerType()))
-    at = F.col("lidx") * width + F.col("t") - 1
+    at = (F.col("lidx") * width + F.col("t") - 1).cast("int")
     packed = rows.join(F.broadcast(index), "locus").groupBy("grp", "sample", "ord").agg(
-        F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.struct("m", *[f"v_{n}" for n in tables]).alias("v")))).alias("at"),
-        F.expr("bit_or(if(n_obs > 0 and lidx < 64, shiftleft(1L, lidx), 0L))").alias("seen0"),
-        F.array_sort(F.collect_set(F.when((F.col("n_obs") > 0) & (F.col("lidx") >= 64), F.col("lidx")))).alias("seen1"),
+        F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("n_obs").cast("double").alias("n_obs"), F.col("lik").alias("m"), *[f"v_{x}" for x in tables]))).alias("cells")
     )
-    cells = F.sequence(F.lit(0), F.lit(len(loci) * width - 1))
-    array = lambda field: F.transform(cells, lambda k: F.coalesce(F.col("at")[k][field], F.lit(0.0)))
-    vectors = packed.select("grp", "sample", "ord", "seen0", "seen1", array("m").alias("m"), *[array(f"v_{n}").alias(f"v_{n}") for n in tables])
-    sums = []
-    for name in tables:
-        dots = ["log10(greatest(" + " + ".join(f"x.m[{l * width + g}] * y.v_{name}[{l * width + g}]" for g in range(width)) + ", 1e-300D))" for l in range(len(loci))]  # noqa: E741
-        sums.append(F.expr(" + ".join(dots)).alias(name))
-    both = F.expr("cast(bit_count(x.seen0 & y.seen0) + size(array_intersect(x.seen1, y.seen1)) as int)").alias("n_compared")
-    return pairs.joined(vectors).select(*pairs._ids(), both, *sums)
+    names = list(tables)
+    fields = ["n_obs", "m", *[f"v_{x}" for x in names]]
+    pick = lambda f: F.transform("cells", lambda c: c[f]).alias(f)
+    vectors = packed.select("grp", "sample", "ord", *map(pick, ("at", *fields)))
+
+    def dense(table, field):
+        out = np.zeros((len(table), n * width))
+        lists = table.column("at").combine_chunks()
+        row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+        out[row, lists.flatten().to_numpy()] = table.column(field).combine_chunks().flatten().to_numpy()
+        return out.reshape(len(table), n, width)
+
+    def sums(x, y, within, _):
+        first, second, swap = pairs.chosen_pairs(x, y, within)
+        if not len(first):
+            return [], first, second, swap
+        seen = [(dense(t, "n_obs").max(axis=2) > 0).astype("float64") for t in (x, y)]
+        columns = [pa.array((seen[0] @ seen[1].T)[first, second].astype("int32"))]
+        m, other = dense(x, "m"), dense(y, "m")
+        for name in names:
+            v, w = dense(y, f"v_{name}"), None if within else dense(x, f"v_{name}")
+            log = lambda a, b: np.log10(np.maximum(a @ b.T, 1e-300))
+            upper = sum(log(m[:, k], v[:, k]) for k in range(n))
+            lower = None if within else sum(log(other[:, k], w[:, k]) for k in range(n)).T
+            columns.append(pairs.arranged(upper, lower, first, second, swap))
+        return columns, first, second, swap
+
+    return pairs.in_tiles(vectors, sums, "n_compared int, " + ", ".join(f"{x} double" for x in names), ["at", *fields])
 
 
 def lr_pairs(panel: DataFrame, reps: DataFrame, dropout: float = 0.02, false_allele: float = 0.005, kinship: str = "full_sib") -> DataFrame:
@@ -225,7 +249,7 @@ def residual_error(spark, dropout: float, false_allele: float, missing: float, n
             return first[0] if top >= 2 and len(first) == 1 else None
         if count.get("A/B", 0) >= het_n:
             return "A/B"
-        held = [x for x in "AB" if sum(x in g for g in got) >= 2]
+        held = [x for x in "AB" if sum(x in g for g in got) >= het_n]
         if len(held) == 2:
             return "A/B"
         first = sorted((-c, g) for g, c in count.items() if g[0] == g[2] and c >= hom_n)
@@ -255,11 +279,29 @@ def unique_individuals(panel: DataFrame) -> DataFrame:
 
 
 def estimate_error(panel: DataFrame, reps: DataFrame | None = None, min_reps: int = 2) -> dict:
-    """From replicates where at least five samples have min_reps of them, else from the shortage of heterozygotes."""
-    unique = unique_individuals(panel)
+    """From replicates where at least five samples have min_reps of them and the likelihood has a maximum, else from the
+    shortage of heterozygotes; both over one sample an individual, or all samples if there are fewer than three."""
+    unique = unique_individuals(panel) if panel.select("ord").distinct().limit(3).count() == 3 else panel
+    unique = staged(unique, "unique")
     if reps is not None:
         enough = reps.select("sample", "rep").distinct().groupBy("sample").count().filter(F.col("count") >= min_reps).count()
         if enough >= 5:
-            return {"method": "replicates", "scale": "per replicate", "n_samples": enough} | ml_error_rates(reps, allele_freq(unique, ()), min_reps)
+            try:
+                return {"method": "replicates", "scale": "per replicate", "n_samples": enough} | ml_error_rates(reps, allele_freq(unique, ()), min_reps)
+            except (ValueError, ZeroDivisionError, OverflowError, np.linalg.LinAlgError):
+                pass  # no maximum: the shortage of heterozygotes can still be told
     row = heterozygote_deficit(unique).first()
-    return {"method": "heterozygote deficit", "scale": "per genotype, approximate", "dropout": row["dropout"], "false_allele": None}
+    n = unique.select("ord").distinct().count()
+    return {"method": "heterozygote deficit", "scale": "per genotype, approximate", "n_samples": n, "dropout": row["dropout"], "false_allele": None, "dropout_ci": (None, None), "false_ci": (None, None)}
+
+
+def applied_error(panel: DataFrame, reps: DataFrame | None = None, use_reps: bool = False, min_reps: int = 2) -> dict:
+    """estimate_error with the rates to use: those of a reaction become what a consensus leaves of them, unless the
+    replicates themselves are used; an unknown false-allele rate is a third of the dropout, 0.001 at least."""
+    found = estimate_error(panel, reps, min_reps)
+    d, f, converted = found["dropout"], found["false_allele"], False
+    if found["method"] == "replicates" and not use_reps:
+        cells = reps.agg(F.avg(F.col("gt").isNull().cast("double")).alias("missing"), (F.count_distinct("sample", "rep") / F.count_distinct("sample")).alias("n_rep")).first()
+        left = residual_error(panel.sparkSession, d, f, cells["missing"], max(2, round(cells["n_rep"]))).first()
+        d, f, converted = max(left["dropout"], 1e-4), max(left["false_allele"] or 0.0, 1e-4), True
+    return found | {"applied_dropout": d, "applied_false_allele": f, "converted": converted, "use_dropout": None if d is None else round(d, 3), "use_false_allele": round(max(0.001, round(d / 3, 3)) if f is None else f, 3)}

@@ -59,6 +59,24 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr("event_id AS ord", "user_id AS value")
 
 
+#: Three species calls for each sample, some of them not to be used.
+VOTE = "CASE (event_id * 31 + call * 17 + user_id * call) % 7 WHEN 0 THEN 'dog' WHEN 1 THEN 'none' WHEN 2 THEN 'coyote' WHEN 3 THEN 'coyote' ELSE 'wolf' END"
+#: A row a run of a simulated experiment.
+RUN = "20 + 10 * (event_id % 3) AS n_loci, 0.05 * (event_id % 2) AS dropout, (event_id * 37 % 1000) / 1000.0 AS cons_ari, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id * 91 % 1000 + 40) / 1000.0 END AS reps_ari"
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("call", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))))
+    return rows.selectExpr("event_id AS sample", f"{VOTE} AS vote")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).selectExpr(*[x.strip() for x in RUN.split(", ")])
+    return rows.select("n_loci", *[F.col(c).cast("double").alias(c) for c in ("dropout", "cons_ari", "reps_ari")])
+
+
+SQL_VOTES = f"votes AS (SELECT event_id AS sample, {VOTE} AS vote FROM events, (SELECT unnest(range(1, 4)) AS call))"
+SQL_RUNS = f"runs AS (SELECT n_loci, dropout::DOUBLE AS dropout, cons_ari::DOUBLE AS cons_ari, reps_ari::DOUBLE AS reps_ari FROM (SELECT {RUN} FROM events))"
 SQL_PANEL = f"""
 cells AS (SELECT user_id, event_id, locus FROM events, (SELECT unnest(range(1, {LOCI + 1})) AS locus)),
 panel AS MATERIALIZED (

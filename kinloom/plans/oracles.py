@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
-from kinloom.plans.fixtures import LOCI, RAW, SQL_PANEL, SQL_REPS
+from kinloom.operators.confidence import CUTOFFS
+from kinloom.plans.fixtures import LOCI, RAW, SQL_PANEL, SQL_REPS, SQL_RUNS, SQL_VOTES
 
 ALLELES = "alleles AS (SELECT grp, sample, locus, unnest([split_part(gt, '/', 1), split_part(gt, '/', 2)]) AS allele FROM panel WHERE gt IS NOT NULL)"
 FREQ = f"{ALLELES}, freq AS MATERIALIZED (SELECT grp, locus, allele, count(*) / sum(count(*)) OVER (PARTITION BY grp, locus) AS p FROM alleles GROUP BY grp, locus, allele)"
@@ -148,13 +150,13 @@ per AS (SELECT s1 AS sample, min(score) FILTER (mates) AS low, max(score) FILTER
   SELECT *, max(score) FILTER (NOT mates) OVER (PARTITION BY s1) AS top FROM both_ways) GROUP BY s1),
 lk AS (SELECT s AS sample, count(*) AS linked FROM (SELECT unnest([s1, s2]) AS s FROM lrm_m JOIN lrm x ON s1 = x.sample JOIN lrm y ON s2 = y.sample WHERE x.individual = y.individual) GROUP BY s),
 conf0 AS (SELECT a.grp, a.sample, a.individual, c.n AS cluster_size, CASE WHEN c.n = 1 THEN 1.0 ELSE low END AS support, rival, rival_sample,
-    CASE WHEN c.n > 1 THEN coalesce(linked, 0) ELSE 0 END AS linked_to, CASE WHEN c.n > 1 THEN coalesce(linked, 0) || ' of ' || (c.n - 1) END AS held_by, n_loci, l
-  FROM lrm a JOIN (SELECT individual, count(*) AS n FROM lrm GROUP BY 1) c USING (individual) LEFT JOIN per USING (sample) LEFT JOIN lk USING (sample) LEFT JOIN spow p ON p.sample = a.sample
+    r.individual AS rival_individual, CASE WHEN c.n > 1 THEN coalesce(linked, 0) ELSE 0 END AS linked_to, CASE WHEN c.n > 1 THEN coalesce(linked, 0) || ' of ' || (c.n - 1) END AS held_by, n_loci, l
+  FROM lrm a JOIN (SELECT individual, count(*) AS n FROM lrm GROUP BY 1) c USING (individual) LEFT JOIN per USING (sample) LEFT JOIN lk USING (sample) LEFT JOIN spow p ON p.sample = a.sample LEFT JOIN lrm r ON r.sample = rival_sample
   WHERE a.grp IN (SELECT grp FROM samples GROUP BY grp HAVING count(*) > 1)),
 conf AS MATERIALIZED (SELECT *, support - coalesce(rival, 0) AS margin, CASE WHEN n_loci < 15 OR l > {math.log10(0.01)} THEN 'Underpowered' WHEN support IS NULL OR support - coalesce(rival, 0) < 0.01 THEN 'Uncertain'
   WHEN support - coalesce(rival, 0) < 0.2 OR (cluster_size > 2 AND linked_to / (cluster_size - 1) < 0.5) THEN 'Check' ELSE 'Confident' END AS status FROM conf0)"""
 
-CUTS = (0.5, 0.9, 0.95, 0.99, 0.999, 0.9999)
+CUTS = CUTOFFS
 
 
 def calibration() -> str:
@@ -222,7 +224,40 @@ def query(body: str, *ctes: str) -> str:
     return "WITH " + head + (ALLELES if rest else "") + "".join(rest) + "\n" + body
 
 
-def _sweep(top: int = 6) -> str:
+def _of(cte: str, name: str) -> str:
+    """The expressions of cte over another panel."""
+    return re.sub(r"\bFROM panel\b", f"FROM {name}", cte)
+
+
+def linkage(name: str = "panel") -> list[str]:
+    return [
+        _of(FREQ_ALL, name),
+        _of("major AS (SELECT locus, arg_min(allele, (-p, allele)) AS m FROM freq_all GROUP BY locus), dose AS MATERIALIZED (SELECT sample, locus, (split_part(gt, '/', 1) <> m)::INT + (split_part(gt, '/', 2) <> m)::INT AS x FROM panel JOIN major USING (locus) WHERE gt IS NOT NULL)", name),
+        "ld AS (SELECT a.locus AS locus1, b.locus AS locus2, count(*) AS n, pow(corr(a.x, b.x), 2) AS r2 FROM dose a JOIN dose b ON a.sample = b.sample AND a.locus < b.locus GROUP BY ALL HAVING count(*) >= 20)",
+    ]
+
+
+UNIQUE = [
+    STATS, rule("uniq", "n_compared >= 9 AND n_mismatch = 0"), components("uniq_m", "uniq"),
+    "upanel AS MATERIALIZED (SELECT * FROM panel WHERE sample IN (SELECT min(sample) FROM uniq GROUP BY individual))",
+]
+AMPLICONS = "apanel AS MATERIALIZED (SELECT grp, sample, 'L' || lpad((CASE WHEN locus % 3 = 0 THEN locus - 1 ELSE locus END)::VARCHAR, 2, '0') || CASE WHEN locus % 3 = 0 THEN 'SNP2' ELSE '' END AS locus, gt FROM panel)"
+CALLED = f"""wide AS (SELECT sample, locus, {RAW} AS raw FROM panel),
+wcells AS (SELECT 'LOC' || lpad(locus::VARCHAR, 2, '0') AS "column", raw FROM wide UNION ALL SELECT 'SampleID', 'S' || sample FROM samples UNION ALL SELECT 'Reads', (sample * 37 % 1000)::VARCHAR FROM samples
+  UNION ALL SELECT 'Species', CASE WHEN sample % 3 = 0 THEN 'alpha' ELSE 'beta' END FROM samples),
+clean AS (SELECT "column", raw, upper(trim(raw)) AS x, regexp_replace(upper(trim(raw)), '[*?!#]', '', 'g') AS y FROM wcells),
+called AS MATERIALIZED (SELECT "column", raw, x, try_cast(x AS DOUBLE) AS num, CASE WHEN length(y) NOT BETWEEN 1 AND 2 OR y IN ('NA', 'NN', '--', '..') OR regexp_matches(y, '[-0?.]') THEN NULL
+  ELSE least(y[1], y[-1]) || '/' || greatest(y[1], y[-1]) END AS gt FROM clean)"""
+#: All outcomes of three reactions with dropout 0.05, false alleles 0.01 and 13 % missing, and what the consensus makes of them.
+RESIDUAL = """WITH het AS (SELECT unnest(['A/A', 'B/B', 'A/B', '-']) AS g, unnest([0.87 * 0.025, 0.87 * 0.025, 0.87 * 0.95, 0.13]) AS p), hom AS (SELECT unnest(['A/B', 'A/A', '-']) AS g, unnest([0.87 * 0.01, 0.87 * 0.99, 0.13]) AS p),
+reads AS (SELECT 'het' AS t, [x.g, y.g, z.g] AS r, x.p * y.p * z.p AS p FROM het x, het y, het z UNION ALL SELECT 'hom', [x.g, y.g, z.g], x.p * y.p * z.p FROM hom x, hom y, hom z),
+seen AS (SELECT t, p, len(list_filter(r, lambda g: g = 'A/B')) AS ab, len(list_filter(r, lambda g: contains(g, 'A'))) AS a, len(list_filter(r, lambda g: contains(g, 'B'))) AS b, len(list_filter(r, lambda g: g = 'A/A')) AS aa, len(list_filter(r, lambda g: g = 'B/B')) AS bb FROM reads),
+calls AS (SELECT t, p, CASE WHEN ab >= 2 OR (a >= 2 AND b >= 2) THEN 'A/B' WHEN aa >= 3 THEN 'A/A' WHEN bb >= 3 THEN 'B/B' END AS g FROM seen)
+SELECT round(sum(p) FILTER (t = 'het' AND g IN ('A/A', 'B/B')), 6) AS dropout, round(sum(p) FILTER (t = 'hom' AND g = 'A/B') / sum(p) FILTER (t = 'hom' AND g IS NOT NULL), 6) AS false_allele,
+  round(coalesce(sum(p) FILTER (t = 'het' AND g IS NULL), 0), 6) AS missing_het, round(coalesce(sum(p) FILTER (t = 'hom' AND g IS NULL), 0), 6) AS missing_hom FROM calls"""
+
+
+def _sweep(top: int = 6, outer: str | None = None) -> str:
     parts, rows = [STATS], []
     for k in range(top + 1):
         parts += [rule(f"w{k}", f"n_compared >= 15 AND n_mismatch <= {k}"), components(f"w{k}_m", f"w{k}", 12)]
@@ -230,6 +265,8 @@ def _sweep(top: int = 6) -> str:
             f"SELECT {k}::BIGINT AS k, (SELECT count(*) FROM w{k}_m) AS n_matched_pairs, (SELECT count(DISTINCT individual) FROM w{k}) AS n_individuals, (SELECT max(c) FROM (SELECT count(*) AS c FROM w{k} GROUP BY individual)) AS max_cluster, "
             f"(SELECT count(*) FROM ({CONFLICT.format(a=f'w{k}', m=f'w{k}_m')})) AS n_conflicting"
         )
+    if outer:
+        return query(outer, *parts, "swept AS (" + " UNION ALL ".join(rows) + ")")
     return query(" UNION ALL ".join(rows), *parts)
 
 
@@ -307,7 +344,7 @@ SQL = {
     "best_alternative_assignment": query("SELECT grp, sample, individual FROM bestm", BEST),
     "calibration": query("SELECT cutoff, n_accepted, round(false_merges, 4) AS false_merges, round(missed, 4) AS missed, n_individuals FROM cal", calibration()),
     "calibration_verdict": query("SELECT count(*) AS n_usable, min(n_individuals) AS fewest, max(n_individuals) AS most, max(cutoff) AS highest_usable, (SELECT min(cutoff) FROM cal WHERE false_merges <= 1) AS recommended FROM cal WHERE cutoff <= max_posterior", calibration()),
-    "sample_confidence": query("SELECT grp, sample, individual, cluster_size, round(support, 6) AS support, round(rival, 6) AS rival, rival_sample, linked_to, held_by, n_loci, round(margin, 6) AS margin, status FROM conf", CONF),
+    "sample_confidence": query("SELECT grp, sample, individual, cluster_size, round(support, 6) AS support, round(rival, 6) AS rival, rival_sample, rival_individual, linked_to, held_by, n_loci, round(margin, 6) AS margin, status FROM conf", CONF),
     "roster": query(
         "SELECT grp, individual, count(*) AS n_samples, round(min(margin), 6) AS weakest_margin, arg_min(status, (coalesce(margin, -1), sample)) AS weakest_status, string_agg(sample::VARCHAR, ', ' ORDER BY sample) AS members FROM conf GROUP BY ALL", CONF
     ),
@@ -341,11 +378,65 @@ SQL = {
     "heterozygote_deficit": query("SELECT round(greatest(0, 1 - sum(ho * n) / sum(he * n)), 6) AS dropout, count(*) AS n_loci FROM locus_stats WHERE n_alleles >= 2 AND he > 0.05", LOCUS),
     "ml_patterns": query("SELECT locus, pattern, count(*) AS n FROM (SELECT sample, locus, string_agg(gt, ' ' ORDER BY gt) AS pattern FROM reps WHERE gt IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL", SQL_REPS),
     "separator_shares": query(
-        f"SELECT sep, avg((len(string_split(trim(raw), sep)) = 2)::INT::DOUBLE) AS share FROM {WIDE}, (SELECT unnest(['/', '|', ':', '-', ' ']) AS sep) WHERE length(trim(raw)) > 0 GROUP BY sep"
+        f"SELECT sep, avg((len(string_split(raw, sep)) - ends_with(raw, sep)::INT = 2)::INT::DOUBLE) AS share FROM {WIDE}, (SELECT unnest(['/', '|', ':', '-', ' ']) AS sep) WHERE length(raw) > 0 GROUP BY sep"
     ),
     "locus_tests": query(
-        f"""SELECT 'LOC' || lpad(locus::VARCHAR, 2, '0') AS "column", count(*) AS n_filled, count(*) FILTER (x <> '00') AS n_typed, count(DISTINCT CASE WHEN x <> '00' THEN list_sort([x[1], x[2]]) END) AS n_genotypes,
-        count(DISTINCT a) AS n_alleles, count(DISTINCT a) >= 2 AS is_locus FROM (SELECT locus, x, unnest([x[1], x[2]]) AS a FROM (SELECT locus, replace(raw, '*', '') AS x FROM {WIDE})) GROUP BY locus"""
+        """SELECT "column", n_filled, n_typed, n_genotypes, coalesce(n_alleles, 0) AS n_alleles, coalesce(n_filled > 0 AND NOT (n_text = 0 AND n_values > 12) AND n_typed / n_rows >= 0.05 AND n_genotypes BETWEEN 1 AND 60
+          AND n_genotypes <= greatest(3.0, 0.5 * n_typed) AND n_alleles BETWEEN 2 AND 40 AND dna = 1, false) AS is_locus
+        FROM (SELECT "column", count(*) FILTER (x <> '') AS n_filled, count(*) FILTER (x <> '' AND num IS NULL) AS n_text, count(DISTINCT num) AS n_values, count(*) AS n_rows, count(gt) AS n_typed, count(DISTINCT gt) AS n_genotypes FROM called GROUP BY 1)
+        LEFT JOIN (SELECT "column", count(DISTINCT a) AS n_alleles, min((a IN ('A', 'C', 'G', 'T', 'N'))::INT) AS dna FROM (SELECT "column", unnest([substr(gt, 1, 1), substr(gt, 3, 1)]) AS a FROM called WHERE gt IS NOT NULL) GROUP BY 1) USING ("column")""",
+        CALLED,
+    ),
+    "id_scores": query(
+        """SELECT "column", round((count(DISTINCT raw) + max((raw IS NULL)::INT)) / count(*) - CASE WHEN count(raw) > 0 AND count(*) FILTER (raw IS NOT NULL AND try_cast(raw AS DOUBLE) IS NULL) = 0 THEN 1 ELSE 0 END
+          + CASE WHEN regexp_matches("column", 'sample|specimen|individual|indiv|barcode|(^|[^a-z])id$|^id', 'i') THEN 2 ELSE 0 END, 6) AS score FROM called GROUP BY 1""",
+        CALLED,
+    ),
+    "residual_error": RESIDUAL,
+    "ld_top": query(f"SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld ORDER BY round(r2, 6) DESC, locus1, locus2 LIMIT 25", *linkage()),
+    "ld_flagged": query(f"SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld WHERE r2 > 0.01", *UNIQUE, *linkage("upanel")),
+    "fis_flagged": query("SELECT locus, round(1 - ho / he, 6) AS fis FROM locus_stats WHERE abs(1 - ho / he) > 0.02", *UNIQUE, _of(LOCUS, "upanel")),
+    "same_amplicon": query("SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld WHERE replace(locus1, 'SNP2', '') = replace(locus2, 'SNP2', '')", AMPLICONS, *linkage("apanel")),
+    "pid_pruned": query(
+        "SELECT locus, row_number() OVER w AS n_loci, round(sum(log10(pid)) OVER w, 6) AS log10_cum_pid, round(sum(log10(pid_sib)) OVER w, 6) AS log10_cum_pid_sib FROM power WHERE NOT ends_with(locus, 'SNP2') WINDOW w AS (ORDER BY pid, locus ROWS UNBOUNDED PRECEDING)",
+        AMPLICONS, _of(POWER, "apanel"),
+    ),
+    "dead_loci": query("SELECT locus, n_alleles, round(call_rate, 6) AS call_rate FROM locus_stats WHERE n_alleles < 2 OR call_rate < 0.93", LOCUS),
+    "lr_top": query("SELECT grp, s1 AS id1, s2 AS id2, n_compared, round(lr, 6) AS lr FROM lr ORDER BY round(lr, 6) DESC, s1, s2 LIMIT 200", LR),
+    "near_table": query("SELECT grp, s1 AS id1, s2 AS id2, n_compared, n_mismatch FROM stats WHERE n_compared >= 15 AND n_mismatch BETWEEN 1 AND 2 ORDER BY n_mismatch, n_compared DESC, s1, s2", STATS),
+    "final_assignments": query(
+        "SELECT a.grp, a.sample, individual, round(call_rate, 6) AS call_rate, round(l, 6) AS log10_pid_sib, n AS n_samples_for_individual FROM lrm a JOIN (SELECT individual, count(*) AS n FROM lrm GROUP BY 1) USING (individual) "
+        "JOIN (SELECT sample, count(gt) / count(*) AS call_rate FROM panel GROUP BY sample) c ON c.sample = a.sample JOIN spow p ON p.sample = a.sample ORDER BY n DESC, individual, call_rate DESC, a.sample",
+        CONF,
+    ),
+    "roster_table": query(
+        "SELECT grp, individual, count(*) AS n_samples, round(min(margin), 6) AS weakest_margin, arg_min(status, (coalesce(margin, -1), sample)) AS weakest_status, string_agg(sample::VARCHAR, ', ' ORDER BY sample) AS members FROM conf GROUP BY ALL ORDER BY n_samples DESC, weakest_margin, individual", CONF
+    ),
+    "review_table": query(
+        "SELECT sample, individual, status, list_position(['Uncertain', 'Check', 'Underpowered', 'Confident'], status) AS status_rank, round(margin, 6) AS margin FROM conf ORDER BY status_rank, margin, individual, sample", CONF
+    ),
+    "plateau": _sweep(outer="SELECT coalesce(max(k) FILTER (n_individuals = was AND n_conflicting = 0), 1) AS k FROM (SELECT *, lag(n_individuals) OVER (ORDER BY k) AS was FROM swept)"),
+    "power_ceiling": query(
+        "SELECT grp, round(t, 5) AS max_lr_theoretical, round(max_lr, 5) AS max_lr, round(coalesce(max_posterior, 0), 9) AS max_posterior, coalesce(max_posterior, 0) >= 0.999 AS reachable FROM (SELECT grp, sum(m) AS t FROM (SELECT grp, locus, max(same - full_sib) AS m FROM tabs GROUP BY ALL) GROUP BY grp) "
+        "LEFT JOIN (SELECT grp, max(lr) AS max_lr, max(posterior) AS max_posterior FROM post WHERE n_compared >= 15 GROUP BY grp) USING (grp)",
+        LR,
+    ),
+    "allele_freq_corrected": query(
+        "SELECT grp, locus, allele, round(sum(1 / c) / sum(sum(1 / c)) OVER (PARTITION BY grp, locus), 6) AS p FROM alleles JOIN lrm USING (grp, sample) JOIN (SELECT individual, count(*) AS c FROM lrm GROUP BY 1) USING (individual) GROUP BY grp, locus, allele", LR
+    ),
+    "controls_named": query(
+        " UNION ALL ".join(f"SELECT '{m}' AS method, count(*) AS n_rows, count(DISTINCT individual) = 1 AS same_individual FROM {x} WHERE contains(sample::VARCHAR, '77')" for m, x in (("exact", "exact"), ("threshold", "thresh"))), STATS, EXACT, THRESHOLD
+    ),
+    "species_calls": f"WITH {SQL_VOTES} SELECT sample, coalesce(arg_min(vote, (-c, vote)) FILTER (vote IN ('wolf', 'coyote')), 'unknown') AS call FROM (SELECT sample, vote, count(*) AS c FROM votes GROUP BY ALL) GROUP BY sample",
+    "het_share": query("SELECT sample, round(avg((split_part(gt, '/', 1) <> split_part(gt, '/', 2))::INT), 6) AS het_share FROM panel GROUP BY sample"),
+    "mismatch_scores": query("SELECT grp, n_mismatch, count(*) AS n_pairs, round(max(1 - n_mismatch / top), 6) AS score FROM stats JOIN (SELECT grp, greatest(1, max(n_mismatch)) AS top FROM stats GROUP BY grp) USING (grp) WHERE n_mismatch <= 1 GROUP BY grp, n_mismatch", STATS),
+    "error_from_deficit": query(
+        "SELECT n_samples, round(d, 6) AS dropout, round(d, 3) AS use_dropout, greatest(0.001, round(d / 3, 3)) AS use_false_allele FROM (SELECT greatest(0, 1 - sum(ho * n) / sum(he * n)) AS d, (SELECT count(DISTINCT sample) FROM upanel) AS n_samples FROM locus_stats WHERE n_alleles >= 2 AND he > 0.05)", *UNIQUE, _of(LOCUS, "upanel")
+    ),
+    "simulation_means": f"WITH {SQL_RUNS} SELECT n_loci, dropout, count(*) AS n_runs, round(avg(cons_ari), 6) AS cons_ari, round(avg(reps_ari), 6) AS reps_ari FROM runs GROUP BY ALL",
+    "paired_t": f"WITH {SQL_RUNS} SELECT count(*) AS n, round(avg(d), 6) AS mean_gain, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, count(*) - 1 AS df FROM (SELECT reps_ari - cons_ari AS d FROM runs) WHERE d IS NOT NULL",
+    "separation": query(
+        "SELECT round(avg(lr) FILTER (same), 5) AS mean_same, round(quantile_cont(lr, 0.999) FILTER (NOT same), 5) AS high_different, round(min(lr) FILTER (same) - quantile_cont(lr, 0.999) FILTER (NOT same), 5) AS margin FROM (SELECT lr, x.user_id = y.user_id AS same FROM post JOIN events x ON x.event_id = s1 JOIN events y ON y.event_id = s2 WHERE n_compared >= 15)",
+        LR,
     ),
 }
-del SQL["locus_tests"]

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.operators import graph, inference, matching, pairs, panel, replicates
+from kinloom.sources.simulate import simulate
 from kinloom.sources.staging import staged
 from kinloom.sources.tables import read_table, suffix_duplicates
 
+#: Column with the place of a row in its file.
+ORDER = "row_order"
+#: What the example panel was simulated at.
+DEMO = {"dropout": 0.03, "false_allele": 0.01, "min_loci": 12}
+
 #: Methods by name: (panel, replicates or None, settings) -> (pairs, matched pairs).  Any function of this shape may be passed.
 Method = Callable[[DataFrame, DataFrame | None, dict], tuple[DataFrame, DataFrame]]
 
@@ -68,8 +74,8 @@ def resolve(own: DataFrame, method: str | Method = "likelihood_ratio", reps: Dat
     """Individuals of a panel; blocks are columns, so no loop runs over them."""
     s = DEFAULTS | settings
     run = METHODS[method] if isinstance(method, str) else method
-    if not own.head(1):
-        raise ValueError("the panel is empty: no sample or locus is left")
+    if not own.filter("gt is not null").head(1) or own.select("ord").distinct().limit(2).count() < 2:
+        raise ValueError("fewer than two samples, or no genotype, are left")
     scored, matched = run(own, reps, s)
     matched = staged(matched, "matched")
     link = graph.complete_linkage if s["linkage"] == "complete" else graph.single_linkage
@@ -83,30 +89,33 @@ def identify(
 ) -> Result:
     """Reads a table, finds out what is not said, and resolves its individuals.
 
-    Rows are numbered by their contents, id first, so that `ord` does not depend on how the file is cut into
-    partitions; it is a table of samples, which one sort can number.
+    `ord` is the place of a row in the file, or of a sample's first replicate, so individuals are numbered as they
+    appear there.  replicate_col "auto": where ids occur more than once, the column and the labels that are no
+    replicates are guessed.
     """
-    raw = read_table(spark, path)
-    id_col = id_col or inference.guess_id(raw)
-    sep = sep or inference.guess_separator(raw, [c for c in raw.columns if c != id_col])
-    loci = loci or inference.detect_loci(raw, sep, tuple(x for x in (id_col, group_col, replicate_col) if x))
-    from pyspark.sql import Window as W
-
-    order = panel_order(raw, loci)
+    raw = staged(read_table(spark, path, order_col=ORDER), "table")
+    columns = [c for c in raw.columns if c != ORDER]
+    id_col = id_col or inference.guess_id(raw, columns)
+    sep = sep or inference.guess_separator(raw, [c for c in columns if c != id_col])
+    given = tuple(x for x in (id_col, group_col, replicate_col) if x)
+    loci = loci or inference.detect_loci(raw.drop(ORDER), sep, given)
+    if replicate_col == "auto":
+        replicate_col, found = inference.replicate_plan(raw.drop(ORDER), id_col, loci)
+        drop_labels = drop_labels or found
     if replicate_col:
-        raw = raw.filter(~F.col(replicate_col).isin(*drop_labels)) if drop_labels else raw
-        raw = raw.withColumn("row_order", F.dense_rank().over(W.orderBy(id_col)).cast("long"))
-        cells = raw.select(id_col, replicate_col, "row_order", *([group_col] if group_col else []), *loci)
-        reps = panel.to_panel(cells.withColumn(id_col, F.concat_ws("\u0001", id_col, replicate_col)), id_col, loci, "row_order", group_col, sep)
-        reps = reps.select("grp", F.split_part("sample", F.lit("\u0001"), F.lit(1)).alias("sample"), "ord", F.split_part("sample", F.lit("\u0001"), F.lit(2)).alias("rep"), "locus", "gt")
+        raw = raw.filter(~F.coalesce(F.col(replicate_col).isin(*drop_labels), F.lit(False))) if drop_labels else raw
+        first = raw.groupBy(id_col).agg(F.min(ORDER).alias("first_row"))
+        cells = raw.join(first, id_col).select(F.struct(id_col, replicate_col).alias("reaction"), F.col("first_row").alias(ORDER), *([group_col] if group_col else []), *loci)
+        reps = panel.to_panel(cells, "reaction", loci, ORDER, group_col, sep)
+        reps = reps.select("grp", F.col(f"sample.{id_col}").alias("sample"), "ord", F.col(f"sample.{replicate_col}").alias("rep"), "locus", "gt")
         own = replicates.consensus(reps)
     else:
-        numbered = suffix_duplicates(raw.withColumn("row_order", F.row_number().over(W.orderBy(*order)).cast("long")), id_col, "row_order")
-        own, reps = panel.to_panel(numbered, id_col, loci, "row_order", group_col, sep), None
+        own, reps = panel.to_panel(suffix_duplicates(raw, id_col, ORDER), id_col, loci, ORDER, group_col, sep), None
     own = staged(panel.filter_panel(own, min_locus_call, min_sample_call, min_maf), "panel")
     return resolve(own, method, reps, **settings)
 
 
-def panel_order(raw: DataFrame, loci: list[str]):
-    """Columns that give rows a stable order: all of them, ids first."""
-    return [F.col(f"`{c}`") for c in raw.columns if c not in loci] + [F.col(f"`{c}`") for c in loci]
+def demo(spark: SparkSession, method: str | Method = "likelihood_ratio", **settings) -> Result:
+    """The example: a panel simulated at the rates of DEMO, resolved with them."""
+    rows = simulate(spark, individuals=28, loci=40, most_captures=4, dropout=DEMO["dropout"], false_allele=DEMO["false_allele"])
+    return resolve(staged(rows.select("grp", "sample", "ord", "locus", "gt"), "demo"), method, **(DEMO | settings))

@@ -290,7 +290,7 @@ def best_alternative_assignment(spark, sf):
 @_query
 def calibration(spark, sf):
     table = confidence.calibration(graph.samples_of(_panel(spark, sf)), _lr(spark, sf)[0], CUTS, MIN_LOCI)
-    return _r(table.select("cutoff", "n_accepted", "false_merges", "missed", "n_individuals"), 4)
+    return _r(table.select("cutoff", "n_accepted", "false_merges", "missed", "n_individuals"), 4, cutoff=6)
 
 
 @_query
@@ -433,3 +433,147 @@ def id_scores(spark, sf):
 @_query
 def sensitivity_grid(spark, sf):
     return _r(matching.sensitivity(_panel(spark, sf), min_loci=MIN_LOCI))
+
+
+@_query
+def ld_top(spark, sf):
+    return _r(panel.top_linked(panel.linkage_r2(_panel(spark, sf)), 25))
+
+
+def _unique(spark, sf):
+    return staged(replicates.unique_individuals(_panel(spark, sf)), "unique")
+
+
+@_query
+def ld_flagged(spark, sf):
+    return _r(panel.linked_loci(panel.linkage_r2(_unique(spark, sf)), 0.01))
+
+
+@_query
+def fis_flagged(spark, sf):
+    return _r(panel.odd_fis(panel.locus_stats(_unique(spark, sf)), 0.02))
+
+
+def _amplicons(spark, sf):
+    """The panel with every third locus as a second site of the marker before it."""
+    name = F.when(F.col("locus") % 3 == 0, F.format_string("L%02dSNP2", F.col("locus") - 1)).otherwise(F.format_string("L%02d", F.col("locus")))
+    return staged(_panel(spark, sf).withColumn("locus", name), "amplicons")
+
+
+@_query
+def same_amplicon(spark, sf):
+    return _r(panel.same_amplicon(panel.linkage_r2(_amplicons(spark, sf))))
+
+
+@_query
+def pid_pruned(spark, sf):
+    return _r(panel.cumulative_power(panel.pruned(panel.identity_power(panel.allele_freq(_amplicons(spark, sf), ())))).drop("pid", "pid_sib"))
+
+
+@_query
+def dead_loci(spark, sf):
+    return _r(panel.dead_loci(_panel(spark, sf), 0.93))
+
+
+@_query
+def lr_top(spark, sf):
+    return _r(matching.top_pairs(_lr(spark, sf)[0], 200).select("grp", "id1", "id2", "n_compared", "lr"))
+
+
+@_query
+def near_table(spark, sf):
+    return _r(matching.in_near_order(matching.near(_stats(spark, sf), 2, MIN_LOCI)).select("grp", "id1", "id2", "n_compared", "n_mismatch"))
+
+
+@_query
+def final_assignments(spark, sf):
+    own = staged(_panel(spark, sf), "panel")
+    power = panel.sample_power(own, panel.identity_power(panel.allele_freq(own, ())))
+    return _r(graph.final_table(_assign(spark, sf, _lr(spark, sf)[1]), own, power))
+
+
+@_query
+def roster_table(spark, sf):
+    return _r(confidence.in_roster_order(confidence.roster(_confidence(spark, sf))))
+
+
+@_query
+def review_table(spark, sf):
+    return _r(confidence.in_review_order(_confidence(spark, sf)).select("sample", "individual", "status", "status_rank", "margin"))
+
+
+@_query
+def plateau(spark, sf):
+    return _r(matching.plateau(matching.sweep(graph.samples_of(_panel(spark, sf)), staged(_stats(spark, sf), "stats"), 6, MIN_LOCI)))
+
+
+@_query
+def power_ceiling(spark, sf):
+    own = staged(_panel(spark, sf), "panel")
+    table = likelihood.lr_table(panel.dictionary(own), panel.allele_freq(own))
+    return _r(matching.power_ceiling(own, _lr(spark, sf)[0], table, 0.999, MIN_LOCI), 5, max_posterior=9)
+
+
+@_query
+def allele_freq_corrected(spark, sf):
+    weights = compare.recapture_weights(_assign(spark, sf, _lr(spark, sf)[1]))
+    return _r(panel.allele_freq(_panel(spark, sf), weights=weights))
+
+
+@_query
+def linkage_stability(spark, sf):
+    matched = _lr(spark, sf)[1]
+    samples = graph.samples_of(_panel(spark, sf))
+    return _r(compare.linkage_stability(_assign(spark, sf, matched), staged(graph.complete_linkage(samples, matched), "complete")))
+
+
+@_query
+def controls_named(spark, sf):
+    stats = staged(_stats(spark, sf), "stats")
+    both = {"exact": _assign(spark, sf, matching.exact(stats, MIN_LOCI)), "threshold": _assign(spark, sf, matching.threshold(stats, 1, 0, MIN_LOCI))}
+    return _r(compare.controls_named(both, "77"))
+
+
+@_query
+def species_calls(spark, sf):
+    return _r(compare.majority(fixtures.votes(spark, sf), ["coyote", "wolf"]))
+
+
+@_query
+def het_share(spark, sf):
+    return _r(compare.het_share(_panel(spark, sf)).drop("grp"))
+
+
+@_query
+def mismatch_scores(spark, sf):
+    scored = confidence.mismatch_score(_stats(spark, sf)).filter(F.col("n_mismatch") <= 1)
+    return _r(scored.groupBy("grp", "n_mismatch").agg(F.count("*").alias("n_pairs"), F.max("score").alias("score")))
+
+
+@_query
+def error_from_deficit(spark, sf):
+    found = replicates.applied_error(_panel(spark, sf))
+    return spark.createDataFrame([(found["n_samples"], round(found["dropout"], 6), found["use_dropout"], found["use_false_allele"])], "n_samples long, dropout double, use_dropout double, use_false_allele double")
+
+
+@_query
+def applied_errors(spark, sf):
+    found = replicates.applied_error(_panel(spark, sf), fixtures.replicates(spark, sf))
+    row = (found["method"], found["n_samples"], found["converted"], found["use_dropout"], found["use_false_allele"])
+    return spark.createDataFrame([row], "method string, n_samples long, converted boolean, use_dropout double, use_false_allele double")
+
+
+@_query
+def simulation_means(spark, sf):
+    return _r(compare.mean_by(fixtures.runs(spark, sf), ("n_loci", "dropout"), ("cons_ari", "reps_ari")))
+
+
+@_query
+def paired_t(spark, sf):
+    return _r(compare.paired_t(fixtures.runs(spark, sf), "reps_ari", "cons_ari"))
+
+
+@_query
+def separation(spark, sf):
+    truth = fixtures.truth(spark, sf).select("ord", F.col("value").alias("individual"))
+    return _r(compare.separation(_lr(spark, sf)[0], truth, MIN_LOCI), 5)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from pathlib import Path
+import csv
+import io
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.sources.staging import staged
 
-def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """CSV, TSV/TXT or Excel; every column of a text file is a string, `NA` is null, column names are trimmed."""
+
+def read_table(spark: SparkSession, path: str, sheet: str | int = 0, order_col: str | None = None) -> DataFrame:
+    """CSV, TSV/TXT or Excel; every column of a text file is a string, `NA` is null, column names are trimmed.
+
+    order_col: a new column with the place of each row in the file, from 1.
+    """
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("xlsx", "xls"):
         import pandas as pd
@@ -20,11 +25,29 @@ def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
             frame = pd.read_excel(path, sheet_name=sheet)
         except ImportError as e:
             raise ImportError("reading Excel sheets needs openpyxl (xlsx) or xlrd (xls)") from e
-        df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None))
-    else:
-        sep = "\t" if kind in ("tsv", "txt") else ","
-        df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, nullValue="NA", encoding="UTF-8", quote='"', escape='"')
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+        frame = frame.astype(object).where(frame.notna(), None)
+        if order_col:
+            frame[order_col] = range(1, len(frame) + 1)
+        df = spark.createDataFrame(frame)
+        return df.toDF(*map(_trimmed, df.columns))
+    sep = "\t" if kind in ("tsv", "txt") else ","
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, nullValue="NA", encoding="UTF-8", quote='"', escape='"')
+    names = [*map(_trimmed, df.columns)]
+    if not order_col:
+        return df.toDF(*names)
+    # a block of a file is read by one task from its start to its end; the blocks before it say how many rows come first
+    rows = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = staged(rows.toDF(*(f"c{k}" for k in range(len(names))), "file", "block", "at"), "rows")
+    blocks, before = [], 0
+    for r in rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("file", "block").toLocalIterator():  # a row a block
+        blocks.append((r["file"], r["block"], before - r["first"] + 1))
+        before += r["n"]
+    shift = spark.createDataFrame(blocks, "file string, block long, shift long")
+    return rows.join(shift, ["file", "block"]).select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), (F.col("at") + F.col("shift")).alias(order_col))
+
+
+def _trimmed(name: str) -> str:
+    return name.lstrip("\ufeff").strip()
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
@@ -39,12 +62,16 @@ def write_parquet(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def write_bundle(tables: dict[str, DataFrame], settings: dict, path: str) -> str:
-    """Report tables and settings.txt in one zip file on the driver (reports are small by nature)."""
-    with tempfile.TemporaryDirectory() as tmp:
+    """Report tables and settings.txt in one zip file on the driver (reports are small by nature), row by row."""
+    path = path.removesuffix(".zip") + ".zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as bundle:
         for name, df in tables.items():
-            df.toPandas().to_csv(Path(tmp, f"{name}.csv"), index=False)
-        Path(tmp, "settings.txt").write_text(settings_text(settings))
-        return shutil.make_archive(path.removesuffix(".zip"), "zip", tmp)
+            with bundle.open(f"{name}.csv", "w", force_zip64=True) as f, io.TextIOWrapper(f, "utf-8", newline="") as text:
+                out = csv.writer(text)
+                out.writerow(df.columns)
+                out.writerows(df.toLocalIterator())
+        bundle.writestr("settings.txt", settings_text(settings))
+    return path
 
 
 def settings_text(settings: dict) -> str:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kinloom.functions.genotype import normalise
 from kinloom.plans.pipeline import resolve
+from kinloom.sources.staging import staged
 
 PANEL_SCHEMA = "grp string, sample string, ord long, locus string, raw string"
 
@@ -17,17 +19,29 @@ def read_stream(spark: SparkSession, folder: str, sep: str | None = None) -> Dat
     return rows.select("grp", "sample", "ord", "locus", normalise(F.col("raw"), sep).alias("gt"))
 
 
+PANEL = "sample string, ord long, locus string, gt string, grp string, batch long"
+
+
 def start(stream: DataFrame, store: str, checkpoint: str, method: str = "likelihood_ratio", **settings):
-    """Each micro-batch is added to the panel under `store`, by batch, so that a batch that is run again replaces itself;
-    the assignments of the blocks in it are written by block."""
+    """Each micro-batch is added to the panel under `store`, by block and batch, so that a batch that is run again
+    replaces itself; only the blocks in it are read, and their assignments are written by block.
+
+    A cell that comes again is a correction: the value of the latest batch counts, within a batch the first in string
+    order (missing last).
+    """
 
     def batch(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{store}/panel/batch={epoch}")
-        every = spark.read.parquet(f"{store}/panel").drop("batch").dropDuplicates(["grp", "sample", "locus"])
-        touched = every.join(rows.select("grp").distinct(), "grp", "left_semi")
-        if touched.head(1):
-            found = resolve(touched, method, **settings).assignment
-            found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grp").parquet(f"{store}/assignment")
+        own = rows.select("sample", "ord", "locus", "gt", "grp", F.lit(epoch).cast("long").alias("batch"))
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grp", "batch").parquet(f"{store}/panel")
+        touched = [r[0] for r in rows.select("grp").distinct().collect()]  # blocks of one micro-batch
+        if not touched:
+            return
+        every = spark.read.schema(PANEL).parquet(f"{store}/panel").filter(F.col("grp").isin(touched))
+        latest = F.min(F.struct((-F.col("batch")).alias("b"), F.col("gt").isNull().alias("none"), "gt", "ord"))
+        cells = every.groupBy("grp", "sample", "locus").agg(latest.alias("x")).select("grp", "sample", "x.ord", "locus", "x.gt")
+        cells = staged(cells.withColumn("ord", F.min("ord").over(W.partitionBy("grp", "sample"))), "stream-panel")
+        found = resolve(cells, method, **settings).assignment
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grp").parquet(f"{store}/assignment")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
