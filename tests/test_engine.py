@@ -183,6 +183,174 @@ def test_stream(spark, tmp_path, simulated):
     assert got.count() == simulated.select("sample").distinct().count()
 
 
+def test_stream_corrections(spark, tmp_path):
+    """A cell that comes again counts as the latest batch has it; only the blocks of a batch are resolved again."""
+    from kinloom.streaming import ingest
+
+    def send(name, rows):
+        spark.createDataFrame(rows, "grp string, sample string, ord long, locus string, raw string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = ingest.read_stream(spark, str(tmp_path / "in" / "*"))
+        ingest.start(stream, str(tmp_path / "store"), str(tmp_path / "check"), "exact", min_loci=2).awaitTermination()
+        got = spark.read.schema("sample string, ord long, individual string, grp string").parquet(str(tmp_path / "store/assignment")).collect()
+        return {(r["grp"], r["sample"]): r["individual"] for r in got}
+
+    cells = lambda grp, s, k, a, b: [(grp, s, k, "L1", a), (grp, s, k, "L2", b)]
+    first = send("one", cells("007", "a", 1, "AA", "GG") + cells("007", "b", 2, "AA", "GT") + cells("8", "c", 3, "AA", "GG") + cells("8", "d", 4, "AA", "GG"))
+    assert first[("007", "a")] != first[("007", "b")] and first[("8", "c")] == first[("8", "d")]
+    second = send("two", [("007", "b", 2, "L2", "GG")])
+    assert second[("007", "a")] == second[("007", "b")] == "007_IND_001" and second[("8", "c")] == first[("8", "c")]
+
+
+def test_inference_rules(spark):
+    raw = spark.createDataFrame([("A/", "ACG/TTA", None, "1"), ("A/", "ACG/ACG", None, "1"), ("C/", "TTA/TTA", None, "2"), ("G/T", "ACG/TTA", None, "2d")], "x string, y string, z string, w string")
+    share = {r["sep"]: r["share"] for r in inference.separator_shares(raw, ["x"]).collect()}
+    assert share["/"] == 0.25  # an empty piece at the end is none
+    blank = spark.createDataFrame([(" A",), ("B ",), ("A B",)], "x string")
+    assert {r["sep"]: r["share"] for r in inference.separator_shares(blank, ["x"]).collect()}[" "] == pytest.approx(2 / 3)  # blanks are not trimmed
+    assert inference.detect_loci(raw.select("y"), "/") == []  # alleles of several letters are no DNA
+    many = raw.union(raw).union(raw)
+    assert inference.detect_loci(many.selectExpr("if(w = '1', 'A/G', 'A/A') AS m", "if(w = '1', '98/99', '98/98') AS n"), "/") == ["m", "n"]
+    score = {r["column"]: r["score"] for r in inference.id_scores(raw, ["x", "z", "w"]).collect()}
+    assert score == {"x": 0.75, "z": 0.25, "w": 0.75}  # null is a value and no number; 2d is none
+    reps = spark.createDataFrame([("s1", "a", "AG"), ("s1", "b", "AG"), ("s1", "Consensus", "AG"), ("s2", None, "AA")], "id string, pcr_run string, L1 string")
+    assert inference.replicate_plan(reps, "id", ["L1"]) == ("pcr_run", ("Consensus",))
+    assert inference.replicate_plan(reps.filter("id = 's2'"), "id", ["L1"]) == (None, ())
+    assert inference.has_replicates(reps, "id") and inference.guess_replicate_column(["L1", "box"], ["L1"]) == "box"
+
+
+def test_file_order(spark, tmp_path):
+    """Individuals are numbered as they appear in the file, whatever their names, and so are repeated ids."""
+    rows = ["SampleID,L1,L2,L3,L4", "z9,AG,AA,GG,AG", "b1,AA,AG,GG,AA", "z9,AA,AG,GG,AA", "a0,AG,AA,GG,AG"] + [f"m{k},AG,AG,AG,{'AG' if k % 2 else 'GG'}" for k in range(8)]
+    path = tmp_path / "order.csv"
+    path.write_text("\n".join(rows))
+    got = {r["sample"]: r["individual"] for r in identify(spark, str(path), "exact", min_loci=4, loci=["L1", "L2", "L3", "L4"], id_col="SampleID").assignment.collect()}
+    assert (got["z9#1"], got["b1"], got["z9#2"], got["a0"]) == ("all_IND_001", "all_IND_002", "all_IND_002", "all_IND_001")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40b")
+    try:
+        order = [r["SampleID"] for r in tables.read_table(spark, str(path), order_col="k").orderBy("k").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert order == [r.split(",")[0] for r in rows[1:]]
+
+
+def test_replicates_from_a_file(spark, tmp_path):
+    rows = ["id,rep,L1,L2"] + [f"{s},{r},{a},{b}" for s, a, b in (("y", "AG", "AA"), ("x", "GG", "AG"), ("w", "AG", "AA")) for r in ("a", "b", "c")] + ["y,consensus,AA,GG", "y,,AG,AA"]
+    path = tmp_path / "reps.csv"
+    path.write_text("\n".join(rows))
+    found = identify(spark, str(path), "exact", id_col="id", loci=["L1", "L2"], replicate_col="auto", min_loci=2)
+    assert {r["sample"]: r["individual"] for r in found.assignment.collect()} == {"y": "all_IND_001", "x": "all_IND_002", "w": "all_IND_001"}
+
+
+def test_consensus_counts_het_n(spark):
+    calls = {"x": ["A/A", "A/A", "G/G", "G/G"], "y": ["A/G", "A/G", "A/G", "A/A"], "z": ["A/G", "A/G", "A/A", "A/A"]}
+    rows = [("g", s, k, r, "L", g) for k, (s, gts) in enumerate(calls.items()) for r, g in enumerate(gts)]
+    reps = spark.createDataFrame(rows, "grp string, sample string, ord long, rep int, locus string, gt string")
+    assert {r["sample"]: r["gt"] for r in replicates.consensus(reps, het_n=3).collect()} == {"x": None, "y": "A/G", "z": None}
+    assert replicates.residual_error(spark, 0.2, 0.1, 0.0, n_rep=4, het_n=3).first()["missing_het"] > replicates.residual_error(spark, 0.2, 0.1, 0.0, n_rep=4).first()["missing_het"]
+
+
+def linkage_brute(n, edges):
+    """Maximal cliques by size, then by listing; each claims what is free."""
+    near = {k: set() for k in range(n)}
+    for a, b in edges:
+        if a != b and a < n and b < n:
+            near[a].add(b)
+            near[b].add(a)
+    cliques = [c for k in range(n, 0, -1) for c in itertools.combinations(range(n), k) if all(b in near[a] for a, b in itertools.combinations(c, 2))]
+    top = [c for c in cliques if not any(set(c) < set(d) for d in cliques)]
+    return near, top
+
+
+def test_complete_linkage_brute(spark):
+    """Against all subsets: individuals are cliques, the largest clique of each component is one of them whole."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3):
+        n = 9
+        edges = [(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.35] + [(2, 2), (3, 77)]
+        samples = spark.createDataFrame([("g", f"s{k}", k) for k in range(n)], "grp string, sample string, ord long")
+        got = {r["ord"]: r["individual"] for r in graph.complete_linkage(samples, spark.createDataFrame(edges, "ord1 long, ord2 long")).collect()}
+        near, top = linkage_brute(n, edges)
+        assert set(got) == set(range(n))
+        groups = {}
+        for k, i in got.items():
+            groups.setdefault(i, []).append(k)
+        assert all(b in near[a] for g in groups.values() for a, b in itertools.combinations(g, 2))
+        assert max(map(len, groups.values())) == max(map(len, top))
+        assert all(any(set(g) <= set(c) for c in top) for g in groups.values())
+    with pytest.raises(ValueError):
+        graph.maximal_cliques(list(range(12)), {k: {x for x in range(12) if x // 2 != k // 2} for k in range(12)}, most=20)
+
+
+def test_settings_share_their_components(spark):
+    samples = spark.createDataFrame([("g", f"s{k}", k) for k in range(8)], "grp string, sample string, ord long")
+    edges = [(1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (2, 0, 2), (2, 5, 6)]
+    got = {r["key"]: tuple(r)[1:] for r in graph.linkage_counts(samples, spark.createDataFrame(edges, "key int, ord1 long, ord2 long"), [1, 2, 3]).collect()}
+    assert got == {1: (2, 6, 3, 1), 2: (4, 5, 3, 0), 3: (0, 8, 1, 0)}
+
+
+def test_sensitivity_matches_single_runs(spark, simulated):
+    own = simulated.select("grp", "sample", "ord", "locus", "gt")
+    grid = {"dropouts": (0.05,), "kinships": ("unrelated", "full_sib"), "cuts": (0.99,)}
+    got = {(r["kinship"], r["dropout"], r["cutoff"]): r for r in matching.sensitivity(own, dropout=0.02, cut=0.999, grid=grid).collect()}
+    assert len(got) == 8 and [k for k, r in got.items() if r["current"]] == [("full_sib", 0.02, 0.999)]
+    for key in (("unrelated", 0.05, 0.99), ("full_sib", 0.02, 0.999)):
+        alone = resolve(own, "likelihood_ratio", dropout=key[1], kinship=key[0], cut=key[2])
+        assert got[key]["n_individuals"] == alone.assignment.select("individual").distinct().count() and got[key]["n_conflicting"] == alone.conflicts.count()
+
+
+def test_error_estimates(spark):
+    rows = simulate(spark, individuals=8, loci=20, most_captures=3, reps=3, dropout=0.1, seed=9)
+    reps = rows.select("grp", "sample", "ord", "rep", "locus", "gt")
+    own = replicates.consensus(reps)
+    found = replicates.applied_error(own, reps)
+    assert found["method"] == "replicates" and found["converted"] and found["applied_dropout"] < found["dropout"]
+    kept = replicates.applied_error(own, reps, use_reps=True)
+    assert not kept["converted"] and kept["use_dropout"] == round(kept["dropout"], 3)
+    few = replicates.applied_error(own, reps.filter("rep = 1"))
+    assert few["method"] == "heterozygote deficit" and few["use_false_allele"] == max(0.001, round(few["dropout"] / 3, 3))
+    two = own.filter(F.col("ord").isin([r[0] for r in own.select("ord").distinct().limit(2).collect()]))
+    assert replicates.estimate_error(two)["n_samples"] == 2
+
+
+def test_comparisons(spark, simulated):
+    own = simulated.select("grp", "sample", "ord", "locus", "gt")
+    stats = pairs.pair_stats(own)
+    _, kind, borrowed = compare.evidence(None, stats)
+    assert (kind, borrowed) == ("n_mismatch", True)
+    _, kind, borrowed = compare.evidence(matching.lr_pairs(own), stats)
+    assert (kind, borrowed) == ("lr", False)
+    runs = spark.createDataFrame([(1.0, 0.5), (0.9, 0.7), (0.8, 0.75), (0.6, 0.65), (None, 0.1)], "a double, b double")
+    t = compare.paired_t(runs, "a", "b").first()
+    assert (t["n"], t["df"]) == (4, 3) and math.isclose(t["t"], 0.175 / (0.2397915 / 2), rel_tol=1e-5)
+    for x, df, p in ((2.0, 10, 0.0733880), (0.5, 3, 0.6514376), (12.7062, 1, 0.05), (0.0, 5, 1.0)):
+        assert math.isclose(compare.t_chance(x, df), p, rel_tol=1e-4)
+    conf = spark.createDataFrame([(0.25,), (1.0,)], "x double").select(confidence.lambda_score(F.log10("x")).alias("s"))
+    assert [round(r["s"], 6) for r in conf.collect()] == [0.2, 0.5]
+    votes = spark.createDataFrame([("a", "wolf"), ("a", "dog"), ("b", "dog"), ("c", "wolf"), ("c", "coyote")], "sample string, vote string")
+    assert {r["sample"]: r["call"] for r in compare.majority(votes, ["wolf", "coyote"]).collect()} == {"a": "wolf", "b": "unknown", "c": "coyote"}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a, b"), (2, None)], "k long, t string")
+    tables.write_csv(df, str(tmp_path / "csv"), single=True)
+    tables.write_parquet({"one": df}, str(tmp_path / "all"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2 and spark.read.parquet(str(tmp_path / "all/one")).count() == 2
+    import zipfile
+
+    path = tables.write_bundle({"one": df}, {"min_loci": 3}, str(tmp_path / "out.zip"))
+    with zipfile.ZipFile(path) as z:
+        assert z.read("one.csv").decode().splitlines() == ["k,t", '1,"a, b"', "2,"] and "min_loci" in z.read("settings.txt").decode()
+
+
+def test_demo(spark):
+    from kinloom.plans.pipeline import DEMO, demo
+
+    found = demo(spark)
+    assert found.settings["dropout"] == DEMO["dropout"] and 26 <= found.assignment.select("individual").distinct().count() <= 32
+
+
 def test_disputed(spark):
     a = spark.createDataFrame([("g", k, k, i) for k, i in enumerate("xxyyz")], "grp string, sample long, ord long, individual string")
     b = spark.createDataFrame([("g", k, k, i) for k, i in enumerate("ppqrs")], "grp string, sample long, ord long, individual string")
