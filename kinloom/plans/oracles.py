@@ -395,13 +395,13 @@ SQL = {
     "residual_error": RESIDUAL,
     "ld_top": query(f"SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld ORDER BY round(r2, 6) DESC, locus1, locus2 LIMIT 25", *linkage()),
     "ld_flagged": query(f"SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld WHERE r2 > 0.01", *UNIQUE, *linkage("upanel")),
-    "fis_flagged": query("SELECT locus, round(1 - ho / he, 6) AS fis FROM locus_stats WHERE abs(1 - ho / he) > 0.02", *UNIQUE, _of(LOCUS, "upanel")),
+    "fis_flagged": query("SELECT locus, round(1 - ho / he, 6) AS fis FROM locus_stats WHERE abs(1 - ho / he) > 0.1", *UNIQUE, _of(LOCUS, "upanel")),
     "same_amplicon": query("SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld WHERE replace(locus1, 'SNP2', '') = replace(locus2, 'SNP2', '')", AMPLICONS, *linkage("apanel")),
     "pid_pruned": query(
         "SELECT locus, row_number() OVER w AS n_loci, round(sum(log10(pid)) OVER w, 6) AS log10_cum_pid, round(sum(log10(pid_sib)) OVER w, 6) AS log10_cum_pid_sib FROM power WHERE NOT ends_with(locus, 'SNP2') WINDOW w AS (ORDER BY pid, locus ROWS UNBOUNDED PRECEDING)",
         AMPLICONS, _of(POWER, "apanel"),
     ),
-    "dead_loci": query("SELECT locus, n_alleles, round(call_rate, 6) AS call_rate FROM locus_stats WHERE n_alleles < 2 OR call_rate < 0.93", LOCUS),
+    "dead_loci": query("SELECT locus, n_alleles, round(call_rate, 6) AS call_rate FROM locus_stats WHERE n_alleles < 2 OR call_rate < 0.9246", LOCUS),
     "lr_top": query("SELECT grp, s1 AS id1, s2 AS id2, n_compared, round(lr, 6) AS lr FROM lr ORDER BY round(lr, 6) DESC, s1, s2 LIMIT 200", LR),
     "near_table": query("SELECT grp, s1 AS id1, s2 AS id2, n_compared, n_mismatch FROM stats WHERE n_compared >= 15 AND n_mismatch BETWEEN 1 AND 2 ORDER BY n_mismatch, n_compared DESC, s1, s2", STATS),
     "final_assignments": query(

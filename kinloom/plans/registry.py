@@ -451,7 +451,7 @@ def ld_flagged(spark, sf):
 
 @_query
 def fis_flagged(spark, sf):
-    return _r(panel.odd_fis(panel.locus_stats(_unique(spark, sf)), 0.02))
+    return _r(panel.odd_fis(panel.locus_stats(_unique(spark, sf)), 0.1))
 
 
 def _amplicons(spark, sf):
@@ -472,7 +472,7 @@ def pid_pruned(spark, sf):
 
 @_query
 def dead_loci(spark, sf):
-    return _r(panel.dead_loci(_panel(spark, sf), 0.93))
+    return _r(panel.dead_loci(_panel(spark, sf), 0.9246))
 
 
 @_query
