@@ -21,18 +21,19 @@ def method_summary(assignments: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [assignment_summary(a).select(F.lit(m).alias("method"), "*") for m, a in assignments.items()])
 
 
-def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (ari) for two assignments of the same samples."""
+def adjusted_rand(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ari) for two assignments of the same samples; by: columns of a."""
     two = lambda n: n * (n - 1) / 2
-    cells = a.select("ord", F.col("individual").alias("i")).join(b.select("ord", F.col("individual").alias("j")), "ord").groupBy("i", "j").agg(F.count("*").alias("n"))
-    both = cells.agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("n"))
-    rows = cells.groupBy("i").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("a"))
-    cols = cells.groupBy("j").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("b"))
-    one = both.join(rows).join(cols)  # one row each
-    expected = F.col("a") * F.col("b") / two(F.col("n"))
+    every = a.select(*by, "ord", F.col("individual").alias("i")).join(b.select("ord", F.col("individual").alias("j")), "ord")
+    cells = every.groupBy(*by, "i", "j").agg(F.count("*").alias("n"))
+    pairs_of = lambda key, name: cells.groupBy(*by, key).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias(name))
+    one = cells.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("n"))
+    for other in (pairs_of("i", "a"), pairs_of("j", "b")):  # a row a group, one row without groups
+        one = one.join(other, list(by)) if by else one.join(other)
+    expected = F.col("a") * F.col("b") / F.nullif(two(F.col("n")), F.lit(0))
     most = (F.col("a") + F.col("b")) / 2
     same = F.abs(most - expected) <= 1.5e-8 * F.abs(most)
-    return one.select(F.when(F.col("n") < 2, F.lit(1.0)).when(same, 1.0).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
+    return one.select(*by, F.when(F.col("n") < 2, F.lit(1.0)).when(same, 1.0).otherwise((F.col("s") - expected) / F.nullif(most - expected, F.lit(0.0))).alias("ari"))
 
 
 def rand_matrix(assignments: dict[str, DataFrame]) -> DataFrame:
@@ -119,13 +120,13 @@ def evidence(scored: DataFrame | None, stats: DataFrame, min_loci: int = 15) ->
     return scored.filter(ok).withColumn("value", F.col(name).cast("double")), name, False
 
 
-def separation(scored: DataFrame, truth: DataFrame, min_loci: int = 1, share: float = 0.999) -> DataFrame:
-    """(mean_same, high_different, margin): the weakest evidence for a true pair less the strongest for a false one."""
+def separation(scored: DataFrame, truth: DataFrame, min_loci: int = 1, share: float = 0.999, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., mean_same, high_different, margin): the weakest evidence for a true pair less the strongest for a false one."""
     a, b = truth.select(F.col("ord").alias("ord1"), F.col("individual").alias("t1")), truth.select(F.col("ord").alias("ord2"), F.col("individual").alias("t2"))
     told = scored.filter(F.col("n_compared") >= min_loci).join(a, "ord1").join(b, "ord2")
     same = F.when(F.col("t1") == F.col("t2"), F.col("lr"))
     other = F.percentile(F.when(F.col("t1") != F.col("t2"), F.col("lr")), share)
-    return told.agg(F.avg(same).alias("mean_same"), other.alias("high_different"), (F.min(same) - other).alias("margin"))
+    return told.groupBy(*by).agg(F.avg(same).alias("mean_same"), other.alias("high_different"), (F.min(same) - other).alias("margin"))
 
 
 def mean_by(runs: DataFrame, by: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:

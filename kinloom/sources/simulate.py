@@ -11,10 +11,11 @@ def _u(*parts):
     return (F.abs(F.xxhash64(*parts) % F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
 
 
-def simulate(spark: SparkSession, individuals: int = 30, loci: int = 30, most_captures: int = 8, dropout: float = 0.03, false_allele: float = 0.01, missing: float = 0.07, reps: int = 0, groups: int = 1, seed: int = 1) -> DataFrame:
+def simulate(spark: SparkSession, individuals: int = 30, loci: int = 30, most_captures: int = 8, dropout: float = 0.03, false_allele: float = 0.01, missing: float = 0.07, reps: int = 0, groups: int = 1, seed: int = 1, hard: float = 0.0) -> DataFrame:
     """(grp, sample, ord, individual, rep, locus, gt): each individual sampled 1 to most_captures times.
 
-    reps: replicate reactions for each sample; 0 gives one consensus genotype (rep null).
+    reps: replicate reactions for each sample; 0 gives one consensus genotype (rep null).  hard: share of a sample's
+    loci that fail in all its reactions.
     """
     s = F.lit(seed)
     who = spark.range(individuals).select(F.col("id").alias("individual"), (F.col("id") % groups).alias("grp"))
@@ -31,7 +32,7 @@ def simulate(spark: SparkSession, individuals: int = 30, loci: int = 30, most_ca
     wrong = _u(s, F.lit("f"), *read)
     a1 = F.when(wrong < false_allele / 2, base("x", *read)).otherwise(a1)
     a2 = F.when((wrong >= false_allele / 2) & (wrong < false_allele), base("x", *read)).otherwise(a2)
-    gt = F.when(_u(s, F.lit("m"), *read) >= missing, F.concat_ws("/", F.least(a1, a2), F.greatest(a1, a2)))
+    gt = F.when((_u(s, F.lit("m"), *read) >= missing) & (_u(s, F.lit("h"), "ord", "locus") >= hard), F.concat_ws("/", F.least(a1, a2), F.greatest(a1, a2)))
     return cells.select("grp", F.col("ord").alias("sample"), "ord", "individual", "rep", "locus", gt.alias("gt"))
 
 

@@ -344,6 +344,28 @@ def test_sinks(spark, tmp_path):
         assert z.read("one.csv").decode().splitlines() == ["k,t", '1,"a, b"', "2,"] and "min_loci" in z.read("settings.txt").decode()
 
 
+def test_experiment(spark):
+    from kinloom.plans.experiment import closer, experiment
+
+    table = experiment(spark, loci=(20,), dropouts=(0.1,), runs=2, individuals=6)
+    rows = table.collect()
+    assert len(rows) == 2 and all(r["truth_n"] == 6 and r["reps_ari"] >= r["cons_ari"] - 0.3 and r["reps_loci"] >= r["cons_loci"] for r in rows)
+    assert sum(closer(table).first()) == 2
+    means = compare.mean_by(table, ("n_loci", "dropout"), ("cons_ari", "reps_ari")).first()
+    assert math.isclose(means["reps_ari"], sum(r["reps_ari"] for r in rows) / 2)
+
+
+def test_labels(spark):
+    from kinloom.functions.labels import relabelled
+
+    df = spark.createDataFrame([(1, "full_sib", 0.5, None), (2, "other", 0.1, "x")], "ord int, kinship string, margin double, Margin string")
+    with pytest.raises(Exception):
+        relabelled(df).collect()  # a name that Spark cannot tell from another
+    got = relabelled(df.toDF("ord", "kinship", "margin", "extra"))
+    assert got.columns == ["kinship", "Margin", "extra"] and [r["kinship"] for r in got.collect()] == ["Full siblings", "other"]
+    assert got.schema["Margin"].metadata["comment"].startswith("Support less")
+
+
 def test_demo(spark):
     from kinloom.plans.pipeline import DEMO, demo
 
