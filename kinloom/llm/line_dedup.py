@@ -2,7 +2,7 @@
 
 Plan
 1. every line whose key (ASCII white space stripped at both ends, A-Z lower-cased) has at least ``min_chars`` code
-   points becomes a row (128-bit hash, id, text hash, position); no text is shuffled;
+   points becomes a row (128-bit hash, id, text hash, position, number of lines); no text is shuffled;
 2. rows are range-partitioned by (hash, id descending) and sorted by (hash, id descending, position), so one very
    common line is spread over as many partitions as it needs;
 3. each partition is streamed once: the first id of a run holds the line, at most ``min_docs`` - 1 further documents
@@ -40,36 +40,36 @@ def _base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _stream(min_docs: int):
-    """A partition's rows, in order, to (kind, h1, h2, id, th, pos, n)."""
+    """A partition's rows, in order, to (kind, h1, h2, id, th, pos, lines, n)."""
 
     def run(batches):
-        rows = itertools.chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "id", "th", "pos"))) for b in batches)
+        rows = itertools.chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "id", "th", "pos", "lines"))) for b in batches)
         out: list[tuple] = []
         first, ended = True, None
-        for (h1, h2), lines in itertools.groupby(rows, lambda r: (r[0], r[1])):
+        for (h1, h2), run_ in itertools.groupby(rows, lambda r: (r[0], r[1])):
             if ended:  # the run before this one was not the last; if it was the first, others may hold a part of it
                 if ended[1]:
                     out.append(ended[0])
                 ended = None
             docs, last, waiting, top = 0, object(), [], None
-            for _, _, doc, th, pos in lines:
+            for _, _, doc, th, pos, lines in run_:
                 if doc != last:
                     docs, last = docs + 1, doc
                     if docs == 1:
                         top = doc
                 if first:
-                    out.append((OPEN, h1, h2, doc, th, pos, 0))
+                    out.append((OPEN, h1, h2, doc, th, pos, lines, 0))
                 elif docs > 1:
                     if docs >= min_docs:
                         out += [(DROP, h1, h2, *w, 0) for w in waiting]
                         waiting = []
-                        out.append((DROP, h1, h2, doc, th, pos, 0))
+                        out.append((DROP, h1, h2, doc, th, pos, lines, 0))
                     else:
-                        waiting.append((doc, th, pos))
+                        waiting.append((doc, th, pos, lines))
                 if len(out) >= 20_000:
                     yield _frame(out)
                     out = []
-            ended = ((EDGE, h1, h2, top, 0, 0, docs), first, waiting)
+            ended = ((EDGE, h1, h2, top, 0, 0, 0, docs), first, waiting)
             first = False
         if ended:
             out += [ended[0], *((OPEN, *ended[0][1:3], *w, 0) for w in ended[2])]
@@ -78,7 +78,7 @@ def _stream(min_docs: int):
     return run
 
 
-SCHEMA = "kind int, h1 long, h2 long, id long, th long, pos int, n long"
+SCHEMA = "kind int, h1 long, h2 long, id long, th long, pos int, lines int, n long"
 
 
 def _frame(rows: list[tuple]) -> pa.RecordBatch:
@@ -88,15 +88,15 @@ def _frame(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(id, th, pos) of each line that goes."""
+    """(id, th, pos, lines) of each line that goes; lines: how many its document has."""
     line = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     keys = (
         _base(df, id_col, text_col)
-        .select("id", "th", line)
+        .select("id", "th", (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), line)
         .filter(F.char_length("line") >= min_chars)
-        .select("id", "th", "pos", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key"))
+        .select("id", "th", "pos", "lines", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key"))
         .filter(F.char_length("key") >= min_chars)
-        .select(F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key", F.char_length("key")).alias("h2"), "id", "th", "pos")
+        .select(F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key", F.char_length("key")).alias("h2"), "id", "th", "pos", "lines")
     )
     lines = staged(keys, "lines")
     newest = F.col("id").desc_nulls_last()
@@ -105,7 +105,8 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = settled.filter(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("id").alias("top"))
     edges = edges.filter(F.col("docs") >= min_docs).select("h1", "h2", "top")  # at most two rows a partition
     late = settled.filter(F.col("kind") == OPEN).join(F.broadcast(edges), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("top")))
-    return settled.filter(F.col("kind") == DROP).select("id", "th", "pos").unionByName(late.select("id", "th", "pos"))
+    columns = ("id", "th", "pos", "lines")
+    return settled.filter(F.col("kind") == DROP).select(*columns).unionByName(late.select(*columns))
 
 
 @F.pandas_udf(BinaryType())
@@ -126,11 +127,8 @@ def _kept(bitmap: pd.Series, n_lines: pd.Series) -> pd.Series:
 
 def line_keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(id, th, n_lines, n_dropped, keep_bitmap) of the documents that lose a line; th is the text's hash."""
-    gone = staged(dropped_lines(df, id_col, text_col, min_chars, min_docs).groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "lines-gone")
-    near, _ = parted(_base(df, id_col, text_col), F.col("th"), gone.select(F.col("th").alias("x")))
-    sizes = near.select("id", "th", (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).distinct()
-    same = sizes["id"].eqNullSafe(gone["id"]) & (sizes["th"] == gone["th"])
-    return sizes.join(gone, same).select(sizes["id"], sizes["th"], "n_lines", F.size("gone").cast("long").alias("n_dropped"), _bitmap("n_lines", "gone").alias("keep_bitmap"))
+    gone = dropped_lines(df, id_col, text_col, min_chars, min_docs).groupBy("id", "th").agg(F.collect_set("pos").alias("gone"), F.max("lines").cast("long").alias("n_lines"))
+    return gone.select("id", "th", "n_lines", F.size("gone").cast("long").alias("n_dropped"), _bitmap("n_lines", "gone").alias("keep_bitmap"))
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:

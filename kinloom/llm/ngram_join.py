@@ -295,7 +295,7 @@ def ngram_components(
 
 
 def _window_hashes(picked, shared=None):
-    """(node, n, token) of the window hashes of the rows in `picked`, and of the hashes in `shared` only."""
+    """(token) of the window hashes of the rows in `picked`; with `shared`, (node, n, token) of the hashes in it only."""
 
     def run(batches):
         for b in batches:
@@ -309,6 +309,9 @@ def _window_hashes(picked, shared=None):
             if shared is not None:
                 take &= in_bitmap(shared, flat)
             row, flat = row[take], flat[take]
+            if shared is None:
+                yield pa.record_batch([pa.array(flat)], names=["token"])
+                continue
             at = pa.array(row)
             yield pa.record_batch([b.column("node").take(at), b.column("n").take(at), pa.array(flat)], names=["node", "n", "token"])
 
@@ -328,7 +331,7 @@ def _families(spark, rows: DataFrame, classes: DataFrame, percent: int, hot: int
     picked = bitmap(spark, classes.select(F.xxhash64("pick.id", "pick.th").alias("x")))
     source = rows.filter("n > 0").select("node", "n", pick.alias("pick"), "win")
     schema = "node binary, n long, token long"
-    shared = staged(source.mapInArrow(_window_hashes(picked), schema).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    shared = staged(source.mapInArrow(_window_hashes(picked), "token long").groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     repeated = bitmap(spark, shared.select(F.col("token").alias("x")))
     held = source.mapInArrow(_window_hashes(picked, repeated), schema).join(shared, "token").groupBy("node", "n").agg(F.collect_set(F.struct("token", "df")).alias("hits"))
     held = held.withColumn("spare", _spare(F.col("n"), percent)).filter(F.size("hits") > F.col("spare"))

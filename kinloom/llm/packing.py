@@ -36,7 +36,7 @@ CAPACITY = 2048
 END_ID = 1
 CACHE_WORDS = 200_000
 #: Tokens that a task holds at a time, four bytes each.
-BLOCK_TOKENS = 8_000_000
+BLOCK_TOKENS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
