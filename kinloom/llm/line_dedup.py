@@ -89,10 +89,10 @@ def _frame(rows: list[tuple]) -> pa.RecordBatch:
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(id, th, pos, lines) of each line that goes; lines: how many its document has."""
-    line = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
+    # the text is cut once, below the explode: nothing of it is worked out for each line or to leave empty lists out
+    cut = _base(df, id_col, text_col).select("id", "th", F.split("text", "\n", -1).alias("parts")).select("id", "th", F.size("parts").alias("lines"), "parts")
     keys = (
-        _base(df, id_col, text_col)
-        .select("id", "th", (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), line)
+        cut.select("id", "th", "lines", F.posexplode_outer("parts").alias("pos", "line"))
         .filter(F.char_length("line") >= min_chars)
         .select("id", "th", "pos", "lines", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key"))
         .filter(F.char_length("key") >= min_chars)
