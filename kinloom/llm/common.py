@@ -83,3 +83,33 @@ def parted(df: DataFrame, key: Column, values: DataFrame) -> tuple[DataFrame, Da
     name = fresh(df, "may")
     marked = df.withColumn(name, may(key))
     return marked.filter(F.col(name)).select(*df.columns), marked.filter(~F.col(name)).select(*df.columns)
+
+
+#: Rows of a table that is broadcast at most; its rows are counted first.
+MOST_BROADCAST = 100_000
+#: Copies of a longer table's rows, so that one key that holds a third of all rows meets in so many tasks.
+SALTS = 32
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """rows with the other columns of table (one row a value of `on`, null being a value; staged).
+
+    A table of MOST_BROADCAST rows or fewer is broadcast.  A longer one is joined by a shuffle in which each key is split.
+    """
+    key, salt = fresh(rows, "looked_key"), fresh(rows, "looked_salt")
+    own = table.withColumnRenamed(on, key)
+    if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(own), F.col(on).eqNullSafe(F.col(key))).drop(key)
+    spread = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    own = own.withColumn(salt + "_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(own, F.col(on).eqNullSafe(F.col(key)) & (F.col(salt) == F.col(salt + "_"))).drop(key, salt, salt + "_")
+
+
+def whole_vectors(df: DataFrame, vector_col: str, *others: Column) -> DataFrame:
+    """(others..., v array<double>): rows whose vector is there, without nulls or non-finite components, and as long as
+    most such vectors are (of lengths that are equally frequent, the shorter)."""
+    v = F.col(vector_col).cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    rows = df.filter(v.isNotNull() & (F.size(v) > 0) & ~bad).select(*others, v.alias("v"))
+    top = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    return rows.filter(F.size("v") == (top["n"] if top else 0))

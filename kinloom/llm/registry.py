@@ -1,6 +1,6 @@
 """The corpus queries and their SQL, as __spark_entry__.py registers them."""
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, pii, quality, sharding, substring_dedup
+from . import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, pii, quality, sharding, source_mix, substring_dedup
 
 QUERIES = {
     "op1_min_slack_packing": packing.query,
@@ -13,8 +13,10 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_decontamination": decontaminate.query,
     "op10_html_template": html_extract.query,
+    "op13_source_mix": source_mix.query,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op13_source_mix": source_mix.SQL,
 }
