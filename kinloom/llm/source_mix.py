@@ -38,6 +38,8 @@ BLOCK = 1024
 RANGE_ROWS, MAX_RANGES = 20_000, 1 << 16
 #: Points that one row of the table of points becomes.
 CHUNK = 1 << 12
+#: Tasks that make points, at most.
+MOST_TASKS = 20_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -111,7 +113,9 @@ def slots(table: DataFrame, block: int = BLOCK) -> DataFrame:
     # an interval has a source's share of the 2^bits points, never fewer than it needs
     edge = lambda c: F.expr(f"cast({c} AS decimal(19,0)) * cast({1 << bits} AS decimal(19,0)) div cast({max(total, 1)} AS decimal(19,0))")
     shares = ends.select("src", "need", edge("(end - need)").alias("lo"), edge("end").alias("hi"))
-    chunks = shares.withColumn("chunk", F.explode(F.expr(f"sequence(lo div {CHUNK}, (hi - 1) div {CHUNK})"))).repartition("chunk")
+    chunks = shares.withColumn("chunk", F.explode(F.expr(f"sequence(lo div {CHUNK}, (hi - 1) div {CHUNK})")))
+    # a row becomes CHUNK points: the number of tasks goes by the points, not by the bytes of these rows
+    chunks = chunks.repartition(min(MOST_TASKS, 1 + (1 << bits) // (16 * CHUNK)), "chunk")
     points = chunks.withColumn("point", F.explode(F.expr(f"sequence(greatest(lo, chunk * {CHUNK}), least(hi, (chunk + 1) * {CHUNK}) - 1)")))
     ranked = points.withColumn("slot", reverse_bits(F.col("point"), bits)).withColumn("block", F.expr(rank_before(bits)))
     return ranked.filter("block < need").select("slot", "src", "block")
@@ -154,7 +158,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = staged(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-rows")
     table = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     rows = looked_up(rows, table, "source").select("row", "id", "size", "src", "source_size", "target")
-    schedule = staged(slots(table, block).join(pieces(rows, int(most), block), ["src", "block"]), "schedule")
+    schedule = staged(slots(table, block).hint("merge").join(pieces(rows, int(most), block), ["src", "block"]), "schedule")
     taken = schedule.groupBy("row").agg(F.sum("length").alias("taken"))
     found = rows.join(taken, "row", "left").select("row", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     return found, schedule
