@@ -50,6 +50,12 @@ def floor_log10(x: Column) -> Column:
     return F.log10(F.greatest(x, F.lit(1e-300)))
 
 
+def signif(x: Column, digits: int) -> Column:
+    """x to so many significant digits."""
+    power = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * power) / power)
+
+
 def posterior(log10_lr: Column, prior: Column) -> Column:
     """1 / (1 + 10^-(log10 prior odds + log10 LR)), finite for any evidence."""
     e = F.log10(prior / (1 - prior)) + log10_lr

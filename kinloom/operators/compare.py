@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from kinloom.functions.genotype import allele
 from kinloom.operators.graph import assignment_summary
+from kinloom.sources.staging import staged
 
 
 def stacked(assignments: dict[str, DataFrame]) -> DataFrame:
@@ -18,7 +19,15 @@ def stacked(assignments: dict[str, DataFrame]) -> DataFrame:
 
 
 def method_summary(assignments: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [assignment_summary(a).select(F.lit(m).alias("method"), "*") for m, a in assignments.items()])
+    return assignment_summary(stacked(assignments), "method")
+
+
+def _rand(s: str, a: str, b: str, n: str):
+    """The adjusted Rand index from the pairs that agree, those of either side, and the number of samples."""
+    expected = F.col(a) * F.col(b) / F.nullif(F.col(n) * (F.col(n) - 1) / 2, F.lit(0))
+    most = (F.col(a) + F.col(b)) / 2
+    same = F.abs(most - expected) <= 1.5e-8 * F.abs(most)
+    return F.when(F.col(n) < 2, F.lit(1.0)).when(same, 1.0).otherwise((F.col(s) - expected) / F.nullif(most - expected, F.lit(0.0)))
 
 
 def adjusted_rand(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -30,17 +39,26 @@ def adjusted_rand(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataF
     one = cells.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("n"))
     for other in (pairs_of("i", "a"), pairs_of("j", "b")):  # a row a group, one row without groups
         one = one.join(other, list(by)) if by else one.join(other)
-    expected = F.col("a") * F.col("b") / F.nullif(two(F.col("n")), F.lit(0))
-    most = (F.col("a") + F.col("b")) / 2
-    same = F.abs(most - expected) <= 1.5e-8 * F.abs(most)
-    return one.select(*by, F.when(F.col("n") < 2, F.lit(1.0)).when(same, 1.0).otherwise((F.col("s") - expected) / F.nullif(most - expected, F.lit(0.0))).alias("ari"))
+    return one.select(*by, _rand("s", "a", "b", "n").alias("ari"))
 
 
 def rand_matrix(assignments: dict[str, DataFrame]) -> DataFrame:
-    """(method1, method2, ari) of each pair of methods, each with itself included."""
-    names = list(assignments)
-    out = [adjusted_rand(assignments[x], assignments[y]).select(F.lit(x).alias("method1"), F.lit(y).alias("method2"), "ari") for i, x in enumerate(names) for y in names[i:]]
-    return reduce(DataFrame.unionByName, out)
+    """(method1, method2, ari) of each pair of methods, each with itself included, in one job: the stacked assignments are
+    joined with themselves on the sample once, and the cells of all pairs of methods are counted in one grouping."""
+    place = {m: k for k, m in enumerate(assignments)}
+    every = stacked(assignments).withColumn("at", F.element_at(F.create_map(*[x for m, k in place.items() for x in (F.lit(m), F.lit(k))]), F.col("method")))
+    two = lambda n: n * (n - 1) / 2
+    # the methods of a sample are one short list, so the self-join is a pair of positions in it
+    lists = every.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("at", "method", "individual"))).alias("own"))
+    cells = lists.select(F.posexplode("own").alias("k", "a"), "own").select("a", F.explode(F.expr("slice(own, k + 1, size(own))")).alias("b"))
+    key = (F.col("a.method").alias("method1"), F.col("b.method").alias("method2"))
+    cells = cells.groupBy(*key, F.col("a.individual").alias("i"), F.col("b.individual").alias("j")).agg(F.count("*").alias("n"))
+    # the sizes of each side's individuals, and the cells, as rows of three kinds
+    kinds = F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.concat_ws("\x1f", "i", "j").alias("x")), F.struct(F.lit("a").alias("kind"), F.col("i").alias("x")), F.struct(F.lit("b").alias("kind"), F.col("j").alias("x")))).alias("e")
+    sums = cells.select("method1", "method2", "n", kinds).groupBy("method1", "method2", "e").agg(F.sum("n").alias("n"))
+    of = lambda k: F.sum(F.when(F.col("e.kind") == k, two(F.col("n"))))
+    one = sums.groupBy("method1", "method2").agg(of("s").alias("s"), of("a").alias("a"), of("b").alias("b"), F.sum(F.when(F.col("e.kind") == "s", F.col("n"))).alias("n"))
+    return one.select("method1", "method2", _rand("s", "a", "b", "n").alias("ari"))
 
 
 def disputed(assignments: dict[str, DataFrame]) -> DataFrame:
@@ -89,8 +107,8 @@ def majority(votes: DataFrame, allowed: list[str]) -> DataFrame:
 
 
 def recapture_weights(assignment: DataFrame) -> DataFrame:
-    """(sample, weight): one over the size of the sample's cluster."""
-    return assignment.select("sample", (1 / F.count("*").over(W.partitionBy("individual"))).alias("weight"))
+    """(ord, weight): one over the size of the sample's cluster."""
+    return assignment.select("ord", (1 / F.count("*").over(W.partitionBy("individual"))).alias("weight"))
 
 
 def het_share(panel: DataFrame) -> DataFrame:
@@ -120,6 +138,38 @@ def evidence(scored: DataFrame | None, stats: DataFrame, min_loci: int = 15) ->
     return scored.filter(ok).withColumn("value", F.col(name).cast("double")), name, False
 
 
+#: Bars of the histogram of evidence.
+BARS = 60
+
+
+def evidence_histogram(pairs: DataFrame, value: str = "value", accepted=None, bars: int = BARS, width: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., bar, low, high, n_pairs, n_accepted) over even bars, those without pairs left out.
+
+    Two passes: the range, then the counts.  The bars span the range bars - 1 times (or have the given width, as counts
+    of loci do), and their edges lie half a width off the multiples of it; a bar holds its upper edge.  pairs: with
+    a number `value`; accepted: a condition.
+    """
+    ends = pairs.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    wide = F.lit(float(width)) if width else F.when(F.col("most") > F.col("least"), (F.col("most") - F.col("least")) / max(bars - 1, 1)).otherwise(F.lit(1.0))
+    ends = staged(ends.withColumn("width", wide), "range")  # a row a group
+    start = F.col("width") / 2 + F.floor((F.col("least") - F.col("width") / 2) / F.col("width") + 1e-9) * F.col("width")
+    ends = ends.select(*by, start.alias("start"), "width")
+    told = pairs.select(*by, F.col(value).cast("double").alias("v"), (F.lit(False) if accepted is None else accepted).alias("ok")).filter("v is not null")
+    told = told.join(ends, list(by)) if by else told.join(ends)  # one row without groups
+    bar = F.greatest(F.lit(1), F.ceil((F.col("v") - F.col("start")) / F.col("width") - 1e-9)).cast("int")
+    counts = told.groupBy(*by, "start", "width", bar.alias("bar")).agg(F.count("*").alias("n_pairs"), F.count_if("ok").alias("n_accepted"))
+    low = F.col("start") + (F.col("bar") - 1) * F.col("width")
+    return counts.select(*by, "bar", low.alias("low"), (low + F.col("width")).alias("high"), "n_pairs", "n_accepted")
+
+
+def margin_strip(confidence: DataFrame, steps: int = 4, least: float = 1e-6) -> DataFrame:
+    """(status, step, n_samples, lowest, highest): samples by state along the logarithm of their margin, `steps` to a
+    power of ten; margins under `least`, and negative ones, stand at it."""
+    at = F.log10(F.greatest("margin", F.lit(least)))
+    rows = confidence.filter(F.col("margin").isNotNull()).select("status", at.alias("at"))
+    return rows.groupBy("status", F.floor(F.col("at") * steps + 1e-9).cast("int").alias("step")).agg(F.count("*").alias("n_samples"), F.min("at").alias("lowest"), F.max("at").alias("highest"))
+
+
 def separation(scored: DataFrame, truth: DataFrame, min_loci: int = 1, share: float = 0.999, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., mean_same, high_different, margin): the weakest evidence for a true pair less the strongest for a false one."""
     a, b = truth.select(F.col("ord").alias("ord1"), F.col("individual").alias("t1")), truth.select(F.col("ord").alias("ord2"), F.col("individual").alias("t2"))

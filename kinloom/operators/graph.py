@@ -10,12 +10,27 @@ from pyspark.sql import Window as W
 from kinloom.sources.staging import staged
 
 
+#: A hub has more than this share of all edge ends, so there are fewer hubs than one over it; small graphs need none.
+HUB_SHARE, HUB_EDGES = 1 / 2000, 100_000
+
+
+def _with_least(e: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """e (u, ...) with the m of least (u, m, n) of its u; ends: about as many as the rows of e."""
+    if ends < HUB_EDGES:
+        return e.join(least.drop("n"), "u")
+    hubs = F.broadcast(least.filter(F.col("n") > ends * HUB_SHARE).select("u", F.col("m").alias("hub_m")))
+    marked = e.join(hubs, "u", "left")
+    rest = marked.filter("hub_m is null").drop("hub_m").join(least.drop("n"), "u")
+    return marked.filter("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(rest)
+
+
 def linked(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for each node of edges (u, v): component is the smallest node reachable.
 
     Edges are contracted towards the smallest neighbour, large stars and small stars in turn; each step groups by a
-    node with partial sums, so a node with very many neighbours is no hot group.  Every round is written to the shared
-    folder, so lineage does not grow; rounds grow with the logarithm of the longest path.
+    node with partial sums, so a node with very many neighbours is no hot group.  Edges of such nodes get their least
+    neighbour from a broadcast table, which has a bound (see HUB_SHARE), those of all others by a shuffle.  Every round
+    is written to the shared folder, so lineage does not grow; rounds grow with the logarithm of the longest path.
     """
 
     def mark(e):
@@ -27,10 +42,10 @@ def linked(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, down, seen[0]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         e = staged(small.filter("u != v").distinct(), "edges")
         now = mark(e)
         if now == seen:
@@ -66,24 +81,32 @@ def single_linkage(samples: DataFrame, matched: DataFrame) -> DataFrame:
     return named(samples.join(found.withColumnsRenamed({"node": "ord", "component": "cluster"}), "ord"))
 
 
-#: Cliques of one component that are listed at most; a graph with more is no match graph, and the job says so.
+#: Cliques listed for one vertex and its later neighbours at most; a graph with more is no match graph, and the job says so.
 MOST_CLIQUES = 1_000_000
 
 
-def maximal_cliques(order: list, neighbours: dict, most: int = MOST_CLIQUES) -> list[list]:
-    """All maximal cliques; each step branches on the vertices outside the neighbourhood of a pivot with most of them."""
-    found, place = [], {v: k for k, v in enumerate(order)}
-    stack = [([], list(order), [])]
+def maximal_cliques(order: list, neighbours: dict, most: int = MOST_CLIQUES, start: tuple = (), done: list = (), prune: bool = False) -> list[list]:
+    """All maximal cliques that hold `start` and else vertices of order, none of `done`; each in the order given.
+
+    Each step branches on the vertices outside the neighbourhood of a pivot with most of them.  prune: leaves out cliques
+    that are smaller than one already found for each of their members.
+    """
+    found, place, held = [], {v: k for k, v in enumerate([*start, *order])}, {}
+    stack = [(list(start), list(order), list(done))]
     while stack:
-        chosen, open_, done = stack.pop()
+        chosen, open_, shut = stack.pop()
         if not open_:
-            if not done:
+            if not shut:
                 found.append(sorted(chosen, key=place.get))
                 if len(found) > most:
-                    raise ValueError(f"a component of {len(order)} samples has over {most} maximal cliques: use single linkage or a stricter rule")
+                    raise ValueError(f"a sample with {len(order)} others around it has over {most} maximal cliques: use single linkage or a stricter rule")
+                for v in chosen:
+                    held[v] = max(held.get(v, 0), len(chosen))
             continue
-        pivot = max(open_ + done, key=lambda v: len(neighbours[v].intersection(open_)))
-        branches, left, closed = [], list(open_), list(done)
+        if prune and all(held.get(v, 0) > len(chosen) + len(open_) for v in chosen + open_):
+            continue
+        pivot = max(open_ + shut, key=lambda v: len(neighbours[v].intersection(open_)))
+        branches, left, closed = [], list(open_), list(shut)
         for v in [v for v in open_ if v not in neighbours[pivot]]:
             near = neighbours[v]
             branches.append((chosen + [v], [x for x in left if x in near], [x for x in closed if x in near]))
@@ -93,38 +116,104 @@ def maximal_cliques(order: list, neighbours: dict, most: int = MOST_CLIQUES) ->
     return found
 
 
+def clique_claims(edges: DataFrame) -> DataFrame:
+    """(key, node, clique) of the ends of edges (key, u, v): the first maximal clique that holds the node, the larger
+    first, of equal ones that with the smaller members.
+
+    Cliques that take what is free, largest first, give each vertex to the first clique that holds it, so the claim is
+    one aggregation.  Vertices are ordered by degree; the cliques whose first vertex is v lie among v and its neighbours,
+    and the edges between later neighbours, or an earlier and a later one, come from triangles.  A task lists the
+    cliques of one vertex at a time: it never holds a component.  The vertices after v are at most the square root of
+    twice the number of edges.
+    """
+    e = staged(edges.select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct(), "clique-edges")
+    degree = e.select("key", F.explode(F.array("u", "v")).alias("node")).groupBy("key", "node").agg(F.count("*").alias("degree"))
+    of = lambda c: degree.select("key", F.col("node").alias(c), F.struct("degree", "node").alias(f"at_{c}"))
+    placed = e.join(of("u"), ["key", "u"]).join(of("v"), ["key", "v"])
+    placed = staged(placed.select("key", F.least("at_u", "at_v").alias("a"), F.greatest("at_u", "at_v").alias("b")), "clique-placed")
+    wedge = placed.join(placed.withColumnRenamed("b", "c"), ["key", "a"]).filter("b < c")
+    triangle = wedge.join(placed.select("key", F.col("a").alias("b"), F.col("b").alias("c")), ["key", "b", "c"])
+    later, edge = F.lit("later"), F.lit("edge")
+    none = F.lit(None).cast("long")
+    row = lambda kind, x, y=none: F.struct(kind.alias("kind"), x.alias("x"), y.alias("y"))
+    a, b, c = (F.col(f"{x}.node") for x in "abc")
+    rows = placed.select("key", F.explode(F.array(F.struct(a.alias("first"), row(later, b).alias("r")), F.struct(b.alias("first"), row(F.lit("earlier"), a).alias("r")))).alias("s"))
+    rows = rows.unionByName(triangle.select("key", F.explode(F.array(F.struct(a.alias("first"), row(edge, b, c).alias("r")), F.struct(b.alias("first"), row(edge, a, c).alias("r")))).alias("s")))
+    around = rows.select("key", "s.first", "s.r").groupBy("key", "first").agg(F.collect_list("r").alias("r")).filter(F.exists("r", lambda r: r["kind"] == "later"))
+    kind = e.schema["key"].dataType.simpleString()
+
+    def listed(batches):
+        for pdf in batches:
+            out: dict = {"key": [], "clique": []}
+            for key, first, around_ in pdf.itertuples(index=False):
+                near: dict = {}
+                ends: dict = {"later": [], "earlier": []}
+                for r in around_:
+                    if r["kind"] == "edge":
+                        near.setdefault(r["x"], set()).add(r["y"])
+                        near.setdefault(r["y"], set()).add(r["x"])
+                    else:
+                        ends[r["kind"]].append(r["x"])
+                for v in (*ends["later"], *ends["earlier"]):
+                    near.setdefault(v, set())
+                for clique in maximal_cliques(sorted(ends["later"]), near, start=(first,), done=sorted(ends["earlier"]), prune=True):
+                    out["key"].append(key)
+                    out["clique"].append(sorted(clique))
+            yield pd.DataFrame(out)
+
+    cliques = around.mapInPandas(listed, f"key {kind}, clique array<bigint>")
+    best = cliques.select("key", F.explode("clique").alias("node"), F.struct((-F.size("clique")).alias("k"), "clique").alias("c"))
+    return best.groupBy("key", "node").agg(F.min("c")["clique"].alias("clique"))
+
+
+def _known(samples: DataFrame, matched: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., u, v) of the pairs of two different samples that are in samples, u < v, each once."""
+    nodes = samples.select(F.col("ord").alias("u"))
+    e = matched.select(*keys, F.least("ord1", "ord2").alias("u"), F.greatest("ord1", "ord2").alias("v")).filter("u != v").distinct()
+    return e.join(nodes, "u", "left_semi").join(nodes.toDF("v"), "v", "left_semi").select(*keys, "u", "v")
+
+
 def complete_linkage(samples: DataFrame, matched: DataFrame) -> DataFrame:
-    """As single_linkage, but members of an individual all match each other: cliques by size, each claims what is free.
+    """As single_linkage, but members of an individual all match each other: cliques by size, each claims what is free
+    (of equal ones the one with the smaller members first).
 
     Pairs of a sample with itself or with one that is not in samples do not count.  A component that is a clique is
-    one individual by the number of its edges; only the others, chains of recaptures, are listed in a task each.
+    one individual by the number of its edges; only the others, chains of recaptures, are searched for cliques.
     """
-    nodes = samples.select(F.col("ord").alias("node"))
-    edges = matched.select(F.least("ord1", "ord2").alias("node"), F.greatest("ord1", "ord2").alias("other")).filter("node != other").distinct()
-    edges = edges.join(nodes, "node", "left_semi").join(nodes.toDF("other"), "other", "left_semi").select("node", "other")
-    edges = staged(edges, "linkage-edges")
-    single = staged(components(nodes, edges.toDF("u", "v")), "linkage")
-    inside = edges.join(single, "node").groupBy("component").agg(F.count("*").alias("n_edges"))
+    edges = staged(_known(samples, matched), "linkage-edges")
+    single = staged(components(samples.select(F.col("ord").alias("node")), edges), "linkage")
+    inside = edges.join(single, F.col("u") == F.col("node")).groupBy("component").agg(F.count("*").alias("n_edges"))
     size = single.groupBy("component").agg(F.count("*").alias("n")).join(inside, "component", "left")
-    full = size.filter(F.coalesce("n_edges", F.lit(0)) * 2 == F.col("n") * (F.col("n") - 1)).select("component")
-    whole = single.join(full, "component", "left_semi").select(F.col("node").alias("ord"), F.col("component").alias("cluster"))
-    rows = single.join(full, "component", "left_anti").join(edges, "node", "left").select("component", "node", "other")
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(pdf["node"].unique().tolist())
-        near: dict = {v: set() for v in order}
-        for u, v in pdf.dropna()[["node", "other"]].astype("int64").itertuples(index=False):
-            near[u].add(v)
-            near[v].add(u)
-        cluster: dict = {}
-        for clique in sorted(maximal_cliques(order, near), key=lambda c: -len(c)):
-            free = [v for v in clique if v not in cluster]
-            for v in free:
-                cluster[v] = free[0]
-        return pd.DataFrame({"ord": order, "cluster": [cluster[v] for v in order]})
-
-    split = rows.groupBy("component").applyInPandas(claim, "ord long, cluster long")
-    return named(samples.join(whole.unionByName(split), "ord"))
+    chains = size.filter(F.coalesce("n_edges", F.lit(0)) * 2 < F.col("n") * (F.col("n") - 1)).select("component")
+    chains = staged(single.join(chains, "component", "left_semi"), "linkage-chains")
+    split = clique_claims(edges.join(chains.select(F.col("node").alias("u")), "u", "left_semi").withColumn("key", F.lit(0)))
+    split = split.select("node", F.min("node").over(W.partitionBy("clique")).alias("cluster"))  # a window holds a clique
+    whole = single.join(chains.select("node"), "node", "left_anti").select("node", F.col("component").alias("cluster"))
+    return named(samples.join(whole.unionByName(split).withColumnRenamed("node", "ord"), "ord"))
+
+
+def complete_counts(samples: DataFrame, matched: DataFrame, keys: list) -> DataFrame:
+    """(key, n_individuals) of complete linkage for nested settings: the pairs of one hold all pairs of the next, or the
+    other way round.
+
+    matched: (key, ord1, ord2); keys: the settings, which may have no pair.  All settings share the rounds of one search
+    for components.  Of two settings with a component of the same least sample, size and number of edges, one has no
+    other edges than the other, so the component is the same: it is searched for cliques once.
+    """
+    e = staged(_known(samples, matched, "key"), "setting-edges")
+    found = staged(linked(e.select(F.struct("key", F.col("u").alias("ord")).alias("u"), F.struct("key", F.col("v").alias("ord")).alias("v"))), "setting-components")
+    found = found.select(F.col("node.key").alias("key"), F.col("node.ord").alias("node"), F.col("component.ord").alias("component"))
+    inside = e.join(found.withColumnRenamed("node", "u"), ["key", "u"]).groupBy("key", "component").agg(F.count("*").alias("m"))
+    size = staged(found.groupBy("key", "component").agg(F.count("*").alias("n")).join(inside, ["key", "component"]), "setting-sizes")
+    once = size.filter("m * 2 < n * (n - 1)").groupBy("component", "n", "m").agg(F.min("key").alias("key"))
+    nodes = staged(found.join(once, ["key", "component"], "left_semi"), "setting-chains")
+    claims = clique_claims(e.join(nodes.withColumnRenamed("node", "u"), ["key", "u"]).select("key", "u", "v"))
+    parts = nodes.join(claims, ["key", "node"]).groupBy("key", "component").agg(F.count_distinct("clique").alias("parts"))
+    parts = once.join(parts, ["key", "component"]).select("component", "n", "m", "parts")
+    merged = size.join(parts, ["component", "n", "m"], "left").groupBy("key").agg(F.sum(F.col("n") - F.coalesce("parts", F.lit(1))).alias("merged"))
+    total = samples.agg(F.count("*").alias("total"))  # one row
+    every = samples.sparkSession.createDataFrame([(k,) for k in keys], matched.select("key").schema)
+    return every.join(merged, "key", "left").join(total).select("key", (F.col("total") - F.coalesce("merged", F.lit(0))).alias("n_individuals"))
 
 
 def conflicts(assignment: DataFrame, matched: DataFrame) -> DataFrame:
@@ -137,9 +226,10 @@ def conflicts(assignment: DataFrame, matched: DataFrame) -> DataFrame:
     return size.filter("n_samples >= 3").join(inside, "individual").filter(F.col("n_edges") < full).select("individual", "n_samples", "n_edges", (F.col("n_edges") / full).alias("completeness"), "members")
 
 
-def assignment_summary(assignment: DataFrame) -> DataFrame:
-    size = assignment.groupBy("individual").agg(F.count("*").alias("n"))
-    return size.agg(
+def assignment_summary(assignment: DataFrame, *by: str) -> DataFrame:
+    """(by..., counts): how many individuals, how often each was sampled, and sampled again."""
+    size = assignment.groupBy(*by, "individual").agg(F.count("*").alias("n"))
+    return size.groupBy(*by).agg(
         F.sum("n").alias("n_samples"),
         F.count("*").alias("n_individuals"),
         F.count_if(F.col("n") == 1).alias("n_singletons"),
@@ -147,6 +237,8 @@ def assignment_summary(assignment: DataFrame) -> DataFrame:
         (1 - F.count("*") / F.sum("n")).alias("recapture_rate"),
         F.avg("n").alias("mean_samples"),
         F.percentile("n", 0.5).alias("median_samples"),
+        F.avg(F.col("n") - 1).alias("mean_recaptures"),
+        F.percentile(F.col("n") - 1, 0.5).alias("median_recaptures"),
     )
 
 

@@ -26,8 +26,12 @@ def genotype_prob(dic: DataFrame, freq: DataFrame) -> DataFrame:
     return _with_alleles(dic).join(f1, [*KEY, "t1"]).join(f2, [*KEY, "t2"]).select(*KEY, "gt", "code", gp.alias("gp"))
 
 
-def observation_model(dic: DataFrame, freq: DataFrame, dropout: float, false_allele: float) -> DataFrame:
-    """(grp, locus, g, t, e): chance to observe genotype g when t is true; dropout first, then false alleles."""
+def observation_mass(dic: DataFrame, freq: DataFrame, dropout: float, false_allele: float) -> DataFrame:
+    """(grp, locus, g, t, e): chance to observe genotype g when t is true; dropout first, then false alleles.
+
+    Genotypes outside the dictionary are left out, so the chances of a t need not add up to 1.  The chance is linear in
+    each of the two rates.
+    """
     d, f = F.lit(float(dropout)), F.lit(float(false_allele))
     true = _with_alleles(dic).withColumnRenamed("code", "t")
     het = F.col("t1") != F.col("t2")
@@ -47,7 +51,12 @@ def observation_model(dic: DataFrame, freq: DataFrame, dropout: float, false_all
     change = drawn.select(*KEY, "t", F.explode(F.array(pair(F.col("x"), F.col("s2")), pair(F.col("s1"), F.col("x")))).alias("gt"), half.alias("e"))
     mass = stay.unionByName(change).groupBy(*KEY, "t", "gt").agg(F.sum("e").alias("e"))
     cells = dic.select(*KEY, "gt", F.col("code").alias("g")).join(dic.select(*KEY, F.col("code").alias("t")), KEY)
-    full = cells.join(mass, [*KEY, "t", "gt"], "left").select(*KEY, "g", "t", (F.coalesce("e", F.lit(0.0)) + LEAST_MASS).alias("e"))
+    return cells.join(mass, [*KEY, "t", "gt"], "left").select(*KEY, "g", "t", F.coalesce("e", F.lit(0.0)).alias("e"))
+
+
+def observation_model(dic: DataFrame, freq: DataFrame, dropout: float, false_allele: float) -> DataFrame:
+    """observation_mass with a least chance for everything, scaled to add up to 1 for each true genotype."""
+    full = observation_mass(dic, freq, dropout, false_allele).withColumn("e", F.col("e") + LEAST_MASS)
     column = full.groupBy(*KEY, "t").agg(F.sum("e").alias("total"))
     return full.join(column, [*KEY, "t"]).select(*KEY, "g", "t", (F.col("e") / F.col("total")).alias("e"))
 

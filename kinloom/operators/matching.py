@@ -88,7 +88,7 @@ def with_posterior(scored: DataFrame, prior: DataFrame) -> DataFrame:
 def likelihood_ratio(panel: DataFrame, dropout: float = 0.02, false_allele: float = 0.005, kinship: str | tuple = "full_sib", cut: float = 0.999, min_loci: int = 15, prior: float | None = None, scored: DataFrame | None = None):
     """(pairs with posterior, matched pairs); scored: pairs of another route, with lr and n_compared."""
     scored = staged(scored if scored is not None else lr_pairs(panel, dropout, false_allele, kinship), "lr-pairs")
-    sizes = panel.groupBy("grp").agg(F.count_distinct("sample").alias("n"))
+    sizes = panel.groupBy("grp").agg(F.count_distinct("ord").alias("n"))
     p = priors(scored, sizes, cut, min_loci) if prior is None else sizes.select("grp", F.lit(float(prior)).alias("prior"))
     found = with_posterior(scored, p)
     return found, found.filter((F.col("n_compared") >= min_loci) & (F.col("posterior") >= cut))
@@ -157,6 +157,10 @@ def plateau(table: DataFrame) -> DataFrame:
 GRID = {"dropouts": (0.001, 0.01, 0.05), "kinships": ("unrelated", "full_sib"), "cuts": (0.95, 0.99, 0.999, 0.9999)}
 
 
+def in_grid_order(table: DataFrame) -> DataFrame:
+    return table.orderBy("kinship", "dropout", "cutoff")
+
+
 def sensitivity(panel: DataFrame, dropout: float = 0.02, kinship: str = "full_sib", cut: float = 0.999, false_allele: float = 0.005, min_loci: int = 15, grid: dict = GRID) -> DataFrame:
     """(kinship, dropout, cutoff, n_individuals, n_conflicting, current) over the grid with the current settings in it.
 

@@ -27,7 +27,7 @@ def locus_index(panel: DataFrame) -> list:
 
 def _indexed(panel: DataFrame, loci: list) -> DataFrame:
     table = panel.sparkSession.createDataFrame([(x, k) for k, x in enumerate(loci)], panel.select("locus").schema.add("lidx", IntegerType()))
-    return panel.join(F.broadcast(table), "locus")
+    return panel.join(table, "locus")
 
 
 def bit_planes(panel: DataFrame):
@@ -37,7 +37,7 @@ def bit_planes(panel: DataFrame):
     names = sorted({r[0] for r in typed.select(F.explode(F.array(allele(F.col("gt"), 1), allele(F.col("gt"), 2)))).distinct().collect()})
     words, planes = max(1, -(-len(loci) // 64)), max(1, (len(names) - 1).bit_length())
     code = panel.sparkSession.createDataFrame([(x, k) for k, x in enumerate(names)] or [("", 0)], "allele string, k int")
-    c1, c2 = F.broadcast(code.withColumnsRenamed({"allele": "x1", "k": "k1"})), F.broadcast(code.withColumnsRenamed({"allele": "x2", "k": "k2"}))
+    c1, c2 = code.withColumnsRenamed({"allele": "x1", "k": "k1"}), code.withColumnsRenamed({"allele": "x2", "k": "k2"})
     rows = _indexed(panel, loci).withColumns({"x1": allele(F.col("gt"), 1), "x2": allele(F.col("gt"), 2)}).join(c1, "x1", "left").join(c2, "x2", "left")
     out = []
     for w in range(words):
@@ -75,6 +75,20 @@ def pair_stats(panel: DataFrame) -> DataFrame:
     )
 
 
+def slot_distances(panel: DataFrame) -> DataFrame:
+    """(grp, ord1, ord2, id1, id2, d): allele slots that differ, a slot typed in one sample only counting half.
+
+    With both alleles of a genotype in order, d is the loci typed in x, plus those typed in y, less the slots that agree.
+    """
+    bits, words, planes = bit_planes(panel)
+
+    def agree(w, side):
+        return f"bit_count(x.t_{w} & y.t_{w} & ~(" + " | ".join(f"(x.{side}_{w}_{j} ^ y.{side}_{w}_{j})" for j in range(planes)) + "))"
+
+    parts = [f"bit_count(x.t_{w}) + bit_count(y.t_{w}) - {agree(w, 'a')} - {agree(w, 'b')}" for w in range(words)]
+    return joined(bits).select(*_ids(), F.expr(" + ".join(parts)).cast("int").alias("d"))
+
+
 #: Samples of a block that are compared with so many others in one task, about.
 TILE = 512
 

@@ -34,11 +34,11 @@ def _shares(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def allele_freq(panel: DataFrame, by: tuple[str, ...] = ("grp",), weights: DataFrame | None = None) -> DataFrame:
-    """(by..., locus, allele, p); weights: (sample, weight), counted once for each allele copy."""
+    """(by..., locus, allele, p); weights: (ord, weight), counted once for each allele copy."""
     if weights is None:
         counts = genotype_counts(panel, *by).select(*by, "locus", "gt", F.col("c").cast("double").alias("w"))
     else:
-        counts = panel.join(weights, "sample").groupBy(*by, "locus", "gt").agg(F.sum("weight").alias("w"))
+        counts = panel.join(weights, "ord").groupBy(*by, "locus", "gt").agg(F.sum("weight").alias("w"))
     return _shares(counts, by)
 
 
@@ -67,12 +67,12 @@ def kept_loci(panel: DataFrame, min_call: float = 0.0, min_maf: float = 0.0) ->
 def filter_panel(panel: DataFrame, min_locus_call: float = 0.0, min_sample_call: float = 0.0, min_maf: float = 0.0) -> DataFrame:
     """Loci first, then samples over the loci that are left."""
     some = panel.join(kept_loci(panel, min_locus_call, min_maf), "locus", "left_semi")
-    return some.join(sample_stats(some).filter(F.col("call_rate") >= min_sample_call).select("sample"), "sample", "left_semi")
+    return some.join(sample_stats(some).filter(F.col("call_rate") >= min_sample_call).select("ord"), "ord", "left_semi")
 
 
 def dropped(panel: DataFrame, filtered: DataFrame, column: str) -> DataFrame:
     """Loci or samples of panel that filtered has lost."""
-    return panel.select(column).distinct().join(filtered.select(column).distinct(), column, "left_anti")
+    return panel.select(column).distinct().exceptAll(filtered.select(column).distinct())
 
 
 def dead_loci(panel: DataFrame, min_call: float = 0.25) -> DataFrame:
@@ -118,21 +118,21 @@ def loci_needed(cumulative: DataFrame, bands: tuple[float, ...] = (0.01, 0.001))
 
 def sample_power(panel: DataFrame, power: DataFrame) -> DataFrame:
     """Per sample: products over the loci it has."""
-    typed = panel.filter(F.col("gt").isNotNull()).select("grp", "sample", "ord", "locus").join(power, [c for c in ("grp", "locus") if c in power.columns])
-    sums = typed.groupBy("sample").agg(F.count("*").alias("n_loci"), F.sum(F.log10("pid")).alias("log10_pid"), F.sum(F.log10("pid_sib")).alias("log10_pid_sib"))
+    typed = panel.filter(F.col("gt").isNotNull()).select("grp", "ord", "locus").join(power, [c for c in ("grp", "locus") if c in power.columns])
+    sums = typed.groupBy("ord").agg(F.count("*").alias("n_loci"), F.sum(F.log10("pid")).alias("log10_pid"), F.sum(F.log10("pid_sib")).alias("log10_pid_sib"))
     every = panel.select("grp", "sample", "ord").distinct()
     zero = F.lit(0.0)
-    return every.join(sums, "sample", "left").select("grp", "sample", "ord", F.coalesce("n_loci", F.lit(0)).alias("n_loci"), F.coalesce("log10_pid", zero).alias("log10_pid"), F.coalesce("log10_pid_sib", zero).alias("log10_pid_sib"))
+    return every.join(sums, "ord", "left").select("grp", "sample", "ord", F.coalesce("n_loci", F.lit(0)).alias("n_loci"), F.coalesce("log10_pid", zero).alias("log10_pid"), F.coalesce("log10_pid_sib", zero).alias("log10_pid_sib"))
 
 
 def linkage_r2(panel: DataFrame, min_complete: int = 20) -> DataFrame:
     """(locus1, locus2, n, r2) between dosages of the alleles that are not the most frequent (ties: string order)."""
     freq = allele_freq(panel, ())
     first = freq.withColumn("k", F.row_number().over(W.partitionBy("locus").orderBy(F.desc("p"), "allele"))).filter("k = 1").select("locus", F.col("allele").alias("major"))
-    typed = panel.filter(F.col("gt").isNotNull()).join(F.broadcast(first), "locus")
+    typed = panel.filter(F.col("gt").isNotNull()).join(first, "locus")
     dose = (allele(F.col("gt"), 1) != F.col("major")).cast("double") + (allele(F.col("gt"), 2) != F.col("major")).cast("double")
     # the dosages of a sample sit in one array, so that pairs of loci need no join of the panel with itself
-    rows = typed.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("locus", dose.alias("x")))).alias("d"))
+    rows = typed.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("locus", dose.alias("x")))).alias("d"))
     pairs = rows.select(F.posexplode("d").alias("i", "a"), "d").select("a", F.explode(F.expr("slice(d, i + 2, size(d))")).alias("b"))
     x, y = F.col("a.x"), F.col("b.x")
     sums = pairs.groupBy(F.col("a.locus").alias("locus1"), F.col("b.locus").alias("locus2")).agg(
@@ -157,6 +157,16 @@ def quality_flags(raw: DataFrame, sep: str | None = None) -> DataFrame:
     )
 
 
+def quality_report(raw: DataFrame, ids: DataFrame, panel: DataFrame, filtered: DataFrame, sep: str | None = None, rare: float = 0.05) -> DataFrame:
+    """quality_flags with the counts of the whole table, one row: ids (id) that repeat one before them, loci and samples that
+    the filters dropped, and loci that are left whose rarer allele is under `rare`."""
+    lost = lambda column: panel.agg(F.count_distinct(column)).join(filtered.agg(F.count_distinct(column).alias("left"))).toDF("all", "left").select(F.col("all") - F.col("left"))
+    again = ids.groupBy("id").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_duplicated_ids"))
+    out = quality_flags(raw, sep).join(again)  # one row each
+    out = out.join(lost("locus").toDF("n_dropped_loci")).join(lost("ord").toDF("n_dropped_samples"))
+    return out.join(locus_stats(filtered).agg(F.count_if(F.col("maf") < rare).alias("n_rare_loci")))
+
+
 def linked_loci(ld: DataFrame, over: float = 0.3) -> DataFrame:
     return ld.filter(F.col("r2") > over)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType
 
 from kinloom.functions.genotype import allele, is_het
@@ -37,8 +37,8 @@ def consensus(reps: DataFrame, het_n: int = 2, hom_n: int = 3) -> DataFrame:
 
 def with_orphans(panel: DataFrame, reps: DataFrame) -> DataFrame:
     """Replicates of the panel's samples; a sample without any stands with its consensus row."""
-    own = reps.join(panel.select("sample").distinct(), "sample", "left_semi")
-    rest = panel.join(own.select("sample").distinct(), "sample", "left_anti")
+    own = reps.join(panel.select("grp", "ord").distinct(), ["grp", "ord"], "left_semi")
+    rest = panel.join(own.select("grp", "ord").distinct(), ["grp", "ord"], "left_anti")
     return own.unionByName(rest.select("grp", "sample", "ord", F.lit(None).cast(reps.schema["rep"].dataType).alias("rep"), "locus", "gt"))
 
 
@@ -78,7 +78,7 @@ def pair_sums(panel: DataFrame, reps: DataFrame, dropout: float = 0.02, false_al
     rows = lik.join(moved, [*KEY, "t"])
     index = panel.sparkSession.createDataFrame([(x, k) for k, x in enumerate(loci)], panel.select("locus").schema.add("lidx", IntegerType()))
     at = (F.col("lidx") * width + F.col("t") - 1).cast("int")
-    packed = rows.join(F.broadcast(index), "locus").groupBy("grp", "sample", "ord").agg(
+    packed = rows.join(index, "locus").groupBy("grp", "sample", "ord").agg(
         F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("n_obs").cast("double").alias("n_obs"), F.col("lik").alias("m"), *[f"v_{x}" for x in tables]))).alias("cells")
     )
     names = list(tables)
@@ -123,9 +123,9 @@ def best_alternative_pairs(panel: DataFrame, reps: DataFrame, dropout: float = 0
 
 def error_counts(reps: DataFrame, reference: DataFrame) -> DataFrame:
     """(locus, n_het, n_dropout, n_hom, n_false) of replicates against a reference panel."""
-    ref = reference.filter(F.col("gt").isNotNull()).select("sample", "locus", allele(F.col("gt"), 1).alias("t1"), allele(F.col("gt"), 2).alias("t2"))
+    ref = reference.filter(F.col("gt").isNotNull()).select("grp", "ord", "locus", allele(F.col("gt"), 1).alias("t1"), allele(F.col("gt"), 2).alias("t2"))
     r1, r2 = allele(F.col("gt"), 1), allele(F.col("gt"), 2)
-    rows = reps.filter(F.col("gt").isNotNull()).join(ref, ["sample", "locus"]).withColumns({"r1": r1, "r2": r2, "het": F.col("t1") != F.col("t2")})
+    rows = reps.filter(F.col("gt").isNotNull()).join(ref, ["grp", "ord", "locus"]).withColumns({"r1": r1, "r2": r2, "het": F.col("t1") != F.col("t2")})
     lost = F.col("het") & (F.col("r1") == F.col("r2")) & ((F.col("r1") == F.col("t1")) | (F.col("r1") == F.col("t2")))
     wrong = ~F.col("het") & ((F.col("r1") != F.col("t1")) | (F.col("r2") != F.col("t1")))
     return rows.groupBy("locus").agg(F.count_if("het").alias("n_het"), F.count_if(lost).alias("n_dropout"), F.count_if(~F.col("het")).alias("n_hom"), F.count_if(wrong).alias("n_false"))
@@ -143,129 +143,155 @@ def heterozygote_deficit(panel: DataFrame) -> DataFrame:
     return ok.agg(F.when(he > 0, F.greatest(F.lit(0.0), 1 - ho / he)).alias("dropout"), F.count("*").alias("n_loci"))
 
 
-def _observe(truth: tuple[str, str], d: float, f: float, p: dict, dic: list) -> np.ndarray:
-    mass: dict = {}
-    a, b = truth
-    for s, pr in ([((a, a), d / 2), ((b, b), d / 2), ((a, b), 1 - d)] if a != b else [((a, a), 1.0)]):
-        mass[s] = mass.get(s, 0.0) + pr * (1 - f)
-        for x, px in p.items():
-            for new in (tuple(sorted((x, s[1]))), tuple(sorted((s[0], x)))):
-                mass[new] = mass.get(new, 0.0) + pr * f * 0.5 * px
-    e = np.array([mass.get(g, 0.0) for g in dic]) + likelihood.LEAST_MASS
-    return e / e.sum()
-
-
 def ml_patterns(reps: DataFrame, min_reps: int = 2) -> DataFrame:
     """Sufficient statistics of the error model: (locus, pattern, n), a pattern being the sorted genotypes of a cell."""
     typed = reps.filter(F.col("gt").isNotNull())
-    cells = typed.groupBy("sample", "locus").agg(F.array_sort(F.collect_list("gt")).alias("gts")).filter(F.size("gts") >= min_reps)
+    cells = typed.groupBy("grp", "ord", "locus").agg(F.array_sort(F.collect_list("gt")).alias("gts")).filter(F.size("gts") >= min_reps)
     return cells.groupBy("locus", F.array_join("gts", " ").alias("pattern")).agg(F.count("*").alias("n"))
 
 
+#: Points of a grid along each rate, rounds of refinement, and steps on either side of the best point that the next covers.
+GRID_POINTS, GRID_ROUNDS, GRID_REACH = 17, 5, 2
+#: Rates that the first grid covers, and those of the profile intervals with their number.
+FIRST_RATES, PROFILE_RATES, PROFILE_POINTS = (1e-4, 0.5), (1e-4, 0.5), 120
+#: Log-likelihood units below the best within which a rate is in its interval.
+PROFILE_DROP = 1.92
+
+
+class ErrorModel:
+    """Log-likelihood of two error rates given replicate genotypes, for many rates at once.
+
+    Cells are counts of patterns, a few for each locus.  A chance to observe is linear in each rate, so it is told by its
+    values at the four corners; a grid of rates is then one aggregation over patterns, true genotypes and grid points.
+    """
+
+    def __init__(self, reps: DataFrame, freq: DataFrame, min_reps: int = 2):
+        one = lambda df: df.select(F.lit("all").alias("grp"), *df.columns)
+        self.spark = reps.sparkSession
+        patterns = staged(ml_patterns(reps, min_reps).withColumn("cell", F.monotonically_increasing_id()), "patterns")
+        each = patterns.select("locus", "cell", "n", F.explode(F.split("pattern", " ")).alias("gt"))
+        dic = staged(dictionary(one(each)), "pattern-genotypes")
+        freq = staged(one(freq.select("locus", "allele", "p")), "pattern-frequencies")
+        terms = None
+        for name, d, f in (("e00", 0.0, 0.0), ("e10", 1.0, 0.0), ("e01", 0.0, 1.0), ("e11", 1.0, 1.0)):
+            own = likelihood.observation_mass(dic, freq, d, f).withColumnRenamed("e", name)
+            terms = own if terms is None else terms.join(own, ["grp", "locus", "g", "t"])
+        self.terms = staged(terms.drop("grp"), "corners")
+        self.true = staged(likelihood.genotype_prob(dic, freq).select("locus", F.col("code").alias("t"), "gp"), "true-genotypes")
+        seen = each.join(dic.select("locus", "gt", F.col("code").alias("g")), ["locus", "gt"]).groupBy("locus", "cell", "n", "g").agg(F.count("*").alias("c"))
+        self.seen = staged(seen, "pattern-counts")
+
+    def __call__(self, n: int, dropout: str, false_allele: str) -> DataFrame:
+        """(point, d, f, ll): the rates of the points 0..n-1, SQL expressions of `point`, and their log-likelihood."""
+        rates = self.terms.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        rates = rates.selectExpr("*", f"{dropout} AS d", f"{false_allele} AS f")
+        d, f = F.col("d"), F.col("f")
+        mass = (1 - d) * (1 - f) * F.col("e00") + d * (1 - f) * F.col("e10") + (1 - d) * f * F.col("e01") + d * f * F.col("e11") + likelihood.LEAST_MASS
+        e = rates.select("point", "locus", "g", "t", mass.alias("e"))
+        whole = F.sum("e").over(W.partitionBy("point", "locus", "t"))  # a window holds the genotypes of a locus
+        e = e.select("point", "locus", "g", "t", F.log(F.col("e") / whole).alias("l"))
+        each = self.seen.join(e, ["locus", "g"]).groupBy("point", "cell", "locus", "n", "t").agg(F.exp(F.sum(F.col("c") * F.col("l"))).alias("lik"))
+        cells = each.join(self.true, ["locus", "t"]).groupBy("point", "cell", "n").agg(F.sum(F.col("lik") * F.col("gp")).alias("lik"))
+        total = cells.groupBy("point").agg(F.sum(F.col("n") * F.log(F.greatest("lik", F.lit(1e-300)))).alias("ll"))
+        return total.selectExpr("point", f"{dropout} AS d", f"{false_allele} AS f", "ll")
+
+
+def _logit(q: float) -> float:
+    return math.log(q / (1 - q))
+
+
+def _rate(x: float) -> float:
+    return 1 / (1 + math.exp(-x))
+
+
+def grid_around(x: float, y: float, reach: float) -> tuple[int, str, str]:
+    """GRID_POINTS by GRID_POINTS rates, evenly spaced as log odds, around the log odds x and y."""
+    n = GRID_POINTS
+    at = lambda c, k: f"1 / (1 + exp(-({c!r}D + (2 * {reach!r}D * ({k}) / {n - 1} - {reach!r}D))))"
+    return n * n, at(x, f"point div {n}"), at(y, f"point % {n}")
+
+
+def best_of(table: DataFrame) -> DataFrame:
+    """(i, j, ll, u, v) of a grid: the place of its best point, and how many steps from it the paraboloid through it and its
+    neighbours has its top (0 at the edge of the grid, and one step at most)."""
+    n = GRID_POINTS
+    top = table.agg(F.max(F.struct("ll", (-F.col("point")).alias("k"))).alias("b")).select(F.col("b.ll").alias("ll"), F.expr(f"(-b.k) div {n}").alias("i"), F.expr(f"(-b.k) % {n}").alias("j"))
+    rows = table.select("ll", F.expr(f"point div {n}").alias("pi"), F.expr(f"point % {n}").alias("pj")).join(top.withColumnRenamed("ll", "most"))  # one row
+    near = lambda a, b: F.max(F.when((F.col("pi") == F.col("i") + a) & (F.col("pj") == F.col("j") + b), F.col("ll") - F.col("most"))).alias(f"n{a + 1}{b + 1}")
+    around = rows.groupBy("i", "j", "most").agg(*[near(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    gx, gy = F.expr("(n21 - n01) / 2"), F.expr("(n12 - n10) / 2")
+    xx, yy, xy = F.expr("n21 + n01"), F.expr("n12 + n10"), F.expr("(n22 - n20 - n02 + n00) / 4")
+    det = xx * yy - xy * xy
+    step = lambda top_: F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(det > 0, top_ / det))), F.lit(0.0))
+    return around.select("i", "j", F.col("most").alias("ll"), step(xy * gy - yy * gx).alias("u"), step(xy * gx - xx * gy).alias("v"))
+
+
+def profile_points(d: float, f: float) -> tuple[int, str, str]:
+    """Each rate over an even grid with the other at its best, the dropout first."""
+    (a, b), n = PROFILE_RATES, PROFILE_POINTS
+    even = f"({a!r}D + {b - a!r}D * (point % {n}) / {n - 1})"
+    return 2 * n, f"if(point < {n}, {even}, {d!r}D)", f"if(point < {n}, {f!r}D, {even})"
+
+
+def profile_ends(table: DataFrame) -> DataFrame:
+    """(rate, lo, hi) from the table of profile_points; rate 0 is the dropout: where the log-likelihood is near its best."""
+    rows = table.select(F.expr(f"point div {PROFILE_POINTS}").alias("rate"), F.expr(f"CASE WHEN point < {PROFILE_POINTS} THEN d ELSE f END").alias("q"), "ll")
+    rows = rows.join(rows.groupBy("rate").agg(F.max("ll").alias("most")), "rate")
+    return rows.filter(F.col("ll") >= F.col("most") - PROFILE_DROP).groupBy("rate").agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+
+
 def ml_error_rates(reps: DataFrame, freq: DataFrame, min_reps: int = 2) -> dict:
     """Dropout and false-allele rate of one reaction by maximum likelihood, with profile intervals.
 
-    Spark reduces the cells to counts of patterns, a few for each locus; the driver only ever sees those.
-    freq: (locus, allele, p).
+    freq: (locus, allele, p).  A grid of rates is refined around its best point; the last one's paraboloid gives the
+    maximum.  All sums are Spark's; the driver sees one row a round.
     """
-    patterns: dict = {}
-    for locus, pattern, n in ml_patterns(reps, min_reps).collect():
-        patterns.setdefault(locus, []).append((pattern.split(" "), n))
-    p: dict = {}
-    for r in freq.select("locus", "allele", "p").collect():
-        p.setdefault(r["locus"], {})[r["allele"]] = r["p"]
-    prepared = []
-    for locus, rows in patterns.items():
-        dic = sorted({tuple(g.split("/")) for gts, _ in rows for g in gts})
-        own = p.get(locus, {})
-        gp = np.array([own.get(a, 0.0) * own.get(b, 0.0) * (1 if a == b else 2) for a, b in dic])
-        seen = np.array([[gts.count("/".join(g)) for g in dic] for gts, _ in rows])
-        prepared.append((dic, own, gp, seen, np.array([n for _, n in rows])))
-
-    def nll(d: float, f: float) -> float:
-        total = 0.0
-        for dic, own, gp, seen, n in prepared:
-            log_e = np.log(np.stack([_observe(t, d, f, own, dic) for t in dic], axis=1))  # observed x true
-            lik = np.exp(seen @ log_e) @ gp
-            total -= float(n @ np.log(np.maximum(lik, 1e-300)))
-        return total
-
-    expit = lambda x: 1 / (1 + math.exp(-x))
-    logit = lambda q: math.log(q / (1 - q))
-    best, value = nelder_mead(lambda x: nll(expit(x[0]), expit(x[1])), [logit(0.05), logit(0.01)])
-    d, f = expit(best[0]), expit(best[1])
-    grid = np.linspace(1e-4, 0.5, 120)
-    inside_d = [g for g in grid if nll(g, f) <= value + 1.92]
-    inside_f = [g for g in grid if nll(d, g) <= value + 1.92]
-    ends = lambda x, mid: (float(min(x, default=mid)), float(max(x, default=mid)))
-    return {"dropout": d, "false_allele": f, "dropout_ci": ends(inside_d, d), "false_ci": ends(inside_f, f), "nll": value}
-
-
-def nelder_mead(fn, start: list[float], step: float = 0.5, tol: float = 1e-9, most: int = 800):
-    """Downhill simplex in a few dimensions."""
-    points = [np.array(start, dtype="float64")]
-    points += [points[0] + step * np.eye(len(start))[k] for k in range(len(start))]
-    values = [fn(x) for x in points]
-    for _ in range(most):
-        order = np.argsort(values)
-        points, values = [points[k] for k in order], [values[k] for k in order]
-        if abs(values[-1] - values[0]) <= tol * (abs(values[0]) + tol):
-            break
-        centre = np.mean(points[:-1], axis=0)
-        flip = centre + (centre - points[-1])
-        v = fn(flip)
-        if v < values[0]:
-            far = centre + 2 * (centre - points[-1])
-            w = fn(far)
-            points[-1], values[-1] = (far, w) if w < v else (flip, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = flip, v
-        else:
-            near = centre + 0.5 * ((flip if v < values[-1] else points[-1]) - centre)
-            w = fn(near)
-            if w < min(v, values[-1]):
-                points[-1], values[-1] = near, w
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (x - points[0]) for x in points[1:]]
-                values = [values[0]] + [fn(x) for x in points[1:]]
-    k = int(np.argmin(values))
-    return points[k], values[k]
+    model = ErrorModel(reps, freq, min_reps)
+    low, high = map(_logit, FIRST_RATES)
+    x = y = (low + high) / 2
+    reach = (high - low) / 2
+    for k in range(GRID_ROUNDS):
+        best = best_of(model(*grid_around(x, y, reach))).first()
+        if best is None:
+            raise ValueError("no sample has enough replicates")
+        step, last = 2 * reach / (GRID_POINTS - 1), k == GRID_ROUNDS - 1
+        x, y = (z - reach + step * (best[c] + (best[s] if last else 0.0)) for z, c, s in ((x, "i", "u"), (y, "j", "v")))
+        reach = GRID_REACH * step
+    d, f = _rate(x), _rate(y)
+    ends = {r["rate"]: (r["lo"], r["hi"]) for r in profile_ends(model(*profile_points(d, f))).collect()}  # two rows
+    return {"dropout": d, "false_allele": f, "dropout_ci": ends[0], "false_ci": ends[1], "nll": -best["ll"]}
 
 
 def residual_error(spark, dropout: float, false_allele: float, missing: float, n_rep: int = 3, rule: str = "multi_tube", het_n: int = 2, hom_n: int = 3) -> DataFrame:
-    """(dropout, false_allele, missing_het, missing_hom) that a consensus rule leaves, by listing all outcomes."""
-    m, d, f = missing, dropout, false_allele
-    het = {"A/A": (1 - m) * d / 2, "B/B": (1 - m) * d / 2, "A/B": (1 - m) * (1 - d), None: m}
-    hom = {"A/B": (1 - m) * f, "A/A": (1 - m) * (1 - f), None: m}
-
-    def call(reads):
-        got = [r for r in reads if r]
-        count = {g: got.count(g) for g in got}
-        if rule == "unanimous":
-            return got[0] if len(got) == n_rep and len(count) == 1 else None
-        if rule == "majority":
-            top = max(count.values(), default=0)
-            first = [g for g in count if count[g] == top]
-            return first[0] if top >= 2 and len(first) == 1 else None
-        if count.get("A/B", 0) >= het_n:
-            return "A/B"
-        held = [x for x in "AB" if sum(x in g for g in got) >= het_n]
-        if len(held) == 2:
-            return "A/B"
-        first = sorted((-c, g) for g, c in count.items() if g[0] == g[2] and c >= hom_n)
-        return first[0][1] if first else None
-
-    def chance(model, wanted):
-        return sum(math.prod(model[r] for r in reads) for reads in itertools.product(model, repeat=n_rep) if wanted(call(reads)))
-
-    called = chance(hom, lambda g: g is not None)
-    row = (
-        chance(het, lambda g: g is not None and g[0] == g[2]),
-        chance(hom, lambda g: g == "A/B") / called if called else None,
-        chance(het, lambda g: g is None),
-        chance(hom, lambda g: g is None),
-    )
-    return spark.createDataFrame([row], "dropout double, false_allele double, missing_het double, missing_hom double")
+    """(dropout, false_allele, missing_het, missing_hom) that a consensus rule leaves of one reaction's rates."""
+    rates = spark.createDataFrame([(float(dropout), float(false_allele), float(missing))], "d double, f double, m double")
+    return residual_rates(rates, n_rep, rule, het_n, hom_n)
+
+
+def residual_rates(rates: DataFrame, n_rep: int = 3, rule: str = "multi_tube", het_n: int = 2, hom_n: int = 3) -> DataFrame:
+    """(dropout, false_allele, missing_het, missing_hom) for the row(s) of rates (d, f, m), from all outcomes of n_rep
+    reactions: each reads one homozygote (0), the other (1), the heterozygote (2) or nothing (3)."""
+    read = F.explode(F.sequence(F.lit(0), F.lit(4**n_rep - 1))).alias("o")
+    digits = F.array(*[F.expr(f"(o div {4**k}) % 4") for k in range(n_rep)])
+    times = [F.size(F.filter("reads", lambda x: x == k)) for k in range(4)]  # noqa: B023
+    rows = rates.select("*", read).withColumn("reads", digits).select("d", "f", "m", *[t.alias(f"c{k}") for k, t in enumerate(times)])
+    c = [F.col(f"c{k}") for k in range(4)]
+    if rule == "unanimous":
+        call = F.when(c[2] == n_rep, 2).when(c[0] == n_rep, 0).when(c[1] == n_rep, 1)
+    elif rule == "majority":
+        alone = lambda k: (c[k] >= 2) & F.least(*[c[k] > c[o] for o in range(3) if o != k])
+        call = F.when(alone(2), 2).when(alone(0), 0).when(alone(1), 1)
+    else:
+        both = (c[0] + c[2] >= het_n) & (c[1] + c[2] >= het_n)
+        call = F.when((c[2] >= het_n) | both, 2).when((c[0] >= hom_n) & (c[0] >= c[1]), 0).when(c[1] >= hom_n, 1)
+    p = lambda one, other, het: F.pow(one, c[0]) * F.pow(other, c[1]) * F.pow(het, c[2]) * F.pow("m", c[3])
+    seen = 1 - F.col("m")
+    rows = rows.select("d", "f", "m", call.alias("call"), p(seen * F.col("d") / 2, seen * F.col("d") / 2, seen * (1 - F.col("d"))).alias("het"), p(seen * (1 - F.col("f")), F.lit(0.0), seen * F.col("f")).alias("hom"))
+    chance = lambda model, when: F.coalesce(F.sum(F.when(when, F.col(model))), F.lit(0.0))
+    got, none = F.col("call").isNotNull(), F.col("call").isNull()
+    return rows.groupBy("d", "f", "m").agg(
+        chance("het", F.col("call") < 2).alias("dropout"), (chance("hom", F.col("call") == 2) / F.nullif(chance("hom", got), F.lit(0.0))).alias("false_allele"), chance("het", none).alias("missing_het"), chance("hom", none).alias("missing_hom")
+    ).drop("d", "f", "m")
 
 
 def unique_individuals(panel: DataFrame) -> DataFrame:
@@ -284,11 +310,11 @@ def estimate_error(panel: DataFrame, reps: DataFrame | None = None, min_reps: in
     unique = unique_individuals(panel) if panel.select("ord").distinct().limit(3).count() == 3 else panel
     unique = staged(unique, "unique")
     if reps is not None:
-        enough = reps.select("sample", "rep").distinct().groupBy("sample").count().filter(F.col("count") >= min_reps).count()
+        enough = reps.select("grp", "ord", "rep").distinct().groupBy("grp", "ord").count().filter(F.col("count") >= min_reps).count()
         if enough >= 5:
             try:
                 return {"method": "replicates", "scale": "per replicate", "n_samples": enough} | ml_error_rates(reps, allele_freq(unique, ()), min_reps)
-            except (ValueError, ZeroDivisionError, OverflowError, np.linalg.LinAlgError):
+            except ValueError:
                 pass  # no maximum: the shortage of heterozygotes can still be told
     row = heterozygote_deficit(unique).first()
     n = unique.select("ord").distinct().count()
@@ -301,7 +327,7 @@ def applied_error(panel: DataFrame, reps: DataFrame | None = None, use_reps: boo
     found = estimate_error(panel, reps, min_reps)
     d, f, converted = found["dropout"], found["false_allele"], False
     if found["method"] == "replicates" and not use_reps:
-        cells = reps.agg(F.avg(F.col("gt").isNull().cast("double")).alias("missing"), (F.count_distinct("sample", "rep") / F.count_distinct("sample")).alias("n_rep")).first()
+        cells = reps.agg(F.avg(F.col("gt").isNull().cast("double")).alias("missing"), (F.count_distinct("ord", "rep") / F.count_distinct("ord")).alias("n_rep")).first()
         left = residual_error(panel.sparkSession, d, f, cells["missing"], max(2, round(cells["n_rep"]))).first()
         d, f, converted = max(left["dropout"], 1e-4), max(left["false_allele"] or 0.0, 1e-4), True
     return found | {"applied_dropout": d, "applied_false_allele": f, "converted": converted, "use_dropout": None if d is None else round(d, 3), "use_false_allele": round(max(0.001, round(d / 3, 3)) if f is None else f, 3)}

@@ -59,6 +59,20 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).selectExpr("event_id AS ord", "user_id AS value")
 
 
+#: A marker of two values as read: each individual has one, one reading in forty is wrong, some are missing.
+MARKER = "CASE WHEN event_id % 13 = 0 THEN NULL WHEN (user_id + CASE WHEN event_id % 40 = 7 THEN 1 ELSE 0 END) % 2 = 0 THEN 'XX' ELSE 'XY' END"
+
+
+def marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, value): an attribute that should be the same in all samples of an individual."""
+    return events(spark, sf_dir).selectExpr("event_id AS ord", f"{MARKER} AS value")
+
+
+def written_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id): sample names as a laboratory wrote them, one in ninety of them twice."""
+    return events(spark, sf_dir).selectExpr("CASE WHEN event_id % 90 = 1 THEN event_id - 1 ELSE event_id END AS id")
+
+
 #: Three species calls for each sample, some of them not to be used.
 VOTE = "CASE (event_id * 31 + call * 17 + user_id * call) % 7 WHEN 0 THEN 'dog' WHEN 1 THEN 'none' WHEN 2 THEN 'coyote' WHEN 3 THEN 'coyote' ELSE 'wolf' END"
 #: A row a run of a simulated experiment.

@@ -6,7 +6,8 @@ import math
 import re
 
 from kinloom.operators.confidence import CUTOFFS
-from kinloom.plans.fixtures import LOCI, RAW, SQL_PANEL, SQL_REPS, SQL_RUNS, SQL_VOTES
+from kinloom.operators.replicates import FIRST_RATES, GRID_POINTS, GRID_REACH, GRID_ROUNDS, PROFILE_DROP, PROFILE_POINTS, PROFILE_RATES
+from kinloom.plans.fixtures import LOCI, MARKER, RAW, SQL_PANEL, SQL_REPS, SQL_RUNS, SQL_VOTES
 
 ALLELES = "alleles AS (SELECT grp, sample, locus, unnest([split_part(gt, '/', 1), split_part(gt, '/', 2)]) AS allele FROM panel WHERE gt IS NOT NULL)"
 FREQ = f"{ALLELES}, freq AS MATERIALIZED (SELECT grp, locus, allele, count(*) / sum(count(*)) OVER (PARTITION BY grp, locus) AS p FROM alleles GROUP BY grp, locus, allele)"
@@ -49,7 +50,7 @@ def rule(name: str, where: str, source: str = "stats") -> str:
 EXACT = rule("exact", "n_compared >= 15 AND n_mismatch = 0") + ",\n" + components("exact_m", "exact")
 THRESHOLD = rule("thresh", "n_compared >= 15 AND n_mismatch <= 1 AND n_mismatch_2allele <= 0") + ",\n" + components("thresh_m", "thresh")
 SUMMARY = """SELECT {label} sum(n)::BIGINT AS n_samples, count(*) AS n_individuals, count(*) FILTER (n = 1) AS n_singletons, max(n) AS max_cluster,
-  round(1 - count(*) / sum(n), 6) AS recapture_rate, round(avg(n), 6) AS mean_samples, round(quantile_cont(n, 0.5), 6) AS median_samples
+  round(1 - count(*) / sum(n), 6) AS recapture_rate, round(avg(n), 6) AS mean_samples, round(quantile_cont(n, 0.5), 6) AS median_samples, round(avg(n - 1), 6) AS mean_recaptures, round(quantile_cont(n - 1, 0.5), 6) AS median_recaptures
 FROM (SELECT individual, count(*) AS n FROM {name} GROUP BY individual)"""
 CONFLICT = """SELECT individual, n_samples, n_edges, round(n_edges / (n_samples * (n_samples - 1) / 2), 6) AS completeness, members FROM (
   SELECT individual, count(*) AS n_samples, string_agg(sample::VARCHAR, ', ' ORDER BY sample) AS members FROM {a} GROUP BY individual) JOIN (
@@ -217,11 +218,57 @@ ARI = """SELECT '{m1}' AS method1, '{m2}' AS method2, round(CASE WHEN abs((a + b
          (SELECT count(*) * (count(*) - 1) / 2 FROM samples) AS t)"""
 
 
+M31 = 2147483647
+
+
+def similarity(keys: tuple[int, ...]) -> str:
+    """Classes of samples at each mismatch number: nearest clusters merge, and where none is left, representatives stay."""
+    ks = ", ".join(map(str, keys))
+    pair = "JOIN lab x ON (x.key, x.node) = (e.key, e.u) JOIN lab y ON (y.key, y.node) = (e.key, e.v)"
+    return f"""{TYPED},
+slots AS MATERIALIZED (SELECT s.sample, count(locus) AS n FROM samples s LEFT JOIN typed t USING (sample) GROUP BY s.sample),
+apart AS (SELECT a.grp, a.sample AS u, b.sample AS v, x.n + y.n - coalesce(k, 0) AS d
+  FROM samples a JOIN samples b ON a.grp = b.grp AND a.sample < b.sample JOIN slots x ON x.sample = a.sample JOIN slots y ON y.sample = b.sample LEFT JOIN (
+    SELECT a.sample AS s1, b.sample AS s2, count(*) FILTER (a.a1 = b.a1) + count(*) FILTER (a.a2 = b.a2) AS k FROM typed a JOIN typed b ON a.grp = b.grp AND a.locus = b.locus AND a.sample < b.sample GROUP BY ALL)
+    ON s1 = a.sample AND s2 = b.sample),
+e AS MATERIALIZED (SELECT key, grp, u, v, d FROM apart JOIN (SELECT unnest([{ks}]) AS key) ON d <= key),
+lab AS (
+  SELECT DISTINCT key, unnest([u, v]) AS node, node AS c, 0 AS it FROM e
+  UNION ALL (
+  WITH ce AS (SELECT e.key, least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, max(d) AS d, count(*) AS n FROM e {pair} WHERE x.c <> y.c GROUP BY ALL),
+  sz AS (SELECT key, c, count(*) AS n FROM lab GROUP BY ALL),
+  ok AS (SELECT ce.key, a, b, d, ((a % {M31} + 1) * 7919 % {M31}) * ((b % {M31} + 1) * 104729 % {M31}) % {M31} AS h
+    FROM ce JOIN sz p ON (p.key, p.c) = (ce.key, a) JOIN sz q ON (q.key, q.c) = (ce.key, b) WHERE ce.n = p.n * q.n),
+  near AS (SELECT key, node, min(k) AS k FROM (SELECT key, unnest([a, b]) AS node, {{'d': d, 'h': h, 'a': a, 'b': b}} AS k FROM ok) GROUP BY ALL),
+  mut AS (SELECT key, k.a AS a, k.b AS b FROM near GROUP BY key, k HAVING count(*) = 2),
+  tot AS (SELECT key, c, node, sum(d) AS d FROM (SELECT e.key, x.c, unnest([u, v]) AS node, d FROM e {pair} WHERE x.c = y.c) GROUP BY ALL),
+  best AS (SELECT key, c, min({{'d': d, 'node': node}}).node AS best FROM tot GROUP BY ALL)
+  SELECT lab.key, lab.node, coalesce(mut.a, lab.c), it + 1 FROM lab LEFT JOIN mut ON (mut.key, mut.b) = (lab.key, lab.c) WHERE EXISTS (SELECT 1 FROM mut)
+  UNION ALL SELECT lab.key, lab.node, lab.node, it + 1 FROM lab LEFT JOIN best ON (best.key, best.c) = (lab.key, lab.c)
+  WHERE NOT EXISTS (SELECT 1 FROM mut) AND EXISTS (SELECT 1 FROM best) AND coalesce(best, node) = node)),
+stands AS MATERIALIZED (SELECT key, node FROM lab WHERE it = (SELECT max(it) FROM lab)),
+met AS (SELECT DISTINCT key, unnest([u, v]) AS sample FROM e),
+seen AS (SELECT key, sample, count(*) AS n, min(rep) AS rep FROM (
+  SELECT e.key, u AS sample, v AS rep FROM e JOIN stands s ON (s.key, s.node) = (e.key, v) UNION ALL SELECT e.key, v, u FROM e JOIN stands s ON (s.key, s.node) = (e.key, u)) GROUP BY ALL),
+classes AS MATERIALIZED (SELECT k.key, grp, s.sample, CASE WHEN met.sample IS NULL OR st.node IS NOT NULL THEN 'UNIQUE' WHEN n = 1 THEN 'MATCH' WHEN n > 1 THEN 'MULTIPLE_MATCH' ELSE 'UNCLASSIFIED' END AS class,
+    CASE WHEN met.sample IS NULL OR st.node IS NOT NULL THEN 0 ELSE coalesce(n, 0) END AS n_matches, CASE WHEN met.sample IS NULL OR st.node IS NOT NULL THEN s.sample ELSE rep END AS rep
+  FROM samples s JOIN (SELECT unnest([{ks}]) AS key) k ON true LEFT JOIN met ON (met.key, met.sample) = (k.key, s.sample)
+  LEFT JOIN stands st ON (st.key, st.node) = (k.key, s.sample) LEFT JOIN seen ON (seen.key, seen.sample) = (k.key, s.sample))"""
+
+
+PROFILE = """SELECT key AS m, count(*) FILTER (class = 'UNIQUE') AS n_unique, count(*) FILTER (class = 'UNCLASSIFIED') AS n_unclassified,
+  count(*) FILTER (class = 'MULTIPLE_MATCH') AS n_multiple, count(*) FILTER (class IN ('UNCLASSIFIED', 'MULTIPLE_MATCH')) AS n_ambiguous FROM classes GROUP BY key"""
+SIMILAR = """SELECT c.grp, c.sample, CASE WHEN class = 'UNCLASSIFIED' THEN c.grp || '_IND_U' || lpad(r::VARCHAR, greatest(2, length(r::VARCHAR))::INTEGER, '0')
+    ELSE c.grp || '_IND_' || lpad(q.n::VARCHAR, greatest(3, length(q.n::VARCHAR))::INTEGER, '0') END AS individual, class, n_matches
+FROM (SELECT *, row_number() OVER (PARTITION BY grp, class ORDER BY sample) AS r FROM classes) c
+LEFT JOIN (SELECT sample, row_number() OVER (PARTITION BY grp ORDER BY sample) AS n FROM classes WHERE class = 'UNIQUE') q ON q.sample = c.rep"""
+
+
 def query(body: str, *ctes: str) -> str:
     """Expressions that several of ctes define are kept where they come first."""
     head, *rest = (SQL_PANEL + ",\n" + ",\n".join(ctes) if ctes else SQL_PANEL).split(ALLELES)
     rest = [r if k == 0 else r.lstrip().removeprefix(",") for k, r in enumerate(rest)]
-    return "WITH " + head + (ALLELES if rest else "") + "".join(rest) + "\n" + body
+    return "WITH RECURSIVE " + head + (ALLELES if rest else "") + "".join(rest) + "\n" + body
 
 
 def _of(cte: str, name: str) -> str:
@@ -248,13 +295,93 @@ wcells AS (SELECT 'LOC' || lpad(locus::VARCHAR, 2, '0') AS "column", raw FROM wi
 clean AS (SELECT "column", raw, upper(trim(raw)) AS x, regexp_replace(upper(trim(raw)), '[*?!#]', '', 'g') AS y FROM wcells),
 called AS MATERIALIZED (SELECT "column", raw, x, try_cast(x AS DOUBLE) AS num, CASE WHEN length(y) NOT BETWEEN 1 AND 2 OR y IN ('NA', 'NN', '--', '..') OR regexp_matches(y, '[-0?.]') THEN NULL
   ELSE least(y[1], y[-1]) || '/' || greatest(y[1], y[-1]) END AS gt FROM clean)"""
-#: All outcomes of three reactions with dropout 0.05, false alleles 0.01 and 13 % missing, and what the consensus makes of them.
-RESIDUAL = """WITH het AS (SELECT unnest(['A/A', 'B/B', 'A/B', '-']) AS g, unnest([0.87 * 0.025, 0.87 * 0.025, 0.87 * 0.95, 0.13]) AS p), hom AS (SELECT unnest(['A/B', 'A/A', '-']) AS g, unnest([0.87 * 0.01, 0.87 * 0.99, 0.13]) AS p),
-reads AS (SELECT 'het' AS t, [x.g, y.g, z.g] AS r, x.p * y.p * z.p AS p FROM het x, het y, het z UNION ALL SELECT 'hom', [x.g, y.g, z.g], x.p * y.p * z.p FROM hom x, hom y, hom z),
-seen AS (SELECT t, p, len(list_filter(r, lambda g: g = 'A/B')) AS ab, len(list_filter(r, lambda g: contains(g, 'A'))) AS a, len(list_filter(r, lambda g: contains(g, 'B'))) AS b, len(list_filter(r, lambda g: g = 'A/A')) AS aa, len(list_filter(r, lambda g: g = 'B/B')) AS bb FROM reads),
-calls AS (SELECT t, p, CASE WHEN ab >= 2 OR (a >= 2 AND b >= 2) THEN 'A/B' WHEN aa >= 3 THEN 'A/A' WHEN bb >= 3 THEN 'B/B' END AS g FROM seen)
-SELECT round(sum(p) FILTER (t = 'het' AND g IN ('A/A', 'B/B')), 6) AS dropout, round(sum(p) FILTER (t = 'hom' AND g = 'A/B') / sum(p) FILTER (t = 'hom' AND g IS NOT NULL), 6) AS false_allele,
-  round(coalesce(sum(p) FILTER (t = 'het' AND g IS NULL), 0), 6) AS missing_het, round(coalesce(sum(p) FILTER (t = 'hom' AND g IS NULL), 0), 6) AS missing_hom FROM calls"""
+
+#: The grid search of the replicates' error rates, as the engine runs it.
+ML_TERMS = f"""{SQL_REPS},
+{FREQ_ALL},
+mp AS MATERIALIZED (SELECT locus, pattern, count(*) AS n FROM (SELECT sample, locus, string_agg(gt, ' ' ORDER BY gt) AS pattern FROM reps WHERE gt IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
+mo AS MATERIALIZED (SELECT locus, pattern, n, gt AS g, count(*) AS c FROM (SELECT *, unnest(string_split(pattern, ' ')) AS gt FROM mp) GROUP BY ALL),
+md AS MATERIALIZED (SELECT DISTINCT locus, g AS t, split_part(g, '/', 1) AS t1, split_part(g, '/', 2) AS t2 FROM mo),
+mg AS MATERIALIZED (SELECT md.locus, t, CASE WHEN t1 = t2 THEN x.p * y.p ELSE 2 * x.p * y.p END AS gp FROM md JOIN freq_all x ON (x.locus, x.allele) = (md.locus, t1) JOIN freq_all y ON (y.locus, y.allele) = (md.locus, t2)),
+ms AS (SELECT locus, t, t1 AS s1, t2 AS s2, 1.0::DOUBLE AS k0, CASE WHEN t1 = t2 THEN 1.0 ELSE 0.0 END::DOUBLE AS k1 FROM md
+  UNION ALL SELECT locus, t, t1, t1, 0, 0.5 FROM md WHERE t1 <> t2 UNION ALL SELECT locus, t, t2, t2, 0, 0.5 FROM md WHERE t1 <> t2),
+mf AS (SELECT locus, t, gt, sum(e00) AS e00, sum(e10) AS e10, sum(e01) AS e01, sum(e11) AS e11 FROM (
+  SELECT locus, t, least(s1, s2) || '/' || greatest(s1, s2) AS gt, k0 AS e00, k1 AS e10, 0.0::DOUBLE AS e01, 0.0::DOUBLE AS e11 FROM ms
+  UNION ALL SELECT locus, t, least(allele, s2) || '/' || greatest(allele, s2), 0, 0, k0 * 0.5 * p, k1 * 0.5 * p FROM ms JOIN freq_all USING (locus)
+  UNION ALL SELECT locus, t, least(s1, allele) || '/' || greatest(s1, allele), 0, 0, k0 * 0.5 * p, k1 * 0.5 * p FROM ms JOIN freq_all USING (locus)) GROUP BY ALL),
+mt AS MATERIALIZED (SELECT a.locus, a.t AS g, b.t, coalesce(e00, 0) AS e00, coalesce(e10, 0) AS e10, coalesce(e01, 0) AS e01, coalesce(e11, 0) AS e11
+  FROM md a JOIN md b USING (locus) LEFT JOIN mf ON (mf.locus, mf.t, mf.gt) = (a.locus, b.t, a.t))"""
+
+
+def grid_ll(name: str, points: str) -> str:
+    """`name` (point, d, f, ll) for the expression `points` (point, d, f)."""
+    return f"""
+{name}_p AS MATERIALIZED ({points}),
+{name}_e AS (SELECT point, locus, g, t, ln(e / sum(e) OVER (PARTITION BY point, locus, t)) AS l FROM (
+  SELECT point, locus, g, t, (1 - d) * (1 - f) * e00 + d * (1 - f) * e10 + (1 - d) * f * e01 + d * f * e11 + 1e-12 AS e FROM mt, {name}_p)),
+{name}_c AS (SELECT point, locus, pattern, n, t, exp(sum(c * l)) AS lik FROM mo JOIN {name}_e USING (locus, g) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT point, d, f, ll FROM {name}_p JOIN (SELECT point, sum(n * ln(greatest(lik, 1e-300))) AS ll FROM (
+  SELECT point, locus, pattern, n, sum(lik * gp) AS lik FROM {name}_c JOIN mg USING (locus, t) GROUP BY ALL) GROUP BY point) USING (point))"""
+
+
+def _grid(x: str, y: str, reach: str, source: str) -> str:
+    n = GRID_POINTS
+    at = lambda c, k: f"1 / (1 + exp(-({c} + (2 * {reach} * ({k}) / {n - 1} - {reach}))))"
+    return f"SELECT k AS point, {at(x, f'k // {n}')} AS d, {at(y, f'k % {n}')} AS f FROM {source}, (SELECT unnest(range({n * n})) AS k)"
+
+
+def ml_search() -> str:
+    """Each round's grid is centred on the best point before; `mlx` (d, f, ll) is the top of the last one's paraboloid."""
+    low, high = (math.log(q / (1 - q)) for q in FIRST_RATES)
+    n, reach = GRID_POINTS, (high - low) / 2
+    parts, centre = [ML_TERMS, f"z0 AS (SELECT {(low + high) / 2}::DOUBLE AS x, {(low + high) / 2}::DOUBLE AS y, {reach}::DOUBLE AS r)"], "z0"
+    for k in range(GRID_ROUNDS):
+        parts.append(grid_ll(f"gl{k}", _grid("x", "y", "r", centre)))
+        parts.append(f"b{k} AS MATERIALIZED (SELECT point // {n} AS i, point % {n} AS j, ll FROM gl{k} ORDER BY ll DESC, point LIMIT 1)")
+        if k < GRID_ROUNDS - 1:
+            parts.append(f"z{k + 1} AS MATERIALIZED (SELECT x - r + 2 * r / {n - 1} * i AS x, y - r + 2 * r / {n - 1} * j AS y, {GRID_REACH} * (2 * r / {n - 1}) AS r FROM {centre}, b{k})")
+            centre = f"z{k + 1}"
+    last = GRID_ROUNDS - 1
+    near = ", ".join(f"max(g.ll - b.ll) FILTER (point // {n} = i + {a} AND point % {n} = j + {c}) AS n{a + 1}{c + 1}" for a in (-1, 0, 1) for c in (-1, 0, 1))
+    parts.append(f"nb AS (SELECT i, j, b.ll, {near} FROM gl{last} g, b{last} b GROUP BY ALL)")
+    parts.append("nd AS (SELECT *, (n21 - n01) / 2 AS gx, (n12 - n10) / 2 AS gy, n21 + n01 AS xx, n12 + n10 AS yy, (n22 - n20 - n02 + n00) / 4 AS xy FROM nb)")
+    step = lambda top: f"coalesce(greatest(-1, least(1, CASE WHEN xx * yy - xy * xy > 0 THEN ({top}) / (xx * yy - xy * xy) END)), 0)"
+    odds = lambda c, i, u: f"1 / (1 + exp(-({c} - r + 2 * r / {n - 1} * ({i} + {u}))))"
+    parts.append(f"mlx AS MATERIALIZED (SELECT {odds('x', 'i', step('xy * gy - yy * gx'))} AS d, {odds('y', 'j', step('xy * gx - xx * gy'))} AS f, ll FROM nd, {centre})")
+    return ",\n".join(parts)
+
+
+def ml_profile() -> str:
+    (a, b), n = PROFILE_RATES, PROFILE_POINTS
+    even = f"({a}::DOUBLE + {b - a}::DOUBLE * k / {n - 1})"
+    points = f"SELECT k AS point, {even} AS d, f FROM mlx, (SELECT unnest(range({n})) AS k) UNION ALL SELECT {n} + k, d, {even} FROM mlx, (SELECT unnest(range({n})) AS k)"
+    return grid_ll("mlp", points) + f""",
+mle AS MATERIALIZED (SELECT rate, min(q) AS lo, max(q) AS hi FROM (
+  SELECT point // {n} AS rate, CASE WHEN point < {n} THEN d ELSE f END AS q, ll, max(ll) OVER (PARTITION BY point // {n}) AS most FROM mlp) WHERE ll >= most - {PROFILE_DROP} GROUP BY rate)"""
+
+
+def residual(source: str) -> str:
+    """`res`: what the multi-tube rule leaves of the rates of `source` (d, f, m) with three reactions."""
+    return f"""
+rr AS (SELECT d, f, m, [o % 4, o // 4 % 4, o // 16 % 4] AS r FROM {source}, (SELECT unnest(range(64)) AS o)),
+rn AS (SELECT d, f, m, len(list_filter(r, lambda x: x = 0)) AS c0, len(list_filter(r, lambda x: x = 1)) AS c1, len(list_filter(r, lambda x: x = 2)) AS c2, len(list_filter(r, lambda x: x = 3)) AS c3 FROM rr),
+rp0 AS (SELECT pow((1 - m) * d / 2, c0 + c1) * pow((1 - m) * (1 - d), c2) * pow(m, c3) AS het, CASE WHEN c1 = 0 THEN pow((1 - m) * (1 - f), c0) * pow((1 - m) * f, c2) * pow(m, c3) ELSE 0 END AS hom,
+  CASE WHEN c2 >= 2 OR (c0 + c2 >= 2 AND c1 + c2 >= 2) THEN 2 WHEN c0 >= 3 THEN 0 WHEN c1 >= 3 THEN 1 END AS call FROM rn),
+res AS (SELECT coalesce(sum(het) FILTER (call < 2), 0) AS dropout, sum(hom) FILTER (call = 2) / sum(hom) FILTER (call IS NOT NULL) AS false_allele,
+  coalesce(sum(het) FILTER (call IS NULL), 0) AS missing_het, coalesce(sum(hom) FILTER (call IS NULL), 0) AS missing_hom FROM rp0)"""
+
+
+RATES = "rate AS (SELECT d, f, (SELECT avg((gt IS NULL)::INT) FROM reps) AS m FROM mlx)"
+UNIQUE_ML = re.sub(r"\bFROM panel\b", "FROM upanel", ml_search())
+
+
+def histogram(source: str, value: str, accepted: str, width: str | None = None) -> str:
+    """Even bars over the values of source, edges half a width off the multiples of the width."""
+    w = width or "CASE WHEN most > least_ THEN (most - least_) / 59 ELSE 1.0 END"
+    return f"""hr AS (SELECT {w} AS w, least_ FROM (SELECT min({value})::DOUBLE AS least_, max({value})::DOUBLE AS most FROM {source})),
+hs AS (SELECT w, w / 2 + floor((least_ - w / 2) / w + 1e-9) * w AS s FROM hr),
+hb AS (SELECT greatest(1, ceil(({value} - s) / w - 1e-9))::INTEGER AS bar, s, w, {accepted} AS ok FROM {source}, hs WHERE {value} IS NOT NULL),
+bars AS (SELECT bar::BIGINT AS bar, round(s + (bar - 1) * w, 6) AS low, round(s + (bar - 1) * w + w, 6) AS high, count(*) AS n_pairs, count(*) FILTER (ok) AS n_accepted FROM hb GROUP BY bar, s, w)"""
 
 
 def _sweep(top: int = 6, outer: str | None = None) -> str:
@@ -364,7 +491,7 @@ SQL = {
         "SELECT individual, locus, count(*) AS n_versions, string_agg(replace(gt, '/', '') || '(' || c || ')', ' ' ORDER BY c DESC, gt) AS versions FROM (SELECT individual, locus, gt, count(*) AS c FROM typed JOIN thresh USING (sample) GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1",
         STATS, THRESHOLD,
     ),
-    "attribute_conflicts": query("SELECT individual, count(DISTINCT user_id) AS n_values FROM thresh JOIN events ON sample = event_id GROUP BY ALL HAVING count(DISTINCT user_id) > 1", STATS, THRESHOLD),
+    "attribute_conflicts": query(f"SELECT individual, count(DISTINCT value) AS n_values FROM thresh JOIN (SELECT event_id, {MARKER} AS value FROM events) ON sample = event_id GROUP BY ALL HAVING count(DISTINCT value) > 1", STATS, THRESHOLD),
     "positive_controls": query("SELECT user_id AS control, count(*) AS n_rows, count(DISTINCT individual) = 1 AS together FROM thresh JOIN events ON sample = event_id GROUP BY ALL", STATS, THRESHOLD),
     "rep_consensus": query("SELECT sample, locus, gt FROM rcall", REP_CONSENSUS),
     "genotype_likelihood": query("SELECT sample, locus, t, round(log10(lik), 6) AS log10_lik, n_obs FROM glik", GLIK),
@@ -392,7 +519,33 @@ SQL = {
           + CASE WHEN regexp_matches("column", 'sample|specimen|individual|indiv|barcode|(^|[^a-z])id$|^id', 'i') THEN 2 ELSE 0 END, 6) AS score FROM called GROUP BY 1""",
         CALLED,
     ),
-    "residual_error": RESIDUAL,
+    "residual_error": query("SELECT round(dropout, 6) AS dropout, round(false_allele, 6) AS false_allele, round(missing_het, 6) AS missing_het, round(missing_hom, 6) AS missing_hom FROM res", ml_search(), RATES, residual("rate")),
+    "ml_grid": query("SELECT point::BIGINT AS point, round(d, 9) AS d, round(f, 9) AS f, round(ll, 4) AS ll FROM gl0", ML_TERMS, f"z0 AS (SELECT {math.log(0.05 / 0.95)}::DOUBLE AS x, {math.log(0.01 / 0.99)}::DOUBLE AS y, 1.0::DOUBLE AS r)", grid_ll("gl0", _grid("x", "y", "r", "z0"))),
+    "ml_error_rates": query(
+        "SELECT round(d, 5) AS dropout, round(f, 5) AS false_allele, round(max(lo) FILTER (rate = 0), 6) AS dropout_lo, round(max(hi) FILTER (rate = 0), 6) AS dropout_hi, round(max(lo) FILTER (rate = 1), 6) AS false_lo, round(max(hi) FILTER (rate = 1), 6) AS false_hi FROM mlx, mle GROUP BY d, f",
+        ml_search(), ml_profile(),
+    ),
+    "applied_errors": query(
+        "SELECT 'replicates' AS method, (SELECT count(*) FROM (SELECT sample FROM reps GROUP BY sample HAVING count(DISTINCT rep) >= 2)) AS n_samples, true AS converted, round(greatest(dropout, 1e-4), 3) AS use_dropout, round(greatest(false_allele, 1e-4), 3) AS use_false_allele FROM res",
+        *UNIQUE, UNIQUE_ML, RATES, residual("rate"),
+    ),
+    "similarity_assignment": query(SIMILAR, similarity((2,))),
+    "similarity_profile": query(PROFILE, similarity(tuple(range(7)))),
+    "similarity_near_misses": query("SELECT DISTINCT grp, unnest([s1, s2]) AS sample FROM stats WHERE n_compared >= 15 AND n_mismatch = 1 + (SELECT arg_min(m, (c, m)) FROM (SELECT m, (SELECT count(*) FROM stats WHERE n_compared >= 15 AND n_mismatch = m + 1) AS c FROM (SELECT unnest(range(7)) AS m)))", STATS),
+    "block_method": query("SELECT grp, sample, individual FROM exact", STATS, EXACT),
+    "evidence_histogram": query("SELECT * FROM bars", LR, "ev AS (SELECT round(lr, 6) AS v, posterior >= 0.999 AS ok FROM post WHERE n_compared >= 15)", histogram("ev", "v", "ok")),
+    "mismatch_bars": query("SELECT * FROM bars", STATS, "ev AS (SELECT n_mismatch AS v, n_mismatch <= 1 AND n_mismatch_2allele <= 0 AS ok FROM stats WHERE n_compared >= 15)", histogram("ev", "v", "ok", "1.0::DOUBLE")),
+    "margin_strip": query(
+        "SELECT status, floor(m * 4 + 1e-9)::BIGINT AS step, count(*) AS n_samples, round(min(m), 6) AS lowest, round(max(m), 6) AS highest FROM (SELECT status, log10(greatest(margin, 1e-6)) AS m FROM conf WHERE margin IS NOT NULL) GROUP BY ALL", CONF
+    ),
+    "quality_report": query(
+        f"""SELECT *, (SELECT count(*) - count(DISTINCT CASE WHEN event_id % 90 = 1 THEN event_id - 1 ELSE event_id END) FROM events) AS n_duplicated_ids,
+          (SELECT count(DISTINCT locus) FROM panel) - (SELECT count(DISTINCT locus) FROM fpanel) AS n_dropped_loci, (SELECT count(DISTINCT sample) FROM panel) - (SELECT count(DISTINCT sample) FROM fpanel) AS n_dropped_samples,
+          (SELECT count(*) FROM (SELECT locus, min(c) / sum(c) AS maf FROM (SELECT locus, a, count(*) AS c FROM (SELECT locus, unnest([split_part(gt, '/', 1), split_part(gt, '/', 2)]) AS a FROM fpanel WHERE gt IS NOT NULL) GROUP BY ALL) GROUP BY locus) WHERE maf < 0.05) AS n_rare_loci
+        FROM (SELECT count(*) AS n_cells, count(*) FILTER (x = '00') AS n_missing, count(*) FILTER (x <> '00' AND x[1] > x[2]) AS n_reordered, count(*) FILTER (raw LIKE '%*%') AS n_flagged FROM (SELECT raw, replace(raw, '*', '') AS x FROM {WIDE}))""",
+        "fl AS (SELECT locus FROM panel GROUP BY locus HAVING count(gt) / count(*) >= 0.925)", "fs AS (SELECT sample FROM panel WHERE locus IN (SELECT locus FROM fl) GROUP BY sample HAVING count(gt) / count(*) >= 0.9)",
+        "fpanel AS MATERIALIZED (SELECT * FROM panel WHERE locus IN (SELECT locus FROM fl) AND sample IN (SELECT sample FROM fs))",
+    ),
     "ld_top": query(f"SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld ORDER BY round(r2, 6) DESC, locus1, locus2 LIMIT 25", *linkage()),
     "ld_flagged": query(f"SELECT locus1, locus2, n, round(r2, 6) AS r2 FROM ld WHERE r2 > 0.01", *UNIQUE, *linkage("upanel")),
     "fis_flagged": query("SELECT locus, round(1 - ho / he, 6) AS fis FROM locus_stats WHERE abs(1 - ho / he) > 0.1", *UNIQUE, _of(LOCUS, "upanel")),

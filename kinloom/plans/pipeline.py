@@ -8,18 +8,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.operators import graph, inference, matching, pairs, panel, replicates
-from kinloom.sources.simulate import simulate
+from kinloom.operators import graph, inference, matching, pairs, panel, replicates, similarity
 from kinloom.sources.staging import staged
 from kinloom.sources.tables import read_table, suffix_duplicates
 
 #: Column with the place of a row in its file.
 ORDER = "row_order"
-#: What the example panel was simulated at.
-DEMO = {"dropout": 0.03, "false_allele": 0.01, "min_loci": 12}
+#: Settings for the example panel of the documentation: the rates it was simulated at, and its column of species.
+EXAMPLE = {"dropout": 0.03, "false_allele": 0.01, "min_loci": 12, "group_col": "TrueSpecies"}
 
-#: Methods by name: (panel, replicates or None, settings) -> (pairs, matched pairs).  Any function of this shape may be passed.
-Method = Callable[[DataFrame, DataFrame | None, dict], tuple[DataFrame, DataFrame]]
+#: Methods by name: (panel, replicates or None, settings) -> (pairs, matched pairs), and the assignment if the method makes
+#: its own.  Any function of this shape may be passed; `kinloom.operators.blocks.block_method` makes one of a Python
+#: function for one block.
+Method = Callable[[DataFrame, DataFrame | None, dict], tuple[DataFrame, ...]]
 
 
 @dataclass
@@ -53,7 +54,14 @@ def _best_alternative(own, reps, s):
     return scored, matching.best_alternative(scored, s["lambda_cut"], s["min_loci"])
 
 
-def _similarity(stats, s):
+def _similarity(own, reps, s):
+    distances, assignment = similarity.similarity(own, s.get("m_hat"), s.get("most_mismatches"))
+    inside = assignment.select("ord", "individual")
+    a, b = inside.toDF("ord1", "i1"), inside.toDF("ord2", "i2")
+    return distances, distances.join(a, "ord1").join(b, "ord2").filter("i1 = i2").select(*distances.columns), assignment
+
+
+def _mismatch_number(stats, s):
     m = s.get("m_hat")
     if m is None:
         m = matching.fallback_mismatches(stats, s["min_loci"]).first()["m_hat"]
@@ -63,7 +71,8 @@ def _similarity(stats, s):
 METHODS: dict[str, Method] = {
     "exact": _counted(lambda stats, s: matching.exact(stats, s["min_loci"])),
     "threshold": _counted(lambda stats, s: matching.threshold(stats, s["k"], s["hard"], s["min_loci"])),
-    "similarity": _counted(_similarity),
+    "similarity": _similarity,
+    "mismatch_number": _counted(_mismatch_number),
     "likelihood_ratio": _likelihood_ratio,
     "best_alternative": _best_alternative,
 }
@@ -76,16 +85,16 @@ def resolve(own: DataFrame, method: str | Method = "likelihood_ratio", reps: Dat
     run = METHODS[method] if isinstance(method, str) else method
     if not own.filter("gt is not null").head(1) or own.select("ord").distinct().limit(2).count() < 2:
         raise ValueError("fewer than two samples, or no genotype, are left")
-    scored, matched = run(own, reps, s)
+    scored, matched, *found = run(own, reps, s)
     matched = staged(matched, "matched")
     link = graph.complete_linkage if s["linkage"] == "complete" else graph.single_linkage
-    assignment = staged(link(graph.samples_of(own), matched), "assignment")
+    assignment = staged(found[0] if found else link(graph.samples_of(own), matched), "assignment")
     return Result(method if isinstance(method, str) else method.__name__, assignment, scored, matched, graph.conflicts(assignment, matched), own, s)
 
 
 def identify(
     spark: SparkSession, path: str, method: str | Method = "likelihood_ratio", id_col: str | None = None, loci: list[str] | None = None, group_col: str | None = None,
-    sep: str | None = None, replicate_col: str | None = None, drop_labels: tuple[str, ...] = (), min_locus_call: float = 0.0, min_sample_call: float = 0.0, min_maf: float = 0.0, **settings,
+    sep: str | None = None, replicate_col: str | None = None, drop_labels: tuple[str, ...] = (), min_locus_call: float = 0.25, min_sample_call: float = 0.5, min_maf: float = 0.0, **settings,
 ) -> Result:
     """Reads a table, finds out what is not said, and resolves its individuals.
 
@@ -99,6 +108,7 @@ def identify(
     sep = sep or inference.guess_separator(raw, [c for c in columns if c != id_col])
     given = tuple(x for x in (id_col, group_col, replicate_col) if x)
     loci = loci or inference.detect_loci(raw.drop(ORDER), sep, given)
+    raw = raw.withColumn(id_col, F.coalesce(F.col(id_col).cast("string"), F.lit("NA")))
     if replicate_col == "auto":
         replicate_col, found = inference.replicate_plan(raw.drop(ORDER), id_col, loci)
         drop_labels = drop_labels or found
@@ -115,7 +125,6 @@ def identify(
     return resolve(own, method, reps, **settings)
 
 
-def demo(spark: SparkSession, method: str | Method = "likelihood_ratio", **settings) -> Result:
-    """The example: a panel simulated at the rates of DEMO, resolved with them."""
-    rows = simulate(spark, individuals=28, loci=40, most_captures=4, dropout=DEMO["dropout"], false_allele=DEMO["false_allele"])
-    return resolve(staged(rows.select("grp", "sample", "ord", "locus", "gt"), "demo"), method, **(DEMO | settings))
+def example(spark: SparkSession, path: str, method: str | Method = "likelihood_ratio", **settings) -> Result:
+    """identify with the settings of the example panel, whose file is at path."""
+    return identify(spark, path, method, **(EXAMPLE | settings))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.functions.genotype import normalise
-from kinloom.operators import compare, confidence, graph, inference, likelihood, matching, pairs, panel, replicates
+from kinloom.operators import blocks, compare, confidence, graph, inference, likelihood, matching, pairs, panel, replicates, similarity
 from kinloom.plans import fixtures
 from kinloom.plans.oracles import CUTS, SQL  # noqa: F401
 from kinloom.sources.staging import staged
@@ -344,7 +346,7 @@ def discordance(spark, sf):
 
 @_query
 def attribute_conflicts(spark, sf):
-    return compare.attribute_conflicts(_assign(spark, sf, _thresh(spark, sf)), fixtures.truth(spark, sf))
+    return compare.attribute_conflicts(_assign(spark, sf, _thresh(spark, sf)), fixtures.marker(spark, sf))
 
 
 @_query
@@ -404,13 +406,23 @@ def ml_patterns(spark, sf):
 def ml_error_rates(spark, sf):
     freq = panel.allele_freq(_panel(spark, sf), ())
     got = replicates.ml_error_rates(fixtures.replicates(spark, sf), freq)
-    row = (round(got["dropout"], 5), round(got["false_allele"], 5), *got["dropout_ci"], *got["false_ci"])
+    row = (round(got["dropout"], 5), round(got["false_allele"], 5), *(round(x, 6) for x in (*got["dropout_ci"], *got["false_ci"])))
     return spark.createDataFrame([row], "dropout double, false_allele double, dropout_lo double, dropout_hi double, false_lo double, false_hi double")
 
 
+@_query
+def ml_grid(spark, sf):
+    model = replicates.ErrorModel(fixtures.replicates(spark, sf), panel.allele_freq(_panel(spark, sf), ()))
+    table = model(*replicates.grid_around(math.log(0.05 / 0.95), math.log(0.01 / 0.99), 1.0))
+    return _r(table, 4, d=9, f=9)
+
+
 @_query
 def residual_error(spark, sf):
-    return _r(replicates.residual_error(spark, 0.05, 0.01, 0.13))
+    reps = fixtures.replicates(spark, sf)
+    got = replicates.ml_error_rates(reps, panel.allele_freq(_panel(spark, sf), ()))
+    missing = reps.agg(F.avg(F.col("gt").isNull().cast("double")).alias("m"))
+    return _r(replicates.residual_rates(missing.select(F.lit(got["dropout"]).alias("d"), F.lit(got["false_allele"]).alias("f"), "m")))
 
 
 @_query
@@ -577,3 +589,78 @@ def paired_t(spark, sf):
 def separation(spark, sf):
     truth = fixtures.truth(spark, sf).select("ord", F.col("value").alias("individual"))
     return _r(compare.separation(_lr(spark, sf)[0], truth, MIN_LOCI), 5)
+
+
+@_query
+def similarity_assignment(spark, sf):
+    return _r(similarity.similarity(_panel(spark, sf), similarity.MISMATCHES)[1])
+
+
+@_query
+def similarity_profile(spark, sf):
+    own = _panel(spark, sf)
+    return _r(similarity.profile(graph.samples_of(own), staged(pairs.slot_distances(own), "slot-distances"), 6))
+
+
+@_query
+def similarity_near_misses(spark, sf):
+    stats = staged(_stats(spark, sf), "stats")
+    m = matching.fallback_mismatches(stats, MIN_LOCI).first()["m_hat"]
+    return similarity.near_misses(stats, m, MIN_LOCI).select("grp", "sample")
+
+
+def _same_everywhere(genotypes):
+    """A method in plain Python: samples are one individual where no locus that both have differs, by chains."""
+    codes = genotypes.apply(lambda c: c.astype("category").cat.codes).to_numpy()
+    names, label = genotypes.index.tolist(), list(range(len(genotypes)))
+    for k in range(len(codes)):
+        both = (codes[:k] >= 0) & (codes[k] >= 0)
+        for j in (((codes[:k] != codes[k]) & both).sum(axis=1) == 0).nonzero()[0]:
+            if both[j].sum() >= MIN_LOCI and label[j] != label[k]:
+                old, new = max(label[j], label[k]), min(label[j], label[k])
+                label = [new if x == old else x for x in label]
+    number = {x: n + 1 for n, x in enumerate(dict.fromkeys(label))}
+    import pandas as pd
+
+    return pd.DataFrame({"sample": names, "individual": [f"IND_{number[x]:03d}" for x in label]})
+
+
+@_query
+def block_method(spark, sf):
+    return _r(blocks.by_block(_panel(spark, sf), _same_everywhere)[0])
+
+
+@_query
+def evidence_histogram(spark, sf):
+    pairs_ = _lr(spark, sf)[0].filter(F.col("n_compared") >= MIN_LOCI).withColumn("value", F.round("lr", 6))
+    return _r(compare.evidence_histogram(pairs_, accepted=F.col("posterior") >= 0.999))
+
+
+@_query
+def mismatch_bars(spark, sf):
+    ok = (F.col("n_mismatch") <= 1) & (F.col("n_mismatch_2allele") <= 0)
+    return _r(compare.evidence_histogram(_stats(spark, sf).filter(F.col("n_compared") >= MIN_LOCI), "n_mismatch", ok, width=1.0))
+
+
+@_query
+def margin_strip(spark, sf):
+    return _r(compare.margin_strip(_confidence(spark, sf)))
+
+
+@_query
+def quality_report(spark, sf):
+    own = staged(_panel(spark, sf), "panel")
+    kept = panel.filter_panel(own, min_locus_call=0.925, min_sample_call=0.9)
+    return _r(panel.quality_report(fixtures.raw_cells(spark, sf), fixtures.written_ids(spark, sf), own, kept))
+
+
+@_query
+def sensitivity_table(spark, sf):
+    return _r(matching.in_grid_order(matching.sensitivity(_panel(spark, sf), min_loci=MIN_LOCI)))
+
+
+@_query
+def calibration_complete(spark, sf):
+    samples = graph.samples_of(_panel(spark, sf))
+    table = confidence.calibration(samples, _lr(spark, sf)[0], CUTS, MIN_LOCI, "complete")
+    return _r(table.select("cutoff", "n_accepted", "false_merges", "missed", "n_individuals"), 4, cutoff=6)

@@ -62,14 +62,32 @@ def write_parquet(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def write_bundle(tables: dict[str, DataFrame], settings: dict, path: str) -> str:
-    """Report tables and settings.txt in one zip file on the driver (reports are small by nature), row by row."""
-    path = path.removesuffix(".zip") + ".zip"
+    """Report tables and settings.txt in one zip file on the driver (reports are small by nature), row by row; where no
+    zip file can be made, all of them one after the other in a text file instead.  Returns the path of the file."""
+    stem = path.removesuffix(".zip")
+    try:
+        return _zipped(tables, settings, stem + ".zip")
+    except (OSError, RuntimeError, zipfile.LargeZipFile):  # a file system that cannot seek, no compression
+        with open(stem + ".txt", "w", encoding="utf-8", newline="") as text:
+            for name, df in tables.items():
+                text.write(f"##### {name} #####\n")
+                _rows(df, text)
+                text.write("\n")
+            text.write("##### settings #####\n" + settings_text(settings))
+        return stem + ".txt"
+
+
+def _rows(df: DataFrame, text) -> None:
+    out = csv.writer(text, lineterminator="\n")
+    out.writerow(df.columns)
+    out.writerows(df.toLocalIterator())
+
+
+def _zipped(tables: dict[str, DataFrame], settings: dict, path: str) -> str:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as bundle:
         for name, df in tables.items():
             with bundle.open(f"{name}.csv", "w", force_zip64=True) as f, io.TextIOWrapper(f, "utf-8", newline="") as text:
-                out = csv.writer(text)
-                out.writerow(df.columns)
-                out.writerows(df.toLocalIterator())
+                _rows(df, text)
         bundle.writestr("settings.txt", settings_text(settings))
     return path
 
@@ -86,9 +104,10 @@ def script_text(path: str, method: str, settings: dict) -> str:
 
 
 def suffix_duplicates(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    """Ids that occur more than once get #1, #2 ... in row order."""
+    """Ids that occur more than once get #1, #2 ... in row order; a missing id is called NA."""
     from pyspark.sql import Window as W
 
+    df = df.withColumn(id_col, F.coalesce(F.col(id_col).cast("string"), F.lit("NA")))
     nth = F.row_number().over(W.partitionBy(id_col).orderBy(order_col))
     many = F.count("*").over(W.partitionBy(id_col)) > 1
     return df.withColumn(id_col, F.when(many, F.concat_ws("#", F.col(id_col), nth)).otherwise(F.col(id_col)))

@@ -2,12 +2,13 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinloom.functions.genotype import normalise
-from kinloom.operators import compare, confidence, graph, inference, likelihood, matching, pairs, panel, replicates
+from kinloom.operators import blocks, compare, confidence, graph, inference, likelihood, matching, pairs, panel, replicates, similarity
 from kinloom.plans.pipeline import identify, resolve
 from kinloom.sources import tables
 from kinloom.sources.simulate import simulate, truth_of
@@ -366,11 +367,20 @@ def test_labels(spark):
     assert got.schema["Margin"].metadata["comment"].startswith("Support less")
 
 
-def test_demo(spark):
-    from kinloom.plans.pipeline import DEMO, demo
+def test_example_settings(spark, tmp_path):
+    """The example's settings reach the run: its species column groups, its rates are used, and settings may differ."""
+    from kinloom.plans.pipeline import EXAMPLE, example
 
-    found = demo(spark)
-    assert found.settings["dropout"] == DEMO["dropout"] and 26 <= found.assignment.select("individual").distinct().count() <= 32
+    rng, lines = random.Random(8), ["SampleID,TrueSpecies," + ",".join(f"LOC{k:02d}" for k in range(1, 31))]
+    for who in range(8):
+        own = ["".join(rng.choice("AG") for _ in "ab") for _ in range(30)]
+        lines += [",".join([f"S{who}{c}", "alpha" if who < 5 else "beta", *own]) for c in "xy"]
+    path = tmp_path / "panel.csv"
+    path.write_text("\n".join(lines) + "\n")
+    found = example(spark, str(path), "exact")
+    assert {k: found.settings[k] for k in ("dropout", "false_allele", "min_loci")} == {k: v for k, v in EXAMPLE.items() if k != "group_col"}
+    names = [r["individual"] for r in found.assignment.orderBy("ord").collect()]
+    assert names == [f"{'alpha' if w < 5 else 'beta'}_IND_{(w if w < 5 else w - 5) + 1:03d}" for w in range(8) for _ in "xy"]
 
 
 def test_disputed(spark):
@@ -379,3 +389,244 @@ def test_disputed(spark):
     assert sorted(r["sample"] for r in compare.disputed({"a": a, "b": b}).collect()) == [2, 3]
     brute = list(itertools.combinations(range(5), 2))
     assert brute
+
+
+def random_graph(rng, n, p):
+    return [(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < p]
+
+
+def test_cliques_over_tasks(spark):
+    """Claims of many graphs at once against all subsets: largest first, of equal ones the one with the smaller members."""
+    rng, rows, want = random.Random(1), [], {}
+    for key in range(24):
+        n = rng.randrange(3, 10)
+        edges = random_graph(rng, n, rng.choice([0.2, 0.5, 0.85]))
+        rows += [(key, b, a) if rng.random() < 0.5 else (key, a, b) for a, b in edges]
+        near, top = linkage_brute(n, edges)
+        for c in sorted(top, key=lambda c: (-len(c), c)):
+            for v in c:
+                want.setdefault((key, v), list(c))
+        want = {k: c for k, c in want.items() if k[0] != key or near[k[1]]}
+    got = {(r["key"], r["node"]): r["clique"] for r in graph.clique_claims(spark.createDataFrame(rows + rows[:5], "key int, u long, v long")).collect()}
+    assert got == want
+
+
+def test_cliques_of_one_vertex_only(spark):
+    """A component of 400 vertices around a hub: no task is given more than a vertex and its neighbourhood."""
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1, 399, 3)]
+    samples = spark.createDataFrame([("g", f"s{k}", k) for k in range(400)], "grp string, sample string, ord long")
+    got = graph.complete_linkage(samples, spark.createDataFrame(edges, "ord1 long, ord2 long")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["individual"], []).append(r["ord"])
+    assert max(map(len, groups.values())) == 3 and sorted(map(len, groups.values())).count(2) == 132 and len(got) == 400
+
+
+def test_complete_calibration(spark):
+    """All cutoffs in one search give what each gives alone."""
+    rng, n = random.Random(5), 14
+    samples = spark.createDataFrame([("g", f"s{k}", k) for k in range(n)], "grp string, sample string, ord long")
+    cuts = (0.3, 0.5, 0.7, 0.9, 0.99)
+    scored = [("g", a, b, 20, rng.random()) for a, b in random_graph(rng, n, 0.5)]
+    df = spark.createDataFrame(scored, "grp string, ord1 long, ord2 long, n_compared int, posterior double")
+    table = {r["cutoff"]: r["n_individuals"] for r in confidence.calibration(samples, df, cuts, 15, "complete").collect()}
+    for c in cuts:
+        alone = graph.complete_linkage(samples, df.filter(F.col("posterior") >= c))
+        assert table[c] == alone.select("individual").distinct().count()
+
+
+def hierarchy_brute(n, d, cut):
+    """Merges the nearest two clusters until none are within the cut."""
+    m, own = 2147483647, {v: [v] for v in range(n)}
+    while True:
+        best = None
+        for a, b in itertools.combinations(sorted(own), 2):
+            far = max(d[min(x, y), max(x, y)] for x in own[a] for y in own[b])
+            key = (far, ((a + 1) * 7919 % m) * ((b + 1) * 104729 % m) % m, a, b)
+            if far <= cut and (best is None or key < best):
+                best = key
+        if best is None:
+            return {v: c for c, vs in own.items() for v in vs}
+        own[best[2]] += own.pop(best[3])
+
+
+def test_complete_linkage_hierarchy(spark):
+    rng, rows, want = random.Random(6), [], {}
+    for key in range(12):
+        n = rng.randrange(3, 12)
+        d = {e: rng.randrange(0, 8) for e in itertools.combinations(range(n), 2)}
+        own = [(key, "g", a, b, x) for (a, b), x in d.items() if x <= 4]
+        rows += own
+        ends = {v for r in own for v in r[2:4]}
+        want |= {(key, v): c for v, c in hierarchy_brute(n, d, 4).items() if v in ends}
+    got = {(r["key"], r["node"]): r["cluster"] for r in similarity.agglomerate(spark.createDataFrame(rows, "key int, grp string, u long, v long, d int")).collect()}
+    assert got == want
+
+
+def test_similarity_example(spark):
+    """The worked example: ten of twelve slots agree, so the two match at a mismatch number of 2 and not of 1."""
+    own = make(spark, EXAMPLE)
+    assert pairs.slot_distances(own).first()["d"] == 2
+    assert [similarity.similarity(own, m)[1].select("individual").distinct().count() for m in (1, 2)] == [2, 1]
+
+
+def test_similarity_classes(spark):
+    samples = spark.createDataFrame([("g", f"s{k}", k) for k in range(7)], "grp string, sample string, ord long")
+    near = {(0, 1): 0, (0, 2): 1, (1, 2): 1, (2, 3): 2, (4, 5): 2}
+    rows = [("g", a, b, near.get((a, b), 9)) for a, b in itertools.combinations(range(7), 2)]
+    got = {r["ord"]: (r["class"], r["n_matches"], r["representative"]) for r in similarity.classified(samples, spark.createDataFrame(rows, "grp string, ord1 long, ord2 long, d int"), (2,)).collect()}
+    assert got[0] == ("UNIQUE", 0, 0) and got[1] == ("MATCH", 1, 0) and got[2] == ("MATCH", 1, 0)
+    assert got[3] == ("UNIQUE", 0, 3) and got[6] == ("UNIQUE", 0, 6) and {got[4][0], got[5][0]} == {"UNIQUE", "MATCH"}
+    # 2 is within reach of two representatives
+    near[(0, 3)] = 9
+    near |= {(3, 6): 0}
+    rows = [("g", a, b, near.get((a, b), 9)) for a, b in itertools.combinations(range(7), 2)]
+    got = {r["ord"]: r["class"] for r in similarity.classified(samples, spark.createDataFrame(rows, "grp string, ord1 long, ord2 long, d int"), (2,)).collect()}
+    assert got[2] == "MULTIPLE_MATCH" and got[3] == "UNIQUE" and got[6] == "MATCH"
+    profile = spark.createDataFrame([(0, 3), (1, 7), (2, 5), (3, 3), (4, 3)], "m int, n_ambiguous int")
+    assert similarity.chosen(profile).first()["m_hat"] == 3
+    assert similarity.chosen(profile.filter("m < 2")).first()["m_hat"] == 1
+    found = resolve(make(spark, EXAMPLE), "similarity", m_hat=2)
+    assert found.assignment.select("individual").distinct().count() == 1 and found.matched.count() == 1
+
+
+def test_method_for_a_block(spark, simulated):
+    import pandas as pd
+
+    own = simulated.select("grp", "sample", "ord", "locus", "gt")
+
+    def by_first_locus(genotypes):
+        assert genotypes.columns.tolist() == sorted(genotypes.columns) and genotypes.index.is_unique
+        return {"assignment": pd.DataFrame({"individual": genotypes.iloc[:, 0].fillna("none").tolist(), "sample": genotypes.index}), "matched_pairs": pd.DataFrame({"id1": genotypes.index[:1], "id2": genotypes.index[1:2]})}
+
+    found = resolve(own, blocks.block_method(by_first_locus))
+    first = {(r["grp"], r["sample"]): f"{r['grp']}_{r['gt'] or 'none'}" for r in own.filter("locus = 1").collect()}
+    assert found.method == "by_first_locus" and {(r["grp"], r["sample"]): r["individual"] for r in found.assignment.collect()} == first
+    assert found.matched.count() == 2 and found.matched.filter("ord1 < ord2").count() == 2
+    for wrong in (lambda g: pd.DataFrame({"sample": g.index[1:], "individual": "x"}), lambda g: pd.DataFrame({"sample": g.index}), lambda g: {"assignment": None}):
+        with pytest.raises(Exception, match="a method"):
+            blocks.by_block(own, wrong)
+    alone = blocks.by_block(own.filter("ord = 1 or grp = 1"), lambda g: pd.DataFrame({"sample": g.index, "individual": "x"}))[0]
+    assert {r["individual"] for r in alone.collect()} <= {"0_IND_001", "1_x"}
+
+
+def test_null_ids(spark, tmp_path):
+    """None, one and two rows without an id, beside a real sample 1: each row is a sample of its own."""
+    for nulls in (0, 1, 2):
+        rows = [("1", "AA", "AG", "CC"), *[("NA", "AA", "GG", "CT")] * nulls, ("2", "AG", "AG", "TT"), ("3", "GG", "AA", "CT")]
+        path = tmp_path / f"ids{nulls}.csv"
+        path.write_text("\n".join(",".join(r) for r in [("SampleID", "L1", "L2", "L3"), *rows]) + "\n")
+        found = identify(spark, str(path), "exact", id_col="SampleID", loci=["L1", "L2", "L3"], min_loci=1)
+        got = [(r["sample"], r["individual"]) for r in found.assignment.orderBy("ord").collect()]
+        names = ["1", *(["NA"] if nulls == 1 else ["NA#1", "NA#2"][:nulls]), "2", "3"]
+        assert [s for s, _ in got] == names and len({i for _, i in got}) == len(names) - (nulls == 2)
+        power = panel.sample_power(found.panel, panel.identity_power(panel.allele_freq(found.panel, ())))
+        assert power.count() == len(names) and {r["n_loci"] for r in power.collect()} == {3}
+    own = spark.createDataFrame([("g", None, 1, "L", "A/A"), ("g", None, 2, "L", None), ("g", "1", 3, "L", "A/G")], SCHEMA)
+    kept = panel.filter_panel(own, min_sample_call=0.5)
+    assert sorted(r["ord"] for r in kept.collect()) == [1, 3] and panel.dropped(own, kept, "ord").first()["ord"] == 2
+    assert panel.dropped(own, own.filter("ord = 3"), "sample").first()["sample"] is None
+
+
+def test_histogram_and_strip(spark):
+    rng = random.Random(4)
+    values = [round(rng.gauss(0, 5), 3) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(v, bool(v and v > 4)) for v in values], "value double, ok boolean")
+    got = compare.evidence_histogram(df, accepted=F.col("ok"), bars=20).collect()
+    own = sorted(v for v in values if v is not None)
+    width = (own[-1] - own[0]) / 19
+    assert all(math.isclose(r["high"] - r["low"], width) for r in got) and sum(r["n_pairs"] for r in got) == 500 and sum(r["n_accepted"] for r in got) == sum(v > 4 for v in own)
+    for r in got:
+        assert r["n_pairs"] == sum(r["low"] < v <= r["high"] or (r["bar"] == 1 and v <= r["low"] + 1e-9) for v in own)
+        assert math.isclose((r["low"] / width - 0.5) % 1, 0, abs_tol=1e-6) or math.isclose((r["low"] / width - 0.5) % 1, 1, abs_tol=1e-6)
+    counts = compare.evidence_histogram(spark.createDataFrame([(k,) for k in (0, 0, 1, 3)], "n int"), "n", width=1.0).collect()
+    assert sorted((r["low"], r["n_pairs"]) for r in counts) == [(-0.5, 2), (0.5, 1), (2.5, 1)]
+    assert compare.evidence_histogram(df.filter("false")).count() == 0
+    strip = compare.margin_strip(spark.createDataFrame([("Check", 0.05), ("Check", 0.051), ("Uncertain", -1.0), ("Uncertain", None)], "status string, margin double"))
+    assert sorted((r["status"], r["step"], r["n_samples"]) for r in strip.collect()) == [("Check", -6, 2), ("Uncertain", -24, 1)]
+
+
+def test_likelihood_of_rates(spark):
+    """The grid's sums against the sum over all true genotypes, cell by cell."""
+    rows = [("g", s, k, r, "L", g) for k, (s, gts) in enumerate({"a": ["A/G", "A/A", "A/G"], "b": ["A/A", "A/A", None], "c": ["G/G", "A/G", "G/G"], "d": ["A/A", None, None]}.items()) for r, g in enumerate(gts)]
+    reps = spark.createDataFrame(rows, "grp string, sample string, ord long, rep int, locus string, gt string")
+    freq = spark.createDataFrame([("L", "A", 0.7), ("L", "G", 0.3)], "locus string, allele string, p double")
+    model, d, f = replicates.ErrorModel(reps, freq), 0.1, 0.04
+    got = model(1, f"{d}D", f"{f}D").first()["ll"]
+    p, names = {"A": 0.7, "G": 0.3}, ["A/A", "A/G", "G/G"]
+
+    def observe(t):
+        a, b = t.split("/")
+        mass = dict.fromkeys(names, 1e-12)
+        for s, pr in ([((a, a), d / 2), ((b, b), d / 2), ((a, b), 1 - d)] if a != b else [((a, b), 1.0)]):
+            mass["/".join(sorted(s))] += pr * (1 - f)
+            for x in p:
+                mass["/".join(sorted((x, s[1])))] += pr * f / 2 * p[x]
+                mass["/".join(sorted((s[0], x)))] += pr * f / 2 * p[x]
+        return {g: m / sum(mass.values()) for g, m in mass.items()}
+
+    e = {t: observe(t) for t in names}
+    prior = {"A/A": 0.49, "A/G": 0.42, "G/G": 0.09}
+    cells = [["A/G", "A/A", "A/G"], ["A/A", "A/A"], ["G/G", "A/G", "G/G"]]
+    want = sum(math.log(sum(prior[t] * math.prod(e[t][g] for g in c) for t in names)) for c in cells)
+    assert math.isclose(got, want, rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        replicates.ml_error_rates(reps.filter("rep = 0"), freq)
+
+
+def test_residual_rules(spark):
+    """Each rule against a list of all outcomes."""
+    d, f, m = 0.1, 0.03, 0.2
+    models = {"het": {"AA": (1 - m) * d / 2, "BB": (1 - m) * d / 2, "AB": (1 - m) * (1 - d), "": m}, "hom": {"AB": (1 - m) * f, "AA": (1 - m) * (1 - f), "": m}}
+
+    def call(rule, reads):
+        got = [r for r in reads if r]
+        count = {g: got.count(g) for g in set(got)}
+        if rule == "unanimous":
+            return got[0] if len(got) == len(reads) and len(count) == 1 else None
+        if rule == "majority":
+            top = [g for g, c in count.items() if c == max(count.values()) and c >= 2]
+            return top[0] if len(top) == 1 else None
+        held = [x for x in "AB" if sum(x in g for g in got) >= 2]
+        if count.get("AB", 0) >= 2 or len(held) == 2:
+            return "AB"
+        return next((g for g in ("AA", "BB") if count.get(g, 0) >= 3), None)
+
+    for rule in ("multi_tube", "majority", "unanimous"):
+        for n in (2, 3, 4):
+            chance = {k: {} for k in models}
+            for kind, model in models.items():
+                for reads in itertools.product(model, repeat=n):
+                    g = call(rule, reads)
+                    chance[kind][g] = chance[kind].get(g, 0) + math.prod(model[r] for r in reads)
+            row = replicates.residual_error(spark, d, f, m, n, rule).first()
+            hom = sum(v for g, v in chance["hom"].items() if g)
+            want = (chance["het"].get("AA", 0) + chance["het"].get("BB", 0), chance["hom"].get("AB", 0) / hom if hom else None, chance["het"].get(None, 0), chance["hom"].get(None, 0))
+            assert all((a is None and b is None) or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for a, b in zip(row, want)), (rule, n, row, want)
+
+
+def test_hubs(spark, monkeypatch):
+    """Hubs are looked up in a broadcast table; the components are the same."""
+    edges = [(0, k) for k in range(1, 60)] + [(100, k) for k in range(101, 130)] + [(129, 200), (300, 301)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {r["node"]: r["component"] for r in graph.linked(df).collect()}
+    monkeypatch.setattr(graph, "HUB_EDGES", 1)
+    monkeypatch.setattr(graph, "HUB_SHARE", 0.1)
+    assert {r["node"]: r["component"] for r in graph.linked(df).collect()} == want and set(want.values()) == {0, 100, 300}
+
+
+def test_bundle_without_zip(spark, tmp_path, monkeypatch):
+    def broken(*_, **__):
+        raise RuntimeError("no compression")
+
+    monkeypatch.setattr(tables.zipfile, "ZipFile", broken)
+    path = tables.write_bundle({"one": spark.createDataFrame([(1, "x, y")], "k int, t string")}, {"min_loci": 3}, str(tmp_path / "out.zip"))
+    assert path.endswith("out.txt") and open(path).read().splitlines() == ["##### one #####", "k,t", '1,"x, y"', "", "##### settings #####", "min_loci : 3"]
+
+
+def test_signif(spark):
+    from kinloom.functions.genotype import signif
+
+    rows = [0.00123456, 123456.0, -0.5, 0.0, None, 9.9996]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, v double").orderBy("k").select(signif(F.col("v"), 4)).collect()]
+    assert got[3] == 0 and got[4] is None and all(math.isclose(a, float(f"{v:.4g}")) for a, v in zip(got, rows) if v)
