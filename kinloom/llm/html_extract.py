@@ -10,11 +10,14 @@
    class is met in one slot only, the same in all pages.  Its texts are template, of page or section alike;
    everything else sits in slots.  A text on ``share`` of the host's pages is template without that (broken pages);
 4. a page's text is what fills the slots outside the elements that never hold main text: head, nav, header, footer,
-   aside, form, script, style (a heading in the header of a marked element is its title and stays);
-5. names of elements are hints.  An element whose whole name says advert, notice, comments or the like is furniture; a
-   name that only holds such a word (``social-history``) counts where the deduction found the element itself to be part
-   of the template (on a host without a template: where it is no paragraph or heading), and never around a marked element.  If names leave nothing of a
-   page, they are dropped: first those around the marked element, then all;
+   aside, form, script, style (a heading in the header of a marked element is its title and stays), and articles inside
+   an article, which are comments or teasers.  Elements inside a line of text (links, spans, buttons, drawings) never
+   cut it; what a button or a label in it says is no text;
+5. names of elements are hints.  An element whose whole name says advert, notice, comments or the like is furniture, and
+   so is one named after such a thing and a container (``comments-area``, ``related-posts``); a name that only holds
+   such a word (``social-history``, ``header-image-credit``) says nothing by itself, nor does the name of an element
+   inside a line of text, and a paragraph or heading is judged by whole names only.  If names leave nothing of a page,
+   they are dropped: first those around the marked element, then all;
 6. where a page marks its main element (main, else article), the mark says which slots are main, and breaks ties: a
    template text in there goes if its element is of the same class, and stays if its element also holds other text (a
    sentence that many articles share); a marked element of which nothing would be left is kept whole.
@@ -57,7 +60,12 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title xmp noembed noframes".split())
-FURNITURE = frozenset("head nav header footer aside form button select menu dialog label input option".split()) | RAW
+#: Elements inside a line of text; those of the second set hold no text of it.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var picture".split())
+QUIET = frozenset("button select label input option optgroup datalist output meter progress audio video map".split())
+FURNITURE = frozenset("head nav header footer aside form menu dialog".split()) | RAW | QUIET
+#: Elements whose start or end breaks a line of text.
+APART = (BLOCK | FURNITURE) - QUIET - RAW | {"title", "xmp"}
 #: Names that mark an element as no part of the main text.
 FURNITURE_NAMES = frozenset(
     """ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
@@ -65,23 +73,32 @@ FURNITURE_NAMES = frozenset(
     menu breadcrumb breadcrumbs header masthead footer share sharing social related recommended recommendations widget widgets pagination pager toolbar
     login search alert complementary contentinfo""".split()
 )
+#: Kinds of furniture that name a container together with one of CONTAINERS.
+KINDS = frozenset(
+    """ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent newsletter subscribe subscription signup comment comments disqus
+    replies reply sidebar nav navbar navigation breadcrumb breadcrumbs share sharing related recommended recommendations widget pagination popup modal login""".split()
+)
+CONTAINERS = frozenset(
+    """area bar bars block blocks body box boxes buttons card cards column container entry feed footer form grid group header holder inner item items layer link links list lists outer panel
+    placeholder popup post posts row section shell slot slots stories teasers thread unit widget wrap wrapper zone articles banner notice modal overlay prompt""".split()
+)
 _P_CLOSERS = BLOCK - {"html", "body"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKED = frozenset(("article", "main"))
 
 
-def _hint(tag: str, attrs: str) -> int:
-    """2: a whole name of the element is one of FURNITURE_NAMES, 1: a part of one is, 0: none."""
-    if not attrs or tag in ("html", "body") or tag in MARKED:
-        return 0
-    found = 0
+def _hint(tag: str, attrs: str) -> bool:
+    """Whether a name of the element says that it is furniture."""
+    if not attrs or tag in ("html", "body", "main") or tag in INLINE or tag in QUIET:
+        return False
     for m in _MARK.finditer(attrs):
         for name in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
             if name in FURNITURE_NAMES:
-                return 2
-            if any(x in FURNITURE_NAMES for x in re.split(r"[-_]+", name)):
-                found = 1
-    return found
+                return True
+            kind, *rest = [x for x in re.split(r"[-_]+", name) if x] or [""]
+            if rest and tag != "p" and tag not in HEADINGS and kind in KINDS and all(x in CONTAINERS or x in KINDS or x.isdigit() for x in rest):
+                return True
+    return False
 
 
 def _names(attrs: str) -> str:
@@ -92,8 +109,8 @@ class Block(NamedTuple):
     path: str  # tags around the text that break lines or are furniture
     zone: int  # 2 in main, 1 in article, 0 elsewhere
     barred: bool  # in an element that never holds main text
-    inner: tuple  # hints (strength, tag, trail) inside the innermost marked element, or all where there is none
-    outer: tuple  # hints around it
+    inner: bool  # a name hints inside the innermost marked element, or anywhere where there is none
+    outer: bool  # one hints around it, or its own does
     text: str
 
 
@@ -103,7 +120,7 @@ def blocks(page: str, tokens: list | None = None) -> list[Block]:
     tokens gets (element trail, None) for each element, and (trail of its block element, its index in the result) for each block.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, bool]] = []
     trails: list[str] = []
     buffer: list[str] = []
 
@@ -116,22 +133,26 @@ def blocks(page: str, tokens: list | None = None) -> list[Block]:
                 marks = [k for k, t in enumerate(tags) if t in MARKED]
                 zone = 2 if "main" in tags else 1 if "article" in tags else 0
                 title = marks and any(t in HEADINGS for t in tags[marks[0] :])
-                barred = any(t in FURNITURE and not (title and t == "header" and k > marks[0]) for k, t in enumerate(tags))
-                hints = [(k, (h, t, trails[k])) for k, (t, h) in enumerate(stack) if h]
+                barred = tags.count("article") > 1 or any(t in FURNITURE and not (title and t == "header" and k > marks[0]) for k, t in enumerate(tags))
+                hints = [k for k, (_, h) in enumerate(stack) if h]
                 if tokens is not None:
-                    own = next((trails[k] for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][0] in FURNITURE or stack[k][1]), "")
+                    own = next((trails[k] for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][0] in FURNITURE), "")
                     tokens.append((own, len(out)))
                 path = "/".join(t for t in tags if t in BLOCK or t in FURNITURE)
-                out.append(Block(path, zone, barred, tuple(h for k, h in hints if not marks or k > marks[-1]), tuple(h for k, h in hints if marks and k < marks[-1]), text))
+                out.append(Block(path, zone, barred, any(not marks or k > marks[-1] for k in hints), any(marks and k <= marks[-1] for k in hints), text))
+
+    def say(text):
+        if not any(t in QUIET for t, _ in stack):
+            buffer.append(html.unescape(text))
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            buffer.append(html.unescape(page[at:]))
+            say(page[at:])
             break
         if m.start() > at:
-            buffer.append(html.unescape(page[at : m.start()]))
+            say(page[at : m.start()])
         at = m.end()
         tag = m.group(2)
         if tag is None:
@@ -146,7 +167,7 @@ def blocks(page: str, tokens: list | None = None) -> list[Block]:
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(t in BLOCK or t in FURNITURE or h for t, h in stack[k:]):
+                    if any(t in APART for t, _ in stack[k:]):
                         flush()
                     del stack[k:], trails[k:]
                     break
@@ -155,9 +176,7 @@ def blocks(page: str, tokens: list | None = None) -> list[Block]:
             if tag != "wbr":
                 buffer.append(" ")
             continue
-        hint = _hint(tag, attrs)
-        apart = tag in BLOCK or tag in FURNITURE or hint
-        if apart:
+        if tag in APART:
             flush()
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
@@ -172,7 +191,7 @@ def blocks(page: str, tokens: list | None = None) -> list[Block]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((tag, hint))
+        stack.append((tag, _hint(tag, attrs)))
         trails.append((trails[-1] if trails else "") + "/" + tag + _names(attrs))
         if tokens is not None:
             tokens.append((trails[-1], None))
@@ -285,16 +304,9 @@ def templates(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
 def main_text(page: str, template) -> str:
     """The blocks in the slots of the page's main element, joined by an empty line; template: signature -> sure."""
     found = [b for b in blocks(page) if not b.barred]
-
-    def counts(hint) -> bool:
-        strength, tag, trail = hint
-        if strength == 2:
-            return True
-        return _element(trail) in template if template else tag != "p" and tag not in HEADINGS
-
     marked, main = any(b.zone for b in found), []
     for names in (2, 1, 0):  # all names count, those inside the marked element, none
-        main = [b for b in found if (b.zone or not marked) and not (names and any(map(counts, b.inner))) and not (names > 1 and any(h[0] == 2 for h in b.outer))]
+        main = [b for b in found if (b.zone or not marked) and not (names and b.inner) and not (names > 1 and b.outer)]
         if main:
             break
     zone = max((b.zone for b in main), default=0)
