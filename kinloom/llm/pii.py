@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field reads stretches around digits and @ signs.  Tokens are runs of ASCII letters and digits, single marks, or runs
-of other characters; a segment of up to ``MAX_TOKENS`` tokens may carry one of the entity types, every other token is
-outside.  Features describe a whole candidate segment (shape, counts and changes of digits and letters, marks, checksum,
+The field reads stretches around digits and @ signs, and around what a label makes a secret (``SECRET``), letters or not.
+Tokens are runs of ASCII letters and digits, single marks, or runs of other characters; a segment of up to ``MAX_TOKENS``
+tokens, or a whole run without white space however long, may carry one of the entity types, every other token is outside.  Features describe a whole candidate segment (shape, counts and changes of digits and letters, marks, checksum,
 octets) and what stands on both sides of it.  The sum over all segmentations, the marginals and the best segmentation
 all come from one dynamic programme over token positions with bounded segment length.  A stretch is segmented whole,
 however long: the programme keeps a few numbers a token, and scores of segments are made again on the way back.
@@ -22,6 +22,7 @@ repeated rows and ids are read each; an empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -38,10 +39,10 @@ KINDS = ("email", "ip", "card", "phone")
 TYPES = (*KINDS, "secret", "ssn")
 TRAIN_REGIONS = 600
 MAX_TOKENS = 14
-SURE = 0.9
+SURE = 0.8
 MARGIN = 32
 #: Texts with inventions for each text of the sample.
-INVENTED = 4
+INVENTED = 6
 #: Segments whose scores a task remembers.
 CACHE = 100_000
 
@@ -55,6 +56,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"""(?i)\b(?:token|secret|api[_-]?key|password|passwd)\s*[=:]\s*["']([0-9A-Za-z+/_-]{16,})["']""")
 
 _DIGIT = re.compile("[0-9@]")
+#: Words between a label and what it names.
+_LINKS = frozenset(("is", "was", "are", "the", "a", "an", "of", "as", "to"))
+_QUOTES = frozenset("\"'`=:,;()[]{}<>")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
 
@@ -85,10 +89,12 @@ def _emails(text: str):
 
 
 def regions(text: str):
-    """(start, end) of the stretches around digits and @ signs."""
+    """(start, end) of the stretches around digits and @ signs, and around labelled secrets."""
     last = None
-    for m in _DIGIT.finditer(text):
-        p = m.start()
+    marks = (m.start() for m in _DIGIT.finditer(text))
+    if labelled := [p for m in SECRET.finditer(text) for p in (*range(m.start(1), m.end(1), MARGIN), m.end(1) - 1)]:
+        marks = heapq.merge(marks, labelled)
+    for p in marks:
         if last and p - last[1] <= 2 * MARGIN:
             last[1] = p
             continue
@@ -158,25 +164,45 @@ def segment_features(s: str, before: str, after: str, cue: str) -> list[str]:
     parts = s.split(".")
     if len(parts) == 4 and all(p.isdigit() for p in parts):
         out.append(f"octets{all(len(p) < 4 and int(p) <= 255 for p in parts)}")
-    if digits and letters and len(s) >= 12 and not set(marks) - set("_-+/="):
+    if len(s) >= 20:
+        out.append(f"p{s[:3]}")
+    if digits and letters and len(s) >= 12 and not set(marks) - set("_-+/=."):
         changes = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:]))
         letter = {c for c in s if c.isalpha()}
         kind = "hex" if letter <= set("abcdef") or letter <= set("ABCDEF") else "up" if s.upper() == s else "low" if s.lower() == s else "mix"
+        kind += "." * ("." in marks)
         size = _bucket(len(s))
         out += [f"key{kind}{size}", f"x{min(9, 10 * changes // len(s))}.{size}", f"key.{before}{after}", f"cue{cue}{size > 6}"]
+    elif letters and not digits and len(s) >= 12:
+        out += [f"word{_bucket(len(s))}.{marks}", f"key.{before}{after}", f"cue{cue}.word"]
     elif not letters:
         out.append(f"cue{cue}.{_bucket(len(digits))}")
     return out
 
 
 class Stretch:
-    """Tokens of a text and its candidate segments: a segment holds a digit or @ and starts and ends at no space."""
+    """Tokens of a text and its candidate segments: a segment holds a digit or @, or is part of a labelled secret, and starts
+    and ends at no space."""
 
     def __init__(self, text: str):
         self.text = text
         self.spans = [m.span() for m in _TOKEN.finditer(text)]
         self.words = [text[a:b] for a, b in self.spans]
         self.flagged = [bool(_DIGIT.search(w)) for w in self.words]
+        for m in SECRET.finditer(text):
+            for k, (a, b) in enumerate(self.spans):
+                self.flagged[k] |= m.start(1) <= a and b <= m.end(1)
+        # the last token of each run without white space, for the run's first token (also past a quote or a sign)
+        self.run_end: dict[int, int] = {}
+        first = 0
+        for k in range(len(self.spans)):
+            if k + 1 == len(self.spans) or self.spans[k + 1][0] > self.spans[k][1] or self.words[k] in _QUOTES:
+                last = k
+                while last > first and not self.words[last][-1].isalnum():
+                    last -= 1
+                if last - first >= MAX_TOKENS:
+                    self.run_end[first] = last
+                first = k + 1
 
     def ends(self, i: int):
         """The ends of the segments that begin with token i."""
@@ -190,13 +216,18 @@ class Stretch:
                 return
             if seen and word[j].isalnum():
                 yield j + 1
+        if i in self.run_end and any(self.flagged[i : self.run_end[i] + 1]):
+            yield self.run_end[i] + 1
 
     def key(self, i: int, j: int) -> tuple[str, str, str, str]:
         """What the features of the segment of tokens i to j - 1 are made of."""
         word = self.words
         before, after = word[i - 1].lower()[-8:] if i else "", word[j].lower()[:8] if j < len(word) else ""
-        cue = next((w.lower()[:10] for w in reversed(word[max(0, i - 4) : i]) if w.isalpha()), "")
-        return self.text[self.spans[i][0] : self.spans[j - 1][1]], "9" if before.isdigit() else before, "9" if after.isdigit() else after, cue
+        cue = next((w.lower()[:10] for w in reversed(word[max(0, i - 4) : i]) if w.isalpha() and w.lower() not in _LINKS), "")
+        spans = self.spans  # a word that touches the segment is told from one beside it
+        left = "~" if i and spans[i - 1][1] == spans[i][0] else ""
+        right = "~" if j < len(word) and spans[j - 1][1] == spans[j][0] else ""
+        return self.text[spans[i][0] : spans[j - 1][1]], left + ("9" if before.isdigit() else before), right + ("9" if after.isdigit() else after), cue
 
     def decode(self, field: Field) -> list[tuple[int, int, int, float]]:
         """(first token, token after the last, type, chance) of each entity of the best segmentation."""
@@ -287,10 +318,16 @@ def invented(rng: random.Random) -> tuple[str, str | None, str]:
         lambda: some(lower + "0123456789" * 2, rng.randrange(20, 36)),
         lambda: "AKIA" + some(upper + "0123456789" * 2, 16),
         lambda: rng.choice(("ghp_", "sk-", "xoxb-", "pk_")) + some(upper + lower + "0123456789", rng.randrange(20, 37)),
+        lambda: some(upper + lower + "0123456789" * 2 + "+/", rng.randrange(30, 44)) + rng.choice(("", "a", "7")),
+        lambda: "eyJ" + ".".join(some(upper + lower + "0123456789_-", k) + some(upper + lower, 1) for k in (rng.randrange(12, 36), rng.randrange(20, 90), rng.randrange(20, 43))),
     ])
+    words = lambda: rng.choice((some(upper + lower, rng.randrange(16, 40)), some(lower, rng.randrange(16, 32)), "-".join(some(lower, rng.randrange(4, 9)) for _ in range(4))))
     name = rng.choice(("token", "secret", "api_key", "apikey", "password", "passwd", "pwd", "pw", "key", "auth", "access_key", "credential", "Token", "PASSWORD", "API_KEY"))
     quote = rng.choice(("", "", '"', "'", "`"))
-    form = rng.randrange(12)
+    form = rng.randrange(13)
+    if form == 12:  # letters only: a label and quotes say that it is a secret
+        mark = rng.choice("\"'")
+        return rng.choice(("token", "secret", "api_key", "api-key", "password", "passwd")) + rng.choice((" = ", "=", ": ", ":")) + mark, "secret", words() + mark
     if form < 3:
         return name + rng.choice((" = ", "=", ": ", ":", " is ", " ")) + quote, "secret", key() + quote
     if form < 4:
@@ -375,11 +412,24 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
     return out
 
 
-def _regions(batches):
-    for b in batches:
-        found = sorted({text[a:z] for text in b["text"] if _DIGIT.search(text) for a, z in regions(text) if z - a <= 300})
-        keys = [int.from_bytes(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little") for r in found]
-        yield pd.DataFrame({"h": keys, "region": found}).astype({"h": "int64"})
+def _regions(most: int):
+    """The stretches of a task with the least hashes, `most` different ones."""
+
+    def run(batches):
+        held: dict[int, str] = {}
+        for b in batches:
+            for text in b["text"]:
+                for a, z in regions(text):
+                    if z - a <= 300:
+                        r = text[a:z]
+                        held[int.from_bytes(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")] = r
+                if len(held) > 4 * most:
+                    held = dict(heapq.nsmallest(most, held.items()))
+        held = dict(heapq.nsmallest(most, held.items()))
+        if held:
+            yield pd.DataFrame({"h": list(held), "region": list(held.values())}).astype({"h": "int64"})
+
+    return run
 
 
 def _join(spans) -> str:
@@ -392,7 +442,7 @@ def _detect(field):
             rows = []
             for text in b.column("text").to_pylist():
                 base = base_spans(text)
-                more = added_spans(text, base, field) if _DIGIT.search(text) else []
+                more = added_spans(text, base, field)
                 spans = sorted(base + more, key=lambda s: (TYPES.index(s[0]), s[1]))
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), len(spans)))
@@ -406,7 +456,8 @@ def _detect(field):
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_regions: int = TRAIN_REGIONS) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), one row for each row of df."""
     texts = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.select("text").filter(F.col("text").rlike("[0-9@]")).mapInPandas(_regions, "h long, region string").distinct()
+    # each task brings its own train_regions at most, so the corpus is not shuffled for them
+    found = texts.select("text").mapInPandas(_regions(train_regions), "h long, region string").distinct()
     sample = [r[0] for r in found.orderBy("h", "region").limit(train_regions).select("region").collect()]
     field = train(sample)
     schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
