@@ -472,14 +472,12 @@ def test_similarity_example(spark):
 
 def test_similarity_classes(spark):
     samples = spark.createDataFrame([("g", f"s{k}", k) for k in range(7)], "grp string, sample string, ord long")
-    near = {(0, 1): 0, (0, 2): 1, (1, 2): 1, (2, 3): 2, (4, 5): 2}
+    near = {(0, 1): 0, (0, 2): 1, (1, 2): 1, (4, 5): 2}
     rows = [("g", a, b, near.get((a, b), 9)) for a, b in itertools.combinations(range(7), 2)]
     got = {r["ord"]: (r["class"], r["n_matches"], r["representative"]) for r in similarity.classified(samples, spark.createDataFrame(rows, "grp string, ord1 long, ord2 long, d int"), (2,)).collect()}
     assert got[0] == ("UNIQUE", 0, 0) and got[1] == ("MATCH", 1, 0) and got[2] == ("MATCH", 1, 0)
     assert got[3] == ("UNIQUE", 0, 3) and got[6] == ("UNIQUE", 0, 6) and {got[4][0], got[5][0]} == {"UNIQUE", "MATCH"}
-    # 2 is within reach of two representatives
-    near[(0, 3)] = 9
-    near |= {(3, 6): 0}
+    near |= {(2, 3): 2, (3, 6): 0}  # 2 is within reach of two representatives
     rows = [("g", a, b, near.get((a, b), 9)) for a, b in itertools.combinations(range(7), 2)]
     got = {r["ord"]: r["class"] for r in similarity.classified(samples, spark.createDataFrame(rows, "grp string, ord1 long, ord2 long, d int"), (2,)).collect()}
     assert got[2] == "MULTIPLE_MATCH" and got[3] == "UNIQUE" and got[6] == "MATCH"
