@@ -173,6 +173,39 @@ def calibration() -> str:
     return ",\n".join(parts)
 
 
+def cliques(name: str, rounds: int = 14) -> str:
+    """`{name}_full` (sample, cluster) of complete linkage, the cluster named after its first member.
+
+    The maximal cliques of every component that is no clique are listed with a pivot; each sample goes to the largest of
+    its cliques, of equal ones to that with the smaller members.
+    """
+    e, lab = f"{name}_e", f"{name}_{rounds}"
+    return f"""{name}_cs AS (SELECT c AS comp, count(*) AS n FROM {lab} GROUP BY c),
+{name}_cm AS (SELECT c AS comp, count(*) AS m FROM {e} JOIN {lab} ON a = s GROUP BY c),
+{name}_ch AS MATERIALIZED (SELECT comp FROM {name}_cs JOIN {name}_cm USING (comp) WHERE m < n * (n - 1)),
+{name}_nb AS MATERIALIZED (SELECT a AS v, list_sort(list(b)) AS n FROM {e} GROUP BY a),
+{name}_bk AS (
+  SELECT c AS comp, []::BIGINT[] AS r, list_sort(list(s)) AS p, []::BIGINT[] AS x FROM {lab} WHERE c IN (SELECT comp FROM {name}_ch) GROUP BY c
+  UNION ALL (
+  WITH cand AS (SELECT comp, r, p, x, unnest(list_concat(p, x)) AS u, unnest(range(len(p) + len(x))) AS o FROM {name}_bk WHERE len(p) > 0),
+  piv AS (SELECT comp, r, any_value(p) AS p, any_value(x) AS x, arg_max(n, (len(list_intersect(p, n)), -o)) AS n FROM cand JOIN {name}_nb ON v = u GROUP BY comp, r),
+  branch AS (SELECT comp, r, p, x, list_filter(p, lambda w: NOT list_contains(n, w)) AS b FROM piv),
+  each AS (SELECT comp, r, p, x, b, unnest(b) AS w, unnest(range(len(b))) AS k FROM branch)
+  SELECT comp, list_append(r, w), list_filter(p, lambda y: list_contains(n, y) AND NOT list_contains(b[:k], y)), list_filter(list_concat(x, b[:k]), lambda y: list_contains(n, y)) FROM each JOIN {name}_nb ON v = w)),
+{name}_cl AS (SELECT v AS sample, arg_min(q, (-len(q), q)) AS q FROM (SELECT unnest(q) AS v, q FROM (SELECT list_sort(r) AS q FROM {name}_bk WHERE len(p) = 0 AND len(x) = 0)) GROUP BY v),
+{name}_full AS MATERIALIZED (SELECT s AS sample, coalesce(min(sample) OVER (PARTITION BY q), c) AS cluster FROM {lab} LEFT JOIN {name}_cl ON sample = s)"""
+
+
+def calibration_complete() -> str:
+    """calibration with the individuals of complete linkage."""
+    parts, rows = [calibration()], []
+    for k, c in enumerate(CUTS):
+        parts.append(cliques(f"c{k}", 10))
+        rows.append(f"SELECT {c}::DOUBLE AS cutoff, count(DISTINCT cluster) AS n_full FROM c{k}_full")
+    parts.append("calfull AS (" + " UNION ALL ".join(rows) + ")")
+    return ",\n".join(parts)
+
+
 REP_CONSENSUS = f"""{SQL_REPS},
 rc AS (SELECT grp, sample, locus, gt, split_part(gt, '/', 1) AS a1, split_part(gt, '/', 2) AS a2, count(*) AS c FROM reps WHERE gt IS NOT NULL GROUP BY ALL),
 rheld AS (SELECT sample, locus, min(a) || '/' || max(a) AS two FROM (SELECT sample, locus, a, sum(c) AS c FROM (
@@ -529,6 +562,12 @@ SQL = {
         "SELECT 'replicates' AS method, (SELECT count(*) FROM (SELECT sample FROM reps GROUP BY sample HAVING count(DISTINCT rep) >= 2)) AS n_samples, true AS converted, round(greatest(dropout, 1e-4), 3) AS use_dropout, round(greatest(false_allele, 1e-4), 3) AS use_false_allele FROM res",
         *UNIQUE, UNIQUE_ML, RATES, residual("rate"),
     ),
+    "complete_linkage": query("SELECT grp, samples.sample, grp || '_IND_' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS individual FROM samples JOIN (SELECT sample, dense_rank() OVER (PARTITION BY grp ORDER BY cluster) AS n FROM thresh_full JOIN samples USING (sample)) USING (sample)", STATS, THRESHOLD, cliques("thresh")),
+    "linkage_stability": query(
+        "SELECT count(DISTINCT individual) AS n_single, (SELECT count(DISTINCT individual) FROM tfull) AS n_complete, (SELECT ari FROM (" + ARI.format(m1="s", m2="c", x="thresh", y="tfull") + ")) AS ari FROM thresh",
+        STATS, THRESHOLD, cliques("thresh"), "tfull AS MATERIALIZED (SELECT sample, cluster AS individual FROM thresh_full)",
+    ),
+    "calibration_complete": query("SELECT round(cutoff, 6) AS cutoff, n_accepted, round(false_merges, 4) AS false_merges, round(missed, 4) AS missed, n_full AS n_individuals FROM cal JOIN calfull USING (cutoff)", calibration_complete()),
     "similarity_assignment": query(SIMILAR, similarity((2,))),
     "similarity_profile": query(PROFILE, similarity(tuple(range(7)))),
     "similarity_near_misses": query("SELECT DISTINCT grp, unnest([s1, s2]) AS sample FROM stats WHERE n_compared >= 15 AND n_mismatch = 1 + (SELECT arg_min(m, (c, m)) FROM (SELECT m, (SELECT count(*) FROM stats WHERE n_compared >= 15 AND n_mismatch = m + 1) AS c FROM (SELECT unnest(range(7)) AS m)))", STATS),

@@ -444,7 +444,7 @@ def id_scores(spark, sf):
 
 @_query
 def sensitivity_grid(spark, sf):
-    return _r(matching.sensitivity(_panel(spark, sf), min_loci=MIN_LOCI))
+    return _r(matching.in_grid_order(matching.sensitivity(_panel(spark, sf), min_loci=MIN_LOCI)))
 
 
 @_query
@@ -534,7 +534,7 @@ def allele_freq_corrected(spark, sf):
 
 @_query
 def linkage_stability(spark, sf):
-    matched = _lr(spark, sf)[1]
+    matched = _thresh(spark, sf)
     samples = graph.samples_of(_panel(spark, sf))
     return _r(compare.linkage_stability(_assign(spark, sf, matched), staged(graph.complete_linkage(samples, matched), "complete")))
 
@@ -654,11 +654,6 @@ def quality_report(spark, sf):
     return _r(panel.quality_report(fixtures.raw_cells(spark, sf), fixtures.written_ids(spark, sf), own, kept))
 
 
-@_query
-def sensitivity_table(spark, sf):
-    return _r(matching.in_grid_order(matching.sensitivity(_panel(spark, sf), min_loci=MIN_LOCI)))
-
-
 @_query
 def calibration_complete(spark, sf):
     samples = graph.samples_of(_panel(spark, sf))
