@@ -8,6 +8,8 @@ what is shuffled is one short row for each sample, and the pairs of a block come
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -163,20 +165,21 @@ def code_arrays(encoded: DataFrame, loci: list) -> DataFrame:
     return rows.groupBy("grp", "sample", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("lidx", "code"))), lambda x: x["code"]).alias("codes"))
 
 
-def lookup_arrays(tables: DataFrame, loci: list, names: list[str]):
-    """(DataFrame (grp, table), width): the lookup tables (grp, locus, g1, g2, name...) as one array a block.
+def lookup_arrays(tables: DataFrame, loci: list, names: list[str]) -> DataFrame:
+    """(grp, table): the lookup tables (grp, locus, g1, g2, name...) as one array a block, as wide as the block's longest
+    dictionary.
 
     Entry ((k * loci + l) * width + g1) * width + g2 holds the value of name k; rows and columns 0 (missing) are zero.
     """
-    width = int(tables.agg(F.max("g1")).first()[0] or 0) + 1
     n = len(loci)
+    widths = tables.groupBy("grp").agg((F.max("g1") + 1).alias("width"))
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(name).alias("v")) for k, name in enumerate(names)]))
-    rows = _indexed(tables, loci).select("grp", "lidx", "g1", "g2", cells.alias("c"))
-    at = ((F.col("c.k") * n + F.col("lidx")) * width + F.col("g1")) * width + F.col("g2")
-    grid = rows.select("grp").distinct().select("grp", F.explode(F.sequence(F.lit(0), F.lit(len(names) * n * width * width - 1))).alias("at"))
+    rows = _indexed(tables, loci).select("grp", "lidx", "g1", "g2", cells.alias("c")).join(widths, "grp")
+    at = ((F.col("c.k") * n + F.col("lidx")) * F.col("width") + F.col("g1")) * F.col("width") + F.col("g2")
+    grid = widths.select("grp", F.explode(F.sequence(F.lit(0), F.lit(len(names) * n) * F.col("width") * F.col("width") - 1)).alias("at"))
     full = grid.join(rows.select("grp", at.alias("at"), "c.v"), ["grp", "at"], "left").select("grp", "at", F.coalesce("v", F.lit(0.0)).alias("v"))
     arrays = full.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("rows"))
-    return arrays.select("grp", F.transform("rows", lambda r: r["v"]).alias("table")), width
+    return arrays.select("grp", F.transform("rows", lambda r: r["v"]).alias("table"))
 
 
 def lookup_sums(panel_encoded: DataFrame, tables: DataFrame, names: list[str]) -> DataFrame:
@@ -187,13 +190,15 @@ def lookup_sums(panel_encoded: DataFrame, tables: DataFrame, names: list[str]) -
     """
     loci = locus_index(panel_encoded)
     n = len(loci)
-    tables, width = lookup_arrays(staged(tables, "tables"), loci, names)
+    tables = lookup_arrays(staged(tables, "tables"), loci, names)
 
     def sums(x, y, within, cells):
         first, second, swap = chosen_pairs(x, y, within)
         if not len(first):
             return [], first, second, swap
         a, b = matrix(x, "codes", n, "int64"), matrix(y, "codes", n, "int64")
+        width = max(1, math.isqrt(len(cells) // (len(names) * n)))
+        cells = cells if len(cells) else np.zeros(len(names) * n)  # a block without a genotype
         where = np.arange(n) * width
 
         def ones(codes):

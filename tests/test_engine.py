@@ -202,6 +202,28 @@ def test_stream_corrections(spark, tmp_path):
     assert second[("007", "a")] == second[("007", "b")] == "007_IND_001" and second[("8", "c")] == first[("8", "c")]
 
 
+def test_stream_compaction(spark, tmp_path, monkeypatch):
+    """The store of a block is written again in one piece and its old folders go; no cell changes."""
+    from kinloom.streaming import ingest
+
+    monkeypatch.setattr(ingest, "COMPACT", 2)
+
+    def send(k, rows):
+        spark.createDataFrame(rows, "grp string, sample string, ord long, locus string, raw string").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        ingest.start(ingest.read_stream(spark, str(tmp_path / "in" / "*")), str(tmp_path / "store"), str(tmp_path / "check"), "exact", min_loci=1).awaitTermination()
+
+    send(0, [("x", "a", 1, "L1", "AA"), ("x", "b", 2, "L1", "AG"), (None, "n", 7, "L1", "CC"), (" ", "m", 8, "L1", "CC")])
+    send(1, [("x", "b", 2, "L1", "AA"), ("x", "c", 3, "L1", "GG")])
+    send(2, [("x", "c", 3, "L1", "AA")])
+    send(3, [("x", "d", 4, "L1", "GG")])
+    folders = sorted(p.name for p in (tmp_path / "store/panel/grp=x").iterdir())
+    assert folders == ["batch=5", "batch=6"]
+    kept = ingest._latest(spark.read.schema(ingest.PANEL).parquet(str(tmp_path / "store/panel"))).collect()
+    assert {(r["grp"], r["sample"]): r["gt"] for r in kept} == {("x", "a"): "A/A", ("x", "b"): "A/A", ("x", "c"): "A/A", ("x", "d"): "G/G", ("unassigned", "n"): "C/C", ("unassigned", "m"): "C/C"}
+    got = spark.read.schema("sample string, ord long, individual string, grp string").parquet(str(tmp_path / "store/assignment")).collect()
+    assert {(r["grp"], r["sample"]): r["individual"] for r in got} == {**{("x", s): "x_IND_001" for s in "abc"}, ("x", "d"): "x_IND_002", ("unassigned", "n"): "unassigned_IND_001", ("unassigned", "m"): "unassigned_IND_001"}
+
+
 def test_inference_rules(spark):
     raw = spark.createDataFrame([("A/", "ACG/TTA", None, "1"), ("A/", "ACG/ACG", None, "1"), ("C/", "TTA/TTA", None, "2"), ("G/T", "ACG/TTA", None, "2d")], "x string, y string, z string, w string")
     share = {r["sep"]: r["share"] for r in inference.separator_shares(raw, ["x"]).collect()}
