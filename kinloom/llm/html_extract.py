@@ -10,8 +10,8 @@
    class is met in one slot only, the same in all pages.  Its texts are template, of page or section alike;
    everything else sits in slots.  A text on ``share`` of the host's pages is template without that (broken pages);
 4. a page's text is what fills the slots outside the elements that never hold main text: head, nav, header, footer,
-   aside, form, script, style (a heading in the header of a marked element is its title and stays), and articles inside
-   an article, which are comments or teasers.  Elements inside a line of text (links, spans, buttons, drawings) never
+   aside, form, script, style (a heading in the header of a marked element is its title and stays), and outside articles
+   inside an article, which are comments or teasers (unless the outer one holds nothing but headings).  Elements inside a line of text (links, spans, buttons, drawings) never
    cut it; what a button or a label in it says is no text;
 5. names of elements are hints.  An element whose whole name says advert, notice, comments or the like is furniture, and
    so is one named after such a thing and a container (``comments-area``, ``related-posts``); a name that only holds
@@ -109,6 +109,7 @@ class Block(NamedTuple):
     path: str  # tags around the text that break lines or are furniture
     zone: int  # 2 in main, 1 in article, 0 elsewhere
     barred: bool  # in an element that never holds main text
+    nested: bool  # in an article inside an article
     inner: bool  # a name hints inside the innermost marked element, or anywhere where there is none
     outer: bool  # one hints around it, or its own does
     text: str
@@ -133,13 +134,13 @@ def blocks(page: str, tokens: list | None = None) -> list[Block]:
                 marks = [k for k, t in enumerate(tags) if t in MARKED]
                 zone = 2 if "main" in tags else 1 if "article" in tags else 0
                 title = marks and any(t in HEADINGS for t in tags[marks[0] :])
-                barred = tags.count("article") > 1 or any(t in FURNITURE and not (title and t == "header" and k > marks[0]) for k, t in enumerate(tags))
+                barred = any(t in FURNITURE and not (title and t == "header" and k > marks[0]) for k, t in enumerate(tags))
                 hints = [k for k, (_, h) in enumerate(stack) if h]
                 if tokens is not None:
                     own = next((trails[k] for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or stack[k][0] in FURNITURE), "")
                     tokens.append((own, len(out)))
                 path = "/".join(t for t in tags if t in BLOCK or t in FURNITURE)
-                out.append(Block(path, zone, barred, any(not marks or k > marks[-1] for k in hints), any(marks and k <= marks[-1] for k in hints), text))
+                out.append(Block(path, zone, barred, tags.count("article") > 1, any(not marks or k > marks[-1] for k in hints), any(marks and k <= marks[-1] for k in hints), text))
 
     def say(text):
         if not any(t in QUIET for t, _ in stack):
@@ -304,6 +305,8 @@ def templates(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
 def main_text(page: str, template) -> str:
     """The blocks in the slots of the page's main element, joined by an empty line; template: signature -> sure."""
     found = [b for b in blocks(page) if not b.barred]
+    if any(b.zone and not b.nested and b.path.rpartition("/")[2] not in HEADINGS for b in found):
+        found = [b for b in found if not b.nested]
     marked, main = any(b.zone for b in found), []
     for names in (2, 1, 0):  # all names count, those inside the marked element, none
         main = [b for b in found if (b.zone or not marked) and not (names and b.inner) and not (names > 1 and b.outer)]

@@ -558,9 +558,10 @@ def test_other_articles(spark):
         3: '<div class="related-posts"><article><p>Only text</p></article></div>',
         4: '<article class="comment"><p>Only text</p></article>',
         5: "<article><p>First</p></article><article><p>Second</p></article>",
+        6: "<article><header><h1>Head</h1></header><article><p>Only text</p></article></article>",
     }
     got = extracted(spark, [(k, f"http://h{k}.example.com/", p) for k, p in pages.items()])
-    assert got == {1: "Main text", 2: "Main text", 3: "Only text", 4: "Only text", 5: "First\n\nSecond"}
+    assert got == {1: "Main text", 2: "Main text", 3: "Only text", 4: "Only text", 5: "First\n\nSecond", 6: "Head\n\nOnly text"}
 
 
 def test_null_page_beside_a_template(spark):
