@@ -11,7 +11,7 @@ from kinloom.sources.staging import staged
 
 
 #: A hub has more than this share of all edge ends, so there are fewer hubs than one over it; small graphs need none.
-HUB_SHARE, HUB_EDGES = 1 / 2000, 100_000
+HUB_SHARE, HUB_EDGES = 1 / 2000, 5_000_000
 
 
 def _with_least(e: DataFrame, least: DataFrame, ends: int) -> DataFrame:
