@@ -6,6 +6,7 @@ import math
 import re
 
 from kinloom.operators.confidence import CUTOFFS
+from kinloom.operators.matching import GRID
 from kinloom.operators.replicates import FIRST_RATES, GRID_POINTS, GRID_REACH, GRID_ROUNDS, PROFILE_DROP, PROFILE_POINTS, PROFILE_RATES
 from kinloom.plans.fixtures import LOCI, MARKER, RAW, SQL_PANEL, SQL_REPS, SQL_RUNS, SQL_VOTES
 
@@ -430,6 +431,61 @@ def _sweep(top: int = 6, outer: str | None = None) -> str:
     return query(" UNION ALL ".join(rows), *parts)
 
 
+def sensitivity(grid: dict = GRID, d: float = 0.02, kin: str = "full_sib", cut: float = 0.999, rounds: int = 8) -> str:
+    """Evidence for all dropouts and kinships from one join of the samples of a block; priors and labels by setting (s, cut)."""
+    drops, cuts, names = sorted({*grid["dropouts"], d}), sorted({*grid["cuts"], cut}), grid["kinships"]
+    settings = [(k, x) for k in range(len(drops)) for x in names]
+    rates = ", ".join(f"({k}, {v}::DOUBLE)" for k, v in enumerate(drops))
+    lrs = ", ".join(f"sum(lr{s}) AS lr{s}" for s in range(len(settings)))
+    told = ", ".join(f"max(q.v - r_{x}.v) FILTER (q.k = {k}) AS lr{s}" for s, (k, x) in enumerate(settings))
+    parts = [
+        likelihood(),
+        *[pair_prob(f"pp_{x}", *KIN[x]) for x in names],
+        f"rates AS (SELECT * FROM (VALUES {rates}) v(k, d))",
+        """gst AS (SELECT k, grp, locus, code AS t, t1 AS s1, t2 AS s2, CASE WHEN t1 = t2 THEN 1 ELSE 1 - d END AS pr FROM dic, rates
+  UNION ALL SELECT k, grp, locus, code, a, a, d / 2 FROM dic, rates, unnest([t1, t2]) x(a) WHERE t1 <> t2)""",
+        """gem AS (SELECT k, grp, locus, t, least(a, b) || '/' || greatest(a, b) AS gt, sum(e) AS e FROM (SELECT k, grp, locus, t, s1 AS a, s2 AS b, pr * 0.995::DOUBLE AS e FROM gst
+  UNION ALL SELECT k, grp, locus, t, allele, s2, pr * 0.0025::DOUBLE * p FROM gst JOIN freq USING (grp, locus) UNION ALL SELECT k, grp, locus, t, s1, allele, pr * 0.0025::DOUBLE * p FROM gst JOIN freq USING (grp, locus)) GROUP BY ALL)""",
+        """gobs AS MATERIALIZED (SELECT k, grp, locus, g, t, e / sum(e) OVER (PARTITION BY k, grp, locus, t) AS e FROM (SELECT rates.k, a.grp, a.locus, a.code AS g, b.code AS t, coalesce(e, 0) + 1e-12::DOUBLE AS e
+  FROM dic a JOIN dic b USING (grp, locus) CROSS JOIN rates LEFT JOIN gem m ON (m.k, m.grp, m.locus, m.t, m.gt) = (rates.k, a.grp, a.locus, b.code, a.gt)))""",
+        "g_same AS MATERIALIZED (SELECT x.k, x.grp, x.locus, x.g AS g1, y.g AS g2, log10(greatest(sum(x.e * gp * y.e), 1e-300)) AS v FROM gobs x JOIN gobs y USING (k, grp, locus, t) JOIN gp ON (gp.grp, gp.locus, gp.code) = (x.grp, x.locus, x.t) GROUP BY ALL)",
+        *[
+            f"r_{x} AS MATERIALIZED (SELECT x.k, x.grp, x.locus, x.g AS g1, y.g AS g2, log10(greatest(sum(x.e * pp * y.e), 1e-300)) AS v FROM gobs x JOIN pp_{x} q USING (grp, locus, t) JOIN gobs y ON (y.k, y.grp, y.locus, y.t) = (x.k, x.grp, x.locus, q.u) GROUP BY ALL)"
+            for x in names
+        ],
+        f"gtabs AS MATERIALIZED (SELECT q.grp, q.locus, q.g1, q.g2, {told} FROM g_same q {' '.join(f'JOIN r_{x} USING (k, grp, locus, g1, g2)' for x in names)} GROUP BY ALL)",
+        CODED,
+        f"""gsc AS MATERIALIZED (SELECT a.grp, a.sample AS s1, b.sample AS s2, count(*) AS n_compared, {lrs} FROM coded a JOIN coded b ON a.grp = b.grp AND a.locus = b.locus AND a.sample < b.sample
+  JOIN gtabs t ON t.grp = a.grp AND t.locus = a.locus AND t.g1 = a.code AND t.g2 = b.code GROUP BY ALL HAVING count(*) >= 15)""",
+        f"glr AS MATERIALIZED (SELECT * FROM (SELECT grp, s1, s2, s, [{', '.join(f'lr{s}' for s in range(len(settings)))}][s + 1] AS lr FROM gsc, unnest(range({len(settings)})) x(s)) WHERE {posterior('lr', '0.5')} >= {min(cuts)} * (1 - 1e-9))",
+        f"h_0 AS MATERIALIZED (SELECT grp, s, cut, count(*) AS n, 1 / greatest(count(*), 2) AS pri, false AS done FROM samples, unnest(range({len(settings)})) x(s), unnest({cuts}::DOUBLE[]) y(cut) GROUP BY ALL)",
+    ]
+    new = "least(0.5, greatest(1 / greatest(n, 2), (coalesce(m, 0) + 1) / (n * (n - 1) / 2)))"
+    for k in range(12):
+        parts.append(
+            f"h_{k + 1} AS MATERIALIZED (SELECT grp, s, cut, n, CASE WHEN done OR n < 2 OR abs({new} - pri) < 1e-10 THEN pri ELSE {new} END AS pri, done OR n < 2 OR abs({new} - pri) < 1e-10 AS done "
+            f"FROM h_{k} LEFT JOIN (SELECT grp, s, cut, count(*) AS m FROM glr l JOIN h_{k} q USING (grp, s) WHERE NOT done AND {posterior('lr', 'pri')} >= cut GROUP BY ALL) USING (grp, s, cut))"
+        )
+    parts += [
+        f"gm AS MATERIALIZED (SELECT s, cut, s1, s2 FROM glr JOIN h_12 USING (grp, s) WHERE {posterior('lr', 'pri')} >= cut)",
+        "gc_0 AS (SELECT DISTINCT s, cut, x AS node, x AS c FROM gm, unnest([s1, s2]) y(x))",
+    ]
+    for k in range(rounds):
+        parts.append(
+            f"gc_{k + 1} AS MATERIALIZED (SELECT s, cut, node, min(c) AS c FROM (FROM gc_{k} UNION ALL SELECT s, cut, s2, c FROM gm JOIN gc_{k} USING (s, cut) WHERE node = s1 UNION ALL SELECT s, cut, s1, c FROM gm JOIN gc_{k} USING (s, cut) WHERE node = s2) GROUP BY ALL)"
+        )
+    parts += [
+        f"gsize AS (SELECT s, cut, c, count(*) AS n FROM gc_{rounds} GROUP BY ALL)",
+        f"gin AS (SELECT s, cut, c, count(*) AS m FROM gm JOIN gc_{rounds} USING (s, cut) WHERE node = s1 GROUP BY ALL)",
+        "per AS (SELECT s, cut, sum(n - 1) AS merged, count(*) FILTER (n >= 3 AND m < n * (n - 1) / 2) AS broken FROM gsize JOIN gin USING (s, cut, c) GROUP BY ALL)",
+    ]
+    kinships, dropouts = (f"[{', '.join(map(repr, v))}][s + 1]" for v in ([x for _, x in settings], [drops[k] for k, _ in settings]))
+    body = f"""SELECT *, kinship = '{kin}' AND dropout = {d} AND cutoff = {cut} AS current FROM (SELECT {kinships} AS kinship, {dropouts}::DOUBLE AS dropout, cut AS cutoff,
+  ((SELECT count(*) FROM samples) - coalesce(merged, 0))::BIGINT AS n_individuals, coalesce(broken, 0)::BIGINT AS n_conflicting
+  FROM (SELECT DISTINCT s, cut FROM h_0) LEFT JOIN per USING (s, cut)) ORDER BY kinship, dropout, cutoff"""
+    return query(body, *parts)
+
+
 WIDE = "(SELECT sample, locus, " + RAW + " AS raw FROM panel)"
 
 SQL = {
@@ -537,6 +593,7 @@ SQL = {
     "pooled_errors": query("SELECT round(sum(n_dropout) / greatest(1, sum(n_het)), 6) AS dropout, round(sum(n_false) / greatest(1, sum(n_hom)), 6) AS false_allele FROM errs", ERRORS),
     "heterozygote_deficit": query("SELECT round(greatest(0, 1 - sum(ho * n) / sum(he * n)), 6) AS dropout, count(*) AS n_loci FROM locus_stats WHERE n_alleles >= 2 AND he > 0.05", LOCUS),
     "ml_patterns": query("SELECT locus, pattern, count(*) AS n FROM (SELECT sample, locus, string_agg(gt, ' ' ORDER BY gt) AS pattern FROM reps WHERE gt IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL", SQL_REPS),
+    "sensitivity_grid": sensitivity(),
     "separator_shares": query(
         f"SELECT sep, avg((len(string_split(raw, sep)) - ends_with(raw, sep)::INT = 2)::INT::DOUBLE) AS share FROM {WIDE}, (SELECT unnest(['/', '|', ':', '-', ' ']) AS sep) WHERE length(raw) > 0 GROUP BY sep"
     ),
