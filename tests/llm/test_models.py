@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kinloom.llm import decontaminate, gbdt, html_extract, line_dedup, packing, pii, quality, sharding
 
@@ -120,6 +121,43 @@ def test_sharding_keeps_groups_whole(spark):
             assert (own.shard.nunique() == 1) == (own["size"].sum() <= share), (text[:9], len(own))
 
 
+def test_sharding_brute_force(spark):
+    """The whole placement, row by row: large groups by room, then all others in key order into the room that is left."""
+    rng = random.Random(11)
+    texts = ["a" * 900] * 90 + ["b" * 700] * 12 + ["c" * 40] * 150 + ["word " * rng.randrange(0, 50) for _ in range(900)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed = df.select("doc_id", F.xxhash64("text").alias("digest"), F.xxhash64(F.lit(7), "doc_id").alias("low")).collect()
+    sizes = [len(t) + 1 for t in texts]
+    share = -(-sum(sizes) // 8)
+    rows = sorted(((((r.digest % 2**64) >> 24) << 23 | r.low % 2**23), r.digest, r.doc_id) for r in hashed)
+    groups: dict = {}
+    for _, digest, k in rows:
+        groups[digest] = groups.get(digest, 0) + sizes[k]
+    room, place = [share] * 8, {}
+    for digest, size in sorted(groups.items(), key=lambda g: (-g[1], g[0])):
+        if size * sharding.LARGE > share:
+            best = max(range(8), key=lambda s: (room[s], -s))
+            place[digest] = best if size <= room[best] else None
+            room[best] -= size if size <= room[best] else 0
+    assert None in place.values() and len(set(place.values())) > 3 and len(place) < len(groups)
+    ends, want, at, start = [sum(room[: s + 1]) for s in range(7)], {}, 0, {}
+    for _, digest, k in rows:
+        if place.get(digest) is not None:
+            want[k] = place[digest]
+            continue
+        start.setdefault(digest, at)
+        middle = at + sizes[k] // 2 if digest in place else start[digest] + groups[digest] // 2
+        want[k] = sum(e <= middle for e in ends)
+        at += sizes[k]
+    slots = {}
+    for _, _, k in rows:
+        slots[k] = sum(want[j] == want[k] for j in slots)
+    for ranges in (None, 64):
+        got = {r["doc_id"]: (r["shard"], r["slot"], r["size"]) for r in sharding.shard_by_bytes(df, ranges=ranges).collect()}
+        assert got == {k: (want[k], slots[k], sizes[k]) for k in want}
+
+
 def test_deal():
     given, room = sharding._deal([(1, 60), (2, 60), (3, 60), (4, 101), (5, 30)], 2, 100)
     assert given == {4: -1, 1: 0, 2: 1, 3: -1, 5: 0} and room == [10, 40]
@@ -331,6 +369,48 @@ def test_boosted_trees():
     assert gbdt.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
 
 
+def test_boosted_trees_brute_force():
+    """Each split by trying every cut of every feature on the rows of its node, one by one."""
+    rng = np.random.default_rng(8)
+    rate, l2, least, bins = 0.3, 1.5, 1.0, 6
+
+    def leaves(x, grad, hess, rows, depth, cuts, out, used):
+        if not depth:
+            out[rows] = -rate * grad[rows].sum() / (hess[rows].sum() + l2)
+            return
+        worth = lambda part: grad[part].sum() ** 2 / (hess[part].sum() + l2)
+        best = (1e-9, None)
+        for f, own in enumerate(cuts):
+            for c in own:
+                left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                if min(hess[left].sum(), hess[right].sum()) >= least:
+                    gain = worth(left) + worth(right) - worth(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (left, right))
+        used.append(best[1] is not None)
+        for part in best[1] or (rows,):
+            leaves(x, grad, hess, part, depth - 1, cuts, out, used)
+
+    used: list = []
+    for n, width in ((60, 3), (150, 4), (9, 2)):
+        x = rng.normal(size=(n, width)).round(2)
+        x[:, 0] = rng.integers(0, 3, n)  # fewer values than bins
+        y = (x[:, 0] + x[:, 1] + rng.normal(size=n) > 1).astype(float)
+        y[:2] = 0, 1
+        w = rng.integers(1, 4, n).astype(float)
+        cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
+        p = (y * w).sum() / w.sum()
+        margin = np.full(n, np.log(p / (1 - p)))
+        for _ in range(5):
+            p = 1 / (1 + np.exp(-margin))
+            step = np.zeros(n)
+            leaves(x, w * (p - y), w * p * (1 - p), np.arange(n), 3, cuts, step, used)
+            margin = margin + step
+        forest = gbdt.fit(x, y, w, trees=5, depth=3, bins=bins, rate=rate, l2=l2, least=least)
+        assert np.allclose(forest.margin(x), margin, atol=1e-9), (n, width)
+    assert 0 < sum(used) < len(used)
+
+
 def test_quality(spark, docs, empty):
     labels = [(k, int(k % 4 != 0)) for k in range(400)]
     text = lambda k: "plain words in a row " * (5 + k % 7) if k % 4 else "LOUD!! WORDS!! " * (5 + k % 7)
