@@ -187,8 +187,10 @@ def sensitivity(panel: DataFrame, dropout: float = 0.02, kinship: str = "full_si
     settings = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(c).alias("cut")) for s in range(len(names)) for c in cuts])).alias("y")
     sizes = samples.groupBy("grp").agg(F.count("*").alias("n")).select("grp", "n", settings).select("grp", "n", "y.*")
     prior = priors(long, sizes, "cut", min_loci, by=("grp", "s", "cut"))
-    key = F.concat_ws("|", F.element_at(F.array(*[F.lit(f"{d}|{x}") for d in dropouts for x in kinships]), F.col("s") + 1), F.col("cut").cast("string")).alias("key")
+    # a setting is a number: s and the place of its cutoff
+    key = (F.col("s") * len(cuts) + F.array_position(F.array(*map(F.lit, cuts)), F.col("cut")) - 1).cast("int").alias("key")
     matched = long.join(prior, ["grp", "s", "cut"]).filter(posterior(F.col("lr"), F.col("prior")) >= F.col("cut")).select(key, "ord1", "ord2")
-    rows = [(f"{d}|{x}|{c}", x, d, c, (d, x, c) == (dropout, kinship, cut)) for d in dropouts for x in kinships for c in cuts]
-    named = panel.sparkSession.createDataFrame(rows, "key string, kinship string, dropout double, cutoff double, current boolean")
+    told = [(x, d, c, (d, x, c) == (dropout, kinship, cut)) for d in dropouts for x in kinships for c in cuts]
+    rows = [(k, *r) for k, r in enumerate(told)]
+    named = panel.sparkSession.createDataFrame(rows, "key int, kinship string, dropout double, cutoff double, current boolean")
     return named.join(linkage_counts(samples, matched, [r[0] for r in rows]), "key").select("kinship", "dropout", "cutoff", "n_individuals", "n_conflicting", "current")
