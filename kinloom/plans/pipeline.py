@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.operators import graph, inference, matching, pairs, panel, replicates, similarity
-from kinloom.sources.staging import staged
+from kinloom.sources.staging import measured_joins, staged
 from kinloom.sources.tables import read_table, suffix_duplicates
 
 #: Column with the place of a row in its file.
@@ -81,6 +81,7 @@ DEFAULTS = {"min_loci": 15, "k": 1, "hard": 0, "dropout": 0.02, "false_allele":
 
 def resolve(own: DataFrame, method: str | Method = "likelihood_ratio", reps: DataFrame | None = None, **settings) -> Result:
     """Individuals of a panel; blocks are columns, so no loop runs over them."""
+    measured_joins(own.sparkSession)
     s = DEFAULTS | settings
     run = METHODS[method] if isinstance(method, str) else method
     if not own.filter("gt is not null").head(1) or own.select("ord").distinct().limit(2).count() < 2:
@@ -102,6 +103,7 @@ def identify(
     appear there.  replicate_col "auto": where ids occur more than once, the column and the labels that are no
     replicates are guessed.
     """
+    measured_joins(spark)
     raw = staged(read_table(spark, path, order_col=ORDER), "table")
     columns = [c for c in raw.columns if c != ORDER]
     id_col = id_col or inference.guess_id(raw, columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinloom.functions.genotype import normalise
 from kinloom.operators import blocks, compare, confidence, graph, inference, likelihood, matching, pairs, panel, replicates, similarity
 from kinloom.plans.pipeline import identify, resolve
-from kinloom.sources import tables
+from kinloom.sources import staging, tables
 from kinloom.sources.simulate import simulate, truth_of
 
 SCHEMA = "grp string, sample string, ord long, locus string, gt string"
@@ -650,3 +650,21 @@ def test_signif(spark):
     rows = [0.00123456, 123456.0, -0.5, 0.0, None, 9.9996]
     got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, v double").orderBy("k").select(signif(F.col("v"), 4)).collect()]
     assert got[3] == 0 and got[4] is None and all(math.isclose(a, float(f"{v:.4g}")) for a, v in zip(got, rows) if v)
+
+
+def test_only_small_tables_are_broadcast(spark):
+    """A panel is many times what Spark guesses from its source: neither it nor its bit planes may go to the driver."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    held = [spark.conf.get(n, None) for n in names]
+    try:
+        spark.conf.set(names[0], "10485760b")
+        staging.measured_joins(spark)
+        own = spark.range(100_000).selectExpr("id div 5 AS grp", "id AS sample", "id AS ord", "explode(array(1, 2)) AS locus", "if(id % 2 = 0, 'A/A', 'A/G') AS gt")
+        plan = pairs.pair_stats(own)._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == 6 and plan.count("SortMergeJoin") == 1
+        spark.conf.set(names[0], "-1")
+        staging.measured_joins(spark)
+        assert spark.conf.get(names[0]) == "-1"  # a lower limit of the session stays
+    finally:
+        for n, x in zip(names, held):
+            spark.conf.set(n, x) if x is not None else spark.conf.unset(n)
