@@ -668,3 +668,13 @@ def test_only_small_tables_are_broadcast(spark):
     finally:
         for n, x in zip(names, held):
             spark.conf.set(n, x) if x is not None else spark.conf.unset(n)
+
+
+def test_dropped_samples(spark):
+    """Samples under the call rate over the loci left; without a locus left no sample has a call rate."""
+    own = make(spark, {"a": ["A/G", None, "C/C"], "b": ["A/A", "C/T", None], "c": [None, "C/C", "C/T"]})
+    found = lambda **s: {r["sample"] for r in panel.dropped_samples(own, **s).collect()}
+    assert found(min_locus_call=0.9, min_sample_call=0.9) == set()
+    assert found(min_locus_call=0.5, min_sample_call=0.9) == {"a", "b", "c"} and found(min_sample_call=0.5) == set()
+    own = make(spark, {"a": ["A/G", "C/C"], "b": ["A/A", None]})
+    assert {r["sample"] for r in panel.dropped_samples(own, min_sample_call=0.9).collect()} == {"b"}
