@@ -12,8 +12,9 @@ from kinloom.sources.staging import staged  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 8 << 20
-#: Size of the bitmaps that tasks filter with: 16 MB, whatever they are made of.
-BITS = 1 << 27
+#: Most bits of the bitmaps that tasks filter with (16 MB), and the bits a value that they are folded down to: a broadcast
+#: lies in a file on the driver and on each executor.
+BITS, BITS_A_VALUE, LEAST_BYTES = 1 << 27, 256, 1 << 13
 #: For str.translate: lower-cases A-Z and nothing else.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
@@ -49,7 +50,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def bitmap(spark, values: DataFrame):
-    """A broadcast bitmap of BITS bits, whatever the size of values (x long): no false negatives."""
+    """A broadcast bitmap of BITS bits at most, whatever the size of values (x long): no false negatives."""
     width = BITS // 256
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,11 +62,19 @@ def bitmap(spark, values: DataFrame):
     out = np.zeros(BITS // 8, dtype="uint8")
     for b, bits in bit.groupBy(F.expr(f"bit div {width}")).applyInPandas(block, "block int, bits binary").collect():  # 256 rows
         out[b * width // 8 : (b + 1) * width // 8] = np.frombuffer(bits, dtype="uint8")
-    return spark.sparkContext.broadcast(out)
+    return spark.sparkContext.broadcast(folded(out))
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Halves of a bitmap laid over each other while few bits are set; a value is then at its remainder by the new length."""
+    n = int(np.bitwise_count(bits).sum())
+    while len(bits) > LEAST_BYTES and len(bits) * 4 >= n * BITS_A_VALUE:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
 
 
 def in_bitmap(bitmap, x: np.ndarray) -> np.ndarray:
-    at = np.mod(x, BITS)
+    at = np.mod(x, len(bitmap.value) * 8)
     return (bitmap.value[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
 
 

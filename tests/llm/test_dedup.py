@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from kinloom.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
+from kinloom.llm import common, exact_dedup, line_dedup, ngram_join, substring_dedup
 from kinloom.llm.common import ASCII_LOWER
 
 
@@ -161,3 +161,13 @@ def test_empty(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
     assert ngram_join.ngram_components(empty).count() == 0
     assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
+def test_small_bitmaps(spark):
+    """A bitmap of few values takes few bytes, since each executor keeps a file of it; it has no false negatives."""
+    values = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 3000)
+    held = common.bitmap(spark, spark.createDataFrame([(int(x),) for x in values], "x long"))
+    assert held.value.nbytes <= 1 << 18 and common.in_bitmap(held, values).all()
+    assert common.in_bitmap(held, values + 12345).mean() < 0.02
+    empty = common.bitmap(spark, spark.createDataFrame([], "x long"))
+    assert empty.value.nbytes == common.LEAST_BYTES and not common.in_bitmap(empty, values).any()
