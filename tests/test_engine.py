@@ -678,3 +678,15 @@ def test_dropped_samples(spark):
     assert found(min_locus_call=0.5, min_sample_call=0.9) == {"a", "b", "c"} and found(min_sample_call=0.5) == set()
     own = make(spark, {"a": ["A/G", "C/C"], "b": ["A/A", None]})
     assert {r["sample"] for r in panel.dropped_samples(own, min_sample_call=0.9).collect()} == {"b"}
+
+
+def test_inference_reads_values_once(spark):
+    """A column's cells are summed to its values before anything is told of them, and no cell is expanded for a count."""
+    df = spark.createDataFrame([("s1", "AG"), ("s2", "AA"), ("s3", "AG"), ("s3", None), (None, "")], "SampleID string, L1 string")
+    plan = lambda found: found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan(inference.locus_tests(df, df.columns))  # both counts read the staged values
+    assert "count(distinct" not in plan(inference.id_scores(df, df.columns))
+    row = {r["column"]: r for r in inference.locus_tests(df, df.columns).collect()}["L1"]
+    assert (row["n_filled"], row["n_typed"], row["n_genotypes"], row["n_alleles"]) == (3, 3, 2, 2)
+    score = {r["column"]: r["score"] for r in inference.id_scores(df, df.columns).collect()}
+    assert score == {"SampleID": 4 / 5 + 2, "L1": 4 / 5}
