@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.genotype import normalise
 from kinloom.operators import blocks, compare, confidence, graph, inference, likelihood, matching, pairs, panel, replicates, similarity
+from kinloom.plans import fixtures, registry
 from kinloom.plans.pipeline import identify, resolve
 from kinloom.sources import staging, tables
 from kinloom.sources.simulate import simulate, truth_of
@@ -690,3 +691,31 @@ def test_inference_reads_values_once(spark):
     assert (row["n_filled"], row["n_typed"], row["n_genotypes"], row["n_alleles"]) == (3, 3, 2, 2)
     score = {r["column"]: r["score"] for r in inference.id_scores(df, df.columns).collect()}
     assert score == {"SampleID": 4 / 5 + 2, "L1": 4 / 5}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fixture_cells_follow_the_written_rule(spark, tmp_path):
+    """Cells are coded without texts; they are those of the rule that the SQL uses, null ids included."""
+    rows = [(k * 37, k % 11) for k in range(60)] + [(None, 3), (5, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    for made, rule, e in ((fixtures.panel, fixtures.PANEL_GT, fixtures.E), (fixtures.replicates, fixtures.REP_GT, fixtures.R)):
+        got = made(spark, str(tmp_path))
+        assert "concat" not in _plan(got) and "least" not in _plan(got)
+        base = fixtures.events(spark, str(tmp_path)).withColumn("locus", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(24).cast("long"))))
+        base = base.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3 if "rep" in got.columns else 1).cast("long"))))
+        base = base.selectExpr("*", f"{fixtures.ALLELE.format(h=fixtures.H1)} AS a1", f"{fixtures.ALLELE.format(h=fixtures.H2)} AS a2", f"{e} AS e")
+        want = base.selectExpr("event_id", "user_id div 5 AS grp", "locus", "rep" if "rep" in got.columns else "1 AS rep", f"{rule} AS gt")
+        own = got.select("sample", "grp", "locus", "rep" if "rep" in got.columns else F.lit(1), "gt")
+        assert want.exceptAll(own).count() == 0 and own.exceptAll(want).count() == 0
+
+
+def test_block_tables_come_from_one_count(spark, tmp_path):
+    """hwe_prob and those on its tables read the panel once, for counts."""
+    spark.createDataFrame([(k, k % 7) for k in range(70)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    own = fixtures.panel(spark, str(tmp_path))
+    dic, freq = registry._tables_of(spark, str(tmp_path))
+    assert "user_id" not in _plan(dic) + _plan(freq)
+    assert sorted(dic.collect()) == sorted(panel.dictionary(own).collect()) and sorted(freq.collect()) == sorted(panel.allele_freq(own).collect())
