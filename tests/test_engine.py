@@ -719,3 +719,27 @@ def test_block_tables_come_from_one_count(spark, tmp_path):
     dic, freq = registry._tables_of(spark, str(tmp_path))
     assert "user_id" not in _plan(dic) + _plan(freq)
     assert sorted(dic.collect()) == sorted(panel.dictionary(own).collect()) and sorted(freq.collect()) == sorted(panel.allele_freq(own).collect())
+
+
+def test_linkage_against_brute_force(spark):
+    """Over 64 loci, several alleles, missing cells; no row is made for a pair of loci of a sample."""
+    rng = random.Random(5)
+    samples = {f"s{k}": [None if rng.random() < 0.2 else "/".join(sorted(rng.choice("AACGT") for _ in "ab")) for _ in range(67)] for k in range(40)}
+    own = make(spark, samples)
+    ld = panel.linkage_r2(own)
+    assert "posexplode" not in _plan(ld)
+    names = sorted(f"L{j}" for j in range(67))
+    major = {}
+    for x in names:
+        seen = [a for g in samples.values() if g[int(x[1:])] for a in g[int(x[1:])].split("/")]
+        major[x] = min(set(seen), key=lambda a: (-seen.count(a), a))
+    dose = lambda g, x: sum(a != major[x] for a in g[int(x[1:])].split("/"))
+    want = {}
+    for x, y in itertools.combinations(names, 2):
+        both = [(dose(g, x), dose(g, y)) for g in samples.values() if g[int(x[1:])] and g[int(y[1:])]]
+        n, sx, sy = len(both), sum(a for a, _ in both), sum(b for _, b in both)
+        vx, vy = n * sum(a * a for a, _ in both) - sx * sx, n * sum(b * b for _, b in both) - sy * sy
+        if n >= 20 and vx > 0 and vy > 0:
+            want[x, y] = n, (n * sum(a * b for a, b in both) - sx * sy) ** 2 / (vx * vy)
+    got = {(r["locus1"], r["locus2"]): (r["n"], r["r2"]) for r in ld.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=1e-12) for k in want)
