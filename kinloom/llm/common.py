@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -33,6 +37,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def hand_back() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system: a worker serves many stages, and
+    what one of them freed would count beside all that the next one needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

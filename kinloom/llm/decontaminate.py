@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents
+from .common import bounded_batches, documents, hand_back
 
 WIDTH, HOP = 64, 32
 KEEP = 8
@@ -43,6 +43,8 @@ BLOCK_ITEMS = 256
 EXTRA = 32
 #: Bytes of sketches that a task holds at a time.
 SCAN_BYTES = 64 << 20
+#: Bytes of texts that are cut into words at a time, and of a table of sketch or latent numbers for their terms.
+STRETCH_BYTES, PORTION_BYTES = 1 << 18, 4 << 20
 
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
 
@@ -80,7 +82,7 @@ def _stretches(texts: list[bytes], vocabulary: dict):
     lo = 0
     while lo < len(texts):
         hi, total = lo, 0
-        while hi < len(texts) and (hi == lo or total + len(texts[hi]) < 1_000_000):
+        while hi < len(texts) and (hi == lo or total + len(texts[hi]) < STRETCH_BYTES):
             total += len(texts[hi])
             hi += 1
         lens, ids = [], []
@@ -136,6 +138,7 @@ def _texts(batch):
 
 def _count_terms(vocabulary):
     def run(batches):
+        hand_back()
         df, passages = np.zeros(len(vocabulary), dtype="int64"), 0
         for b in batches:
             for _, lens, ids in _stretches(_texts(b), vocabulary):
@@ -155,6 +158,7 @@ def _sketch(vocabulary, blocks):
     """blocks: (number of each word of the vocabulary in the block, idf, omega) of each."""
 
     def run(batches):
+        hand_back()
         sums = [np.zeros_like(omega) for _, _, omega in blocks]
         for b in batches:
             for _, lens, ids in _stretches(_texts(b), vocabulary):
@@ -175,17 +179,29 @@ def _task() -> int:
     return TaskContext.get().partitionId()
 
 
+def _portions(starts, n: int, row_bytes: int):
+    """(first row, row after the last, first entry, entry after the last): whole rows of n entries, so that a table of row_bytes
+    an entry has PORTION_BYTES at most, or one row."""
+    ends, most, lo = np.r_[starts[1:], n], max(1, PORTION_BYTES // max(1, row_bytes)), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + most, side="right")))
+        yield lo, hi, int(starts[lo]), int(ends[hi - 1])
+        lo = hi
+
+
 def _add(c, passage, term, count, idf, omega):
     """c += A'(A omega) for the rows given."""
     if not len(passage):
         return
     starts, _, w = _weighted(passage, term, count, idf)
-    y = np.add.reduceat(omega[term] * w[:, None], starts, axis=0)
-    back = np.repeat(y, np.diff(np.r_[starts, len(w)]), axis=0) * w[:, None]
-    order = np.argsort(term, kind="stable")
-    sorted_terms = term[order]
-    head = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
-    c[sorted_terms[head]] += np.add.reduceat(back[order], head, axis=0)
+    for lo, hi, a, b in _portions(starts, len(w), omega.itemsize * omega.shape[1]):
+        own, weight, head = term[a:b], w[a:b, None], starts[lo:hi] - a
+        y = np.add.reduceat(omega[own] * weight, head, axis=0)
+        back = np.repeat(y, np.diff(np.r_[head, b - a]), axis=0) * weight
+        order = np.argsort(own, kind="stable")
+        sorted_terms = own[order]
+        head = np.flatnonzero(np.r_[True, sorted_terms[1:] != sorted_terms[:-1]])
+        c[sorted_terms[head]] += np.add.reduceat(back[order], head, axis=0)
 
 
 def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,11 +268,12 @@ def _search(found_blocks, cosine, lcs_sure, lcs_answer):
         passage, term, count = _telling(*found)
         if len(passage):
             starts, at, w = _weighted(passage, term, count, idf)
-            z = np.add.reduceat(basis[term] * w[:, None].astype("float32"), starts, axis=0)
-            norm = np.linalg.norm(z, axis=1, keepdims=True)
-            norm[norm == 0] = 1
-            r, i = np.nonzero((z / norm) @ latent.T >= cosine)
-            near = set(zip(at[r].tolist(), i.tolist()))
+            for lo_, hi, a, b in _portions(starts, len(w), basis.itemsize * max(basis.shape[1], len(latent))):
+                z = np.add.reduceat(basis[term[a:b]] * w[a:b, None].astype("float32"), starts[lo_:hi] - a, axis=0)
+                norm = np.linalg.norm(z, axis=1, keepdims=True)
+                norm[norm == 0] = 1
+                r, i = np.nonzero((z / norm) @ latent.T >= cosine)
+                near.update(zip(at[lo_:hi][r].tolist(), i.tolist()))
         if not len(found[0]):
             return
         covered = zip(*(x.tolist() for x in _covered(found[0], found[1], base[owner], max(1, len(idf)), postings, lcs_sure)))
@@ -289,6 +306,7 @@ def _search(found_blocks, cosine, lcs_sure, lcs_answer):
 
 def _scan(block, cosine, lcs_sure, lcs_answer):
     def run(batches):
+        hand_back()
         search = _search(block.value, cosine, lcs_sure, lcs_answer)
         for b in batches:
             found = search(_texts(b))

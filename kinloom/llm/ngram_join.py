@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import bitmap, bounded_batches, documents, in_bitmap, staged
+from .common import bitmap, bounded_batches, documents, hand_back, in_bitmap, staged
 from kinloom.operators.graph import linked as components
 
 HOT = 64
@@ -86,6 +86,7 @@ def _arrow_texts(batch) -> list:
 
 def _windows(size: int, percent: int):
     def run(batches):
+        hand_back()
         for b in batches:
             n, node, win, offsets = [], [], [], [0]
             for t in _arrow_texts(b):
@@ -105,6 +106,7 @@ def _windows(size: int, percent: int):
 
 def _full(size: int, kept: list[str]):
     def run(batches):
+        hand_back()
         for b in batches:
             sets = [shingle_set(t, size) for t in _arrow_texts(b)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
@@ -298,6 +300,7 @@ def _window_hashes(picked, shared=None):
     """(token) of the window hashes of the rows in `picked`; with `shared`, (node, n, token) of the hashes in it only."""
 
     def run(batches):
+        hand_back()
         for b in batches:
             keep = in_bitmap(picked, b.column("pick").to_numpy())
             lists = b.column("win")

@@ -887,3 +887,24 @@ def test_pipeline_edges(spark, tmp_path):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_sketch_of_a_stretch_needs_little_memory():
+    """Sums over many terms and a wide sketch are made in portions: the same numbers, without tables of all terms."""
+    import tracemalloc
+
+    from kinloom.llm import decontaminate
+
+    rng = np.random.default_rng(3)
+    passage = np.repeat(np.arange(4000), 10)
+    term, count = rng.integers(0, 500, len(passage)), np.ones(len(passage), dtype="int64")
+    omega, idf, c = rng.standard_normal((500, 320)), rng.random(500) + 0.1, np.zeros((500, 320))
+    tracemalloc.start()
+    decontaminate._add(c, passage, term, count, idf, omega)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20  # one table of all terms would be 102 MB
+    w = idf[term].reshape(-1, 10)
+    a = np.zeros((4000, 500))
+    np.add.at(a, (passage, term), (w / np.linalg.norm(w, axis=1, keepdims=True)).ravel())
+    assert np.allclose(c, a.T @ (a @ omega))
