@@ -743,3 +743,20 @@ def test_linkage_against_brute_force(spark):
             want[x, y] = n, (n * sum(a * b for a, b in both) - sx * sy) ** 2 / (vx * vy)
     got = {(r["locus1"], r["locus2"]): (r["n"], r["r2"]) for r in ld.collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=1e-12) for k in want)
+
+
+@pytest.mark.parametrize("many", [5, 140])
+def test_packed_cells_against_lists(spark, many):
+    """Consensus and patterns of packed cells are those of lists: over eight genotypes a locus, missing cells, and more
+    replicates than a count holds."""
+    rng = random.Random(9)
+    names = ["/".join(p) for p in itertools.combinations_with_replacement("ACGTX", 2)]
+    rows = [("g", f"s{k}", k, r, f"L{j}", None if rng.random() < 0.3 else rng.choice(names[:3] if k % 2 else names)) for k in range(20) for j in range(3) for r in range(many if k == 0 else 4)]
+    rows += [("g", "none", 99, r, "L0", None) for r in range(3)]
+    reps = spark.createDataFrame(rows, "grp string, sample string, ord long, rep long, locus string, gt string")
+    lists = reps.groupBy(*replicates.KEY).agg(F.collect_list("gt").alias("gts"))
+    got = replicates.consensus(reps)
+    assert many > 127 or "collect_list" not in _plan(got) + _plan(replicates.ml_patterns(reps)).replace("collect_list(gts", "")
+    assert sorted(got.collect(), key=str) == sorted(replicates._decided(lists, 2, 3).collect(), key=str) and got.count() == 61
+    want = lists.filter(F.size("gts") >= 2).groupBy("locus", F.array_join(F.array_sort("gts"), " ").alias("pattern")).agg(F.count("*").alias("n"))
+    assert sorted(replicates.ml_patterns(reps).collect()) == sorted(want.collect())
