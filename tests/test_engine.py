@@ -760,3 +760,23 @@ def test_packed_cells_against_lists(spark, many):
     assert sorted(got.collect(), key=str) == sorted(replicates._decided(lists, 2, 3).collect(), key=str) and got.count() == 61
     want = lists.filter(F.size("gts") >= 2).groupBy("locus", F.array_join(F.array_sort("gts"), " ").alias("pattern")).agg(F.count("*").alias("n"))
     assert sorted(replicates.ml_patterns(reps).collect()) == sorted(want.collect())
+
+
+def test_cells_stay_with_their_block(spark, tmp_path):
+    """A row an event is shuffled and no cell: counts by block, sample or locus of a block find their cells in place."""
+    from kinloom.plans import fixtures
+
+    spark.range(400).selectExpr("id AS event_id", "id % 50 AS user_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for own in (fixtures.panel(spark, str(tmp_path)), fixtures.replicates(spark, str(tmp_path))):
+        assert own.rdd.getNumPartitions() >= 4
+        for by in (["grp"], ["grp", "sample", "ord"], ["grp", "locus", "gt"]):
+            plan = own.groupBy(*by).count()._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1
+
+
+def test_flags_are_told_of_values(spark):
+    raw = spark.createDataFrame([(k, 1, x) for k, x in enumerate(["GA", "AG", "GA*", "00", None, "A"] * 50)], "sample long, locus long, raw string")
+    flags = panel.quality_flags(raw)
+    assert flags.first().asDict() == {"n_cells": 300, "n_missing": 100, "n_reordered": 100, "n_flagged": 50}
+    assert panel.quality_flags(raw.limit(0)).first().asDict() == dict.fromkeys(flags.columns, 0)
+    assert "Aggregate [raw#" in flags._jdf.queryExecution().optimizedPlan().toString()
