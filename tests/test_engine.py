@@ -780,3 +780,13 @@ def test_flags_are_told_of_values(spark):
     assert flags.first().asDict() == {"n_cells": 300, "n_missing": 100, "n_reordered": 100, "n_flagged": 50}
     assert panel.quality_flags(raw.limit(0)).first().asDict() == dict.fromkeys(flags.columns, 0)
     assert "Aggregate [raw#" in flags._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_block_method_by_chains():
+    import pandas as pd
+
+    from kinloom.plans import registry
+
+    own = pd.DataFrame([["A/A"] * 20, ["A/A"] * 15 + [None] * 5, ["A/A"] * 15 + ["G/G"] * 5, ["G/G"] * 20, [None] * 20], index=[5, 3, 9, 1, 7], dtype=object)
+    got = registry._same_everywhere(own)
+    assert dict(zip(got["sample"], got["individual"])) == {5: "IND_001", 3: "IND_001", 9: "IND_001", 1: "IND_002", 7: "IND_003"}
