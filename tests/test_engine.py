@@ -790,3 +790,25 @@ def test_block_method_by_chains():
     own = pd.DataFrame([["A/A"] * 20, ["A/A"] * 15 + [None] * 5, ["A/A"] * 15 + ["G/G"] * 5, ["G/G"] * 20, [None] * 20], index=[5, 3, 9, 1, 7], dtype=object)
     got = registry._same_everywhere(own)
     assert dict(zip(got["sample"], got["individual"])) == {5: "IND_001", 3: "IND_001", 9: "IND_001", 1: "IND_002", 7: "IND_003"}
+
+
+def test_forest_of_a_tasks_edges(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(b * 30 + i, b * 30 + j) for b in range(8) for i, j in itertools.permutations(range(30), 2) if rng.random() < 0.3] + [(500, 500)]
+    for most in (1 << 19, 40):
+        monkeypatch.setattr(graph, "FOREST_EDGES", most)
+        for kind in ("u long, v long", "u struct<key:double,ord:long>, v struct<key:double,ord:long>"):
+            own = edges if kind == "u long, v long" else [((k, u), (k, v)) for u, v in edges for k in (0.5, 0.9)]
+            got = graph.forest(spark.createDataFrame(own, kind).coalesce(1)).collect()
+            assert all(r["v"] < r["u"] for r in got)
+            assert len(got) < (len(own) if most == 40 else len({x for e in own for x in e}))
+            tree = {x: x for e in own for x in e}
+
+            def root(x):
+                while tree[x] != x:
+                    x = tree[x]
+                return x
+
+            for u, v in ((tuple(r["u"]), tuple(r["v"])) if "struct" in kind else (r["u"], r["v"]) for r in got):
+                tree[max(root(u), root(v))] = min(root(u), root(v))
+            assert all(root(u) == root(v) for u, v in own)
