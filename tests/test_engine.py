@@ -812,3 +812,39 @@ def test_forest_of_a_tasks_edges(spark, monkeypatch):
             for u, v in ((tuple(r["u"]), tuple(r["v"])) if "struct" in kind else (r["u"], r["v"]) for r in got):
                 tree[max(root(u), root(v))] = min(root(u), root(v))
             assert all(root(u) == root(v) for u, v in own)
+
+
+def test_first_cliques_brute():
+    rng = random.Random(7)
+    for _ in range(200):
+        n, p = rng.randint(2, 12), rng.random()
+        names = rng.sample(range(100), n)
+        edges = [(a, b) for a, b in itertools.combinations(names, 2) if rng.random() < p]
+        near = {x: {a + b - x for a, b in edges if x in (a, b)} for x in {x for e in edges for x in e}}
+        if not edges:
+            continue
+        cliques = [sorted(c) for c in graph.maximal_cliques(sorted(near), near)]
+        best = {x: min((-len(c), c) for c in cliques if x in c) for x in near}
+        assert dict(graph.first_cliques(*zip(*edges))) == {x: min(y for y in near if best[y] == best[x]) for x in near}
+
+
+def test_complete_linkage_of_millions_of_cliques(spark):
+    """44 samples of which each matches all but one other: 2^22 cliques of one size.  The first claims its own, and the best
+    clique of each other sample is the first one with that sample in place of its opposite, so it stays alone."""
+    samples = spark.range(44).selectExpr("0L AS grp", "id AS sample", "id AS ord")
+    matched = spark.createDataFrame([(i, j) for i, j in itertools.combinations(range(44), 2) if j != i + 22], "ord1 long, ord2 long")
+    got = graph.complete_linkage(samples, matched).groupBy("individual").agg(F.collect_set("ord").alias("m")).collect()
+    assert sorted(sorted(r["m"]) for r in got) == [list(range(22)), *([x] for x in range(22, 44))]
+
+
+def test_parts_whole_or_node_by_node(spark, monkeypatch):
+    rng = random.Random(11)
+    samples = spark.range(60).selectExpr("0L AS grp", "id AS sample", "id AS ord")
+    rows = [(k, 12 * b + i, 12 * b + j) for b in range(5) for i, j in itertools.combinations(range(12), 2) for x in [rng.random()] for k in (0.1, 0.5) if x > k]
+    matched = spark.createDataFrame(rows, "key double, ord1 long, ord2 long")
+    found = []
+    for nodes in (2048, 11, 0):
+        monkeypatch.setattr(graph, "PART_NODES", nodes)
+        one = graph.complete_linkage(samples, matched.filter("key = 0.5")).select("ord", "individual")
+        found.append((sorted(map(tuple, one.collect())), sorted(map(tuple, graph.complete_counts(samples, matched, [0.1, 0.5]).collect()))))
+    assert found[0] == found[1] == found[2]
