@@ -671,6 +671,26 @@ def test_only_small_tables_are_broadcast(spark):
             spark.conf.set(n, x) if x is not None else spark.conf.unset(n)
 
 
+def test_staged_lookup_tables_are_not_broadcast(spark):
+    """A table of a few rows a block and locus is a small file and a large hash table: it may not go to the driver whole."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    held = [spark.conf.get(n, None) for n in names]
+    try:
+        spark.conf.set(names[0], "10485760b")
+        spark.conf.unset(names[1])
+        staging.measured_joins(spark)
+        table = staging.staged(spark.range(130_000).selectExpr("id div 72 AS grp", "id div 3 % 24 AS locus", "id % 3 + 1 AS code"), "lookup")
+        assert int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 256 * 1024
+        cells = staging.staged(spark.range(300_000).selectExpr("id % 1800 AS grp", "id % 24 AS locus", "id * id AS ord"), "cells")
+        found = cells.join(table, ["grp", "locus"])
+        assert found.count() == 3 * 300_000 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        found.tail(1)  # so that the plan knows the sizes measured in the shuffle
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, x in zip(names, held):
+            spark.conf.set(n, x) if x is not None else spark.conf.unset(n)
+
+
 def test_dropped_samples(spark):
     """Samples under the call rate over the loci left; without a locus left no sample has a call rate."""
     own = make(spark, {"a": ["A/G", None, "C/C"], "b": ["A/A", "C/T", None], "c": [None, "C/C", "C/T"]})
