@@ -691,6 +691,25 @@ def test_staged_lookup_tables_are_not_broadcast(spark):
             spark.conf.set(n, x) if x is not None else spark.conf.unset(n)
 
 
+def test_priors_meet_pairs_without_a_shuffle(spark, monkeypatch):
+    """A row a block is broadcast while they are few, by their count; else the pairs are shuffled."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1024b")
+        scored = staging.staged(spark.range(4000).selectExpr("id % 400 AS grp", "id AS ord1", "id + 1 AS ord2", "20 AS n_compared", "if(id % 3 = 0, 9.0D, -5.0D) AS lr"), "scored")
+        sizes = spark.range(400).selectExpr("id AS grp", "20L AS n")
+        found = []
+        for most in (staging.FEW_ROWS, 399):
+            monkeypatch.setattr(staging, "FEW_ROWS", most)
+            told = matching.with_posterior(scored, matching.priors(scored, sizes))
+            plan = told._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (most > 399)
+            found.append(sorted((r["ord1"], r["posterior"]) for r in told.collect()))
+        assert found[0] == found[1] and len(found[0]) == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_dropped_samples(spark):
     """Samples under the call rate over the loci left; without a locus left no sample has a call rate."""
     own = make(spark, {"a": ["A/G", None, "C/C"], "b": ["A/A", "C/T", None], "c": [None, "C/C", "C/T"]})
