@@ -26,21 +26,37 @@ class Forest:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, trees: int = 80, depth: int = 4, bins: int = 64, rate: float = 0.15, l2: float = 1.0, least: float = 2.0) -> Forest:
+#: Quantile bins of a feature at most; a bin's number is a byte.
+BINS = 64
+
+
+def quantiles(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
+    """Inner edges of the bins of each feature."""
+    return [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.empty(0) for f in range(x.shape[1])]
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1).astype("uint8")
+
+
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, trees: int = 80, depth: int = 4, bins: int = BINS, rate: float = 0.15, l2: float = 1.0, least: float = 2.0) -> Forest:
     """Logistic loss, second-order gains; features are cut into at most `bins` quantile bins; w: how often a row counts."""
-    n, width = x.shape
-    w = np.ones(n) if w is None else w
+    cuts = quantiles(x, bins)
+    return grow(binned(x, cuts), y, np.ones(len(x)) if w is None else w, cuts, trees, depth, bins, rate, l2, least)
+
+
+def grow(at_bin: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: list[np.ndarray], trees: int = 80, depth: int = 4, bins: int = BINS, rate: float = 0.15, l2: float = 1.0, least: float = 2.0) -> Forest:
+    """fit of rows told by the bins of their features, a byte each; beside them a row takes some numbers, whatever its width."""
+    n, width = at_bin.shape
     inner = 2**depth - 1
     if n == 0 or y.min() == y.max():
         p = ((y * w).sum() + 0.5) / (w.sum() + 1.0) if n else 0.5
         return Forest(np.empty((0, inner), dtype="int64"), np.empty((0, inner)), np.empty((0, inner + 1)), float(np.log(p / (1 - p))))
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
-    binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+    columns = np.ascontiguousarray(at_bin.T)
     mean = (y * w).sum() / w.sum()
     base = float(np.log(mean / (1 - mean)))
     margin = np.full(n, base)
     features, thresholds, leaves = [], [], []
-    column = np.arange(width) * bins
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
         grad, hess = w * (p - y), w * p * (1 - p)
@@ -48,10 +64,9 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, trees: int =
         at = np.zeros(n, dtype="int64")  # node within its level
         for level in range(depth):
             nodes = 2**level
-            key = ((at * width)[:, None] * bins + column + binned).ravel()
-            size = nodes * width * bins
-            g = np.bincount(key, np.repeat(grad, width), size).reshape(nodes, width, bins).cumsum(axis=2)
-            h = np.bincount(key, np.repeat(hess, width), size).reshape(nodes, width, bins).cumsum(axis=2)
+            base_key = at * bins
+            sums = [[np.bincount(key, v, nodes * bins).reshape(nodes, bins) for v in (grad, hess)] for key in (base_key + c for c in columns)]
+            g, h = (np.stack([s[k] for s in sums], axis=1).cumsum(axis=2) for k in (0, 1))
             gt, ht = g[:, :, -1:], h[:, :, -1:]
             gain = g**2 / (h + l2) + (gt - g) ** 2 / (ht - h + l2) - gt**2 / (ht + l2)
             gain[(h < least) | (ht - h < least)] = 0
@@ -63,7 +78,7 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, trees: int =
                 if gain[k, f, b] > 1e-9 and b < len(cuts[f]):
                     chosen[k], split_bin[k] = f, b
                     feature[nodes - 1 + k], cut[nodes - 1 + k] = f, cuts[f][b]
-            at = 2 * at + (binned[np.arange(n), chosen[at]] > split_bin[at])
+            at = 2 * at + (columns[chosen[at], np.arange(n)] > split_bin[at])
         total_g, total_h = np.bincount(at, grad, 2**depth), np.bincount(at, hess, 2**depth)
         leaf = -rate * total_g / (total_h + l2)
         margin += leaf[at]

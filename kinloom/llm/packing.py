@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents
+from .common import bounded_batches, documents, hand_back
 
 CAPACITY = 2048
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 #: Tokens that a task holds at a time, four bytes each.
 BLOCK_TOKENS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
@@ -173,6 +173,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     def run(batches):
         from pyspark import TaskContext
 
+        hand_back()
         encode, part, made, pieces, held = file_encoder(ranks_path), TaskContext.get().partitionId(), 0, [], 0
 
         def flush(last: bool):
